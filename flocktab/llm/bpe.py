@@ -37,7 +37,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PerfectHash:
     """Minimal perfect hash of n keys: hash and displace, about four keys a bucket, largest buckets placed first.
 
-    slot = (a + d * b) mod n, with a and b from the key's hash and d the displacement of its bucket. A bucket of one key
+    slot = ((a + d * b) mod 2^32) * n / 2^32, with a and odd b from the key's hash and d the displacement of its bucket. A bucket of one key
     takes any slot left over, stored as -1 - slot. A slot has the id of its key; the key itself is compared, so a
     foreign token is a miss.
     """
@@ -63,7 +63,7 @@ class PerfectHash:
             else:
                 d = 0
                 while True:
-                    slots = [(a + d * b) % n for a, b, _ in own]
+                    slots = [((a + d * b & 0xFFFFFFFF) * n) >> 32 for a, b, _ in own]
                     if not any(taken[s] for s in slots) and len(set(slots)) == len(slots):
                         break
                     d += 1
@@ -75,13 +75,13 @@ class PerfectHash:
 
     def _parts(self, key: bytes) -> tuple[int, int, int]:
         h = xxhash.xxh3_128_intdigest(key)
-        return (h & 0xFFFFFFFF) % self.buckets, (h >> 32 & 0xFFFFFFFF) % self.n, (h >> 64 & 0xFFFFFFFF) % self.n
+        return (h & 0xFFFFFFFF) % self.buckets, h >> 32 & 0xFFFFFFFF, h >> 64 & 0xFFFFFFFF | 1
 
     def get(self, token: bytes) -> int:
         """The token's id, or -1."""
         bucket, a, b = self._parts(token)
         d = self.displace[bucket]
-        slot = -1 - d if d < 0 else (a + d * b) % self.n
+        slot = -1 - d if d < 0 else ((a + d * b & 0xFFFFFFFF) * self.n) >> 32
         return self.ids[slot] if self.keys[slot] == token else -1
 
 
