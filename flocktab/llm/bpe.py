@@ -3,7 +3,7 @@
 Tier one: a minimal perfect hash over the whole vocabulary. A pre-token that is a vocabulary entry is resolved by one
 probe and one comparison. Tier two, for misses: byte-pair merging with a heap of candidate merges over a linked list
 of byte positions, so that a pre-token of n bytes takes O(n log n) also when it is very long. Each Python worker keeps
-the ids of pre-tokens it has met in a cache of at most CACHE entries, emptied when full; texts are processed one Arrow
+the ids of pre-tokens it has met in two generations of at most CACHE entries; when the newer is full, the older goes. Texts are processed one Arrow
 batch at a time and no row leaves its task, so nothing is shuffled.
 
 Defined results. Null text: empty, no ids. Empty tables give empty tables. Null ids, repeated rows and other columns
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens kept by a worker, and the longest that is kept.
-CACHE, CACHE_BYTES = 400_000, 64
+CACHE, CACHE_BYTES = 250_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,7 +35,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """Minimal perfect hash of n keys: hash and displace, about four keys a bucket, largest buckets placed first.
+    """Minimal perfect hash of n keys: hash and displace, about two keys a bucket, largest buckets placed first.
 
     slot = ((a + d * b) mod 2^32) * n / 2^32, with a and odd b from the key's hash and d the displacement of its bucket. A bucket of one key
     takes any slot left over, stored as -1 - slot. A slot has the id of its key; the key itself is compared, so a
@@ -44,7 +44,7 @@ class PerfectHash:
 
     def __init__(self, ranks: dict[bytes, int]):
         n = self.n = max(1, len(ranks))
-        self.buckets = n // 4 + 1
+        self.buckets = n // 2 + 1
         self.keys: list[bytes | None] = [None] * n
         self.ids = [0] * n
         self.displace = [0] * self.buckets
@@ -133,23 +133,27 @@ class Codec:
     def ready(self) -> None:
         self.find = regex.compile(self.pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
 
     def _ids(self, piece: str) -> bytes:
-        token = piece.encode()
-        one = self.table.get(token)
-        ids = array("I", [one] if one >= 0 else merge_bytes(token, self.ranks)).tobytes()
-        if len(token) <= CACHE_BYTES:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            token = piece.encode()
+            one = self.table.get(token)
+            ids = array("I", [one] if one >= 0 else merge_bytes(token, self.ranks)).tobytes()
+            if len(token) > CACHE_BYTES:
+                return ids
+        if len(self.known) >= CACHE:
+            self.older, self.known = self.known, {}
+        self.known[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, ids = self.known.get, self._ids
+        known, ids = self.known.get, self._ids  # of a generation that ends meanwhile, known still holds true ids
         return b"".join([known(piece) or ids(piece) for piece in self.find(text or "")])
 
     def decode(self, ids: bytes) -> bytes:
