@@ -1,6 +1,37 @@
-"""All registered queries of the reference's own operators, and their SQL."""
+"""All registered queries of the domain's operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import adapters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+class Tables:
+    """The adapters' tables of one folder, by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return adapters.flights(self.spark, self.sf_dir) if name == "full_flights" else adapters.load(self.spark, self.sf_dir, name)
+
+
+def query(sql: str | None = None, needs: tuple[str, ...] = (), recursive: bool = False):
+    """Registers f(tables) under its name; sql follows a WITH clause of the adapters it needs, and may begin with a comma to add to it."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE[f.__name__] = (adapters.ctes(*needs) + "\n" if needs else "") + sql
+        return f
+
+    return add
+
+
+from . import annotation_queries, geo_queries, release_queries  # noqa: E402, F401  they register themselves
