@@ -28,9 +28,15 @@ def flight_bbox(poses: DataFrame, padding_m: float = 50.0) -> DataFrame:
 
 def box_to_crs(boxes: DataFrame, crs: str = "EPSG:3035") -> DataFrame:
     """boxes with min_x, min_y, max_x, max_y: the extent of the four projected corners."""
-    corners = [forward(F.col(lon), F.col(lat), crs) for lon in ("min_lon", "max_lon") for lat in ("min_lat", "max_lat")]
-    xs, ys = [c[0] for c in corners], [c[1] for c in corners]
-    return boxes.withColumns({"min_x": F.least(*xs), "min_y": F.least(*ys), "max_x": F.greatest(*xs), "max_y": F.greatest(*ys)})
+    corners = F.array(*[F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat")) for lon in ("min_lon", "max_lon") for lat in ("min_lat", "max_lat")])
+
+    def projected(c):
+        x, y = forward(c["lon"], c["lat"], crs)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    # one lambda for the four corners keeps the plan a quarter as large
+    made = boxes.withColumn("__xy", F.transform(corners, projected))
+    return made.withColumns({f"{n}_{c}": f(F.col(f"__xy.{c}")) for c in "xy" for n, f in (("min", F.array_min), ("max", F.array_max))}).drop("__xy")
 
 
 def tiles_for_box(boxes: DataFrame) -> DataFrame:

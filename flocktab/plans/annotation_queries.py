@@ -18,14 +18,14 @@ DET = ("detections",)
 #: The filled table in SQL, for a step.
 FILL = """, seg AS (SELECT *, lead(frame) OVER w AS f1, lead(bb_left) OVER w AS l1, lead(bb_top) OVER w AS t1, lead(bb_width) OVER w AS w1, lead(bb_height) OVER w AS h1, lead(conf) OVER w AS c1, lead(visibility) OVER w AS v1
  FROM {src} WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no)),
-gaps AS (SELECT *, unnest(range(frame + {step}, f1, {step})) AS at FROM seg WHERE f1 - frame > {step}),
+gaps AS (SELECT *, unnest(range(frame + {step}, f1, {step})) AS gf FROM seg WHERE f1 - frame > {step}),
 filled AS (SELECT seq_id, line_no, frame, track_id, bb_left, bb_top, bb_width, bb_height, conf, class_id, visibility, species, gender, age, is_propagated FROM {src} UNION ALL
- SELECT seq_id, line_no, at, track_id, CAST(round_even(bb_left + (l1 - bb_left) * ((at - frame) / (f1 - frame)), 0) AS INT), CAST(round_even(bb_top + (t1 - bb_top) * ((at - frame) / (f1 - frame)), 0) AS INT),
-  CAST(round_even(bb_width + (w1 - bb_width) * ((at - frame) / (f1 - frame)), 0) AS INT), CAST(round_even(bb_height + (h1 - bb_height) * ((at - frame) / (f1 - frame)), 0) AS INT),
-  conf + (c1 - conf) * ((at - frame) / (f1 - frame)), class_id, visibility + (v1 - visibility) * ((at - frame) / (f1 - frame)), species, gender, age, '1' FROM gaps)
+ SELECT seq_id, line_no, gf, track_id, CAST(round_even(bb_left + (l1 - bb_left) * ((gf - frame) / (f1 - frame)), 0) AS INT), CAST(round_even(bb_top + (t1 - bb_top) * ((gf - frame) / (f1 - frame)), 0) AS INT),
+  CAST(round_even(bb_width + (w1 - bb_width) * ((gf - frame) / (f1 - frame)), 0) AS INT), CAST(round_even(bb_height + (h1 - bb_height) * ((gf - frame) / (f1 - frame)), 0) AS INT),
+  conf + (c1 - conf) * ((gf - frame) / (f1 - frame)), class_id, visibility + (v1 - visibility) * ((gf - frame) / (f1 - frame)), species, gender, age, '1' FROM gaps)
 """
 SHOWN = ["seq_id", "line_no", "frame", "track_id", "bb_left", "bb_top", "bb_width", "bb_height", "class_id", "species", "gender", "age", "is_propagated"]
-ROUNDED = "round(conf, 6) AS conf, round(visibility, 6) AS visibility"
+LINEAR = "conf, visibility"
 
 
 def fill(step: int, src: str = "detections") -> str:
@@ -33,7 +33,7 @@ def fill(step: int, src: str = "detections") -> str:
 
 
 def shown(df, *more):
-    return df.select(*SHOWN, F.round("conf", 6).alias("conf"), F.round("visibility", 6).alias("visibility"), *more)
+    return df.select(*SHOWN, "conf", "visibility", *more)
 
 
 @query(", boar AS (SELECT * FROM detections WHERE species LIKE '%Wild boar%')" + fill(1, "boar") + "SELECT species, count(*) FILTER (is_propagated = '0') AS key_boxes, count(*) FILTER (is_propagated = '1') AS filled_boxes, count(DISTINCT (seq_id, track_id)) AS tracks FROM filled GROUP BY species", DET)
@@ -47,12 +47,12 @@ def w1_key_segments(t):
     return T.key_segments(t.detections).select("seq_id", "track_id", "line_no", "frame", F.col("nxt.frame").alias("next_frame"), F.col("nxt.bb_left").alias("next_left"))
 
 
-@query(fill(1) + f"SELECT {', '.join(SHOWN)}, {ROUNDED} FROM filled", DET)
+@query(fill(1) + f"SELECT {', '.join(SHOWN)}, {LINEAR} FROM filled", DET)
 def w2_interpolate_tracks(t):
     return shown(T.interpolate_tracks(t.detections, 1))
 
 
-@query(fill(5) + f"SELECT {', '.join(SHOWN)}, {ROUNDED} FROM filled", DET)
+@query(fill(5) + f"SELECT {', '.join(SHOWN)}, {LINEAR} FROM filled", DET)
 def w2_interpolate_step5(t):
     return shown(T.interpolate_tracks(t.detections, 5))
 
@@ -183,10 +183,10 @@ def t6_yolo_box(t):
     return t.detections.select("line_no", *[c.alias(n) for c, n in zip(box, ("cx", "cy", "w", "h"), strict=True)])
 
 
-@query("SELECT line_no, round((cx - w / 2) * 640, 6) AS x1, round((cy - h / 2) * 512, 6) AS y1 FROM (SELECT line_no, greatest(0.0, least(1.0, (bb_left + bb_width / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (bb_top + bb_height / 2.0) / 512.0)) AS cy, greatest(0.0, least(1.0, bb_width / 640.0)) AS w, greatest(0.0, least(1.0, bb_height / 512.0)) AS h FROM detections)", DET)
+@query("SELECT line_no, (cx - w / 2) * 640 AS x1, (cy - h / 2) * 512 AS y1 FROM (SELECT line_no, greatest(0.0, least(1.0, (bb_left + bb_width / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (bb_top + bb_height / 2.0) / 512.0)) AS cy, greatest(0.0, least(1.0, bb_width / 640.0)) AS w, greatest(0.0, least(1.0, bb_height / 512.0)) AS h FROM detections)", DET)
 def t8_yolo_to_pixels(t):
     x = S.yolo_to_pixels(*S.yolo_box(*[F.col(c) for c in T.BOX], 640.0, 512.0), 640.0, 512.0)
-    return t.detections.select("line_no", F.round(x[0], 6).alias("x1"), F.round(x[1], 6).alias("y1"))
+    return t.detections.select("line_no", x[0].alias("x1"), x[1].alias("y1"))
 
 
 @query("SELECT line_no, printf('%.2f', conf) AS conf2, printf('%.2f', visibility / 8) AS vis2 FROM detections", DET)
@@ -216,7 +216,7 @@ def j11_decode_class(t):
 
 AT_SQL = fill(1) + """, targets AS (SELECT DISTINCT seq_id, frame FROM detections WHERE frame % 9 = 4),
 ft AS (SELECT f.*, s.frame AS a, s.f1 AS b FROM (SELECT * FROM filled WHERE is_propagated = '1') f JOIN targets USING (seq_id, frame) JOIN seg s ON s.seq_id = f.seq_id AND s.track_id = f.track_id AND s.line_no = f.line_no),
-at AS (SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, conf, visibility, species, is_propagated, false AS interp, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM detections JOIN targets USING (seq_id, frame)
+boxes AS (SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, conf, visibility, species, is_propagated, false AS interp, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM detections JOIN targets USING (seq_id, frame)
  UNION ALL SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, conf, visibility, species, '0', true, a, b FROM ft)
 """
 
@@ -226,12 +226,12 @@ def _at(t):
     return T.boxes_at(t.detections, targets)
 
 
-@query(AT_SQL + f"SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, {ROUNDED}, interp, a AS kf_a, b AS kf_b FROM at", DET)
+@query(AT_SQL + f"SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, {LINEAR}, interp, a AS kf_a, b AS kf_b FROM boxes", DET)
 def j7_boxes_at(t):
-    return _at(t).select("seq_id", "frame", "track_id", "line_no", *T.BOX, F.round("conf", 6).alias("conf"), F.round("visibility", 6).alias("visibility"), F.col("_interpolated").alias("interp"), F.col("_kf_a_frame").alias("kf_a"), F.col("_kf_b_frame").alias("kf_b"))
+    return _at(t).select("seq_id", "frame", "track_id", "line_no", *T.BOX, "conf", "visibility", F.col("_interpolated").alias("interp"), F.col("_kf_a_frame").alias("kf_a"), F.col("_kf_b_frame").alias("kf_b"))
 
 
-@query(AT_SQL + "SELECT seq_id, frame, track_id, line_no, 'ID:' || track_id || ' | ' || CASE WHEN species = 'Unknown' THEN 'Unknown' ELSE regexp_extract(species, '\\(([^)]*)\\)', 1) END || ' | c:' || printf('%.2f', conf) || CASE WHEN interp THEN ' | interp [' || a || '-' || b || ']' ELSE '' END AS label FROM at", DET)
+@query(AT_SQL + "SELECT seq_id, frame, track_id, line_no, 'ID:' || track_id || ' | ' || CASE WHEN species = 'Unknown' THEN 'Unknown' ELSE regexp_extract(species, '\\(([^)]*)\\)', 1) END || ' | c:' || printf('%.2f', conf) || CASE WHEN interp THEN ' | interp [' || a || '-' || b || ']' ELSE '' END AS label FROM boxes", DET)
 def p11_boxes_at_frame(t):
     return _at(t).select("seq_id", "frame", "track_id", "line_no", S.point_label(F.col("_interpolated"), F.col("_kf_a_frame"), F.col("_kf_b_frame")).alias("label"))
 
@@ -288,11 +288,11 @@ def a9_merge_track_boxes(t):
     return T.merge_track_boxes(_near(t))
 
 
-@query(MERGED + " SELECT seq_id, centre, track_id, class_id, round(greatest(0.0, least(1.0, (x_min + (x_max - x_min) / 2.0) / 640.0)), 6) AS cx, round(greatest(0.0, least(1.0, (x_max - x_min) / 640.0)), 6) AS w FROM merged", DET)
+@query(MERGED + " SELECT seq_id, centre, track_id, class_id, greatest(0.0, least(1.0, (x_min + (x_max - x_min) / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (x_max - x_min) / 640.0)) AS w FROM merged", DET)
 def p13_merged_neighbour_labels(t):
     m = T.merge_track_boxes(_near(t))
     box = S.yolo_box(F.col("x_min"), F.col("y_min"), F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), 640.0, 512.0)
-    return m.select("seq_id", "centre", "track_id", "class_id", F.round(box[0], 6).alias("cx"), F.round(box[2], 6).alias("w"))
+    return m.select("seq_id", "centre", "track_id", "class_id", box[0].alias("cx"), box[2].alias("w"))
 
 
 @query("SELECT line_no, min(bb_left) OVER w AS x_min, max(bb_left + bb_width) OVER w AS x_max FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING)", DET)
