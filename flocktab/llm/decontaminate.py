@@ -50,21 +50,24 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "t
     # element 0 stands for the row itself, so that one pass gives rows and hits; the windows follow, length by length; outer only keeps Spark from computing the array twice
     hashes = F.concat(F.array(F.xxhash64("__row")), *[windows(k) for k in sorted(sizes)])
     scan = rows.withColumn("__h", hashes).select("__row", "__doc", "__w", F.posexplode_outer("__h").alias("__at", "h"))
-    offset, before = F.lit(1), F.lit(1)
-    for k in sorted(sizes):
-        offset = F.when(F.col("len") == k, before).otherwise(offset)
-        before = before + fits(k)
-    start = F.col("__at") - offset
-    own = F.when((F.col("__at") > 0) & (start >= 0) & (start <= size - F.col("len")), F.slice("__w", start + 1, F.col("len")) == F.col("gram"))
+    first, length, start = F.lit(1), F.lit(0), F.lit(0)
+    for k in sorted(sizes):  # which window an element is: its length and its first word
+        here = (F.col("__at") >= first) & (F.col("__at") < first + fits(k))
+        length, start = F.when(here, k).otherwise(length), F.when(here, F.col("__at") - first).otherwise(start)
+        first = first + fits(k)
+    own = F.when(F.col("__at") > 0, F.slice("__w", start + 1, length))
     if small:
         # the words ride along uncopied: codegen writes them only for the few windows that find a partner
-        found = scan.join(F.broadcast(grams), "h", "left")
+        found = scan.join(F.broadcast(grams), "h", "left").withColumn("__own", own)
     else:
-        found = scan.withColumn("__w", F.when(F.col("__at") > 0, F.col("__w"))).withColumn("__doc", F.when(F.col("__at") == 0, F.col("__doc"))).join(grams, "h", "left")
+        # a window takes its own words along and leaves the text's behind
+        cut_out = scan.select("__row", F.when(F.col("__at") == 0, F.col("__doc")).alias("__doc"), "__at", "h", own.alias("__own"), start.alias("__start"), length.alias("__length"), F.when(F.col("__at") == 0, size).alias("__size"))
+        found, start, length, size = cut_out.join(grams, "h", "left"), F.col("__start"), F.col("__length"), F.col("__size")
+    own = F.col("__own") == F.col("gram")
     found = found.where((F.col("__at") == 0) | F.coalesce(own, F.lit(False)))
     row = F.col("__at") == 0
     made = found.select("__row", F.when(row, F.col("__doc")).alias("__doc"), F.when(row, size.cast("long")).alias("n_words"),
-                        F.when(~row, F.struct(start.alias("at"), "len")).alias("hit"), F.when(~row, F.col("items")).alias("items"))
+                        F.when(~row, F.struct(start.alias("at"), length.alias("len"))).alias("hit"), F.when(~row, F.col("items")).alias("items"))
     by_row = made.groupBy("__row").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hit"), F.collect_set("items").alias("items"))
     positions = F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
     return by_row.select("__doc", "n_words", F.sort_array(positions).alias("hits"), F.array_distinct(F.flatten("items")).alias("items"))

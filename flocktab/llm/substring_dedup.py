@@ -71,9 +71,9 @@ def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 15, id_col: st
     repeated = runs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     found = runs.join(repeated.hint("shuffle_hash"), ["h1", "h2"])
     in_first = F.col("id").eqNullSafe(F.col("first_id"))
-    # within the first document the run may occur several times; that group is no larger than the document
+    # within the first document the run may occur several times (a repeated row shares its rank); that group is no larger than the document
     place = Window.partitionBy("h1", "h2").orderBy("text_hash", "at")
-    again = found.where(in_first).withColumn("k", F.row_number().over(place)).where("k > 1").drop("k")
+    again = found.where(in_first).withColumn("k", F.dense_rank().over(place)).where("k > 1").drop("k")
     later = found.where(~in_first).unionByName(again)
     return later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("starts"))
 

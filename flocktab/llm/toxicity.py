@@ -4,8 +4,8 @@ A text is the bag of its words; a word is the bag of its hashed character n-gram
 of itself. The vectors of all these features are averaged over the text and go into a softmax of two classes. Vectors
 and softmax are trained together by stochastic gradient steps on a sample of at most `max_rows` labelled rows; a
 misspelling that was never seen shares most n-grams, and so most of its vector, with the word that was. As the average
-is linear, a word's part in the final logit is one number, which each worker keeps for words it has met (at most CACHE
-words, emptied when full). A long text would hide a few telling words in its average, so a text is scored as the
+is linear, a word's part in the final logit is one number, which each worker keeps for words it has met (two generations
+of at most CACHE words). A long text would hide a few telling words in its average, so a text is scored as the
 highest of its stretches of STRETCH words, which are also what the model is trained on.
 
 Training rows are chosen by hash of the id, not by place, and leave out the fold that is held out. Scoring is one pass
@@ -30,14 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W_]+")
-DIM, ROWS, STRETCH, CACHE = 8, 1 << 16, 8, 300_000
+DIM, ROWS, STRETCH, CACHE = 8, 1 << 16, 8, 250_000
 
 
 def features(word: str) -> list[int]:
     """Rows of the embedding table: the word and its character n-grams."""
-    w = f"<{word}>"
-    grams = {w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))}
-    return [xxhash.xxh3_64_intdigest(g) % ROWS for g in sorted(grams)]
+    w, of = f"<{word}>", xxhash.xxh3_64_intdigest
+    return [of(w) % ROWS] + [of(w[i : i + n]) % ROWS for n in (3, 4, 5) for i in range(len(w) - n + 1)]
 
 
 def stretches(text: str | None) -> list[list[str]]:
@@ -48,36 +47,38 @@ def stretches(text: str | None) -> list[list[str]]:
 class Model:
     """vectors (ROWS x DIM) and a softmax (DIM x 2) with bias, collapsed after training to one number a feature."""
 
-    def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias, self.known = weight, bias, {}
+    def __init__(self, weight: list[float] | None, bias: float):
+        self.weight, self.bias = weight, bias
+        self.known, self.older = {}, {}
 
     def __getstate__(self):
         return self.weight, self.bias
 
     def __setstate__(self, state):
-        self.weight, self.bias = state
-        self.known = {}
+        self.__init__(*state)
 
     def part(self, word: str) -> float:
+        """A word's number, from two generations of known words; when the newer is full, the older goes."""
         got = self.known.get(word)
         if got is None:
+            got = self.older.get(word)
+            if got is None:
+                weight, rows = self.weight, features(word)
+                got = sum([weight[r] for r in rows]) / len(rows)
             if len(self.known) >= CACHE:
-                self.known.clear()
-            got = self.known[word] = float(self.weight[features(word)].mean()) if self.weight is not None else 0.0
+                self.older, self.known = self.known, {}
+            self.known[word] = got
         return got
 
     def logit(self, text: str | None) -> float:
         if self.weight is None:
             return self.bias
         known, part = self.known.get, self.part
-        best = -math.inf
-        for words in stretches(text):
-            x = 0.0
-            for w in words:
-                p = known(w)
-                x += part(w) if p is None else p
-            best = max(best, x / len(words))
-        return self.bias if best == -math.inf else self.bias + best
+        words = WORD.findall((text or "").lower())
+        if not words:
+            return self.bias
+        parts = [part(w) if (p := known(w)) is None else p for w in words]
+        return self.bias + max([sum(parts[i : i + STRETCH]) / len(parts[i : i + STRETCH]) for i in range(0, len(parts), STRETCH)])
 
     def score(self, text: str | None) -> float:
         x = max(-700.0, min(700.0, self.logit(text)))
@@ -143,7 +144,7 @@ def fit(texts: list[str | None], labels: list[int], whole_epochs: int = 6, stret
         for k in range(0, len(order), batch):
             docs = order[k : k + batch]
             learn(docs, [chosen[i] if epoch >= whole_epochs else np.concatenate(parts[i]) for i in docs.tolist()])
-    return Model(vectors.value @ (soft.value[:, 1] - soft.value[:, 0]), float(bias.value[1] - bias.value[0]))
+    return Model((vectors.value @ (soft.value[:, 1] - soft.value[:, 0])).tolist(), float(bias.value[1] - bias.value[0]))
 
 
 def fold(id_: Column) -> Column:
