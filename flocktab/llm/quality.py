@@ -76,18 +76,21 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(by_hash, covered))
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __words (array) and __m, a struct of the base figures."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    n = F.size("__words")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+def _figures(text: Column, words: Column) -> Column:
+    n = F.size(words)
+    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    step = step.withColumns({"__windows": F.when(n >= 0, windows), "__lines": lines})
-    return step.withColumn("__m", F.struct(
-        n.cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), _count(text, r"[^#*$%&|<>]+").alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_full_lines"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__words"), F.col("__windows")).alias("n_repeat_words"))).drop("__windows", "__lines")
+    n_lines = let(lines, lambda own: F.struct(F.size(own).cast("long").alias("all"), (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("same")))
+    return let(n_lines, lambda own: F.struct(
+        n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), _count(text, r"[^#*$%&|<>]+").alias("n_symbols"), own["all"].alias("n_full_lines"),
+        own["same"].alias("n_dup_lines"), let(windows, lambda hashes: _repeat_words(words, hashes)).alias("n_repeat_words")))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_full_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def base_failed(m: Column) -> Column:
@@ -96,9 +99,10 @@ def base_failed(m: Column) -> Column:
 
 def order_rules(docs: DataFrame, rules: dict[str, Rule], text_col: str = "text", sample_rows: int = 1000) -> list[str]:
     """Names of the rules by falling rejections per second on a sample; ties keep the given order."""
-    some = docs.select(text_col).sample(fraction=0.05, seed=7).limit(sample_rows)
-    some = cut(measured(some, text_col))
-    text, worth = F.coalesce(F.col(text_col), F.lit("")), {}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = docs.select(text.alias("text")).sample(fraction=0.05, seed=7).limit(sample_rows)
+    text, worth = F.col("text"), {}
+    some = cut(some.select("text", let(_words(text), lambda w: F.struct(w.alias("words"), _figures(text, w).alias("m"))).alias("x")).select("text", F.col("x.words").alias("__words"), F.col("x.m").alias("__m")))
     for name, rule in rules.items():
         began = time.perf_counter()
         rejected = some.agg(F.count_if(rule(text, F.col("__words"), F.col("__m"))).alias("n")).first()["n"]
@@ -110,9 +114,15 @@ def judge(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] | None
     """docs with `quality`: a struct of the base figures, base_failed, rejected_by (name of the first rule that rejects, else null) and kept."""
     rules = RULES if rules is None else rules
     order = order_rules(docs, rules, text_col) if order is None else order
-    text, m = F.coalesce(F.col(text_col), F.lit("")), F.col("__m")
-    verdict = F.when(base_failed(m), F.lit("base"))
-    for name in order:
-        verdict = verdict.when(rules[name](text, F.col("__words"), m), F.lit(name))
-    done = measured(docs, text_col).withColumn("__by", verdict)
-    return done.withColumn("quality", F.struct("__m.*", base_failed(m).alias("base_failed"), F.col("__by").alias("rejected_by"), F.col("__by").isNull().alias("kept"))).drop("__words", "__m", "__by")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def verdict(words: Column, m: Column) -> Column:
+        out = F.when(base_failed(m), F.lit("base"))
+        for name in order:
+            out = out.when(rules[name](text, words, m), F.lit(name))
+        return out
+
+    # one expression, its parts bound once: a filter on the verdict that Spark pushes down cannot multiply them
+    judged = let(_words(text), lambda w: let(_figures(text, w), lambda m: let(
+        verdict(w, m), lambda by: F.struct(*[m[c].alias(c) for c in FIGURES], base_failed(m).alias("base_failed"), by.alias("rejected_by"), by.isNull().alias("kept")))))
+    return docs.withColumn("quality", judged)
