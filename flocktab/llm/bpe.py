@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Pre-tokens kept by a worker, and the longest that is kept.
 CACHE, CACHE_BYTES = 250_000, 64
 
@@ -168,6 +170,7 @@ def codec(spark: SparkSession, path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """The columns `keep` of docs (default: all but the text), ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (binary)."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    small_batches(docs.sparkSession)
     shared = codec(docs.sparkSession, path, pattern)
     kind = T.StructType([T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.BinaryType())] if decoded else [])])
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 
 SEED, BLOCK, SAMPLE = 42, 8192, 2048
@@ -66,6 +66,8 @@ def fingerprint(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) for each row; fp: signed long."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(T.LongType())
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\s]*|$)")
 PIECE = 16
@@ -54,6 +54,8 @@ def run_hashes(text: str | None, run: int, min_words: int) -> list[bytes | None]
 def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, starts): the first sentences, from 0, of the runs that are not the first of their kind."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(T.StructType([T.StructField("h1", T.ArrayType(T.LongType())), T.StructField("h2", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))]))
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

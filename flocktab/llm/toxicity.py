@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 WORD = re.compile(r"[^\W_]+")
 DIM, ROWS, STRETCH, CACHE = 8, 1 << 16, 8, 250_000
 
@@ -164,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score, from 0 to 1."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS numbers
 
     @F.pandas_udf(T.DoubleType())
