@@ -1,7 +1,7 @@
 """Substring dedup: remove sentences that a repeated run of sentences covers, all but the run's first occurrence.
 
-Method: a text is cut into sentences, and a sentence of more than PIECE words into pieces of PIECE words, so that a
-long sentence is a run as well. Every run of `run` consecutive sentences with at least `min_words` words is hashed to
+Method: a text is cut into sentences, and a sentence of more than PIECE words into pieces that end at words chosen by
+their hash, so that a long sentence is a run as well and its pieces are the same wherever the same words stand. Every run of `run` consecutive sentences with at least `min_words` words is hashed to
 128 bits. Hashes are joined globally: the first occurrence of each repeated hash, by document and position, comes from
 an aggregation that combines before it shuffles, so a hash that a third of all rows share costs one row a task; the
 runs are then joined with these (one row a hash, so nothing is multiplied, and a skewed hash can be split) and all but
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -31,15 +32,26 @@ from .common import cut, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\s]*|$)")
 PIECE = 16
-WORDS = re.compile(rf"(?:\S+\s*){{1,{PIECE}}}|\s+")
+WORDS = re.compile(r"\S+\s*|\s+")
+#: A piece has so many words at least and at most; between them one word in CUT ends it.
+LEAST, MOST, CUT = 4, 24, 8
 
 
 def sentences(text: str) -> list[str]:
     """Cuts text without loss: joined, the sentences give the text."""
     out = []
     for s in SENTENCE.findall(text):
-        if s:
-            out += [s] if s.count(" ") < PIECE else WORDS.findall(s)
+        if s.count(" ") < PIECE:
+            if s:
+                out.append(s)
+            continue
+        words, begin = WORDS.findall(s), 0
+        for k, w in enumerate(words, 1):
+            if k - begin >= LEAST and (k - begin == MOST or crc32(w.rstrip().encode()) % CUT == 0):
+                out.append("".join(words[begin:k]))
+                begin = k
+        if begin < len(words):
+            out.append("".join(words[begin:]))
     return out
 
 
@@ -51,7 +63,7 @@ def run_hashes(text: str | None, run: int, min_words: int) -> list[bytes | None]
     return [xxhash.xxh3_128_digest(b"".join(digests[i : i + run])) if sum(words[i : i + run]) >= min_words else None for i in range(len(keys) - run + 1)]
 
 
-def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, starts): the first sentences, from 0, of the runs that are not the first of their kind."""
 
     small_batches(docs.sparkSession)
@@ -80,7 +92,7 @@ def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 15, id_col: st
     return later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("starts"))
 
 
-def dedup_substrings(docs: DataFrame, run: int = 3, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, run: int = 3, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text less the covered sentences, and n_sentences, n_removed and removed_words."""
     marks = repeated_runs(docs, run, min_words, id_col, text_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
     held = docs.withColumn("__hash_of", F.xxhash64(text_col))

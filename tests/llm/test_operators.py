@@ -230,7 +230,7 @@ def test_perfect_hash():
     assert h.get(b"none") == -1 and bpe.PerfectHash({}).get(b"x") == -1
 
 
-def brute_substring(rows, run=3, min_words=15):
+def brute_substring(rows, run=3, min_words=10):
     first, marks = {}, {}
     order = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0))
     for i, t in order:
