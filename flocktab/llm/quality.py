@@ -40,7 +40,7 @@ def _symbols(text, words, m):
 
 
 def _same_lines(text, words, m):
-    return 10 * m["n_dup_lines"] > 3 * m["n_full_lines"]
+    return (m["n_dup_lines"] >= 3) & (10 * m["n_dup_lines"] > 3 * m["n_full_lines"])  # one or two repeats are no pattern
 
 
 def _shouting(text, words, m):

@@ -39,7 +39,7 @@ m AS (SELECT doc_id, text, w, l, CAST(len(w) AS BIGINT) AS n_words, CAST(length(
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(l)
+ NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * len(l))
   OR 10 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 4 * word_chars OR 2 * length(regexp_replace(text, '[^!]+', '', 'g')) > n_words
   OR 10 * len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) > 3 * n_words
   OR 10 * coalesce(list_sum(list_transform(range(2, len(w) + 1), lambda i: CAST(w[i] = w[i - 1] AS INT))), 0) > 3 * n_words) AS kept
