@@ -33,7 +33,7 @@ def ngrams(bench: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str
     return grams.groupBy("gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("h"), "gram", F.size("gram").alias("len"), "items")
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", max_broadcast: int = 2_000_000, keep_text: bool = True) -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", max_broadcast: int = 200_000, keep_text: bool = True) -> DataFrame:
     """One row for each row of docs: __doc (struct of its columns), n_words, hits (sorted positions, from 0, of the words that are hit) and items."""
     grams = ngrams(bench, n, item_col)
     sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # n rows at most
