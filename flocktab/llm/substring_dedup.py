@@ -84,11 +84,13 @@ def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 10, id_col: st
     runs = own.select("id", "text_hash", F.explode(F.arrays_zip("r.h1", "r.h2", "r.at")).alias("x")).select("id", "text_hash", "x.*")
     repeated = runs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     found = runs.join(repeated.hint("shuffle_hash"), ["h1", "h2"])
-    in_first = F.col("id").eqNullSafe(F.col("first_id"))
-    # within the first document the run may occur several times (a repeated row shares its rank); that group is no larger than the document
-    place = Window.partitionBy("h1", "h2").orderBy("text_hash", "at")
-    again = found.where(in_first).withColumn("k", F.dense_rank().over(place)).where("k > 1").drop("k")
-    later = found.where(~in_first).unionByName(again)
+    # All but the first document's rows are later ones and stand apart, each alone; within the first document the run may
+    # occur several times (a repeated row shares its rank), a group no larger than the document. Dealt out anew, so that
+    # Spark may split a skewed partition of the join.
+    apart = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.xxhash64("id", "text_hash", "at"))
+    place = Window.partitionBy("h1", "h2", "apart").orderBy("text_hash", "at")
+    ranked = found.withColumn("apart", apart).repartition("h1", "h2", "apart").withColumn("k", F.dense_rank().over(place))
+    later = ranked.where(F.col("apart").isNotNull() | (F.col("k") > 1))
     return later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("starts"))
 
 
