@@ -3,7 +3,8 @@
 Writing is a Spark job over the pages: of the records with equal payloads of at least `min_revisit` bytes, that with the
 largest id is a response, the others revisit it. The largest id of a payload comes from an aggregation on digests that
 combines before it shuffles. Records are written by Spark's text writer with the WARC separator as line end, at most
-`records` a file, so archives go wherever Spark can write and each file is published once.
+`records` a file and compressed file by file, so archives go wherever Spark can write and each file is published once. A capture's
+offset counts in the uncompressed archive.
 
 Reading parses each archive by Content-Length in the task that holds it and yields its captures sorted by URL key and
 timestamp: a local run. The merge is external: every run is cut at splitters taken from a sample of at most
@@ -18,6 +19,7 @@ responses. An empty table gives an empty archive set and no captures. Other colu
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -56,8 +58,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     return both.select(F.concat(header, block).alias("value"))
 
 
-def write(pages: DataFrame, folder: str, per_file: int = 4000, **columns) -> None:
-    records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+def write(pages: DataFrame, folder: str, per_file: int = 4000, compression: str = "gzip", **columns) -> None:
+    """Archives of at most per_file records; compression: gzip or none."""
+    records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(folder)
 
 
 def url_key(url: str) -> str:
@@ -118,7 +121,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         names = [x.split()[0] for x in CAPTURE.split(", ")]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield _frame(captures_of(path.rsplit("/", 1)[1], bytes(content)), names)
+                whole = gzip.decompress(content) if path.endswith(".gz") else bytes(content)
+                yield _frame(captures_of(path.rsplit("/", 1)[1], whole), names)
 
     return files.mapInPandas(parsed, CAPTURE)
 
