@@ -7,7 +7,7 @@ the ids of pre-tokens it has met in two generations of at most CACHE entries; wh
 batch at a time and no row leaves its task, so nothing is shuffled.
 
 Defined results. Null text: empty, no ids. Empty tables give empty tables. Null ids, repeated rows and other columns
-pass through as they are. Special tokens are ordinary text.
+pass through as they are, but for columns of docs named ids or decoded, which the new ones replace. Special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def codec(spark: SparkSession, path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """The columns `keep` of docs (default: all but the text), ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (binary)."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in docs.columns if c not in (text_col, "ids", "decoded")] if keep is None else keep
     small_batches(docs.sparkSession)
     shared = codec(docs.sparkSession, path, pattern)
     kind = T.StructType([T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.BinaryType())] if decoded else [])])
