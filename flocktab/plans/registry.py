@@ -34,4 +34,4 @@ def query(sql: str | None = None, needs: tuple[str, ...] = (), recursive: bool =
     return add
 
 
-from . import annotation_queries, geo_queries, release_queries  # noqa: E402, F401  they register themselves
+from . import annotation_queries, geo_queries, release_queries, stream_queries  # noqa: E402, F401  they register themselves
