@@ -62,3 +62,31 @@ def test_guard(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": ""})
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 50
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_dedup_finds_all_at_jaccard(spark, sf_dir):
+    """Copies with words replaced, also those far apart in SimHash bits, against all pairs."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for k in range(25):
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 200))]
+        for _ in range(6):
+            copy = list(own)
+            for at in rng.sample(range(len(own)), rng.randrange(0, 5)):
+                copy[at] = f"x{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert {r["doc_id"] for r in got.collect()} == set(up) and 25 < len(set(up)) < 140
