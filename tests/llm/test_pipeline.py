@@ -90,3 +90,15 @@ def test_near_dedup_finds_all_at_jaccard(spark, sf_dir):
                 up = [min(a, b) if x in (a, b) else x for x in up]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
     assert {r["doc_id"] for r in got.collect()} == set(up) and 25 < len(set(up)) < 140
+
+
+def test_near_dedup_null_and_repeated_ids(spark, sf_dir):
+    """Survivors are rows: different texts stay, whatever their ids."""
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (3, texts[4]), (8, texts[5]), (8, texts[5]), (None, None), (9, "")]
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (3, texts[4]), (8, texts[5]), (9, "")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
