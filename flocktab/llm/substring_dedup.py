@@ -1,8 +1,8 @@
 """Substring dedup: remove sentences that a repeated run of sentences covers, all but the run's first occurrence.
 
 Method: a text is cut into sentences, and a sentence of more than PIECE words into pieces that end at words chosen by
-their hash, so that a long sentence is a run as well and its pieces are the same wherever the same words stand. Every run of `run` consecutive sentences with at least `min_words` words is hashed to
-128 bits. Hashes are joined globally: the first occurrence of each repeated hash, by document and position, comes from
+their hash, so that a long sentence is a run as well and its pieces are the same wherever the same words stand. Every run of `run` consecutive sentences is hashed to 128 bits, with as many sentences that follow as it needs
+to have `min_words` words. Hashes are joined globally: the first occurrence of each repeated hash, by document and position, comes from
 an aggregation that combines before it shuffles, so a hash that a third of all rows share costs one row a task; the
 runs are then joined with these (one row a hash, so nothing is multiplied, and a skewed hash can be split) and all but
 the first are marked. The marked positions, not texts, go back to the documents, which drop the sentences they cover.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -32,22 +33,54 @@ from .common import cut, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\s]*|$)")
 PIECE = 16
-WORDS = re.compile(r"\S+\s*|\s+")
+#: Letters of scripts that are written without spaces: Thai to Myanmar, Khmer, kana, Han.
+LETTER = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[{LETTER}]\s*|[^\s{LETTER}]+\s*|\s+")
+LETTERS = re.compile(rf"[{LETTER}]")
+#: A word of more characters than this counts by its characters.
+LONG = 40
 #: A piece has so many words at least and at most; between them one word in CUT ends it.
 LEAST, MOST, CUT = 4, 24, 8
 
 
+def plain(s: str) -> bool:
+    """Whether the words of s are what stands between blanks."""
+    return (s.isascii() or not LETTERS.search(s)) and (len(s) <= LONG or max(map(len, s.split()), default=0) <= LONG)
+
+
+def units(s: str) -> list[str]:
+    """The words of s with the blanks that follow; single characters where there are no blanks."""
+    out = []
+    for w in WORDS.findall(s):
+        if len(w.rstrip()) > LONG:
+            out += re.findall(r"\S\s*", w)
+        else:
+            out.append(w)
+    return out
+
+
+def n_words(key: str) -> float:
+    """Words of a normalised text; two characters that stand for words count as one."""
+    if plain(key):
+        return key.count(" ") + 1 if key else 0
+    return sum(0.5 if len(w.rstrip()) == 1 and not (w.isascii() and w.endswith(" ")) else 1 for w in units(key))
+
+
 def sentences(text: str) -> list[str]:
     """Cuts text without loss: joined, the sentences give the text."""
     out = []
     for s in SENTENCE.findall(text):
-        if s.count(" ") < PIECE:
+        simple = plain(s)
+        if s.count(" ") < PIECE and simple:
             if s:
                 out.append(s)
             continue
-        words, begin = WORDS.findall(s), 0
+        words, begin = units(s), 0
+        if len(words) <= PIECE:
+            out.append(s)
+            continue
         for k, w in enumerate(words, 1):
-            if k - begin >= LEAST and (k - begin == MOST or crc32(w.rstrip().encode()) % CUT == 0):
+            if k - begin >= LEAST and (k - begin == MOST or crc32((w if simple else "".join(words[max(0, k - 2) : k])).rstrip().encode()) % CUT == 0):
                 out.append("".join(words[begin:k]))
                 begin = k
         if begin < len(words):
@@ -55,12 +88,34 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def reaches(words: list[float], run: int, min_words: int) -> list[tuple[int, int] | None]:
+    """For each start, the sentences (from, to) of its run: `run` of them, and as many that follow as min_words needs; near the end of the text, where they run out, those before. None: the text is too short."""
+    n, sums, out, to = len(words), [0, *accumulate(words)], [], 0
+    for i in range(n - run + 1):
+        to = max(to, i + run)
+        while to < n and sums[to] - sums[i] < min_words:
+            to += 1
+        if sums[to] - sums[i] >= min_words:
+            out.append((i, to))
+            continue
+        begin, end = i, i + run
+        while begin and sums[end] - sums[begin] < min_words:
+            begin -= 1
+        out.append((begin, end) if sums[end] - sums[begin] >= min_words else None)
+    return out
+
+
+def measured(parts: list[str]) -> tuple[list[str], list[float]]:
+    keys = [" ".join(s.lower().split()) for s in parts]
+    return keys, [n_words(k) for k in keys]
+
+
 def run_hashes(text: str | None, run: int, min_words: int) -> list[bytes | None]:
-    """A digest for each run of sentences, by its first sentence; None where it has too few words."""
-    keys = [" ".join(s.lower().split()) for s in sentences(text or "")]
-    words = [k.count(" ") + 1 if k else 0 for k in keys]
+    """A digest for each run of sentences, by its first sentence; None where the text has too few words."""
+    keys, words = measured(sentences(text or ""))
     digests = [xxhash.xxh3_128_digest(k.encode()) for k in keys]
-    return [xxhash.xxh3_128_digest(b"".join(digests[i : i + run])) if sum(words[i : i + run]) >= min_words else None for i in range(len(keys) - run + 1)]
+    # a run that goes backwards has its own kind of digest: another start of the text may reach over the same sentences
+    return [r and xxhash.xxh3_128_digest(b"".join([*digests[r[0] : r[1]], b"<" * (r[0] < i)])) for i, r in enumerate(reaches(words, run, min_words))]
 
 
 def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +166,8 @@ def dedup_substrings(docs: DataFrame, run: int = 3, min_words: int = 10, id_col:
                     rows.append((None, 0, 0, 0))
                     continue
                 parts = sentences(x)
-                gone = set() if at is None else {k for i in at for k in range(int(i), int(i) + run)}
+                reach = [] if at is None else reaches(measured(parts)[1], run, min_words)
+                gone = set() if at is None else {k for i in at for k in range(*reach[int(i)])}
                 kept = [s for k, s in enumerate(parts) if k not in gone]
                 rows.append((x if not gone else "".join(kept), len(parts), len(gone), sum(len(parts[k].split()) for k in gone)))
             yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed_words"])

@@ -382,3 +382,15 @@ def test_toxicity_edges(spark, corpus):
     lambda d, s: toxicity.score(d.drop("score"), toxicity.Model(None, -800.0))])
 def test_empty_tables(spark, make):
     assert make(docs(spark, []), spark).count() == 0
+
+
+def test_substring_dedup_short_sentences(spark):
+    """A repeated stretch of short sentences goes whole; so does one of text without spaces."""
+    rng = random.Random(6)
+    short = "".join(f"w{rng.randrange(9000)}! " for _ in range(60))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))
+    rows = [(1, prose(rng, 40) + "\n" + short + "\n" + prose(rng, 40)), (2, prose(rng, 40) + "\n" + short + "\n" + prose(rng, 40)), (3, short), (4, han), (5, "x" + han + "y"), (6, "Ja! Ja! Nein! "), (7, "Ja! Ja! Nein! ")]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs(spark, rows)).collect()}
+    assert [got[k]["n_removed"] for k in (1, 4, 6, 7)] == [0, 0, 0, 0]
+    assert got[2]["removed_words"] == 60 and not set(short.split()) & set(got[2]["text"].split())
+    assert got[3]["text"] == "" and len(got[5]["text"]) < 60
