@@ -147,7 +147,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = shards.ShardSet(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     for wave in range(3):
-        kept.append(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == wave))
+        kept.append(docs.where(F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(3)) == wave))
         kept.compact()
     return kept.read(docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 

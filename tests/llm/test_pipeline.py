@@ -102,3 +102,10 @@ def test_near_dedup_null_and_repeated_ids(spark, sf_dir):
     want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (3, texts[4]), (8, texts[5]), (9, "")]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sharding_keeps_null_ids(spark, tmp_path):
+    rows = [(None, "no id"), (None, "none either"), (1, "one"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op5_sharding"](spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in got) == sorted((str(i), t and len(t)) for i, t in rows)
