@@ -40,7 +40,7 @@ LETTERS = re.compile(rf"[{LETTER}]")
 #: A word of more characters than this counts by its characters.
 LONG = 40
 #: A piece has so many words at least and at most; between them one word in CUT ends it.
-LEAST, MOST, CUT = 4, 24, 8
+LEAST, MOST, CUT = 2, 8, 3
 
 
 def plain(s: str) -> bool:
@@ -71,16 +71,16 @@ def sentences(text: str) -> list[str]:
     out = []
     for s in SENTENCE.findall(text):
         simple = plain(s)
-        if s.count(" ") < PIECE and simple:
+        if simple and s.rstrip().count(" ") < PIECE:
             if s:
                 out.append(s)
             continue
         words, begin = units(s), 0
-        if len(words) <= PIECE:
+        if len(words) <= PIECE or not s.strip():
             out.append(s)
             continue
         for k, w in enumerate(words, 1):
-            if k - begin >= LEAST and (k - begin == MOST or crc32((w if simple else "".join(words[max(0, k - 2) : k])).rstrip().encode()) % CUT == 0):
+            if k - begin >= LEAST and (k - begin == MOST or crc32((w if simple else "".join(words[max(0, k - 2) : k])).rstrip().lower().encode()) % CUT == 0):
                 out.append("".join(words[begin:k]))
                 begin = k
         if begin < len(words):

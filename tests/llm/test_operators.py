@@ -394,3 +394,22 @@ def test_substring_dedup_short_sentences(spark):
     assert [got[k]["n_removed"] for k in (1, 4, 6, 7)] == [0, 0, 0, 0]
     assert got[2]["removed_words"] == 60 and not set(short.split()) & set(got[2]["text"].split())
     assert got[3]["text"] == "" and len(got[5]["text"]) < 60
+
+
+def test_substring_dedup_51_words_unpunctuated(spark):
+    """A passage of 51 words at any place of unpunctuated text is found, but for its ends."""
+    rng, rows, passages = random.Random(8), [], []
+    word = lambda n: " ".join(f"w{rng.randrange(90000)}" for _ in range(n))
+    for k in range(100):
+        passages.append(word(51))
+        rows += [(k, word(rng.randrange(30, 90)) + " " + passages[k] + " " + word(40)), (1000 + k, word(rng.randrange(30, 90)) + " " + passages[k] + " " + word(40))]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs(spark, rows)).collect()}
+    removed = [got[1000 + k]["removed_words"] for k in range(100)]
+    assert min(removed) > 0 and sum(removed) > 0.75 * 51 * 100
+    assert max(removed) <= 51 and all(got[k]["n_removed"] == 0 for k in range(100))
+
+
+def test_sentences_stand_alone():
+    """A sentence is cut the same before a blank, before a newline and at the end of the text."""
+    s = " ".join(f"w{k}" for k in range(15)) + " w15."
+    assert {substring_dedup.sentences(s + end)[0].strip() for end in ("", " ", "\n", " Next one.")} == {s}
