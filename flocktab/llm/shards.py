@@ -107,7 +107,7 @@ class ShardSet:
         try:  # Spark packs files, largest first, into partitions of this size; each becomes one file
             for k, v in conf.items():
                 self.spark.conf.set(k, v)
-            self.spark.read.parquet(*paths).write.parquet(folder)
+            self.spark.read.option("mergeSchema", "true").parquet(*paths).write.parquet(folder)
         finally:
             for k, v in was.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
@@ -116,5 +116,5 @@ class ShardSet:
     def read(self, schema=None, version: int | None = None) -> DataFrame:
         paths = [x["path"] for x in self.manifest(version)]
         if paths:
-            return self.spark.read.parquet(*paths)
+            return self.spark.read.option("mergeSchema", "true").parquet(*paths)
         return self.spark.createDataFrame([], schema)

@@ -413,3 +413,12 @@ def test_sentences_stand_alone():
     """A sentence is cut the same before a blank, before a newline and at the end of the text."""
     s = " ".join(f"w{k}" for k in range(15)) + " w15."
     assert {substring_dedup.sentences(s + end)[0].strip() for end in ("", " ", "\n", " Next one.")} == {s}
+
+
+def test_shards_keep_later_columns(spark, tmp_path):
+    kept = shards.ShardSet(spark, str(tmp_path / uuid.uuid4().hex), shard_rows=5, base_bytes=1 << 20, fanout=2)
+    kept.append(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1))
+    kept.append(spark.createDataFrame([(2, "b", 7)], "doc_id long, text string, more long").coalesce(1))
+    assert sorted(map(tuple, kept.read().select("doc_id", "more").collect())) == [(1, None), (2, 7)]
+    kept.compact()
+    assert len(kept.manifest()) == 1 and sorted(map(tuple, kept.read().select("doc_id", "more").collect())) == [(1, None), (2, 7)]
