@@ -1,18 +1,23 @@
 """Substring dedup: remove sentences that a repeated run of sentences covers, all but the run's first occurrence.
 
 Method: a text is cut into sentences, and a sentence of more than PIECE words into pieces that end at words chosen by
-their hash, so that a long sentence is a run as well and its pieces are the same wherever the same words stand. Every run of `run` consecutive sentences is hashed to 128 bits, with as many sentences that follow as it needs
-to have `min_words` words. Hashes are joined globally: the first occurrence of each repeated hash, by document and position, comes from
-an aggregation that combines before it shuffles, so a hash that a third of all rows share costs one row a task; the
-runs are then joined with these (one row a hash, so nothing is multiplied, and a skewed hash can be split) and all but
-the first are marked. The marked positions, not texts, go back to the documents, which drop the sentences they cover.
-
-Texts are cut twice, once to hash and once to drop, in pandas functions over Arrow batches; no text is shuffled but for
-the final join with the marks.
-
-Defined results. Null text stays null and has no sentence. Rows that repeat an id with the same text are one document
-and are treated alike; with different texts they are two, ordered by the text's hash. A null id sorts last. Other
-columns stay as they are.
+their hash, so that a long sentence is a run as well and its pieces are the same wherever the same words stand. Every run
+of `run` consecutive sentences is hashed to 128 bits, with as many sentences that follow as it needs to have `min_words`
+words. A text of fewer sentences or words than that is one run as a whole if it has WHOLE words, and meets only texts
+that are such runs too. Hashes are joined globally, in one shuffle, and all but a hash's first occurrence, by document
+and position, are marked. The task that hashes settles what it can: of the runs of one hash among CHUNK runs only the
+first can be the first of all, so the others are marked at once and travel under keys of their own; a hash that a third
+of all rows share costs one row a chunk. The marked positions, not texts, go back to the documents, which drop the
+sentences they cover.
+
+Texts are cut twice, once to hash and once to drop, over Arrow batches; no text is shuffled but for the final join with
+the marks.
+
+Defined results. Null text stays null and has no sentence; an empty text stays empty. A text of fewer than WHOLE words is
+never touched. Rows that repeat an id with the same text are one document and are treated alike; with different texts
+they are two, ordered by the text's hash. A null id sorts last. A very long text is cut in one piece: its task holds it
+and its runs. An empty table gives an empty table. Other columns stay as they are, but for columns of docs named
+n_sentences, n_removed or removed_words, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\s]*|$)")
 PIECE = 16
@@ -41,6 +48,10 @@ LETTERS = re.compile(rf"[{LETTER}]")
 LONG = 40
 #: A piece has so many words at least and at most; between them one word in CUT ends it.
 LEAST, MOST, CUT = 2, 8, 3
+#: Words from which a text too short for a run is one run as a whole.
+WHOLE = 10
+#: Runs that a task settles among themselves before it passes them on.
+CHUNK = 1 << 19
 
 
 def plain(s: str) -> bool:
@@ -88,9 +99,16 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def is_whole(words: list[float], run: int, min_words: int) -> bool:
+    """Whether a text of such sentences is too short for a run."""
+    return len(words) < run or sum(words) < min_words
+
+
 def reaches(words: list[float], run: int, min_words: int) -> list[tuple[int, int] | None]:
-    """For each start, the sentences (from, to) of its run: `run` of them, and as many that follow as min_words needs; near the end of the text, where they run out, those before. None: the text is too short."""
+    """For each start, the sentences (from, to) of its run: `run` of them, and as many that follow as min_words needs; near the end of the text, where they run out, those before. None: no run starts here."""
     n, sums, out, to = len(words), [0, *accumulate(words)], [], 0
+    if is_whole(words, run, min_words):
+        return [(0, n)] if n and sums[n] >= WHOLE else []
     for i in range(n - run + 1):
         to = max(to, i + run)
         while to < n and sums[to] - sums[i] < min_words:
@@ -110,46 +128,67 @@ def measured(parts: list[str]) -> tuple[list[str], list[float]]:
     return keys, [n_words(k) for k in keys]
 
 
-def run_hashes(text: str | None, run: int, min_words: int) -> list[bytes | None]:
-    """A digest for each run of sentences, by its first sentence; None where the text has too few words."""
+def run_hashes(text: str | None, run: int, min_words: int) -> list[tuple[int, bytes]]:
+    """(first sentence, digest) of each run."""
     keys, words = measured(sentences(text or ""))
     digests = [xxhash.xxh3_128_digest(k.encode()) for k in keys]
     # a run that goes backwards has its own kind of digest: another start of the text may reach over the same sentences
-    return [r and xxhash.xxh3_128_digest(b"".join([*digests[r[0] : r[1]], b"<" * (r[0] < i)])) for i, r in enumerate(reaches(words, run, min_words))]
-
-
-def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    kind = (b"=", b"=") if is_whole(words, run, min_words) else (b"", b"<")
+    return [(i, xxhash.xxh3_128_digest(b"".join([*digests[r[0] : r[1]], kind[r[0] < i]]))) for i, r in enumerate(reaches(words, run, min_words)) if r]
+
+
+def settle(runs: pa.Table) -> pa.Table:
+    """runs(h1, h2, id, text_hash, at) with settled: there is an earlier one of its hash here. Those that are settled get keys of their own; repeats of a row go."""
+    h1 = runs["h1"].to_numpy()
+    order = np.argsort(h1, kind="stable")
+    same = h1[order[1:]] == h1[order[:-1]]
+    shared = np.zeros(len(h1), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    alone = runs.filter(pa.array(~shared)).append_column("settled", pa.array(np.zeros(int((~shared).sum()), bool)))
+    some = runs.filter(pa.array(shared))
+    if not len(some):
+        return alone
+    some = some.take(pc.sort_indices(some, [(c, "ascending") for c in ("h1", "h2", "id", "text_hash", "at")], null_placement="at_end"))
+    ids = pc.dictionary_encode(some["id"].combine_chunks(), null_encoding="encode").indices.to_numpy()
+    keys = [some[c].to_numpy() for c in ("h1", "h2", "text_hash", "at")]
+    again = [np.concatenate([[False], k[1:] == k[:-1]]) for k in [*keys, ids]]
+    settled, repeat = again[0] & again[1], np.logical_and.reduce(again)
+    own = (keys[2] ^ (keys[3].astype(np.int64) * -7046029254386353131)).astype(np.int64)
+    some = some.set_column(0, "h1", pa.array(np.where(settled, own, keys[0]))).set_column(1, "h2", pa.array(np.where(settled, 0, keys[1])))
+    return pa.concat_tables([alone, some.append_column("settled", pa.array(settled)).filter(pa.array(~repeat))])
+
+
+def repeated_runs(docs: DataFrame, run: int = 3, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, starts): the first sentences, from 0, of the runs that are not the first of their kind."""
-
     small_batches(docs.sparkSession)
-
-    @F.pandas_udf(T.StructType([T.StructField("h1", T.ArrayType(T.LongType())), T.StructField("h2", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))]))
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for x in texts:
-                runs = run_hashes(x, run, min_words)
-                at = [i for i, h in enumerate(runs) if h is not None]
-                both = np.frombuffer(b"".join(runs[i] for i in at), "<i8").reshape(-1, 2)
-                rows.append((both[:, 0].copy(), both[:, 1].copy(), np.array(at, np.int32)))
-            yield pd.DataFrame(rows, columns=["h1", "h2", "at"])
-
-    # kept once: the aggregation and the join both read it
-    own = cut(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), hashed(F.col(text_col)).alias("r")))
-    runs = own.select("id", "text_hash", F.explode(F.arrays_zip("r.h1", "r.h2", "r.at")).alias("x")).select("id", "text_hash", "x.*")
-    repeated = runs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    found = runs.join(repeated.hint("shuffle_hash"), ["h1", "h2"])
-    # All but the first document's rows are later ones and stand apart, each alone; within the first document the run may
-    # occur several times (a repeated row shares its rank), a group no larger than the document. Dealt out anew, so that
-    # Spark may split a skewed partition of the join.
-    apart = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.xxhash64("id", "text_hash", "at"))
-    place = Window.partitionBy("h1", "h2", "apart").orderBy("text_hash", "at")
-    ranked = found.withColumn("apart", apart).repartition("h1", "h2", "apart").withColumn("k", F.dense_rank().over(place))
-    later = ranked.where(F.col("apart").isNotNull() | (F.col("k") > 1))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            rows, starts, digests = [], [], []
+            for k, x in enumerate(batch.column("text")):
+                for at, digest in run_hashes(x.as_py(), run, min_words):
+                    rows.append(k)
+                    starts.append(at)
+                    digests.append(digest)
+            both, rows = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), pa.array(rows, pa.int64())
+            held.append(pa.table({"h1": both[:, 0].copy(), "h2": both[:, 1].copy(), "id": batch.column("id").take(rows), "text_hash": batch.column("text_hash").take(rows), "at": pa.array(starts, pa.int32())}))
+            n += len(starts)
+            if n >= CHUNK:
+                yield from settle(pa.concat_tables(held)).to_batches(max_chunksize=1 << 16)
+                held, n = [], 0
+        if n:
+            yield from settle(pa.concat_tables(held)).to_batches(max_chunksize=1 << 16)
+
+    runs = texts.mapInArrow(hashed, f"h1 bigint, h2 bigint, id {kind}, text_hash bigint, at int, settled boolean")
+    place = Window.partitionBy("h1", "h2", "settled").orderBy(F.col("id").asc_nulls_last(), "text_hash", "at")
+    later = runs.withColumn("k", F.dense_rank().over(place)).where(F.col("settled") | (F.col("k") > 1))  # a repeated row shares its rank
     return later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("starts"))
 
 
-def dedup_substrings(docs: DataFrame, run: int = 3, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, run: int = 3, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text less the covered sentences, and n_sentences, n_removed and removed_words."""
     marks = repeated_runs(docs, run, min_words, id_col, text_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
     held = docs.withColumn("__hash_of", F.xxhash64(text_col))

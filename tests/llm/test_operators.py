@@ -43,19 +43,24 @@ def corpus():
     return rows + [rows[3], rows[3], (85, "another row\n" + shared)]  # repeated rows, and one id with two texts
 
 
-def test_line_dedup(spark, corpus):
-    got = line_dedup.dedup_lines(docs(spark, corpus)).select("doc_id", "text", "n_lines", "n_dropped", "key").collect()
+def brute_lines(rows):
+    """(id, text left, lines, lines dropped) for each row."""
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate({i: i + 32 for i in range(65, 91)})
-    seen = {}
-    for i, t in corpus:
+    seen, out = {}, []
+    for i, t in rows:
         for x in (t or "").split("\n"):
             if len(key(x)) >= 20:
                 seen.setdefault(key(x), set()).add(-1 if i is None else i)
-    want = []
-    for i, t in corpus:
+    for i, t in rows:
         own = (t or "").split("\n")
         kept = [x for x in own if len(seen.get(key(x), ())) < 3 or max(seen[key(x)]) == (-1 if i is None else i)]
-        want.append((str(i), "\n".join(kept), len(own), len(own) - len(kept), "k"))
+        out.append((i, "\n".join(kept), len(own), len(own) - len(kept)))
+    return out
+
+
+def test_line_dedup(spark, corpus):
+    got = line_dedup.dedup_lines(docs(spark, corpus)).select("doc_id", "text", "n_lines", "n_dropped", "key").collect()
+    want = [(str(r[0]), *r[1:], "k") for r in brute_lines(corpus)]
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert sum(w[3] for w in want) >= 6
 
@@ -83,13 +88,24 @@ def test_quality(spark, corpus):
     assert all(not r["kept"] for r in got if r["base_failed"]) and any(r["kept"] for r in got)
 
 
+def test_quality_order_heeds_costs(spark, corpus):
+    """Of two rules that reject alike the quicker goes first; what it rejects counts no more for the other."""
+    short = lambda text, words, m: m["n_words"] < 100
+    slow = lambda text, words, m: (F.length(F.regexp_replace(F.repeat(text, 40), "[0-9]+w", "")) > 0) & (m["n_words"] < 100)
+    other = lambda text, words, m: m["n_words"] > 250
+    frame = docs(spark, [r for r in corpus if len(r[1] or "") < 3000])
+    order = quality.order_rules(frame, {"slow": slow, "other": other, "short": short})
+    assert sorted(order) == ["other", "short", "slow"] and order[-1] == "slow"
+    assert quality.order_rules(frame.limit(0), {"slow": slow, "short": short}) == ["slow", "short"]
+
+
 def test_quality_order_changes_nothing(spark, corpus):
     names = list(quality.RULES)
     a = quality.judge(docs(spark, corpus), order=names).select("doc_id", "quality.kept")
     b = quality.judge(docs(spark, corpus), order=names[::-1]).select("doc_id", "quality.kept")
     assert a.exceptAll(b).isEmpty()
     junk = docs(spark, [(1, " ".join(f"ABC{chr(65 + i)}XYZ" for i in range(26))), (2, " ".join(f"ab{i}! !" for i in range(30)))])
-    assert {r[0] for r in quality.judge(junk).select("quality.rejected_by").collect()} == {"shouting", "exclaiming"}
+    assert {r[0] for r in quality.judge(junk, order=names).select("quality.rejected_by").collect()} == {"shouting", "exclaiming"}
 
 
 def _decontaminated(rows, items):
@@ -116,7 +132,8 @@ def test_decontamination(spark, corpus, max_broadcast):
     items = [(1, corpus[20][1][:300]), (2, "W1, w2 w3"), (3, None), (4, "..."), (5, corpus[82][1].split("\n")[2]), (5, corpus[82][1].split("\n")[2])]
     rows = [*corpus, (200, "x w1 W2-w3 y"), (201, "tail w1 w2")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.find_hits(docs(spark, rows), bench, max_broadcast=max_broadcast)
+    rows += [rows[3], (None, "w1 w2 w3"), (None, "w1 w2 w3"), (None, None), (202, "w1 w2 w3 w2 w1 w2 w3")]
+    got = decontaminate.find_hits(docs(spark, rows).repartition(3), bench, max_broadcast=max_broadcast)
     assert sorted((str(r["doc_id"]), r["n_words"], list(r["hits"]), sorted(r["items"])) for r in got.select("__doc.doc_id", "n_words", "hits", "items").collect()) == _decontaminated(rows, items)
 
 
@@ -126,6 +143,7 @@ def test_decontamination_removes(spark):
     left = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(d, bench, remove="spans").collect()}
     assert left == {1: "a! b", 2: "clean one", 3: None}
     assert {r["doc_id"] for r in decontaminate.decontaminate(d, bench).collect()} == {2, 3}
+    assert decontaminate.decontaminate(d.limit(0), bench).count() == 0
     none = decontaminate.decontaminate(d, bench.limit(0))
     assert none.count() == 3 and none.columns == d.columns
 
@@ -230,31 +248,50 @@ def test_perfect_hash():
     assert h.get(b"none") == -1 and bpe.PerfectHash({}).get(b"x") == -1
 
 
-def brute_substring(rows, run=3, min_words=10):
-    first, marks = {}, {}
-    order = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+def brute_substring(rows, run=3, min_words=20, whole=10):
+    """For texts of plain sentences of at most 16 words: runs as strings, compared by looking through all that came before."""
+    cut = lambda t: re.findall(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$", t)
+    order = sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is None, r[0] or 0, int(np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).astype(np.int64))))
+    seen, gone = set(), {}
     for i, t in order:
-        for at, h in enumerate(substring_dedup.run_hashes(t, run, min_words)):
-            if h is None:
-                continue
-            if h in first and first[h] != (i, t, at):
-                marks.setdefault((i, t), set()).add(at)
-            first.setdefault(h, (i, t, at))
-    out = []
-    for i, t in rows:
-        if t is None:
-            out.append((str(i), None))
-            continue
-        gone = {k for a in marks.get((i, t), ()) for k in range(a, a + run)}
-        out.append((str(i), "".join(s for k, s in enumerate(substring_dedup.sentences(t)) if k not in gone)))
-    return sorted(out, key=str)
-
-
-def test_substring_dedup(spark, corpus):
-    rows = [r for r in corpus if r != (85, corpus[-1][1])]
-    got = substring_dedup.dedup_substrings(docs(spark, rows))
-    assert sorted(((str(r["doc_id"]), r["text"]) for r in got.collect()), key=str) == brute_substring(rows)
-    assert got.where("removed_words > 50").count() >= 5 and "key" in got.columns
+        own = [" ".join(x.lower().split()) for x in cut(t)]
+        count = [len(x.split()) for x in own]
+        spans = []
+        if len(own) < run or sum(count) < min_words:
+            spans = [(0, len(own), "whole")] if sum(count) >= whole else []
+        else:
+            for k in range(len(own) - run + 1):
+                fits = [e for e in range(k + run, len(own) + 1) if sum(count[k:e]) >= min_words]
+                back = [j for j in range(k, -1, -1) if sum(count[j : k + run]) >= min_words]
+                spans += [(k, fits[0], "")] if fits else [(back[0], k + run, "back")] if back else []
+        keys = [(kind, tuple(own[x:y])) for x, y, kind in spans]
+        gone[i, t] = set()
+        for key, (x, y, _) in zip(keys, spans, strict=True):
+            if key in seen:
+                gone[i, t] |= set(range(x, y))
+            seen.add(key)
+    return sorted(((str(i), t and "".join(s for k, s in enumerate(cut(t)) if k not in gone[i, t])) for i, t in rows), key=str)
+
+
+def plain_prose(rng, n):
+    return "".join(" ".join(f"v{rng.randrange(5000)}" for _ in range(rng.randrange(1, 14))) + rng.choice([". ", "! ", "\n", "?\n\n"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 7])
+def test_substring_dedup(spark, chunk, monkeypatch):
+    """Against strings; with chunks so small that a run is settled in several."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    rng = random.Random(9)
+    shared, short = plain_prose(rng, 9), "one two three four five six seven eight nine ten eleven"
+    rows = [(k, plain_prose(rng, rng.randrange(1, 12))) for k in range(40)]
+    rows += [(50 + k, plain_prose(rng, 3) + shared + plain_prose(rng, 2)) for k in range(12)] + [(70, shared + shared), (71, shared.upper())]
+    rows += [rows[3], rows[45], (45, rows[3][1]), (46, short), (47, short), (47, plain_prose(rng, 5) + shared), (47, plain_prose(rng, 4) + shared), (48, "Ja! Ja!"), (49, "Ja! Ja!")]
+    rows += [(None, None), (None, shared), (None, plain_prose(rng, 4) + shared), (80, ""), (81, None), (82, " \n "), (83, plain_prose(rng, 250))]
+    got = substring_dedup.dedup_substrings(docs(spark, rows).repartition(3))
+    found = got.collect()
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in found), key=str) == brute_substring(rows)
+    assert sum(r["removed_words"] > 50 for r in found) >= 12 and "key" in got.columns
+    assert {r["text"] for r in found if r["doc_id"] in (46, 48, 49)} == {short, "Ja! Ja!"} and "" in {r["text"] for r in found if r["doc_id"] == 47 or r["doc_id"] == 45}
 
 
 def test_sentences_are_lossless(corpus):
@@ -289,6 +326,42 @@ def test_url_filter(spark):
         assert r["verdict"] == (RULES[r["rule"]] if r["rule"] else "block" if r["blocked"] >= 0.5 else "allow")
 
 
+def test_url_filter_clashing_and_empty(spark):
+    """Columns that have the names of new ones are replaced; an empty table stays empty."""
+    pages = spark.createDataFrame([(1, "http://x.com/de/", "p", "q", "r", "s", "t", 7)], "page_id long, url string, host string, path string, rule string, verdict string, blocked string, more int")
+    model = url_filter.train(spark.createDataFrame([("a", "/x", 1), ("b", "/y", 0)], "host string, path string, block int"))
+    r = url_filter.judge(pages, RULES, model).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"], r["more"]) == ("x.com", "/de/", "com/de/", "block", 7) and 0 <= r["blocked"] <= 1
+    assert url_filter.judge(pages.limit(0), RULES, model).count() == 0
+
+
+def test_url_model_is_a_logistic_regression(spark):
+    """n-grams against a plain version; the probability is the sigmoid of their sum; at the optimum the penalised loss is flat."""
+    from pyspark.ml.feature import HashingTF
+
+    rng = random.Random(3)
+    rows = [(f"{rng.choice(['shop', 'news', 'win'])}{rng.randrange(9)}.{rng.choice(['net', 'org'])}", f"/{rng.choice(['a', 'buy', 'x1'])}/{rng.randrange(30)}") for _ in range(60)]
+    rows = [(h, p, int("win" in h or "buy" in p)) for h, p in sorted(set(rows))]
+    frame = spark.createDataFrame(rows, "host string, path string, block int")
+    model = url_filter.train(frame)
+
+    def grams(h, p):
+        return {m + f"^{t}$"[i : i + n] for t, m in ((h, "h"), (p, "p")) for n in (3, 4) for i in range(max(1, len(t) + 2 - n + 1))}
+
+    made = frame.select("host", "path", url_filter._grams(F.col("host"), F.col("path")).alias("g")).collect()
+    assert all(set(r["g"]) == grams(r["host"], r["path"]) for r in made)
+    index = HashingTF(numFeatures=url_filter.FEATURES).indexOf
+    x = np.zeros((len(rows), url_filter.FEATURES))
+    for k, (h, p, _) in enumerate(rows):
+        x[k, [index(g) for g in grams(h, p)]] = 1
+    w, b, y = model.fitted.coefficients.toArray(), model.fitted.intercept, np.array([r[2] for r in rows])
+    prob = 1 / (1 + np.exp(-(x @ w + b)))
+    got = {(r["host"], r["path"]): r["blocked"] for r in model.add(frame).collect()}
+    assert max(abs(got[h, p] - prob[k]) for k, (h, p, _) in enumerate(rows)) < 1e-9
+    flat = x.T @ (prob - y) / len(y) + 0.01 * x.var(0, ddof=1) * w  # the penalty is on coefficients of features of variance 1
+    assert np.abs(flat).max() < 2e-3 and abs((prob - y).mean()) < 2e-3 and ((prob > 0.5) == y).mean() > 0.95
+
+
 def test_url_model_generalises(spark):
     ok, bad = [("good.net", f"/news/article-{k}", 0) for k in range(40)], [("casino.net", f"/win/bonus-{k}", 1) for k in range(40)]
     model = url_filter.train(spark.createDataFrame(ok + bad, "host string, path string, block int"))
@@ -310,17 +383,38 @@ def test_warc(spark, tmp_path):
     assert sorted(map(str, want)) == sorted(str((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got)
     keys = [(r["url_key"], r["ts"]) for r in got]
     assert keys == sorted(keys)
-    assert warc.histories(warc.merge(warc.read(spark, str(tmp_path / "w")))).agg(F.max("nth")).first()[0] >= 3
+    seen = {}
+    for r in got:
+        seen[r["url_key"]] = seen.get(r["url_key"], 0) + 1
+        assert r["nth"] == seen[r["url_key"]]
+    assert max(seen.values()) >= 3
 
 
 def test_warc_ranges(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://h{k % 3}.org/{k % 7}", "b" * (k % 50)) for k in range(600)], "page_id long, url string, html string").repartition(5)
     warc.write(pages, str(tmp_path / "w"), per_file=50, compression="none")
-    got = warc.merge(warc.read(spark, str(tmp_path / "w")), range_rows=70).orderBy("range", "pos").collect()
-    keys = [(r["url_key"], r["ts"], r["page_id"]) for r in got]
+    got = warc.histories(warc.merge(warc.read(spark, str(tmp_path / "w")), range_rows=20)).orderBy("range", "pos").collect()
+    keys, seen = [(r["url_key"], r["ts"], r["page_id"]) for r in got], {}
+    for r in got:  # keys go on over several ranges
+        seen[r["url_key"]] = seen.get(r["url_key"], 0) + 1
+        assert r["nth"] == seen[r["url_key"]]
     assert len(got) == 600 and keys == sorted(keys) and len({r["range"] for r in got}) > 3
 
 
+def test_warc_dates_are_utc(spark, tmp_path):
+    """Whatever the session's time zone, also where its clock goes back."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    pages = spark.createDataFrame([(k * 1800 + 26_000_000, "http://a.org/", "x") for k in range(40)] + [(-5, "u", None), (2**62, "u", "y")], "page_id long, url string, html string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = warc.round_trip(pages, str(tmp_path / "w")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    import datetime
+
+    assert {r["page_id"]: r["ts"] for r in got} == {i: datetime.datetime.fromtimestamp(warc.EPOCH + i % 2**36, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for i in (r["page_id"] for r in pages.collect())}
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
@@ -365,6 +459,63 @@ def test_toxicity_held_out(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows[:50])
 
 
+def loop_loss(vectors, soft, bias, bags, y, rows_of):
+    """Loss of bags of words, one number after another."""
+    total = 0.0
+    for words, label in zip(bags, y, strict=True):
+        mean = [0.0] * vectors.shape[1]
+        for w in words:
+            for r in rows_of[w]:
+                for d in range(len(mean)):
+                    mean[d] += vectors[r, d] / len(rows_of[w]) / len(words)
+        z = [sum(mean[d] * soft[d, c] for d in range(len(mean))) + bias[c] for c in (0, 1)]
+        total -= z[label] - np.log(sum(np.exp(z)))
+    return total / len(bags)
+
+
+def test_toxicity_gradients():
+    """Loss against a plain loop, derivatives against differences of it."""
+    rng = np.random.default_rng(4)
+    vectors, soft, bias = rng.normal(size=(30, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    rows_of = [rng.integers(0, 30, n) for n in (1, 4, 3, 6, 2)]  # rows may repeat within a word
+    bags, y = [np.array(b) for b in ([0, 1, 1], [4], [2, 3, 0, 4], [3, 3])], np.array([0, 1, 1, 0])
+    loss, *made = toxicity.gradients(vectors, soft, bias, bags, y, rows_of)
+    assert abs(loss - loop_loss(vectors, soft, bias, bags, y, rows_of)) < 1e-12
+    for k, value in enumerate((vectors, soft, bias)):
+        for at in np.ndindex(value.shape):
+            was, step = value[at], 1e-6
+            value[at] = was + step
+            up = loop_loss(vectors, soft, bias, bags, y, rows_of)
+            value[at] = was - step
+            down = loop_loss(vectors, soft, bias, bags, y, rows_of)
+            value[at] = was
+            assert abs(made[k][at] - (up - down) / (2 * step)) < 1e-6
+
+
+def test_toxicity_score_is_the_softmax():
+    """A fitted model's score is the softmax of the average over the highest stretch."""
+    model = toxicity.Model(np.random.default_rng(5).normal(size=toxicity.ROWS).tolist(), 0.25)
+    words = [f"Wort{k}" for k in range(19)]
+    part = {w: np.mean([model.weight[r] for r in toxicity.features(w.lower())]) for w in words}
+    best = max(np.mean([part[w] for w in words[k : k + 8]]) for k in (0, 8, 16))
+    assert abs(model.score(" ".join(words)) - 1 / (1 + np.exp(-0.25 - best))) < 1e-12 and abs(model.score(None) - 1 / (1 + np.exp(-0.25))) < 1e-12
+
+
+def test_toxicity_trains_alike_and_keeps_rows(spark, tmp_path):
+    """Repeated ids with several texts and labels, null ids, and bounds that bite: two runs train the same model."""
+    rng = random.Random(6)
+    rows = [(k % 40, prose(rng, 15) + (" vile scum" if k % 3 == 0 else "")) for k in range(120)] + [(None, "x"), (None, None), (3, "")]
+    labels = [(k, int(k % 3 == 0)) for k in range(40)] + [(5, 1), (5, 0), (None, 1)]
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    a = toxicity.train(frame.repartition(3), marks, max_rows=30)
+    b = toxicity.train(frame.repartition(5).orderBy("text"), marks.repartition(4), max_rows=30)
+    assert a.bias == b.bias and a.weight == b.weight
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
 def test_toxicity_edges(spark, corpus):
     bad = [("you utter idiot and moron " + prose(random.Random(k), 20), 1) for k in range(60)]
     good = [(prose(random.Random(k), 25), 0) for k in range(100, 200)]
