@@ -38,6 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, on: str, n: str = "n") -> DataFrame:
+    """Inner join of left with right, which has one row a key and in n how many rows of left have it, and is kept (cut).
+
+    Keys that more than a thousandth of all rows have are fewer than a thousand: they are broadcast, so that no task gets
+    all rows of one; the others are shuffled.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    heavy = F.broadcast(right.where(F.col(n) > total / 1000))
+    light = left.join(heavy.select(on), on, "left_anti").join(right.where(F.col(n) <= total / 1000), on)
+    return light.unionByName(left.join(heavy, on)).drop(n)
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a row: two rows have the same digest if all their columns are the same."""
+    parts = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    parts += [F.col(f"`{c}`").isNull() for c in df.columns]  # a null alone would leave the hash as it is
+    return F.struct(F.xxhash64(F.lit(0), *parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most this many rows for the session: texts can be long, and a worker holds a batch several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
