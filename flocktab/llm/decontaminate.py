@@ -4,10 +4,13 @@ Method: the normalised n-grams of the benchmark form a hash set that is broadcas
 token windows are hashed and looked up, and a hit is verified word for word. The n-grams are counted first: a set of
 more than `max_broadcast` n-grams is not broadcast but joined by a shuffle of the windows. An item with fewer words
 than `n` is one window of its own length. Hits are few, so only they and one row a document are shuffled; window rows
-without a hit end in the task that made them. Everything is DataFrame functions.
+without a hit end in the task that made them. On the shuffled way a window travels as its hash and place; its words stay
+with the document and verify the hits when they come back. Everything is DataFrame functions.
 
 Defined results. Null or empty text, in documents or items: no words, no hit. Null item ids take part as hits but are
-not listed. Repeated rows and null ids are judged row by row. Other columns stay as they are.
+not listed. Null ids are judged row by row; rows are told apart by a 128-bit digest of all their columns, rows that are
+the same in all of them are judged once and returned as often as they came. A very long text is scanned in its task. Empty tables:
+without documents no row, without items no hit. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, row_digest
 
 #: After A-Z are lower-cased: a-z, 0-9 and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,7 +42,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "t
     sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # n rows at most
     small = sum(sizes.values()) <= max_broadcast
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    rows = docs.select(F.struct(*kept).alias("__doc"), F.monotonically_increasing_id().alias("__row"), words_of(F.col(text_col)).alias("__w"))
+    rows = docs.select(F.struct(*kept).alias("__doc"), row_digest(docs).alias("__row"), words_of(F.col(text_col)).alias("__w"))
     size = F.size("__w")
     fits = lambda length: F.greatest(size - (length - 1), F.lit(0))
 
@@ -55,20 +58,21 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "t
         here = (F.col("__at") >= first) & (F.col("__at") < first + fits(k))
         length, start = F.when(here, k).otherwise(length), F.when(here, F.col("__at") - first).otherwise(start)
         first = first + fits(k)
-    own = F.when(F.col("__at") > 0, F.slice("__w", start + 1, length))
+    row = F.col("__at") == 0
+    hit = F.struct(start.alias("at"), length.alias("len"))
     if small:
         # the words ride along uncopied: codegen writes them only for the few windows that find a partner
-        found = scan.join(F.broadcast(grams), "h", "left").withColumn("__own", own)
+        found = scan.join(F.broadcast(grams), "h", "left").withColumn("__true", F.slice("__w", start + 1, length) == F.col("gram"))
+        made = found.where(row | F.col("__true")).select("__row", "__at", F.when(row, F.col("__doc")).alias("__doc"), F.when(row, size.cast("long")).alias("n_words"), F.when(~row, hit).alias("hit"), F.when(~row, F.col("items")).alias("items"))
     else:
-        # a window takes its own words along and leaves the text's behind
-        cut_out = scan.select("__row", F.when(F.col("__at") == 0, F.col("__doc")).alias("__doc"), "__at", "h", own.alias("__own"), start.alias("__start"), length.alias("__length"), F.when(F.col("__at") == 0, size).alias("__size"))
-        found, start, length, size = cut_out.join(grams, "h", "left"), F.col("__start"), F.col("__length"), F.col("__size")
-    own = F.col("__own") == F.col("gram")
-    found = found.where((F.col("__at") == 0) | F.coalesce(own, F.lit(False)))
-    row = F.col("__at") == 0
-    made = found.select("__row", F.when(row, F.col("__doc")).alias("__doc"), F.when(row, size.cast("long")).alias("n_words"),
-                        F.when(~row, F.struct(start.alias("at"), length.alias("len"))).alias("hit"), F.when(~row, F.col("items")).alias("items"))
-    by_row = made.groupBy("__row").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hit"), F.collect_set("items").alias("items"))
+        once = scan.select("__row", "__at", "h", F.when(row, F.col("__doc")).alias("__doc"), F.when(row, F.col("__w")).alias("__w"), F.when(row, size.cast("long")).alias("n_words"), F.when(~row, hit).alias("hit"))
+        made = once.join(grams, "h", "left").where(row | F.col("gram").isNotNull()).withColumn("items", F.when(~row, F.struct("hit", "gram", "items")))
+    by_row = made.groupBy("__row").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hit"), F.collect_set("items").alias("items"), F.count_if(row).cast("int").alias("__copies"),
+                                       *([] if small else [F.first("__w", ignorenulls=True).alias("__w")]))
+    if not small:
+        true = F.filter("items", lambda x: F.slice("__w", x["hit"]["at"] + 1, x["hit"]["len"]) == x["gram"])
+        by_row = by_row.withColumn("items", true).withColumn("hit", F.transform("items", lambda x: x["hit"])).withColumn("items", F.transform("items", lambda x: x["items"]))
+    by_row = by_row.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
     positions = F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
     return by_row.select("__doc", "n_words", F.sort_array(positions).alias("hits"), F.array_distinct(F.flatten("items")).alias("items"))
 
