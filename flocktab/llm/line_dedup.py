@@ -1,18 +1,20 @@
 """Line dedup: drop lines that many documents share, all but the ones in the last document that holds them.
 
 Method: the hashes of the lines are range-partitioned with a secondary sort by document and position, and one
-streaming pass over each partition ranks the occurrences of every hash. Only row_number-like window functions over
-sorted rows are used, so no group is ever held in memory. A hash that a third of all lines share would still fall to
-one task; each hash is therefore spread over `salts` slices of the documents. The pass over a slice settles every
-occurrence beyond the slice's first `min_docs` documents by itself; only the first `min_docs` documents of each slice
-go on to a second pass that ranks them across slices. Both passes together are exact.
+streaming pass over each partition ranks the occurrences of every hash. The hashes are uniform, so their range is cut
+evenly, without a look at the data. Only row_number-like window functions over sorted rows are used, so no group is
+ever held in memory. A hash that a third of all lines share would still fall to one task; each hash is therefore spread
+over `salts` slices of the documents. The pass over a slice settles every occurrence beyond the slice's first `min_docs`
+documents by itself; only the first `min_docs` documents of each slice go on to a second pass that ranks them across
+slices. Both passes together are exact.
 
 What the passes return is not text but, for each document that loses lines, a sparse bitmap: (word, bits) pairs, a set
 bit for a dropped line, words without a set bit left out. Everything here is DataFrame functions.
 
 Defined results. Null text: one empty line. A null id counts as one more document that sorts before all others. Rows
-that repeat an id are one document when documents are counted, and each row keeps its own lines. Columns of the input
-other than id and text are neither read nor returned.
+that repeat an id are one document when documents are counted, and each row keeps its own lines. A very long text or
+line is hashed within its task; only hashes leave it. An empty table gives an empty table. Other columns stay as they
+are, but for columns that have the names of the two counts, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, LOWER, UPPER
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, salts: int = 64) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, salts: int = 1024) -> DataFrame:
     """One row (id, text_hash, drops) for each document that loses lines; drops: array of (word, bits)."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = base.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
@@ -31,12 +33,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = lines.withColumn("key", key).where(F.length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.hash("id"), F.lit(salts)).alias("slice"), "id", "text_hash", "pos")
     newest = F.col("id").desc_nulls_last()
-    in_slice = Window.partitionBy("h1", "h2", "slice").orderBy(newest)
-    ordered = keyed.repartitionByRange("h1", "h2", "slice").sortWithinPartitions("h1", "h2", "slice", newest, "pos")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = F.shiftright("h1", 32) + F.lit(1 << 31)  # 0 to 2 ** 32
+    ordered = keyed.withColumn("range", F.shiftright(top * n, 32).cast("int")).repartitionById(n, "range").sortWithinPartitions("range", "h1", "h2", "slice", newest, "pos")
+    in_slice = Window.partitionBy("range", "h1", "h2", "slice").orderBy(newest)
     first = ordered.withColumn("rank", F.dense_rank().over(in_slice))  # by document: a line's repeats in one document share a rank
     # beyond the slice's first min_docs documents all is settled; those rows go on as groups of their own
     settled = F.col("rank") > min_docs
-    first = first.withColumn("apart", F.when(settled, F.xxhash64("id", "pos"))).drop("slice", "rank")
+    first = first.withColumn("apart", F.when(settled, F.xxhash64("id", "pos"))).drop("range", "slice", "rank")
     by_key = Window.partitionBy("h1", "h2", "apart")
     ranked = first.withColumn("rank", F.dense_rank().over(by_key.orderBy(newest))).withColumn("n_docs", F.max("rank").over(by_key))
     dropped = ranked.where(F.col("apart").isNotNull() | ((F.col("rank") > 1) & (F.col("n_docs") >= min_docs))).select("id", "text_hash", "pos")
@@ -46,8 +50,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return words.groupBy("id", "text_hash").agg(F.collect_list(F.struct("word", "bits")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, salts: int = 64) -> DataFrame:
-    """docs with its text less the dropped lines, and n_lines (before) and n_dropped. All other columns stay."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, salts: int = 1024, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with its text less the dropped lines, and two counts: lines before, and lines dropped. All other columns stay."""
     maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs, salts).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("drops").alias("__drops"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.withColumns({"__hash_of": F.xxhash64(text)})
@@ -55,4 +59,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bit = lambda pos: F.call_function("shiftright", F.aggregate("__drops", F.lit(0).cast("long"), lambda acc, x: F.when(x["word"] == F.floor(pos / 64), x["bits"]).otherwise(acc)), pos % 64).bitwiseAND(F.lit(1).cast("long"))
     kept = F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda line, pos: bit(pos) == 0), "\n"))
     n_dropped = F.coalesce(F.aggregate("__drops", F.lit(0), lambda acc, x: acc + F.bit_count(x["bits"])), F.lit(0))
-    return joined.withColumns({"n_lines": F.size(F.split(text, "\n")).cast("long"), "n_dropped": n_dropped.cast("long"), text_col: kept}).drop("__hash_of", "__id", "__hash", "__drops")
+    return joined.withColumns({counts[0]: F.size(F.split(text, "\n")).cast("long"), counts[1]: n_dropped.cast("long"), text_col: kept}).drop("__hash_of", "__id", "__hash", "__drops")
