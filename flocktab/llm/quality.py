@@ -1,13 +1,17 @@
 """Quality rules: a short-circuit cascade whose order comes from costs and rejection rates measured on a sample.
 
 The base figures (symbols, duplicate lines, repeated windows, ...) are computed for every document. The further rules
-are tried one after another and stop at the first that rejects. Each rule is run alone on a sample of at most
-`sample_rows` documents; its rejections per second decide its place. The order changes the work, never the verdict.
-Everything is DataFrame functions within a row: no shuffle but for the sample.
-
-Defined results. Null text: no words, so the base rule rejects it. An empty table: the order is the given one. Repeated
-rows and null ids are judged like any other row. Columns other than the text are neither read nor changed; the figures
-are returned in a struct, so that they clash with nothing.
+are tried one after another and stop at the first that rejects. The order is made rule by rule on a sample of at most
+`sample_rows` documents that pass the base rule: the next rule is that with most rejections a second among the documents
+that no rule before it rejects. A rule's seconds are those of a job that applies it REPEATS times to each document of the
+sample, less those of the same job without a rule, both run once before to have their code compiled. The sample is of
+texts of at most SAMPLE_CHARS characters from the first partitions that have enough, so no partition is read for it that
+need not be. The order changes the work, never the verdict. Everything is DataFrame functions within a row: no shuffle.
+
+Defined results. Null text: no words, so the base rule rejects it. An empty table, or a sample that is: the order is the
+given one. Repeated rows and null ids are judged like any other row. A very long text is judged whole, in its row. Columns
+other than the text are neither read nor changed; the figures are returned in one struct, which replaces a column of its
+name (`out_col`).
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let
+from .common import BLANKS, let
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
+#: How often a rule is applied to time it, and the longest text of the sample.
+REPEATS, SAMPLE_CHARS = 40, 20_000
 
 Rule = Callable[[Column, Column, Column], Column]
 
@@ -98,20 +104,48 @@ def base_failed(m: Column) -> Column:
 
 
 def order_rules(docs: DataFrame, rules: dict[str, Rule], text_col: str = "text", sample_rows: int = 1000) -> list[str]:
-    """Names of the rules by falling rejections per second on a sample; ties keep the given order."""
+    """Names of the rules, each the best in rejections a second of what those before it leave; ties keep the given order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = docs.select(text.alias("text")).sample(fraction=0.05, seed=7).limit(sample_rows)
-    text, worth = F.col("text"), {}
-    some = cut(some.select("text", let(_words(text), lambda w: F.struct(w.alias("words"), _figures(text, w).alias("m"))).alias("x")).select("text", F.col("x.words").alias("__words"), F.col("x.m").alias("__m")))
-    for name, rule in rules.items():
+    some = docs.select(text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(sample_rows)  # bounded, and as few partitions as give them
+    some = docs.sparkSession.createDataFrame(some, "text string").repartition(4)
+    text, words, m = F.col("text"), F.col("__words"), F.col("__m")
+    some = some.select("text", let(_words(text), lambda w: F.struct(w.alias("words"), _figures(text, w).alias("m"))).alias("x")).select("text", F.col("x.words").alias("__words"), F.col("x.m").alias("__m"))
+    some = some.where(~base_failed(m)).persist()
+    try:
+        seconds = _seconds(some, rules)
+        marks = some.select(*[F.coalesce(rule(text, words, m), F.lit(False)) for rule in rules.values()]).collect()  # a flag a rule, of the sample
+    finally:
+        some.unpersist()
+    left, order, names = [tuple(r) for r in marks], [], list(rules)
+    while len(order) < len(names):
+        worth = {k: sum(r[k] for r in left) / seconds[name] for k, name in enumerate(names) if name not in order}
+        best = max(worth, key=lambda k: worth[k])
+        order.append(names[best])
+        left = [r for r in left if not r[best]]
+    return order
+
+
+def _seconds(some: DataFrame, rules: dict[str, Rule]) -> dict[str, float]:
+    """What each rule takes on the sample, above what the job takes without one."""
+    often = some.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+    def run(test: Column) -> float:
         began = time.perf_counter()
-        rejected = some.agg(F.count_if(rule(text, F.col("__words"), F.col("__m"))).alias("n")).first()["n"]
-        worth[name] = rejected / (time.perf_counter() - began)
-    return sorted(rules, key=lambda name: -worth[name])
+        often.agg(F.count_if(test)).collect()
+        return time.perf_counter() - began
+
+    def best(test: Column) -> float:
+        run(test)
+        return min(run(test), run(test))
+
+    text, words, m = F.col("text"), F.col("__words"), F.col("__m")
+    empty = best(F.col("__again") < 0)
+    # the times count in the test, so that a rule is applied anew each time
+    return {name: max(best(rule(text, words, m) & (F.col("__again") > 0)) - empty, 1e-4) for name, rule in rules.items()}
 
 
-def judge(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] | None = None, order: list[str] | None = None) -> DataFrame:
-    """docs with `quality`: a struct of the base figures, base_failed, rejected_by (name of the first rule that rejects, else null) and kept."""
+def judge(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] | None = None, order: list[str] | None = None, out_col: str = "quality") -> DataFrame:
+    """docs with `out_col`: a struct of the base figures, base_failed, rejected_by (name of the first rule that rejects, else null) and kept."""
     rules = RULES if rules is None else rules
     order = order_rules(docs, rules, text_col) if order is None else order
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -125,4 +159,4 @@ def judge(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] | None
     # one expression, its parts bound once: a filter on the verdict that Spark pushes down cannot multiply them
     judged = let(_words(text), lambda w: let(_figures(text, w), lambda m: let(
         verdict(w, m), lambda by: F.struct(*[m[c].alias(c) for c in FIGURES], base_failed(m).alias("base_failed"), by.alias("rejected_by"), by.isNull().alias("kept")))))
-    return docs.withColumn("quality", judged)
+    return docs.withColumn(out_col, judged)
