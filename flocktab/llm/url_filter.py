@@ -9,7 +9,9 @@ row, without a shuffle of the pages.
 
 Defined results. Null URL or one without "://": host and path empty; the regression then has its intercept only. No
 labelled row: all are allowed; labels of one class only: all get that class. Repeated rows and null ids are judged row
-by row. Other columns stay as they are.
+by row. A very long URL has as many n-grams as characters, in its row. An empty table gives an empty table. Other columns
+stay as they are, but for columns named host, path, rule, rule_verdict, blocked or verdict, which the new ones replace or
+take away.
 """
 
 from __future__ import annotations
