@@ -106,7 +106,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model).select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score")
+    scored = toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -131,14 +131,16 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "nth")
 
 
-ORACLE["op4_warc"] = """
-WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS body FROM pages),
-m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS chosen FROM p)
+ORACLE["op4_warc"] = r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS body,
+  regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g'), '^.*?://', '', 's'), '#.*$', '', 's') AS rest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS chosen, regexp_extract(rest, '^[^/?]*') AS authority FROM p),
+k AS (SELECT *, array_to_string(list_reverse(string_split(split_part(regexp_replace(lower(authority), '^.*@', '', 's'), ':', 1), '.')), ',') || ')' || coalesce(nullif(rest[length(authority) + 1:], ''), '/') AS url_key FROM m)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type,
- CASE WHEN page_id <> chosen THEN chosen END AS refers_to FROM m
+ CASE WHEN page_id <> chosen THEN chosen END AS refers_to, url_key, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS nth FROM k
 """
 
 
@@ -149,7 +151,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for wave in range(3):
         kept.append(docs.where(F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(3)) == wave))
         kept.compact()
-    return kept.read(docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    # a file that a row comes from is one of the newest manifest, and no tier of it is full: else nothing was compacted
+    kind = kept.read(docs.schema).withColumn("__file", F.col("_metadata.file_name")) if kept.manifest() else kept.read(docs.schema).withColumn("__file", F.lit(None).cast("string"))
+    names = F.broadcast(spark.createDataFrame([(x["path"].rsplit("/", 1)[1], x["tier"]) for x in kept.manifest()], "__file string, tier int"))  # a row a shard
+    full = F.lit(len(kept.full_tiers()))
+    return kind.join(names, "__file", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.col("tier").isNotNull().alias("in_manifest"), full.alias("full_tiers"))
 
 
-ORACLE["op5_sharding"] = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+ORACLE["op5_sharding"] = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS in_manifest, 0 AS full_tiers FROM documents"

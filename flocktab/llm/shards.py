@@ -1,8 +1,9 @@
 """Sharding: size-tiered compaction of immutable shards under an atomically committed, versioned manifest.
 
 Every arrival is appended as small Parquet shards of at most `shard_rows` rows. A manifest version is a file of JSON
-lines, one a shard (path, bytes, rows, tier), written under a new name and renamed to v<number>, which fails if that
-version exists: readers see the old version or the new one, and of two writers one has to try again. Compaction takes
+lines, one a shard (path, bytes, rows, tier), written under a new name and renamed to v<number> by the rename that fails
+if that version exists: readers see the old version or the new one, and of two writers one has to try again; what it has
+written goes. Compaction takes
 a tier (shards whose size has the same power of `fanout` over the base size) that has `fanout` shards or more, packs
 its files, largest first, into read partitions of about `target_bytes` and writes one shard from each; so rows are
 copied without a shuffle, and a tier moves up by a factor. Replaced shards are deleted only after the commit, when no
@@ -12,8 +13,8 @@ All files go through Hadoop's file systems, so the folder can be in any store Sp
 simply run again: Spark's committer publishes a file once, and a shard is part of the table only once a manifest names
 it. The driver sees manifests only, one line a shard.
 
-Defined results. Nulls, empty and long texts, repeated rows and extra columns are stored as they are. An empty
-arrival adds no shard and still a version. An empty shard set reads as an empty table of the given schema.
+Defined results. Nulls, empty and very long texts, repeated rows and extra columns, whatever their names, are stored as
+they are. An empty arrival adds no shard and still a version. An empty shard set reads as an empty table of the given schema.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import json
 import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +56,13 @@ class ShardSet:
         out = self.fs.create(self.path(new), False)
         out.write(bytearray("".join(json.dumps(x) + "\n" for x in shards).encode()))
         out.close()
-        to = self.path(f"{self.root}/manifest/v{after + 1}")
-        if self.fs.exists(to) or not self.fs.rename(self.path(new), to):
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)  # none: no overwriting
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(self.path(new), self.path(f"{self.root}/manifest/v{after + 1}"), options)
+        except Py4JJavaError as e:
             self.fs.delete(self.path(new), False)
-            raise RuntimeError(f"version {after + 1} is committed already")
+            raise RuntimeError(f"version {after + 1} is committed already") from e
         return after + 1
 
     def tier(self, size: int) -> int:
@@ -72,46 +77,54 @@ class ShardSet:
         count = {r["name"]: r["n"] for r in rows}
         return [{"path": p, "bytes": b, "rows": count[p.rsplit("/", 1)[1]], "tier": self.tier(b)} for p, b in sorted(sizes.items()) if count.get(p.rsplit("/", 1)[1])]
 
+    def _publish(self, shards: list[dict], folder: str, after: int) -> int:
+        """commit(); a folder of shards that it does not publish is deleted."""
+        try:
+            return self.commit(shards, after)
+        except RuntimeError:
+            self.fs.delete(self.path(folder), True)
+            raise
+
     def append(self, arrivals: DataFrame) -> int:
         before = self.version()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", self.shard_rows).parquet(folder)
-        return self.commit(self.manifest(before) + self._written(folder), before)
+        return self._publish(self.manifest(before) + self._written(folder), folder, before)
+
+    def full_tiers(self, version: int | None = None) -> dict[int, list[dict]]:
+        """Shards by tier, of tiers that have fanout or more below half the target size."""
+        tiers: dict[int, list[dict]] = {}
+        for x in self.manifest(version):
+            if x["bytes"] < self.target_bytes // 2:
+                tiers.setdefault(x["tier"], []).append(x)
+        return {t: xs for t, xs in tiers.items() if len(xs) >= self.fanout}
 
     def compact(self, keep_old: bool = False) -> int:
         """Merges full tiers, lowest first, until none is full; the newest version."""
         while True:
             before = self.version()
-            shards = self.manifest(before)
-            tiers: dict[int, list[dict]] = {}
-            for x in shards:
-                if x["bytes"] < self.target_bytes // 2:
-                    tiers.setdefault(x["tier"], []).append(x)
-            full = min((t for t, xs in tiers.items() if len(xs) >= self.fanout), default=None)
-            if full is None:
+            full = self.full_tiers(before)
+            if not full:
                 return before
-            old = tiers[full]
-            merged = self._merge([x["path"] for x in old], min(self.target_bytes, max(self.base_bytes * self.fanout ** (full + 1), self.fanout * max(x["bytes"] for x in old))))
+            tier, old = min(full.items())
+            folder = self._merge([x["path"] for x in old], min(self.target_bytes, max(self.base_bytes * self.fanout ** (tier + 1), self.fanout * max(x["bytes"] for x in old))))
+            merged = self._written(folder)
             if len(merged) >= len(old):
+                self.fs.delete(self.path(folder), True)
                 return before  # nothing to gain, as the session pins small partitions
             gone = {x["path"] for x in old}
-            self.commit([x for x in shards if x["path"] not in gone] + merged, before)
+            self._publish([x for x in self.manifest(before) if x["path"] not in gone] + merged, folder, before)
             if not keep_old:
                 for p in gone:
                     self.fs.delete(self.path(p), False)
 
-    def _merge(self, paths: list[str], size: int) -> list[dict]:
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        conf = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        was = {k: self.spark.conf.get(k, None) for k in conf}
-        try:  # Spark packs files, largest first, into partitions of this size; each becomes one file
-            for k, v in conf.items():
-                self.spark.conf.set(k, v)
-            self.spark.read.option("mergeSchema", "true").parquet(*paths).write.parquet(folder)
-        finally:
-            for k, v in was.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-        return self._written(folder)
+    def _merge(self, paths: list[str], size: int) -> str:
+        """Writes the shards anew; Spark packs files, largest first, into partitions of this size, and each becomes one file."""
+        folder, own = f"{self.root}/data/{uuid.uuid4().hex}", self.spark.newSession()  # settings of its own
+        for k, v in {"maxPartitionBytes": str(size), "openCostInBytes": "0", "minPartitionNum": "1"}.items():
+            own.conf.set(f"spark.sql.files.{k}", v)
+        own.read.option("mergeSchema", "true").parquet(*paths).write.parquet(folder)
+        return folder
 
     def read(self, schema=None, version: int | None = None) -> DataFrame:
         paths = [x["path"] for x in self.manifest(version)]

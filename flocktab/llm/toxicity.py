@@ -13,7 +13,9 @@ over all rows, Arrow batch by Arrow batch, without a shuffle.
 
 Defined results. Null or empty text: the score of an empty bag, that is the softmax of the bias. No labelled row, or
 labels of one class only: every score is 0 (class 0 only or none) or 1. Repeated rows and null ids are scored as any
-row; a null id is never trained on. Other columns pass through.
+row; a null id is never trained on and never held out. An id that repeats may train with each of its texts and labels,
+within max_rows, chosen by hash, so that two runs train alike. A very long text is scored whole, in its task. An empty
+table gives an empty table. Other columns pass through, but for a column named score, which the new one replaces.
 """
 
 from __future__ import annotations
@@ -101,6 +103,26 @@ def summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(to, values[:, c], n) for c in range(values.shape[1])], axis=1)
 
 
+def gradients(vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray, bags: list[np.ndarray], y: np.ndarray, rows_of: list[np.ndarray]):
+    """Mean loss of bags of words, none empty, and its derivatives by vectors, softmax and bias."""
+    used, at = np.unique(np.concatenate(bags), return_inverse=True)
+    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    share = np.repeat([1 / len(b) for b in bags], [len(b) for b in bags])
+    size = np.array([len(rows_of[w]) for w in used])
+    rows, word = np.concatenate([rows_of[w] for w in used]), np.repeat(np.arange(len(used)), size)
+    of_word = np.add.reduceat(vectors[rows], np.cumsum(size) - size) / size[:, None]
+    mean = np.add.reduceat(of_word[at] * share[:, None], np.searchsorted(doc, np.arange(len(bags))))
+    z = mean @ soft + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    own = np.arange(len(bags))
+    loss = -np.log(np.maximum(p[own, y], 1e-300)).mean()
+    p[own, y] -= 1
+    p /= len(bags)
+    of_used = summed(at, (p @ soft.T)[doc] * share[:, None], len(used))
+    return loss, summed(rows, (of_used / size[:, None])[word], len(vectors)), mean.T @ p, p.sum(0)
+
+
 def fit(texts: list[str | None], labels: list[int], whole_epochs: int = 6, stretch_epochs: int = 5, rate: float = 0.1, batch: int = 64, decay: float = 3e-5, seed: int = 1) -> Model:
     """Adagrad with weight decay on mini-batches: first on whole texts, then on the stretch of each text that scores highest at the time."""
     y = np.asarray(labels, np.int64)
@@ -114,27 +136,13 @@ def fit(texts: list[str | None], labels: list[int], whole_epochs: int = 6, stret
     start = np.cumsum(size) - size
     vectors = _Adagrad((rng.random((ROWS, DIM)) - 0.5) / DIM, rate)
     soft, bias = _Adagrad((rng.random((DIM, 2)) - 0.5) / DIM, rate), _Adagrad(np.zeros(2), rate)
+
     def learn(docs: np.ndarray, bags: list[np.ndarray]) -> None:
         """One step on the bags of these documents."""
-        used, at = np.unique(np.concatenate(bags), return_inverse=True)
-        doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        share = np.repeat([1 / len(b) for b in bags], [len(b) for b in bags])
-        rows = np.concatenate([rows_of[w] for w in used])
-        word = np.repeat(np.arange(len(used)), size[used])
-        first = np.cumsum(size[used]) - size[used]
-        of_word = np.add.reduceat(vectors.value[rows], first) / size[used][:, None]
-        mean = np.add.reduceat(of_word[at] * share[:, None], np.searchsorted(doc, np.arange(len(bags))))
-        z = mean @ soft.value + bias.value
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(docs)), y[docs]] -= 1
-        p /= len(docs)
-        back = p @ soft.value.T
-        of_used = summed(at, back[doc] * share[:, None], len(used))
-        grad = summed(rows, (of_used / size[used][:, None])[word], ROWS) + decay * vectors.value
-        soft.step(mean.T @ p)
-        bias.step(p.sum(0))
-        vectors.step(grad)
+        _, of_vectors, of_soft, of_bias = gradients(vectors.value, soft.value, bias.value, bags, y[docs], rows_of)
+        soft.step(of_soft)
+        bias.step(of_bias)
+        vectors.step(of_vectors + decay * vectors.value)
 
     own = np.array([i for i, b in enumerate(parts) if b])
     for epoch in range(whole_epochs + stretch_epochs):
@@ -150,7 +158,7 @@ def fit(texts: list[str | None], labels: list[int], whole_epochs: int = 6, stret
 
 
 def fold(id_: Column) -> Column:
-    """crc32 of the id as text, modulo 5; 0 is held out."""
+    """crc32 of the id as text, modulo 5; 0 is held out; null for a null id."""
     return F.crc32(id_.cast("string").cast("binary")) % 5
 
 
@@ -160,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str
     some = lambda c, n: marked.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = F.broadcast(some(1, max_rows // 4).unionByName(some(0, max_rows - max_rows // 4)))  # max_rows small rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= max_chars)
-    rows = sorted(texts.join(chosen, "id").select("id", "y", "text").limit(max_rows).collect())
+    rows = texts.join(chosen, "id").select("id", "y", "text").orderBy(F.xxhash64("id", "y", "text"), "id", "y", "text").limit(max_rows).collect()
+    rows.sort(key=lambda r: (r["id"], r["y"], r["text"]))
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
 
 

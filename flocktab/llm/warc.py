@@ -9,12 +9,15 @@ offset counts in the uncompressed archive.
 Reading parses each archive by Content-Length in the task that holds it and yields its captures sorted by URL key and
 timestamp: a local run. The merge is external: every run is cut at splitters taken from a sample of at most
 SPLIT_SAMPLE keys (key, timestamp and id together, so a URL with very many captures is cut as well), the pieces of one
-range of keys meet in one task and go through a k-way loser tree. Ranges are of about `range_rows` captures, and
-(range, pos) orders all captures globally.
+range of keys meet in one task and go through a k-way loser tree, which hands its captures on as they come. Ranges are of
+about `range_rows` captures, and (range, pos) orders all captures globally. A capture's place in the history of its URL
+key is counted as the merge goes; a key that goes on in the next range is carried over by counts of the ranges, not rows.
 
 Defined results. Null or empty html: an empty payload, always a response. Null URL: an empty target URI. A null id is
 written as an empty id and read back as null; it never is the response others refer to. Rows that repeat the largest id are all
-responses. An empty table gives an empty archive set and no captures. Other columns are ignored.
+responses. A very long payload makes its archive as long: an archive is read whole by one task. Pages have no capture
+time of their own: they are dated in UTC from EPOCH on, a second for each id (modulo 2 ** 36). An empty table gives an
+empty archive set and no captures. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
@@ -49,7 +53,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("body")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    seconds = F.lit(EPOCH) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(1 << 36))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86_400))  # arithmetic, so that the session's time zone has no part in it
+    date = F.concat(day.cast("string"), F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
     header = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", urn(F.col("id"))), line("WARC-Date", date),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
@@ -58,7 +65,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     return both.select(F.concat(header, block).alias("value"))
 
 
-def write(pages: DataFrame, folder: str, per_file: int = 4000, compression: str = "gzip", **columns) -> None:
+def write(pages: DataFrame, folder: str, per_file: int = 1000, compression: str = "gzip", **columns) -> None:
     """Archives of at most per_file records; compression: gzip or none."""
     records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(folder)
 
@@ -170,8 +177,8 @@ class LoserTree:
             self._replay(i)
 
 
-def merge(captures: DataFrame, range_rows: int = 100_000) -> DataFrame:
-    """Captures with range and pos: together, a global order by URL key, timestamp and id. captures holds each run in order within a partition, as read() gives them."""
+def merge(captures: DataFrame, range_rows: int = 20_000) -> DataFrame:
+    """Captures with range and pos, together a global order by URL key, timestamp and id, and seen, a capture's place among those of its key in its range. captures holds each run in order within a partition, as read() gives them."""
     names = captures.columns
     count = captures.count()
     n_ranges = max(1, -(-count // range_rows))
@@ -205,9 +212,14 @@ def merge(captures: DataFrame, range_rows: int = 100_000) -> DataFrame:
             runs: dict[str, list[tuple]] = {}
             for r in rows:
                 runs.setdefault(r[where], []).append(r)
-            done = list(LoserTree(list(runs.values()), _order))
-            for k in range(0, len(done), 10_000):
-                yield _frame(done[k : k + 10_000], names).assign(range=number, pos=range(k, k + len(done[k : k + 10_000])))
+            tree, k, key, seen = iter(LoserTree(list(runs.values()), _order)), 0, None, 0
+            while done := list(islice(tree, 10_000)):
+                places = []
+                for r in done:
+                    key, seen = (key, seen + 1) if r[0] == key else (r[0], 1)
+                    places.append(seen)
+                yield _frame(done, names).assign(range=number, pos=range(k, k + len(done)), seen=places)
+                k += len(done)
 
         where, now, held = names.index("archive"), None, []
         for batch in batches:
@@ -221,17 +233,22 @@ def merge(captures: DataFrame, range_rows: int = 100_000) -> DataFrame:
         if held:
             yield from out(now, held)
 
-    return dealt.mapInPandas(merged, CAPTURE + ", range int, pos bigint")
+    return dealt.mapInPandas(merged, CAPTURE + ", range int, pos bigint, seen bigint")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
-    """Writes pages as archives, reads them back and merges their indexes."""
+    """Writes pages as archives, reads them back and merges their indexes into histories."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, folder, **columns)
-    return merge(cut(read(spark, folder)))
+    return histories(merge(cut(read(spark, folder))))
 
 
-def histories(captures: DataFrame) -> DataFrame:
-    """Captures with nth, their place in the history of their URL key."""
-    return captures.withColumn("nth", F.row_number().over(Window.partitionBy("url_key").orderBy("ts", "page_id")))
+def histories(merged: DataFrame) -> DataFrame:
+    """merged with nth, a capture's place in the history of its URL key. At most one key a range goes on from the one before."""
+    merged = cut(merged)
+    last = merged.groupBy("range").agg(F.max_by(F.struct("url_key", "seen"), "pos").alias("x")).select("range", "x.*")  # a row a range
+    first = merged.where("pos = 0").select("range", "url_key")
+    earlier = last.select(F.col("range").alias("before"), "url_key", "seen")
+    carried = first.join(earlier, "url_key").where("before < range").groupBy("range", "url_key").agg(F.sum("seen").alias("carried"))
+    return merged.join(F.broadcast(carried), ["range", "url_key"], "left").withColumn("nth", F.col("seen") + F.coalesce("carried", F.lit(0))).drop("carried", "seen")
