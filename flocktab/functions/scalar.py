@@ -14,6 +14,14 @@ TILE_BASE = "https://data.bev.gv.at/download/ALS/DTM/"
 TILE_PATTERNS = [("20230915", "ALS_DTM_CRS3035RES50000mN{north}E{east}.tif"), ("20190915", "CRS3035RES50000mN{north}E{east}.tif"), ("20210401", "ALS_DTM_CRS3035RES50000mN{north}E{east}.tif")]
 
 
+#: What counts as white space at the ends of a field.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(x: Column) -> Column:
+    return F.btrim(x, F.lit(BLANKS))
+
+
 def fmt_fixed(x: Column, digits: int) -> Column:
     """Decimal text with the exact binary value rounded half to even; null stays null. A pandas UDF, for text sinks only: no JVM formatter rounds so."""
 
@@ -144,8 +152,11 @@ def tile_name(north: Column, east: Column) -> Column:
 
 
 def species_short(species: Column) -> Column:
-    """Text in the first parentheses, else the whole; empty and Unknown give Unknown."""
-    inner = F.trim(F.regexp_extract(species, r"\(([^)]*)\)?", 1))
+    """Text in the first parentheses, else the whole; empty and Unknown give Unknown. As coded: the text ends before the
+    first ')' of all, so it is empty if that comes before the '('; without one, the last character goes."""
+    begin, close = F.instr(species, "("), F.instr(species, ")")
+    end = F.when(close > 0, close - 1).otherwise(F.length(species) - 1)
+    inner = strip(F.substring(species, begin + 1, F.greatest(end - begin, F.lit(0))))
     return F.when(species.isNull() | species.isin("", "Unknown"), F.lit("Unknown")).when(species.contains("("), inner).otherwise(species)
 
 
@@ -186,9 +197,10 @@ def track_label(strict: bool = False) -> Column:
     return F.concat(F.lit("#"), F.col("track_id").cast("string"), F.lit(" "), species_tail(F.col("species")), F.lit(" ("), visibility_text(F.col("visibility")), F.lit("/"), age_text(F.col("age")), F.lit("/"), sex_text(F.col("gender"), strict), F.lit(")"))
 
 
-def fovy(values: Column, default: float = 50.0) -> Column:
-    """First of an array of angles, else the default."""
-    return F.coalesce(F.get(values, F.lit(0)), F.lit(default))
+def fovy(values: Column, kind: str = "array<double>", default: float = 50.0) -> Column:
+    """First of an array of angles, or the angle, by the column's type; else the default."""
+    first = F.get(values, F.lit(0)) if kind.startswith("array") else values
+    return F.coalesce(first.cast("double"), F.lit(default))
 
 
 def class_key(wikidata: Column, gender: Column, age: Column, visible: Column) -> Column:

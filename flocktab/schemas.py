@@ -1,5 +1,6 @@
 """Table schemas (DDL). The file a row came from and its place there are columns: order and file are data."""
 
+# The fields of a line, in order.
 DETECTION = "frame bigint, track_id bigint, bb_left int, bb_top int, bb_width int, bb_height int, conf double, class_id int, visibility double, species string, gender string, age string, is_propagated string"
 DETECTION_FIELDS = [x.split()[0] for x in DETECTION.split(", ")]
 

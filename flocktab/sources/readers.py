@@ -11,44 +11,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flocktab import schemas
-from flocktab.functions.scalar import file_id, seq_id, split_class_key
+from flocktab.functions.scalar import file_id, seq_id, split_class_key, strip
 
-#: dialect -> (quotes honoured, fewest fields, # rows skipped, last three fields as int, blanks kept or an error)
+#: dialect -> lines stripped and blank ones skipped, quotes honoured, fewest fields, pattern of # lines skipped, last three fields as int, blanks kept or an error
 DIALECTS = {
-    "filter": {"quotes": True, "least": 0, "comments": False, "ints": False},
-    "frames": {"quotes": True, "least": 6, "comments": False, "ints": False},
-    "interp": {"quotes": False, "least": 0, "comments": False, "ints": True},
-    "yolo": {"quotes": True, "least": 0, "comments": True, "ints": False, "lenient": True},
-    "point": {"quotes": True, "least": 13, "comments": True, "ints": True, "blank_fails": True},
-    "track": {"quotes": True, "least": 0, "comments": True, "ints": True},
+    "filter": {"strip": True, "quotes": True, "least": 0, "comments": None, "ints": False},
+    "frames": {"strip": True, "quotes": True, "least": 6, "comments": None, "ints": False},
+    "interp": {"strip": True, "quotes": False, "least": 0, "comments": None, "ints": True},
+    "yolo": {"strip": False, "quotes": True, "least": 0, "comments": "stripped", "ints": False, "lenient": True},
+    "point": {"strip": False, "quotes": True, "least": 13, "comments": "stripped", "ints": True, "blank_fails": True},
+    "track": {"strip": False, "quotes": True, "least": 0, "comments": "as is", "ints": True},
 }
 _INTS = ["frame", "track_id", "bb_left", "bb_top", "bb_width", "bb_height", "class_id"]
 _TEXT = ", ".join(f"{c} string" for c in schemas.DETECTION_FIELDS)
 
 
 def mot_lines(files: DataFrame) -> DataFrame:
-    """files (file_name, value: whole text) -> (file_name, seq_id, line_no, line), blank lines left out."""
-    rows = files.select("file_name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").select("file_name", seq_id(F.col("file_name")).alias("seq_id"), F.col("line_no").cast("bigint"), F.trim("line").alias("line"))
+    """files (file_name, value: whole text) -> (file_name, seq_id, line_no, line), empty lines left out."""
+    rows = files.select("file_name", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
+    return rows.where("line != ''").select("file_name", seq_id(F.col("file_name")).alias("seq_id"), F.col("line_no").cast("bigint"), "line")
 
 
 def parse_mot(lines: DataFrame, dialect: str = "filter", on_error: str = "raise") -> DataFrame:
-    """Lines as detections. A number that can't be read raises; with on_error="null" it is null and _corrupt is true."""
+    """Lines as detections. A number that can't be read raises; with on_error="null" it is null and _corrupt is true.
+
+    A line of white space is a row of blank fields in the dialects that do not strip lines."""
     d = DIALECTS[dialect]
+    if d["strip"]:
+        lines = lines.withColumn("line", strip(F.col("line"))).where("line != ''")
     if d["comments"]:
-        lines = lines.where(~F.col("line").startswith("#"))
+        head = strip(F.col("line")) if d["comments"] == "stripped" else F.col("line")
+        lines = lines.where(~head.startswith("#"))
     if d["quotes"]:
         fields = F.from_csv("line", F.lit(_TEXT), {"mode": "PERMISSIVE", "quote": '"', "escape": '"'})
     else:
         parts = F.split("line", ",")
         fields = F.struct(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(schemas.DETECTION_FIELDS)])
-    made = lines.select("file_name", "seq_id", "line_no", fields.alias("f"))
     if d["least"]:
-        made = made.where(F.col(f"f.{schemas.DETECTION_FIELDS[d['least'] - 1]}").isNotNull() if d["quotes"] else F.lit(True))
         # from_csv gives null for a missing field and for an empty one; commas outside quotes tell them apart
         bare = F.regexp_replace("line", r'"[^"]*"', "")
-        made = lines.where(F.size(F.split(bare, ",")) >= d["least"]).select("file_name", "seq_id", "line_no", fields.alias("f"))
-    text = lambda c: F.nullif(F.trim(F.col(f"f.{c}")), F.lit(""))
+        lines = lines.where(F.size(F.split(bare, ",")) >= d["least"])
+    made = lines.select("file_name", "seq_id", "line_no", fields.alias("f"))
+    text = lambda c: F.nullif(strip(F.col(f"f.{c}")), F.lit(""))
     soft = on_error == "null" or d.get("lenient", False)
     bad = []
 
@@ -65,9 +69,9 @@ def parse_mot(lines: DataFrame, dialect: str = "filter", on_error: str = "raise"
         return F.when(value.isNull(), F.lit(None if d.get("lenient") else zero).cast(kind)).otherwise(cast)
 
     out = [number(c, "bigint" if c in ("frame", "track_id") else "int", "0").alias(c) for c in _INTS if c != "class_id"]
-    out += [number("conf", "double", "0").alias("conf"), number("class_id", "int", "0").alias("class_id"), number("visibility", "double", "0").alias("visibility"), F.coalesce(F.trim("f.species"), F.lit("")).alias("species")]
+    out += [number("conf", "double", "0").alias("conf"), number("class_id", "int", "0").alias("class_id"), number("visibility", "double", "0").alias("visibility"), F.coalesce(strip(F.col("f.species")), F.lit("")).alias("species")]
     for c in ("gender", "age", "is_propagated"):
-        out.append(number(c, "int", "0").cast("string").alias(c) if d["ints"] else F.coalesce(F.trim(f"f.{c}"), F.lit("")).alias(c))
+        out.append(number(c, "int", "0").cast("string").alias(c) if d["ints"] else F.coalesce(strip(F.col(f"f.{c}")), F.lit("")).alias(c))
     if on_error == "null":
         corrupt = F.lit(False)
         for b in bad:
@@ -77,8 +81,8 @@ def parse_mot(lines: DataFrame, dialect: str = "filter", on_error: str = "raise"
 
 
 def read_mot(spark: SparkSession, path: str, dialect: str = "filter", on_error: str = "raise", glob: str = "*.txt") -> DataFrame:
-    """A text file or a folder of them as detections, with file and line order kept. A file is read whole: there is one a flight."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    """A text file or a folder of them as detections, with file and line order kept. A file is read whole: there is one a flight. An empty folder has none."""
+    files = spark.read.schema("value string").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
     return parse_mot(mot_lines(files), dialect, on_error)
 
 
@@ -89,18 +93,21 @@ def read_flight_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The parts of a release manifest; an empty one is an error."""
-    made = spark.read.schema(schemas.MANIFEST).json(path, multiLine=True).where("flights is not null")
+    """The parts of a release manifest with line_no, their place in the list; an empty one is an error."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in schemas.MANIFEST.split(', '))}>>").alias("parts"))
+    made = whole.select(F.posexplode("parts").alias("line_no", "part")).select("line_no", "part.*").where("flights is not null")
     if made.isEmpty():
         raise ValueError(f"{path} is no list of parts, or an empty one")
     return made
 
 
 def read_poses(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """*_poses.json documents, one row an image: flight_id, file_name, pos and the image's own keys (schema inferred, so none is lost)."""
+    """*_poses.json documents, one row an image: flight_id, file_name, pos, the image's own keys (schema inferred, so none is lost), and in document, if there are any, the keys beside images."""
     made = spark.read.option("recursiveFileLookup", recursive).json(path, multiLine=True, pathGlobFilter="*_poses.json")
-    rows = made.select(F.col("_metadata.file_name").alias("file_name"), F.posexplode("images").alias("pos", "image"))
-    return rows.select(F.split("file_name", "_")[0].alias("flight_id"), "file_name", F.col("pos").cast("bigint").alias("pos"), "image.*")
+    beside = [f"`{c}`" for c in made.columns if c != "images"]
+    document = [F.struct(*beside).alias("document")] if beside else []
+    rows = made.select(F.col("_metadata.file_name").alias("file_name"), *document, F.posexplode("images").alias("pos", "image"))
+    return rows.select(F.split("file_name", "_")[0].alias("flight_id"), "file_name", F.col("pos").cast("bigint").alias("pos"), *(["document"] if beside else []), "image.*")
 
 
 def read_dem_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +130,8 @@ def read_deposition_listing(spark: SparkSession, path: str) -> DataFrame:
     return made.select(either("f.filename", "f.key").alias("name"), either("f.links.download", "f.links.self").alias("url")).where("name is not null and url is not null")
 
 
-VIDEO_EXTENSIONS = ["mp4", "avi", "mov", "mkv", "wmv", "flv", "webm"]
+# Suffixes of videos and of annotation files.
+VIDEO_EXTENSIONS = ["mp4", "avi", "mov", "mkv", "ts", "wmv", "flv"]
 MOT_EXTENSIONS = ["txt", "csv"]
 
 
@@ -134,6 +142,11 @@ def list_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataF
     return made.select("path", "file_name", suffix.alias("suffix"), "length", file_id(F.col("file_name")).alias("id")).where(F.col("suffix").isin([e.lower().lstrip(".") for e in extensions]))
 
 
+def file_names(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(file_name) of the files of a folder; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
 def class_dictionary(spark: SparkSession) -> DataFrame:
     """class_id, class_key and its parts."""
     made = spark.createDataFrame([(k, v) for k, v in enumerate(schemas.CLASSES)], "class_id int, class_key string")

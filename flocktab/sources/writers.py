@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import fmt_fixed, yolo_box, yolo_label
+from flocktab.schemas import DETECTION_FIELDS
 
 
 def format_mot(det: DataFrame) -> DataFrame:
-    """det with line: 13 comma-separated fields, conf and visibility with two decimals, species as it is."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    head = [text(c) for c in ("frame", "track_id", "bb_left", "bb_top", "bb_width", "bb_height")]
-    return det.withColumn("line", F.concat_ws(",", *head, fmt_fixed(F.col("conf"), 2), text("class_id"), fmt_fixed(F.col("visibility"), 2), *[text(c) for c in ("species", "gender", "age", "is_propagated")]))
+    """det with line: 13 comma-separated fields, conf and visibility with two decimals, species as it is; a null is an empty field."""
+    text = lambda c: fmt_fixed(F.col(c), 2) if c in ("conf", "visibility") else F.col(c).cast("string")
+    return det.withColumn("line", F.concat_ws(",", *[F.coalesce(text(c), F.lit("")) for c in DETECTION_FIELDS]))
 
 
-def write_mot(det: DataFrame, path: str, suffix: str = "", order: tuple[str, ...] = ("line_no",)) -> None:
-    """One folder out_file=<stem><suffix><ext> for each input file, its lines in order."""
+def write_mot(det: DataFrame, path: str, suffix: str = "", order: tuple[str, ...] = ("line_no",), files: DataFrame | None = None) -> None:
+    """One folder out_file=<stem><suffix><ext> for each input file, its lines in order; a file of `files` (file_name) without a row has one empty line."""
     ext = F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
-    named = format_mot(det).withColumn("out_file", F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(suffix), ext))
-    named.repartition("out_file").sortWithinPartitions("out_file", *order).select("out_file", "line").write.partitionBy("out_file").text(path)
+    out_file = F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(suffix), ext).alias("out_file")
+    lines = format_mot(det).select(out_file, "line", *order)
+    if files is not None:
+        none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]
+        lines = lines.unionByName(files.select("file_name").distinct().join(det.select("file_name").distinct(), "file_name", "left_anti").select(out_file, F.lit("").alias("line"), *none))
+    lines.repartition("out_file").sortWithinPartitions("out_file", *order).select("out_file", "line").write.partitionBy("out_file").text(path)
+
+
+def plain_names(spark: SparkSession, path: str, column: str) -> None:
+    """Moves the one part of <path>/<column>=<name>/ to <path>/<name>, so that files have their own names: a rename each, by the driver."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in (x.getPath() for x in fs.listStatus(Path(path)) if x.getPath().getName().startswith(f"{column}=")):
+        parts = [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise ValueError(f"{folder.toString()} has {len(parts)} parts, not one")
+        fs.rename(parts[0], Path(Path(path), unquote(folder.getName().split("=", 1)[1])))
+        fs.delete(folder, True)
 
 
 def yolo_files(det: DataFrame, img_width: int, img_height: int, properties: list[str]) -> DataFrame:
-    """(label_file, content): the label lines of each sequence and frame, in input order. Of several files of one sequence the last by name counts for a frame."""
+    """(label_file, content): the label lines of each sequence and frame, in input order. Of several files of one sequence the last by name counts for a frame. A box without a number has 0 there."""
     made = yolo_box(*[F.col(c) for c in ("bb_left", "bb_top", "bb_width", "bb_height")], float(img_width), float(img_height))
-    line = F.concat(F.concat_ws(" ", yolo_label(properties), *[fmt_fixed(c, 6) for c in made]), F.lit("\n"))
+    line = F.concat(F.concat_ws(" ", yolo_label(properties), *[fmt_fixed(F.coalesce(c, F.lit(0.0)), 6) for c in made]), F.lit("\n"))
     file = F.col("file_name") if "file_name" in det.columns else F.lit("")
     rows = det.select("seq_id", "frame", "line_no", file.alias("f"), line.alias("line"))
     by_file = rows.groupBy("seq_id", "frame", "f").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
@@ -38,11 +56,13 @@ def write_yolo(files: DataFrame, path: str) -> None:
     files.select("label_file", F.rtrim("content", F.lit("\n")).alias("value")).repartition("label_file").write.partitionBy("label_file").text(path)
 
 
-def pose_documents(poses: DataFrame, keys: tuple[str, ...] = ("flight_id", "file_name", "pos")) -> DataFrame:
-    """(file_name, value): one JSON document a flight with its images in order and all their keys."""
-    image = F.struct(*[c for c in poses.columns if c not in keys])
-    docs = poses.groupBy("file_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", image.alias("image")))), lambda x: x["image"]).alias("images"))
-    return docs.select("file_name", F.to_json(F.struct("images")).alias("value"))
+def pose_documents(poses: DataFrame, keys: tuple[str, ...] = ("flight_id", "file_name", "pos", "document")) -> DataFrame:
+    """(file_name, value): one JSON document a flight with its images in order and all their keys, null ones too, and the keys of document beside them."""
+    image = F.struct(*[F.col(f"`{c}`") for c in poses.columns if c not in keys])
+    images = F.array_sort(F.collect_list(F.struct("pos", image.alias("image"))), lambda a, b: (a["pos"] - b["pos"]).cast("int"))
+    beside = [F.min_by("document", "pos").alias("document")] if "document" in poses.columns else []
+    docs = poses.groupBy("file_name").agg(F.transform(images, lambda x: x["image"]).alias("images"), *beside)
+    return docs.select("file_name", F.to_json(F.struct(*(["document.*"] if beside else []), "images"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_poses(poses: DataFrame, path: str) -> None:
