@@ -83,8 +83,12 @@ def mosaic(tiles: list[DataFrame]) -> DataFrame:
     return out.groupBy("x", "y").agg(F.min_by(F.struct(*rest), "rank").alias("r")).select("x", "y", "r.*")
 
 
-def clip_cells(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float, bin_m: float = 50_000.0) -> DataFrame:
-    """(flight_id, cell…) for each cell that touches a flight's box (min_x … max_y): a range join made an equi-join on bins of the plane."""
+def clip_cells(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float, bin_m: float | None = None) -> DataFrame:
+    """(flight_id, cell…) for each cell that touches a flight's box (min_x … max_y): a range join made an equi-join on bins of the plane.
+
+    A bin is as wide as the boxes are on average, and as a cell at least, so that a cell meets few boxes that it does not touch."""
+    if bin_m is None:
+        bin_m = max(cell_w, cell_h, boxes.agg(F.avg(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0] or 0.0)
     span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bin_m), F.floor(hi / bin_m)))
     c = cells.withColumn("bx", span(F.col("x"), F.col("x") + cell_w)).withColumn("by", span(F.col("y"), F.col("y") + cell_h))
     b = boxes.select("flight_id", "min_x", "min_y", "max_x", "max_y").withColumn("bx", span(F.col("min_x"), F.col("max_x"))).withColumn("by", span(F.col("min_y"), F.col("max_y")))
@@ -94,6 +98,23 @@ def clip_cells(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float,
     return c.join(b, ["bx", "by"]).where(touch & first).select("flight_id", *cells.columns)
 
 
+def cells_in_box(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float, width: float, height: float) -> DataFrame:
+    """(flight_id, row_i, col_i, x, y, elev): each flight's box as a grid of its own cells of width and height, resampled bilinearly from cells of another size; row 0 is the northernmost."""
+    n = lambda lo, hi, step: F.greatest(F.lit(1), F.ceil((F.col(hi) - F.col(lo)) / step)).cast("int")
+    grid = boxes.select("flight_id", "min_x", "min_y", n("min_x", "max_x", width).alias("nx"), n("min_y", "max_y", height).alias("ny"))
+    grid = grid.withColumn("col_i", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).withColumn("row_i", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
+    x, y = F.col("min_x") + F.col("col_i") * width, F.col("min_y") + (F.col("ny") - 1 - F.col("row_i")) * height
+    points = grid.select(F.struct("flight_id", "row_i", "col_i", x.alias("x"), y.alias("y")).alias("point_id"), (x + width / 2).alias("px"), (y + height / 2).alias("py"))
+    return resample_bilinear(cells, points, cell_w, cell_h).select("point_id.*", "elev")
+
+
+def mesh_tables(cells: DataFrame, cell_w: float, cell_h: float, factor: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices, faces and normals of valid cells, every factor-th row and column."""
+    origin, small = dem_origin(cells), decimate_cells(cells, factor)
+    vertices, faces = grid_vertices(small, origin, cell_w, cell_h, factor), grid_faces(small)
+    return vertices, faces, vertex_normals(faces, vertices)
+
+
 def resample_bilinear(cells: DataFrame, points: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
     """points (point_id, px, py) with the elevation from the centres of the four cells around; null if one is missing or invalid."""
     gx, gy = F.col("px") / cell_w - 0.5, F.col("py") / cell_h - 0.5

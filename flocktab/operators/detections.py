@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRACK = ["seq_id", "track_id"]
@@ -106,13 +106,19 @@ def in_output_order(det: DataFrame) -> DataFrame:
 
 
 def available_frames(det: DataFrame, limit: int = 20) -> DataFrame:
-    """The first frames of each file that have a detection."""
-    return det.select("seq_id", "frame").distinct().groupBy("seq_id").agg(F.slice(F.sort_array(F.collect_list("frame")), 1, limit).alias("frames"))
+    """One row a file: its first frames that have a detection."""
+    return first_frames(det, limit).groupBy("seq_id").agg(F.sort_array(F.collect_list("frame")).alias("frames"))  # of limit rows at most
 
 
 def first_frames(det: DataFrame, limit: int = 20) -> DataFrame:
-    """The first frames of one file's detections."""
-    return det.select("frame").distinct().orderBy("frame").limit(limit)
+    """The first frames that have a detection, for each file."""
+    w = Window.partitionBy("seq_id").orderBy("frame")
+    return det.select("seq_id", "frame").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).drop("k")
+
+
+def distinct_text(det: DataFrame, col: str) -> DataFrame:
+    """The distinct values of a column, as text and in the order of text; one row each, sorted by range."""
+    return det.select(F.col(col).cast("string").alias(col)).distinct().orderBy(col)
 
 
 def decode_class(det: DataFrame, classes: DataFrame) -> DataFrame:
@@ -125,7 +131,7 @@ def species_summary(det: DataFrame) -> DataFrame:
     return det.groupBy("species").agg(F.count_distinct(*TRACK).alias("tracks"), F.count_if(F.col("is_propagated") == "0").alias("key_frames"))
 
 
-def dataset_overview(det: DataFrame) -> DataFrame:
+def survey_overview(det: DataFrame) -> DataFrame:
     """One row: sequences, tracks, key frames, interpolated boxes, classes and frames' span."""
     return det.agg(F.count_distinct("seq_id").alias("sequences"), F.count_distinct(*TRACK).alias("tracks"), F.count_if(F.col("is_propagated") == "0").alias("key_frames"),
                    F.count_if(F.col("is_propagated") == "1").alias("interpolated"), F.count_distinct("class_id").alias("classes"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))

@@ -58,14 +58,14 @@ def species_attributes(occlusion: bool | None = None, sex: list[str] = (), age:
     return test
 
 
-def filter_flights(flights: DataFrame, weather=(), min_date=None, max_date=None, drone=(), species=(), occlusion=None, sex=(), age=(), strict: bool = False, fields: dict[str, str] | None = None) -> DataFrame:
-    """Flights that pass all given filters, of whose species one and the same entry passes; without any filter, all flights.
+def flight_filter(weather=(), min_date=None, max_date=None, drone=(), species=(), occlusion=None, sex=(), age=(), strict: bool = False, fields: dict[str, str] | None = None) -> Column:
+    """Whether a flight passes all given filters, and one and the same entry of its species; without any filter, true.
 
     fields: the columns of weather, start_time, drone_name and species_present.
     """
     at = {"weather": "flight_info.weather", "start_time": "flight_info.start_time", "drone_name": "flight_info.drone_name", "species_present": "species_present"} | (fields or {})
     if not (weather or min_date or max_date or drone or species or occlusion is not None or sex or age):
-        return flights
+        return F.lit(True)
     tests = []
     if weather:
         tests.append(weather_any(F.col(at["weather"]), list(weather), strict))
@@ -74,16 +74,31 @@ def filter_flights(flights: DataFrame, weather=(), min_date=None, max_date=None,
     if drone:
         tests.append(drone_like(F.col(at["drone_name"]), list(drone)))
     tests.append(F.exists(species_candidates(F.col(at["species_present"]), list(species)), species_attributes(occlusion, list(sex), list(age))))
-    return flights.where(reduce(and_, tests))
+    return reduce(and_, tests)
 
 
-def match_details(matches: DataFrame, flights: DataFrame) -> DataFrame:
-    """Report of the matching flights: drone, start, weather names, species names, frames."""
-    info = flights.select("flight_key", F.col("flight_info.drone_name").alias("drone_name"), F.col("flight_info.start_time").alias("start_time"), decode_weather(F.col("flight_info.weather")).alias("weather"),
-                          F.array_join(F.array_sort(F.transform(F.coalesce(F.map_values("species_present"), F.array()), lambda s: s["species_name"])), ", ").alias("species"), "frame_count")
-    return info.join(matches.select("flight_key"), "flight_key")
+def filter_flights(flights: DataFrame, **filters) -> DataFrame:
+    return flights.where(flight_filter(**filters))
 
 
-def match_count(matches: DataFrame, flights: DataFrame) -> DataFrame:
-    """One row: matched and total."""
-    return matches.agg(F.count("*").alias("matched")).join(flights.agg(F.count("*").alias("total")))
+def in_file_order(flights: DataFrame, col: str = "file_name") -> DataFrame:
+    """Names as text: 0, 100, 101, ..., 2."""
+    return flights.orderBy(col)
+
+
+def match_details(matches: DataFrame) -> DataFrame:
+    """Report of the matching flights: drone, start, weather names, species names in the map's order, frames."""
+    names = F.transform(F.coalesce(F.map_values("species_present"), F.array()), lambda s: s["species_name"])
+    return matches.select("flight_key", F.col("flight_info.drone_name").alias("drone_name"), F.col("flight_info.start_time").alias("start_time"), decode_weather(F.col("flight_info.weather")).alias("weather"),
+                          F.array_join(names, ", ").alias("species"), "frame_count")
+
+
+def match_count(flights: DataFrame, **filters) -> DataFrame:
+    """One row: matched and total, counted in one pass."""
+    return flights.agg(F.count_if(flight_filter(**filters)).alias("matched"), F.count("*").alias("total"))
+
+
+def flight_overview(flights: DataFrame) -> DataFrame:
+    """One row: hours in flight, first start and last end (or start, where no end is known)."""
+    start, end = (F.try_to_timestamp(F.col(f"flight_info.{c}").cast("string")) for c in ("start_time", "end_time"))
+    return flights.agg((F.sum(F.unix_timestamp(end) - F.unix_timestamp(start)) / 3600).alias("flight_hours"), F.min(start).alias("period_start"), F.max(F.coalesce(end, start)).alias("period_end"))

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flocktab.functions.projection import forward
-from flocktab.functions.scalar import TILE, TILE_BASE, TILE_PATTERNS, floor_div, round_even, tile_name
+from flocktab.functions.scalar import TILE, TILE_BASE, TILE_PATTERNS, floor_div, fovy, round_even, tile_name
 
 
 def valid_poses(poses: DataFrame) -> DataFrame:
-    """Poses with lat and lon; lon: the first of lng and lon that is neither null nor 0, else longitude."""
-    have = set(poses.columns)
-    first = [F.nullif(F.col(c), F.lit(0.0)) for c in ("lng", "lon") if c in have] + [F.col(c) for c in ("longitude",) if c in have]
-    made = poses.withColumn("lon", F.coalesce(*first))
-    lat = [F.nullif(F.col("lat"), F.lit(0.0))] + ([F.col("latitude")] if "latitude" in have else [])
-    return made.where(F.coalesce(*(lat if len(lat) > 1 else [F.col("lat")])).isNotNull() & F.col("lon").isNotNull())
+    """Poses with lat, 0 included, and lon: the first of lng and lon that is neither null nor 0, else longitude, 0 included."""
+    have = [c for c in ("lng", "lon", "longitude") if c in poses.columns]
+    first = [F.col(c) if c == "longitude" else F.nullif(F.col(c), F.lit(0.0)) for c in have]
+    return poses.withColumn("lon", F.coalesce(*first)).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 def flight_bbox(poses: DataFrame, padding_m: float = 50.0) -> DataFrame:
@@ -62,6 +60,12 @@ def first_available(candidates: DataFrame, available: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
+def dem_tile_plan(poses: DataFrame, available: DataFrame, padding_m: float = 50.0) -> DataFrame:
+    """The tiles that each flight needs, with the best of their urls in available(url), or null."""
+    tiles = tiles_for_box(box_to_crs(flight_bbox(valid_poses(poses), padding_m)))
+    return tiles.join(first_available(tile_urls(tiles), available), "tile", "left")
+
+
 def pair_poses_dem(poses: DataFrame, dem_meta: DataFrame) -> DataFrame:
     """Poses with the elevation model of the same flight; poses without one are left out (see unmatched)."""
     return poses.join(dem_meta, "flight_id")
@@ -79,18 +83,27 @@ def relative_position(paired: DataFrame, crs: str) -> DataFrame:
 
 
 def relative_poses(poses: DataFrame, dem_meta: DataFrame, crs_list: list[str]) -> DataFrame:
-    """relative_position for models of several reference systems, named by dem_meta.crs; another system is an error."""
-    paired = pair_poses_dem(poses, dem_meta)
-    known = [relative_position(paired.where(F.col("crs") == c), c) for c in crs_list]
-    other = paired.where(~F.coalesce(F.col("crs").isin(crs_list), F.lit(False)))
-    bad = other.withColumns({"location": F.array(F.raise_error(F.concat(F.lit("no projection for "), F.coalesce("crs", F.lit("null")))).cast("double")), "rotation": F.array("pitch", "roll", "yaw")})
-    out = bad
-    for k in known:
-        out = out.unionByName(k)
-    return out
-
-
-def frame_pose(det: DataFrame, poses: DataFrame) -> DataFrame:
-    """The camera of each annotated frame: a frame is its pose's place in the flight."""
+    """relative_position by the reference system that dem_meta.crs names: one join, one CASE; a system not listed is an error."""
+    paired, known = pair_poses_dem(poses, dem_meta), F.col("crs")
+    east = north = F.raise_error(F.concat(F.lit("no projection for "), F.coalesce(known, F.lit("null")))).cast("double")
+    for crs in crs_list:
+        e, n = forward(F.col("lng"), F.col("lat"), crs)
+        east, north = F.when(known == crs, e).otherwise(east), F.when(known == crs, n).otherwise(north)
+    location = [round_even(east - F.col("origin_x"), 6), round_even(north - F.col("origin_y"), 6), round_even(F.col("alt") - F.col("origin_z"), 6)]
+    return paired.withColumns({"location": F.array(*location), "rotation": F.array("pitch", "roll", "yaw")})
+
+
+def frame_pose(det: DataFrame, poses: DataFrame, corrections: DataFrame | None = None, default_fovy: float = 50.0) -> DataFrame:
+    """The camera of each annotated frame: a frame is its pose's place in the flight. With fovy, and the flight's correction
+    (translation, rotation; zero without one) from corrections, by flight_id, or one row for all."""
     frames = det.select(F.col("seq_id").alias("flight_id"), "frame").distinct()
-    return frames.join(poses.withColumnRenamed("pos", "frame"), ["flight_id", "frame"])
+    kind = dict(poses.dtypes).get("fovy")
+    angle = fovy(F.col("fovy"), kind, default_fovy) if kind else F.lit(default_fovy)
+    made = frames.join(poses.withColumnRenamed("pos", "frame"), ["flight_id", "frame"]).withColumn("fovy", angle)
+    zero = F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
+    if corrections is None:
+        return made.withColumns({"translation": zero, "rotation": zero})
+    keyed = "flight_id" in corrections.columns
+    fixed = corrections.select(*(["flight_id"] if keyed else []), F.col("translation").alias("__t"), F.col("rotation").alias("__r"))
+    joined = made.join(fixed, "flight_id", "left") if keyed else made.join(F.broadcast(fixed.limit(1)), how="left")  # one row
+    return joined.withColumns({"translation": F.coalesce("__t", zero), "rotation": F.coalesce("__r", zero)}).drop("__t", "__r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import file_pattern, zip_name
@@ -19,27 +19,34 @@ def flight_index(manifest: DataFrame) -> DataFrame:
 
 def requested(index: DataFrame, ids: list[str] = (), id_range: tuple[int, int] | None = None, parts: list[int] = ()) -> DataFrame:
     """(flight_id) asked for, known or not: ids, and the flights of a range (inclusive, on ids that are integers) or of parts; all without a selector."""
+    if ids and id_range is None and not parts:
+        return given(index, ids).distinct()
+    chosen = index.where(selector((), id_range, parts)).select("flight_id")
+    return (chosen.unionByName(given(index, ids)) if ids else chosen).distinct()
+
+
+def given(index: DataFrame, ids: list[str]) -> DataFrame:
+    return index.sparkSession.createDataFrame([(str(x),) for x in ids], "flight_id string")
+
+
+def selector(ids: list[str] = (), id_range: tuple[int, int] | None = None, parts: list[int] = ()) -> Column:
+    """Whether a row of the index is asked for; without a selector, every one."""
     if not ids and id_range is None and not parts:
-        return index.select("flight_id").distinct()
-    test = F.lit(False)
+        return F.lit(True)
+    test = F.col("flight_id").isin([str(x) for x in ids]) if ids else F.lit(False)
     if id_range is not None:
         test = test | F.coalesce(F.expr("try_cast(flight_id as bigint)").between(*id_range), F.lit(False))
-    if parts:
-        test = test | F.col("part").isin(list(parts))
-    chosen = index.where(test).select("flight_id")
-    if ids:
-        given = index.sparkSession.createDataFrame([(str(x),) for x in ids], "flight_id string")
-        chosen = chosen.unionByName(given)
-    return chosen.distinct()
+    return test | F.col("part").isin(list(parts)) if parts else test
 
 
-def unknown(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """Requested flights that the index does not have."""
-    return asked.join(index, "flight_id", "left_anti")
+def unknown(index: DataFrame, ids: list[str]) -> DataFrame:
+    """Ids asked for that the index does not have; only ids can be unknown, ranges and parts choose from the index."""
+    return given(index, ids).distinct().join(index, "flight_id", "left_anti")
 
 
-def resolve_flights(index: DataFrame, asked: DataFrame) -> DataFrame:
-    return index.join(asked, "flight_id", "left_semi")
+def resolve_flights(index: DataFrame, ids: list[str] = (), id_range: tuple[int, int] | None = None, parts: list[int] = ()) -> DataFrame:
+    """The rows of the index that are asked for: one filter on it."""
+    return index.where(selector(ids, id_range, parts))
 
 
 def present_flights(files: DataFrame, unzip: bool = False) -> DataFrame:
@@ -72,10 +79,18 @@ def manifest_listing(index: DataFrame) -> DataFrame:
 
 
 def download_plan(to_download: DataFrame) -> DataFrame:
-    """For each deposition: its part, and its flights in numeric order."""
-    key = F.struct(F.expr("try_cast(flight_id as bigint)").alias("n"), F.col("flight_id").alias("flight_id"))
-    flights = F.transform(F.sort_array(F.collect_list(key)), lambda x: x["flight_id"])
-    return to_download.groupBy("deposition_id").agg(F.min("part").alias("part"), F.count("*").alias("n_flights"), flights.alias("flights"))
+    """For each deposition: its part, and its flights in numeric order; with attached urls also these, in that order, and the number of flights without one."""
+    have = "url" in to_download.columns
+    key = F.struct(F.expr("try_cast(flight_id as bigint)").alias("n"), F.col("flight_id").alias("flight_id"), *([F.col("url")] if have else []))
+    made = to_download.groupBy("deposition_id").agg(F.min("part").alias("part"), F.count("*").alias("n_flights"), F.sort_array(F.collect_list(key)).alias("x"), *([F.count_if("failed").alias("n_failed")] if have else []))
+    pick = lambda c: F.transform("x", lambda x: x[c])
+    return made.select("deposition_id", "part", "n_flights", pick("flight_id").alias("flights"), *([pick("url").alias("urls"), "n_failed"] if have else []))
+
+
+def plan_downloads(index: DataFrame, files: DataFrame, listing: DataFrame | None = None, ids: list[str] = (), id_range: tuple[int, int] | None = None, parts: list[int] = (), unzip: bool = False) -> DataFrame:
+    """download_plan of the flights asked for that files do not have yet, with their urls if there is a listing."""
+    plan = skip_existing(resolve_flights(index, ids, id_range, parts), files, unzip)
+    return download_plan(plan if listing is None else attach_urls(plan, listing))
 
 
 def in_id_order(df: DataFrame, col: str = "flight_id") -> DataFrame:

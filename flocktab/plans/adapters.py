@@ -47,7 +47,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flights with flight_info and species_present as they are in the metadata; one row a species was aggregated, so keys are unique."""
     species = load(spark, sf_dir, "flight_species")
-    maps = species.groupBy("flight_key").agg(F.map_from_entries(F.collect_list(F.struct("wikidata_id", F.struct(*[F.col(c) for c in species.columns if c != "flight_key"])))).alias("species_present"))
+    maps = species.groupBy("flight_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("wikidata_id", F.struct(*[F.col(c) for c in species.columns if c != "flight_key"]))))).alias("species_present"))
     base = load(spark, sf_dir, "flights")
     return base.join(maps, "flight_key", "left").withColumn("flight_info", F.struct("weather", F.col("start_time").cast("string").alias("start_time"), "drone_name"))
 

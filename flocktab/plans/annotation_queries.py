@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flocktab.functions import scalar as S
 from flocktab.operators import detections as D
+from flocktab.operators import flights as L
 from flocktab.operators import frames as X
 from flocktab.operators import tracks as T
 from flocktab.sources.readers import class_dictionary
@@ -42,9 +43,12 @@ def flagship_species_boxes(t):
     return filled.groupBy("species").agg(F.count_if(F.col("is_propagated") == "0").alias("key_boxes"), F.count_if(F.col("is_propagated") == "1").alias("filled_boxes"), F.count_distinct("seq_id", "track_id").alias("tracks"))
 
 
-@query("SELECT seq_id, track_id, line_no, frame, lead(frame) OVER w AS next_frame, lead(bb_left) OVER w AS next_left FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no)", DET)
+NEXT = ["frame", *T.BOX, *T.LINEAR]
+
+
+@query("SELECT seq_id, track_id, line_no, frame, " + ", ".join(f"lead({c}) OVER w AS next_{c}" for c in NEXT) + " FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no)", DET)
 def w1_key_segments(t):
-    return T.key_segments(t.detections).select("seq_id", "track_id", "line_no", "frame", F.col("nxt.frame").alias("next_frame"), F.col("nxt.bb_left").alias("next_left"))
+    return T.key_segments(t.detections).select("seq_id", "track_id", "line_no", "frame", *[F.col(f"nxt.{c}").alias(f"next_{c}") for c in NEXT])
 
 
 @query(fill(1) + f"SELECT {', '.join(SHOWN)}, {LINEAR} FROM filled", DET)
@@ -67,9 +71,12 @@ def a16_species_summary(t):
     return D.species_summary(t.detections)
 
 
-@query("SELECT count(DISTINCT seq_id) AS sequences, count(DISTINCT (seq_id, track_id)) AS tracks, count(*) FILTER (is_propagated = '0') AS key_frames, count(*) FILTER (is_propagated = '1') AS interpolated, count(DISTINCT class_id) AS classes, min(frame) AS first_frame, max(frame) AS last_frame FROM detections", DET)
-def a17_dataset_overview(t):
-    return D.dataset_overview(t.detections)
+@query("SELECT count(DISTINCT seq_id) AS sequences, count(DISTINCT (seq_id, track_id)) AS tracks, count(*) FILTER (is_propagated = '0') AS key_frames, count(*) FILTER (is_propagated = '1') AS interpolated, count(DISTINCT class_id) AS classes, min(frame) AS first_frame, max(frame) AS last_frame, any_value(hours) AS flight_hours, any_value(first_day) AS first_day, any_value(last_day) AS last_day FROM detections, (SELECT round(sum(90.0 * frame_count) / 3600, 6) AS hours, CAST(CAST(min(start_time) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(CAST(start_time AS TIMESTAMP) + to_seconds(90 * frame_count)) AS DATE) AS VARCHAR) AS last_day FROM flights)", ("detections", "flights"))
+def a17_survey_overview(t):
+    end = (F.col("flight_info.start_time").cast("timestamp") + F.make_dt_interval(secs=90 * F.col("frame_count"))).cast("string")
+    flights = L.flight_overview(t.full_flights.withColumn("flight_info", F.col("flight_info").withField("end_time", end)))
+    hours = flights.select(F.round("flight_hours", 6).alias("flight_hours"), *[F.col(f"period_{a}").cast("date").cast("string").alias(f"{b}_day") for a, b in (("start", "first"), ("end", "last"))])
+    return D.survey_overview(t.detections).crossJoin(hours)  # one row each
 
 
 @query("SELECT seq_id, line_no, frame, track_id FROM detections ORDER BY seq_id, frame, track_id, line_no", DET)
@@ -151,14 +158,24 @@ def a5_by_track(t):
     return made.select("seq_id", "track_id", F.size("detections").cast("bigint").alias("n"), F.array_join(F.transform("detections", lambda d: d["frame"].cast("string")), ",").alias("frames"))
 
 
-@query("SELECT list_sort(list(DISTINCT CAST(track_id AS VARCHAR))) AS ids FROM detections", DET)
+@query("SELECT DISTINCT CAST(track_id AS VARCHAR) AS track_id FROM detections ORDER BY 1", DET)
 def o3_string_order(t):
-    return t.detections.agg(F.sort_array(F.transform(F.collect_set("track_id"), lambda x: x.cast("string"))).alias("ids"))
+    return D.distinct_text(t.detections, "track_id")
+
 
+@query("SELECT file_name FROM mot_files ORDER BY file_name", ("mot_files",))
+def o4_file_order(t):
+    return L.in_file_order(t.mot_files)
 
-@query("SELECT DISTINCT frame FROM detections WHERE seq_id = '3' ORDER BY frame LIMIT 20", DET)
+
+@query("SELECT seq_id, frame FROM (SELECT seq_id, frame, row_number() OVER (PARTITION BY seq_id ORDER BY frame) AS k FROM (SELECT DISTINCT seq_id, frame FROM detections)) WHERE k <= 20", DET)
 def o5_first_frames(t):
-    return D.first_frames(t.detections.where("seq_id = '3'"))
+    return D.first_frames(t.detections)
+
+
+@query("SELECT seq_id, list(frame ORDER BY frame) AS frames FROM (SELECT seq_id, frame, row_number() OVER (PARTITION BY seq_id ORDER BY frame) AS k FROM (SELECT DISTINCT seq_id, frame FROM detections)) WHERE k <= 20 GROUP BY seq_id", DET)
+def o5_available_frames(t):
+    return D.available_frames(t.detections)
 
 
 @query("SELECT seq_id, frame, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS lines FROM detections GROUP BY seq_id, frame", DET)
@@ -183,10 +200,10 @@ def t6_yolo_box(t):
     return t.detections.select("line_no", *[c.alias(n) for c, n in zip(box, ("cx", "cy", "w", "h"), strict=True)])
 
 
-@query("SELECT line_no, (cx - w / 2) * 640 AS x1, (cy - h / 2) * 512 AS y1 FROM (SELECT line_no, greatest(0.0, least(1.0, (bb_left + bb_width / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (bb_top + bb_height / 2.0) / 512.0)) AS cy, greatest(0.0, least(1.0, bb_width / 640.0)) AS w, greatest(0.0, least(1.0, bb_height / 512.0)) AS h FROM detections)", DET)
+@query("SELECT line_no, (cx - w / 2) * 640 AS x1, (cy - h / 2) * 512 AS y1, (cx + w / 2) * 640 AS x2, (cy + h / 2) * 512 AS y2 FROM (SELECT line_no, greatest(0.0, least(1.0, (bb_left + bb_width / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (bb_top + bb_height / 2.0) / 512.0)) AS cy, greatest(0.0, least(1.0, bb_width / 640.0)) AS w, greatest(0.0, least(1.0, bb_height / 512.0)) AS h FROM detections)", DET)
 def t8_yolo_to_pixels(t):
     x = S.yolo_to_pixels(*S.yolo_box(*[F.col(c) for c in T.BOX], 640.0, 512.0), 640.0, 512.0)
-    return t.detections.select("line_no", x[0].alias("x1"), x[1].alias("y1"))
+    return t.detections.select("line_no", *[c.alias(n) for c, n in zip(x, ("x1", "y1", "x2", "y2"), strict=True)])
 
 
 @query("SELECT line_no, printf('%.2f', conf) AS conf2, printf('%.2f', visibility / 8) AS vis2 FROM detections", DET)
@@ -214,7 +231,7 @@ def j11_decode_class(t):
 
 # Boxes at frames
 
-AT_SQL = fill(1) + """, targets AS (SELECT DISTINCT seq_id, frame FROM detections WHERE frame % 9 = 4),
+AT_SQL = fill(1) + """, targets AS (SELECT seq_id, unnest(range(0, 721)) AS frame FROM (SELECT DISTINCT seq_id FROM detections)),
 ft AS (SELECT f.*, s.frame AS a, s.f1 AS b FROM (SELECT * FROM filled WHERE is_propagated = '1') f JOIN targets USING (seq_id, frame) JOIN seg s ON s.seq_id = f.seq_id AND s.track_id = f.track_id AND s.line_no = f.line_no),
 boxes AS (SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, conf, visibility, species, is_propagated, false AS interp, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM detections JOIN targets USING (seq_id, frame)
  UNION ALL SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, conf, visibility, species, '0', true, a, b FROM ft)
@@ -222,8 +239,8 @@ boxes AS (SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb
 
 
 def _at(t):
-    targets = t.detections.where("frame % 9 = 4").select("seq_id", "frame")
-    return T.boxes_at(t.detections, targets)
+    """Every frame of every sequence."""
+    return T.boxes_at(t.detections, _spans(t).select("seq_id", F.explode(F.sequence("first_frame", "last_frame")).alias("frame")))
 
 
 @query(AT_SQL + f"SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, {LINEAR}, interp, a AS kf_a, b AS kf_b FROM boxes", DET)
@@ -253,29 +270,39 @@ def a18_detections_per_frame(t):
     return T.detections_per_frame(t.detections, _spans(t))
 
 
-TRAIL_SQL = "array_to_string(list_transform(list(CAST(bb_left + CAST(floor(bb_width / 2.0) AS BIGINT) AS VARCHAR)) OVER w, lambda x: x), ',')"
+def trail_sql(lo: str, size: str) -> str:
+    return f"array_to_string(list_transform(list(CAST({lo} + CAST(floor({size} / 2.0) AS BIGINT) AS VARCHAR)) OVER w, lambda x: x), ',')"
+
+
+def trail_text(trail: str = "trail"):
+    """Both coordinates of a trail as text."""
+    return [F.array_join(F.transform(F.col(f"{trail}.c{c}"), lambda v: v.cast("string")), ",").alias(f"{c}s") for c in "xy"]
+
+
+TRAIL_SQL = f"{trail_sql('bb_left', 'bb_width')} AS xs, {trail_sql('bb_top', 'bb_height')} AS ys"
 
 
-@query(f"SELECT line_no, {TRAIL_SQL} AS xs, count(*) OVER w > 1 AS shown FROM detections WHERE frame >= 100 WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", DET)
+@query(f"SELECT line_no, {TRAIL_SQL}, count(*) OVER w > 1 AS shown FROM detections WHERE frame >= 100 WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", DET)
 def w3_track_trails(t):
-    return T.track_trails(t.detections, 5, 100).select("line_no", F.array_join(F.transform("trail", lambda p: p["cx"].cast("string")), ",").alias("xs"), "shown")
+    return T.track_trails(t.detections, 5, 100).select("line_no", *trail_text(), "shown")
 
 
-@query(fill(1) + f", shown AS (SELECT * FROM filled WHERE frame >= 100 AND frame < 160), tr AS (SELECT *, row_number() OVER (PARTITION BY seq_id, track_id ORDER BY frame, line_no) AS k FROM shown){SPANS} SELECT g.seq_id, g.frame, count(t.line_no) AS n_detections, count(*) FILTER (t.k > 1) AS n_trails FROM grid g LEFT JOIN tr t ON t.seq_id = g.seq_id AND t.frame = g.frame WHERE g.frame >= 100 AND g.frame < 160 GROUP BY g.seq_id, g.frame", DET)
+@query(fill(1) + f", shown AS (SELECT * FROM filled WHERE frame >= 100 AND frame < 160), tr AS (SELECT *, row_number() OVER (PARTITION BY seq_id, track_id ORDER BY frame, line_no) AS k FROM shown){SPANS} SELECT g.seq_id, g.frame, count(t.line_no) AS n_detections, count(*) FILTER (t.k > 1) AS n_trails, coalesce(sum(least(t.k, 20)), 0) AS n_points, coalesce(sum(bb_left + bb_width + bb_top + bb_height), 0) AS corners FROM grid g LEFT JOIN tr t ON t.seq_id = g.seq_id AND t.frame = g.frame WHERE g.frame >= 100 AND g.frame < 160 GROUP BY g.seq_id, g.frame", DET)
 def p12_annotated_frames(t):
     rows = T.track_trails(D.frame_window(T.interpolate_tracks(t.detections), 100, 160), 20, 100)
     spans = _spans(t).select("seq_id", F.lit(100).cast("bigint").alias("first_frame"), F.lit(159).cast("bigint").alias("last_frame"))
-    return T.frame_grid(rows, spans).groupBy("seq_id", "frame").agg(F.count("line_no").alias("n_detections"), F.count_if("shown").alias("n_trails"))
+    return T.frame_grid(rows, spans).groupBy("seq_id", "frame").agg(
+        F.count("line_no").alias("n_detections"), F.count_if("shown").alias("n_trails"), F.coalesce(F.sum(F.size("trail")), F.lit(0)).alias("n_points"), F.coalesce(F.sum(F.col("bb_left") + F.col("bb_width") + F.col("bb_top") + F.col("bb_height")), F.lit(0)).alias("corners"))
 
 
 # Neighbouring frames
 
-NEAR = ", centres AS (SELECT DISTINCT seq_id, frame AS centre FROM detections WHERE frame % 50 = 0), near AS (SELECT d.*, c.centre FROM centres c JOIN detections d ON d.seq_id = c.seq_id AND d.frame BETWEEN c.centre - 15 AND c.centre + 15)"
+NEAR = ", centres AS (SELECT DISTINCT seq_id, frame AS centre FROM detections), near AS (SELECT d.*, c.centre FROM centres c JOIN detections d ON d.seq_id = c.seq_id AND d.frame BETWEEN c.centre - 15 AND c.centre + 15)"
 MERGED = NEAR + ", merged AS (SELECT seq_id, centre, track_id, arg_min(class_id, (frame, line_no)) AS class_id, min(bb_left) AS x_min, min(bb_top) AS y_min, max(bb_left + bb_width) AS x_max, max(bb_top + bb_height) AS y_max FROM near GROUP BY seq_id, centre, track_id)"
 
 
 def _near(t):
-    return T.neighbour_labels(t.detections, t.detections.where("frame % 50 = 0").select("seq_id", F.col("frame").alias("centre")).distinct())
+    return T.neighbour_labels(t.detections, t.detections.select("seq_id", F.col("frame").alias("centre")).distinct())
 
 
 @query(NEAR + " SELECT seq_id, centre, frame, line_no FROM near", DET)
@@ -288,16 +315,16 @@ def a9_merge_track_boxes(t):
     return T.merge_track_boxes(_near(t))
 
 
-@query(MERGED + " SELECT seq_id, centre, track_id, class_id, greatest(0.0, least(1.0, (x_min + (x_max - x_min) / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (x_max - x_min) / 640.0)) AS w FROM merged", DET)
+@query(MERGED + " SELECT seq_id, centre, track_id, class_id, greatest(0.0, least(1.0, (x_min + (x_max - x_min) / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (y_min + (y_max - y_min) / 2.0) / 512.0)) AS cy, greatest(0.0, least(1.0, (x_max - x_min) / 640.0)) AS w, greatest(0.0, least(1.0, (y_max - y_min) / 512.0)) AS h FROM merged", DET)
 def p13_merged_neighbour_labels(t):
     m = T.merge_track_boxes(_near(t))
     box = S.yolo_box(F.col("x_min"), F.col("y_min"), F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), 640.0, 512.0)
-    return m.select("seq_id", "centre", "track_id", "class_id", box[0].alias("cx"), box[2].alias("w"))
+    return m.select("seq_id", "centre", "track_id", "class_id", *[c.alias(n) for c, n in zip(box, ("cx", "cy", "w", "h"), strict=True)])
 
 
-@query("SELECT line_no, min(bb_left) OVER w AS x_min, max(bb_left + bb_width) OVER w AS x_max FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING)", DET)
+@query("SELECT line_no, min(bb_left) OVER w AS x_min, max(bb_left + bb_width) OVER w AS x_max, min(bb_top) OVER w AS y_min, max(bb_top + bb_height) OVER w AS y_max FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING)", DET)
 def w4_neighbourhood(t):
-    return T.neighbourhood(t.detections).select("line_no", "x_min", "x_max")
+    return T.neighbourhood(t.detections).select("line_no", "x_min", "x_max", "y_min", "y_max")
 
 
 @query("SELECT seq_id, track_id, arg_min(class_id, (frame, line_no)) AS first_class FROM detections GROUP BY seq_id, track_id", DET)

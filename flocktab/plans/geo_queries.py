@@ -10,6 +10,7 @@ from flocktab.functions import projection as P
 from flocktab.functions import scalar as S
 from flocktab.operators import dem as M
 from flocktab.operators import geo as G
+from flocktab.schemas import DEM_META
 from flocktab.sources.writers import dem_documents
 
 from .adapters import CELL_H, CELL_W
@@ -33,9 +34,10 @@ def _laea_sql(lon: str, lat: str) -> tuple[str, str]:
 
 
 def _utm33_sql(lon: str, lat: str) -> tuple[str, str]:
-    """EPSG:32633 in SQL, the Krüger series written out."""
-    radius, alpha, _, _ = P._series()
-    e = math.sqrt(P.FLAT84 * (2 - P.FLAT84))
+    """EPSG:32633 in SQL, the Krüger series with its published numbers for WGS84, not the library's."""
+    # Eccentricity, rectifying radius in metres, and the first four coefficients.
+    e, radius = 0.0818191908426215, 0.9996 * 6367449.145823415
+    alpha = [8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201358e-12]
     t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
     dl = f"radians({lon} - 15)"
     xi, eta = f"atan2({t}, cos({dl}))", f"atanh(sin({dl}) / sqrt(1 + {t} * {t}))"
@@ -62,10 +64,11 @@ def a1_flight_bbox(t):
     return b.select("flight_id", *[F.round(c, 8).alias(c) for c in b.columns[1:]])
 
 
-@query("SELECT flight_id, pos, CASE WHEN pos % 3 = 0 THEN 11.0 ELSE lng END AS lon FROM poses WHERE NOT (pos % 3 = 1 AND pos % 2 = 0)", POSES)
+@query("SELECT flight_id, pos, CASE WHEN pos % 7 = 3 THEN 0.0 ELSE lat END AS lat, CASE WHEN pos % 3 = 0 THEN 11.0 ELSE lng END AS lon FROM poses WHERE NOT (pos % 3 = 1 AND pos % 2 = 0) AND pos % 7 <> 5", POSES)
 def f15_valid_poses(t):
-    hurt = t.poses.withColumns({"lng": F.expr("CASE WHEN pos % 3 = 0 THEN 0.0D WHEN pos % 3 = 1 AND pos % 2 = 0 THEN NULL ELSE lng END"), "longitude": F.expr("CASE WHEN pos % 3 = 0 THEN 11.0D END")})
-    return G.valid_poses(hurt).select("flight_id", "pos", "lon")
+    """With lat null (latitude does not stand in for it), lat 0, lng 0 and lng null among the poses."""
+    hurt = t.poses.withColumns({"lat": F.expr("CASE WHEN pos % 7 = 3 THEN 0.0D WHEN pos % 7 <> 5 THEN lat END"), "latitude": F.lit(47.0), "lng": F.expr("CASE WHEN pos % 3 = 0 THEN 0.0D WHEN pos % 3 = 1 AND pos % 2 = 0 THEN NULL ELSE lng END"), "longitude": F.expr("CASE WHEN pos % 3 = 0 THEN 11.0D END")})
+    return G.valid_poses(hurt).select("flight_id", "pos", "lat", "lon")
 
 
 @query(f"SELECT flight_id, pos, round({_laea_sql('lng', 'lat')[0]}, 4) AS x3035, round({_laea_sql('lng', 'lat')[1]}, 4) AS y3035, round({_utm33_sql('lng', 'lat')[0]}, 4) AS x32633, round({_utm33_sql('lng', 'lat')[1]}, 4) AS y32633 FROM poses", POSES)
@@ -110,6 +113,12 @@ def p7_dem_tile_plan(t):
     return urls.groupBy("flight_id").agg(F.count_distinct("tile").alias("tiles"), F.array_join(F.array_sort(F.collect_set("tile")), ",").alias("names"), F.min("url").alias("url"))
 
 
+@query(URLS + ", best AS (SELECT tile, min(priority) AS priority, arg_min(url, priority) AS url FROM urls WHERE length(url) + priority <> 96 AND priority > 0 GROUP BY tile) SELECT flight_id, t.north, t.east, tile, priority, url FROM (SELECT *, 'N' || north || 'E' || east AS tile FROM tiles) t LEFT JOIN best USING (tile)", POSES)
+def p7_available_tiles(t):
+    urls = G.tile_urls(G.tiles_for_box(_boxes(t)))
+    return G.dem_tile_plan(t.poses, urls.where("length(url) + priority <> 96 and priority > 0")).select("flight_id", "north", "east", "tile", "priority", "url")
+
+
 PAIR = ("poses", "dem_meta")
 #: Moves six-digit values off the ties of rounding to three, where two engines may differ.
 OFF = 0.00012345678
@@ -131,9 +140,13 @@ def t28_p10_relative_poses(t):
     return made.select("flight_id", "pos", *[F.round(F.col("location")[k] + OFF, 3).alias(f"loc_{c}") for k, c in enumerate("xyz")], *[F.col("rotation")[k].alias(c) for k, c in enumerate(("pitch", "roll", "yaw"))])
 
 
-@query("SELECT DISTINCT p.flight_id, d.frame, p.lat, p.lng, p.alt, 50.0::DOUBLE AS fovy FROM detections d JOIN poses p ON p.flight_id = d.seq_id AND p.pos = d.frame", ("detections", "poses"))
+@query("SELECT DISTINCT p.flight_id, d.frame, p.lat, p.lng, p.alt, CASE WHEN p.pos % 3 = 0 THEN 40.0 + p.roll ELSE 50.0 END AS fovy, coalesce(m.origin_x / 1000, 0.0) AS shift_x, coalesce(m.origin_z, 0.0) AS turn_z FROM detections d JOIN poses p ON p.flight_id = d.seq_id AND p.pos = d.frame LEFT JOIN dem_meta m ON m.flight_id = p.flight_id", ("detections", "poses", "dem_meta"))
 def j9_frame_pose(t):
-    return G.frame_pose(t.detections, t.poses).select("flight_id", "frame", "lat", "lng", "alt", S.fovy(F.array().cast("array<double>")).alias("fovy"))
+    """With an angle, an empty list and none, and flights with and without a correction."""
+    poses = t.poses.withColumn("fovy", F.when(F.col("pos") % 3 == 0, F.array(40 + F.col("roll"), F.lit(1.0))).when(F.col("pos") % 3 == 1, F.array().cast("array<double>")))
+    xyz = lambda x, z: F.struct(x.alias("x"), F.lit(0.0).alias("y"), z.alias("z"))
+    fixed = t.dem_meta.select("flight_id", xyz(F.col("origin_x") / 1000, F.lit(0.0)).alias("translation"), xyz(F.lit(0.0), F.col("origin_z")).alias("rotation"))
+    return G.frame_pose(t.detections, poses, fixed).select("flight_id", "frame", "lat", "lng", "alt", "fovy", F.col("translation.x").alias("shift_x"), F.col("rotation.z").alias("turn_z"))
 
 
 # Elevation cells
@@ -198,17 +211,20 @@ def a12_mesh_bounds(t):
     return M.mesh_bounds(v, f).select(*[F.col(c).cast("double").alias(c) for c in ("min_vx", "max_vx", "min_vy", "max_vy")], "n_vertices", "n_indices")
 
 
-@query(NORMALS + " SELECT v.vertex, vx::DOUBLE AS vx, vy::DOUBLE AS vy, round(nz, 3) + 0.0 AS nz FROM verts v JOIN normals USING (vertex)", CELLS)
+@query(NORMALS + " SELECT v.vertex, vx::DOUBLE AS vx, vy::DOUBLE AS vy, round(vz::DOUBLE, 3) AS vz, round(nx, 3) + 0.0 AS nx, round(ny, 3) + 0.0 AS ny, round(nz, 3) + 0.0 AS nz FROM verts v JOIN normals USING (vertex)", CELLS)
 def p9_dem_mesh_tables(t):
-    _, _, v, f = _grid(t)
-    n = M.vertex_normals(f, v)
-    return v.join(n, ["dem_id", "vertex"]).select("vertex", F.col("vx").cast("double").alias("vx"), F.col("vy").cast("double").alias("vy"), (F.round(F.col("nz").cast("double"), 3) + F.lit(0.0)).alias("nz"))
+    v, _, n = M.mesh_tables(M.valid_elevation(t.dem_cells), CELL_W, CELL_H, 2)
+    plain = lambda c: F.round(F.col(c).cast("double"), 3)
+    return v.join(n, ["dem_id", "vertex"]).select("vertex", F.col("vx").cast("double").alias("vx"), F.col("vy").cast("double").alias("vy"), plain("vz").alias("vz"), *[(plain(c) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
 
 
-@query(VALID + " SELECT dem_id, width, height, origin_z FROM o", CELLS)
+@query(VALID + f" SELECT dem_id, width, height, 'EPSG:32633' AS crs, [{CELL_W}, 0, origin_x, 0, -{CELL_H}, origin_y + height * {CELL_H}, 0, 0, 1]::DOUBLE[] AS transform, [origin_x, origin_y, origin_z] AS origin, round(origin_x, 3) AS back_x, round(origin_y, 3) AS back_y, origin_z AS altitude FROM o", CELLS)
 def k4_dem_documents(t):
+    """All fields; the origin's degrees are projected back."""
     made = dem_documents(M.dem_origin(M.valid_elevation(t.dem_cells)), "EPSG:32633", CELL_W, CELL_H)
-    return made.select("dem_id", F.from_json("value", "width int, height int, origin array<double>").alias("d")).select("dem_id", "d.width", "d.height", F.col("d.origin")[2].alias("origin_z"))
+    d = made.select("dem_id", F.from_json("value", DEM_META).alias("d")).select("dem_id", "d.*")
+    x, y = P.forward(F.col("origin_wgs84.longitude"), F.col("origin_wgs84.latitude"), "EPSG:32633")
+    return d.select("dem_id", "width", "height", "crs", "transform", "origin", F.round(x, 3).alias("back_x"), F.round(y, 3).alias("back_y"), F.col("origin_wgs84.altitude").alias("altitude"))
 
 
 @query(", two AS (SELECT x, y, elev, 0 AS r FROM dem_cells WHERE row_i % 3 = 0 UNION ALL SELECT x, y, -elev, 1 FROM dem_cells) SELECT x, y, arg_min(elev, r) AS elev FROM two GROUP BY x, y", CELLS)
@@ -250,3 +266,19 @@ def p8_dem_cells_for_flight(t):
     cells = M.valid_elevation(M.mosaic([t.dem_cells]))
     boxes = G.box_to_crs(G.flight_bbox(G.valid_poses(t.poses)), "EPSG:32633")
     return M.clip_cells(cells, boxes, CELL_W, CELL_H).groupBy("flight_id").agg(F.count("*").alias("cells"), F.count("elev").alias("valid_cells"), F.min("elev").alias("lowest"))
+
+
+_W, _H = 1.25 * CELL_W, 1.5 * CELL_H
+RESAMPLED = UTM + f""", gr AS (SELECT *, CAST(greatest(1, ceil((max_x - min_x) / {_W})) AS INT) AS nx, CAST(greatest(1, ceil((max_y - min_y) / {_H})) AS INT) AS ny FROM ub),
+gc AS (SELECT *, unnest(range(0, nx)) AS col_i FROM gr), gp AS (SELECT *, unnest(range(0, ny)) AS row_i FROM gc),
+g AS (SELECT flight_id, row_i, col_i, (min_x + col_i * {_W} + {_W / 2}) / {CELL_W} - 0.5 AS gx, (min_y + (ny - 1 - row_i) * {_H} + {_H / 2}) / {CELL_H} - 0.5 AS gy FROM gp),
+k AS (SELECT CAST(floor(x / {CELL_W}) AS BIGINT) AS kx, CAST(floor(y / {CELL_H}) AS BIGINT) AS ky, elev FROM dem_cells WHERE elev <> 0),
+four AS (SELECT flight_id, row_i, col_i, CAST(floor(gx) AS BIGINT) + dx AS kx, CAST(floor(gy) AS BIGINT) + dy AS ky, CASE WHEN dx = 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END * CASE WHEN dy = 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END AS w FROM g, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) c(dx, dy))"""
+
+
+@query(RESAMPLED + " SELECT flight_id, row_i, col_i, CASE WHEN count(elev) = 4 THEN round(sum(elev * w), 3) END AS elev FROM four LEFT JOIN k USING (kx, ky) GROUP BY flight_id, row_i, col_i", ("poses", "dem_cells"))
+def p8_resampled_cells(t):
+    """Each flight's box as a grid of its own, from the mosaic's valid cells."""
+    boxes = G.box_to_crs(G.flight_bbox(G.valid_poses(t.poses)), "EPSG:32633")
+    made = M.cells_in_box(M.valid_elevation(M.mosaic([t.dem_cells])), boxes, CELL_W, CELL_H, _W, _H)
+    return made.select("flight_id", "row_i", "col_i", F.round("elev", 3).alias("elev"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,11 @@ class Tables:
         return adapters.flights(self.spark, self.sf_dir) if name == "full_flights" else adapters.load(self.spark, self.sf_dir, name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a new one under /tmp only where it is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+
+
 def query(sql: str | None = None, needs: tuple[str, ...] = (), recursive: bool = False):
     """Registers f(tables) under its name; sql follows a WITH clause of the adapters it needs, and may begin with a comma to add to it."""
 
@@ -34,4 +40,4 @@ def query(sql: str | None = None, needs: tuple[str, ...] = (), recursive: bool =
     return add
 
 
-from . import annotation_queries, geo_queries, release_queries, stream_queries  # noqa: E402, F401  they register themselves
+from . import annotation_queries, file_queries, geo_queries, release_queries, stream_queries  # noqa: E402, F401  they register themselves

@@ -47,8 +47,11 @@ def f5_species_attributes(t):
 P1 = "SELECT DISTINCT f.flight_key FROM flights f JOIN flight_species s USING (flight_key) WHERE (weather & 3) <> 0 AND CAST(start_time AS DATE) >= DATE '1994-01-01' AND contains(lower(drone_name), 'mavic') AND contains(lower(species_name), 'deer') AND contains_unoccluded_frames AND contains_juvenile"
 
 
+FILTERS = {"weather": ["sunny", "cloudy"], "min_date": "1994-01-01", "drone": ["mavic"], "species": ["deer"], "occlusion": False, "age": ["juvenile"]}
+
+
 def _matches(t):
-    return L.filter_flights(t.full_flights, weather=["sunny", "cloudy"], min_date="1994-01-01", drone=["mavic"], species=["deer"], occlusion=False, age=["juvenile"])
+    return L.filter_flights(t.full_flights, **FILTERS)
 
 
 @query(P1, FL)
@@ -56,14 +59,14 @@ def f6_p1_filter_flights(t):
     return _matches(t).select("flight_key")
 
 
-@query(", m AS (" + P1 + "), s AS (SELECT flight_key, string_agg(species_name, ', ' ORDER BY species_name) AS species FROM flight_species GROUP BY flight_key) SELECT f.flight_key, drone_name, frame_count, species, list_filter([CASE WHEN weather & 1 <> 0 THEN 'sunny' END, CASE WHEN weather & 2 <> 0 THEN 'cloudy' END, CASE WHEN weather & 4 <> 0 THEN 'rainy' END, CASE WHEN weather & 8 <> 0 THEN 'snowy' END, CASE WHEN weather & 16 <> 0 THEN 'windy' END, CASE WHEN weather & 32 <> 0 THEN 'foggy' END], lambda x: x IS NOT NULL) AS weather FROM flights f JOIN m USING (flight_key) JOIN s USING (flight_key)", FL)
+@query(", m AS (" + P1 + "), s AS (SELECT flight_key, string_agg(species_name, ', ' ORDER BY wikidata_id) AS species FROM flight_species GROUP BY flight_key) SELECT f.flight_key, drone_name, frame_count, species, list_filter([CASE WHEN weather & 1 <> 0 THEN 'sunny' END, CASE WHEN weather & 2 <> 0 THEN 'cloudy' END, CASE WHEN weather & 4 <> 0 THEN 'rainy' END, CASE WHEN weather & 8 <> 0 THEN 'snowy' END, CASE WHEN weather & 16 <> 0 THEN 'windy' END, CASE WHEN weather & 32 <> 0 THEN 'foggy' END], lambda x: x IS NOT NULL) AS weather FROM flights f JOIN m USING (flight_key) JOIN s USING (flight_key)", FL)
 def j12_match_details(t):
-    return L.match_details(_matches(t), t.full_flights).select("flight_key", "drone_name", "frame_count", "species", "weather")
+    return L.match_details(_matches(t)).select("flight_key", "drone_name", "frame_count", "species", "weather")
 
 
 @query("SELECT (SELECT count(*) FROM (" + P1 + ")) AS matched, (SELECT count(*) FROM flights) AS total", FL)
 def a13_match_count(t):
-    return L.match_count(_matches(t), t.full_flights)
+    return L.match_count(t.full_flights, **FILTERS)
 
 
 @query("SELECT flight_key, weather AS encoded, CASE WHEN weather = 0 THEN 1 ELSE bit_count(weather) END AS names FROM flights", ("flights",))
@@ -104,25 +107,22 @@ def p6_a14_flight_index(t):
 ASK = ", asked AS (SELECT flight_id FROM manifest_flights WHERE CAST(flight_id AS BIGINT) BETWEEN 100 AND 900 OR part IN (3, 4) UNION SELECT unnest(['7', '14', 'nope']))"
 
 
-def _asked(t, index):
-    return R.requested(index, ["7", "14", "nope"], (100, 900), [3, 4])
+ASKED = {"ids": ["7", "14", "nope"], "id_range": (100, 900), "parts": [3, 4]}
 
 
 @query(ASK + " SELECT flight_id FROM asked", MF)
 def u1_requested(t):
-    return _asked(t, _index(t))
+    return R.requested(_index(t), **ASKED)
 
 
 @query(ASK + " SELECT flight_id FROM asked EXCEPT SELECT flight_id FROM manifest_flights", MF)
 def u2_unknown(t):
-    index = _index(t)
-    return R.unknown(_asked(t, index), index)
+    return R.unknown(_index(t), ASKED["ids"])
 
 
 @query(ASK + " SELECT flight_id, part FROM manifest_flights WHERE flight_id IN (SELECT flight_id FROM asked)", MF)
 def j4_resolve_flights(t):
-    index = _index(t)
-    return R.resolve_flights(index, _asked(t, index)).select("flight_id", "part")
+    return R.resolve_flights(_index(t), **ASKED).select("flight_id", "part")
 
 
 @query("SELECT flight_id FROM manifest_flights WHERE NOT (CAST(flight_id AS BIGINT) % 3 = 0 OR CAST(flight_id AS BIGINT) % 5 = 0)", MF)
@@ -132,8 +132,11 @@ def j5_skip_existing(t):
 
 @query("SELECT flight_id, CASE WHEN part % 4 <> 0 THEN 'https://files/' || part || '/' || flight_id END AS url, part % 4 = 0 AS failed FROM manifest_flights", MF)
 def j6_attach_urls(t):
-    listing = t.manifest_flights.where("part % 4 <> 0").select("deposition_id", F.concat(F.lit("flight_"), "flight_id", F.lit(".zip")).alias("name"), F.concat(F.lit("https://files/"), F.col("part").cast("string"), F.lit("/"), "flight_id").alias("url"))
-    return R.attach_urls(_index(t), listing).select("flight_id", "url", "failed")
+    return R.attach_urls(_index(t), _listing(t)).select("flight_id", "url", "failed")
+
+
+def _listing(t):
+    return t.manifest_flights.where("part % 4 <> 0").select("deposition_id", F.concat(F.lit("flight_"), "flight_id", F.lit(".zip")).alias("name"), F.concat(F.lit("https://files/"), F.col("part").cast("string"), F.lit("/"), "flight_id").alias("url"))
 
 
 @query("SELECT part, count(*) AS flights, arg_min(flight_id, CAST(flight_id AS BIGINT)) AS first_id, arg_max(flight_id, CAST(flight_id AS BIGINT)) AS last_id, '<id>_gt.txt, <id>_' || arg_min(flight_id, CAST(flight_id AS BIGINT)) || '.mp4' AS files_per_flight FROM manifest_flights GROUP BY part", MF)
@@ -156,8 +159,19 @@ def u5_coverage_diff(t):
     return R.coverage_diff(t.manifest_flights, t.manifest_flights.where("part <= 40"))
 
 
-@query(ASK + " SELECT deposition_id, count(*) AS n_flights FROM manifest_flights WHERE flight_id IN (SELECT flight_id FROM asked) AND CAST(flight_id AS BIGINT) % 3 <> 0 GROUP BY deposition_id", MF)
+@query(ASK + " SELECT deposition_id, min(part) AS part, count(*) AS n_flights, list(flight_id ORDER BY CAST(flight_id AS BIGINT)) AS flights, list(CASE WHEN part % 4 <> 0 THEN 'https://files/' || part || '/' || flight_id END ORDER BY CAST(flight_id AS BIGINT)) AS urls, count(*) FILTER (part % 4 = 0) AS n_failed FROM manifest_flights WHERE flight_id IN (SELECT flight_id FROM asked) AND CAST(flight_id AS BIGINT) % 3 <> 0 GROUP BY deposition_id", MF)
 def p6_download_plan(t):
-    index = _index(t)
-    plan = R.skip_existing(R.resolve_flights(index, _asked(t, index)), _present(t))
-    return R.download_plan(plan).select("deposition_id", "n_flights")
+    return R.plan_downloads(_index(t), _present(t), _listing(t), **ASKED)
+
+
+TWICE = ", twice AS (SELECT flight_id, part, deposition_id, 0 AS line_no FROM manifest_flights UNION ALL SELECT flight_id, part + 100, deposition_id + 100, -1 FROM manifest_flights WHERE part > 20 UNION ALL SELECT flight_id, part - 100, deposition_id - 100, 1 FROM manifest_flights WHERE part > 40)"
+
+
+@query(TWICE + " SELECT flight_id, arg_max(part, line_no) AS part, arg_max(deposition_id, line_no) AS deposition_id FROM twice GROUP BY flight_id", MF)
+def a14_last_part_wins(t):
+    """Flights that two or three parts have: the part that stands last in the list counts, whatever its number."""
+    m = t.manifest_flights.withColumn("line_no", F.lit(0))
+    moved = lambda low, k, at: m.where(F.col("part") > low).withColumns({"part": F.col("part") + k, "deposition_id": F.col("deposition_id") + k, "line_no": F.lit(at)})
+    rows = m.unionByName(moved(20, 100, -1)).unionByName(moved(40, -100, 1))
+    parts = rows.groupBy("line_no", "part", "deposition_id").agg(F.collect_list("flight_id").alias("flights"))
+    return R.flight_index(parts.withColumn("flight_details", F.lit(None).cast("map<string, array<string>>"))).select("flight_id", "part", "deposition_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,51 +10,49 @@ from pyspark.sql import functions as F
 from flocktab.operators import tracks as T
 from flocktab.streaming import tracks as X
 
-from .adapters import ADAPTERS
-from .annotation_queries import DET
-from .registry import query
+from .annotation_queries import DET, TRAIL_SQL, trail_text
+from .registry import query, shared_folder
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The frames at which the arrivals of a replay end; the last one has all that follow.
+ENDS = (180, 360, 540)
 
 
 def replay(t, make) -> DataFrame:
-    """make() of the detections as a stream, written to the folder of spark.checkpoint.dir and read again."""
-    spark = t.spark
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
-    path = f"{t.sf_dir}/events.parquet"
-    table = spark.read.parquet(path)
-    stream = spark.readStream.schema(table.schema)
-    # a stream reads folders; a table of one file is picked from its folder by name
-    alone = table.inputFiles()[0].endswith("/events.parquet")
-    events = stream.option("pathGlobFilter", "events.parquet").parquet(t.sf_dir) if alone else stream.parquet(path)
-    det = spark.sql(ADAPTERS["detections"].replace("FROM events", "FROM {events}"), events=events)
+    """make() of the detections as a stream: they arrive in four parts, by frame, each a run that goes on from the state of the one before; what they write is read back."""
+    spark, folder, det = t.spark, f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}", t.detections
     key = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(key)
     spark.conf.set(key, PROVIDER)
     try:
-        made = make(det).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-        made.awaitTermination()
+        for low, high in zip((None, *ENDS), (*ENDS, None), strict=True):
+            part = det.where(F.lit(True) if low is None else F.col("frame") >= low).where(F.lit(True) if high is None else F.col("frame") < high)
+            part.write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(det.schema).parquet(f"{folder}/in")
+            made = make(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+            made.awaitTermination()
     finally:
         spark.conf.set(key, was)
     return spark.read.parquet(f"{folder}/out")
 
 
-TRAILS = "SELECT line_no, array_to_string(list_transform(list(CAST(bb_left + CAST(floor(bb_width / 2.0) AS BIGINT) AS VARCHAR)) OVER w, lambda x: x), ',') AS xs, count(*) OVER w > 1 AS shown FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+TRAILS = f"SELECT line_no, {TRAIL_SQL}, count(*) OVER w > 1 AS shown FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
 
 
 @query(TRAILS, DET)
 def x1_stream_trails(t):
     made = replay(t, lambda det: X.stream_trails(det, 5))
-    return made.select("line_no", F.array_join(F.transform("trail", lambda p: p["cx"].cast("string")), ",").alias("xs"), "shown")
+    return made.select("line_no", *trail_text(), "shown")
 
 
 GAPS = """, k AS (SELECT *, row_number() OVER (PARTITION BY seq_id, track_id, frame ORDER BY line_no) > 1 AS late FROM detections),
-s AS (SELECT *, lead(frame) OVER w AS f1, lead(bb_left) OVER w AS l1 FROM k WHERE NOT late WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame)),
+s AS (SELECT *, lead(frame) OVER w AS f1, lead(bb_left) OVER w AS l1, lead(bb_top) OVER w AS t1, lead(bb_width) OVER w AS w1, lead(bb_height) OVER w AS h1, lead(conf) OVER w AS c1, lead(visibility) OVER w AS v1 FROM k WHERE NOT late WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame)),
 g AS (SELECT *, unnest(range(frame + 2, f1, 2)) AS gf FROM s WHERE f1 - frame > 2)
-SELECT seq_id, track_id, frame, bb_left, class_id, is_propagated, late FROM k
-UNION ALL SELECT seq_id, track_id, gf, CAST(round_even(bb_left + (l1 - bb_left) * ((gf - frame) / (f1 - frame)), 0) AS INT), class_id, '1', false FROM g"""
+SELECT seq_id, track_id, frame, bb_left, bb_top, bb_width, bb_height, conf, visibility, class_id, species, gender, age, is_propagated, late FROM k
+UNION ALL SELECT seq_id, track_id, gf, CAST(round_even(bb_left + (l1 - bb_left) * ((gf - frame) / (f1 - frame)), 0) AS INT), CAST(round_even(bb_top + (t1 - bb_top) * ((gf - frame) / (f1 - frame)), 0) AS INT), CAST(round_even(bb_width + (w1 - bb_width) * ((gf - frame) / (f1 - frame)), 0) AS INT), CAST(round_even(bb_height + (h1 - bb_height) * ((gf - frame) / (f1 - frame)), 0) AS INT),
+ conf + (c1 - conf) * ((gf - frame) / (f1 - frame)), visibility + (v1 - visibility) * ((gf - frame) / (f1 - frame)), class_id, species, gender, age, '1', false FROM g"""
 
 
 @query(GAPS, DET)
 def x2_stream_gap_fill(t):
-    return replay(t, lambda det: X.stream_gap_fill(det, 2)).select("seq_id", "track_id", "frame", T.BOX[0], "class_id", "is_propagated", "late")
+    return replay(t, lambda det: X.stream_gap_fill(det, 2)).select("seq_id", "track_id", "frame", *T.BOX, *T.LINEAR, "class_id", "species", "gender", "age", "is_propagated", "late")
