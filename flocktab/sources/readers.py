@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -143,8 +144,11 @@ def list_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataF
 
 
 def file_names(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """(file_name) of the files of a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    """(file_name) of the files of a folder, or of one file; empty ones too, which Spark's sources leave out. A listing by the driver, as every read begins with one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [(folder.rstrip("/").rsplit("/", 1)[-1],)] if fs.getFileStatus(path).isFile() else [(x.getPath().getName(),) for x in fs.listStatus(path) if x.isFile() and fnmatch(x.getPath().getName(), glob)]
+    return spark.createDataFrame(names, "file_name string")
 
 
 def class_dictionary(spark: SparkSession) -> DataFrame:

@@ -130,10 +130,10 @@ def test_archives(spark, tmp_path):
 
 
 def test_list_files(spark, tmp_path):
-    for n in ("1_a.MP4", "2_gt.txt", "x.mp4", "3.json"):
+    for n in ("1_a.MP4", "2_gt.txt", "x.mp4", "3.json", "4.ts", "5.webm"):
         (tmp_path / n).write_text("x")
     got = {r["file_name"]: r["id"] for r in R.list_files(spark, str(tmp_path), R.VIDEO_EXTENSIONS).collect()}
-    assert got == {"1_a.MP4": "1", "x.mp4": None}
+    assert got == {"1_a.MP4": "1", "x.mp4": None, "4.ts": None}
 
 
 def test_classes(spark):
@@ -144,3 +144,53 @@ def test_classes(spark):
 def test_dem_cells(spark, tmp_path):
     spark.range(3).select(F.lit("d").alias("dem_id"), F.col("id").cast("int").alias("row_i"), F.lit(0).alias("col_i"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("elev")).write.parquet(str(tmp_path / "c"))
     assert R.read_dem_cells(spark, str(tmp_path / "c")).count() == 3
+
+
+def test_white_space_of_all_kinds(spark, tmp_path):
+    """Lines of white space are no rows where lines are stripped, rows of blanks where they are not; fields are stripped of tabs too."""
+    (tmp_path / "6_gt.txt").write_text("\t\n5,\t1 ,10,10,5,5,1,60,1,\xa0A B\t,0,0,0\t\r6,1,1,1,1,1,1,1,1,C,0,0,0\n \n", encoding="utf-8", newline="")
+    for dialect, n in (("filter", 2), ("frames", 2), ("interp", 2), ("point", 2), ("track", 4), ("yolo", 4)):
+        rows = R.read_mot(spark, str(tmp_path), dialect).orderBy("line_no").collect()
+        assert len(rows) == n, dialect
+        first = next(r for r in rows if r["frame"] == 5)
+        assert (first["track_id"], first["species"], first["is_propagated"]) == (1, "A B", "0")
+    blank = R.read_mot(spark, str(tmp_path), "track").where("frame = 0").first()
+    assert blank["bb_left"] == 0 and blank["conf"] == 0.0 and R.read_mot(spark, str(tmp_path), "yolo").where("frame is null").count() == 2
+
+
+def test_comments_by_dialect(spark, tmp_path):
+    (tmp_path / "7_gt.txt").write_text("#x\n #5,1,1,1,1,1,1,1,1,C,0,0,0\n5,1,1,1,1,1,1,1,1,C,0,0,0\n")
+    assert R.read_mot(spark, str(tmp_path), "yolo").count() == 1 and R.read_mot(spark, str(tmp_path), "point").count() == 1
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):  # only a # in the first place is a comment there
+        R.read_mot(spark, str(tmp_path), "track").collect()
+
+
+def test_null_fields_keep_their_place(spark, tmp_path):
+    (tmp_path / "8_gt.txt").write_text("5,1,1,1,2,2,x,3,,S,1,2,0\n,,4,,,,,,,,,,\n")
+    det = R.read_mot(spark, str(tmp_path), "yolo")
+    lines = [r["line"] for r in W.format_mot(det).orderBy("line_no").collect()]
+    assert lines == ["5,1,1,1,2,2,,3,,S,1,2,0", ",,4,,,,,,,,,,"]
+    labels = {r["label_file"]: r["content"] for r in W.yolo_files(det, 8, 8, ["class_id", "visibility"]).collect()}
+    assert labels["8_5.txt"] == "3- 0.250000 0.250000 0.250000 0.250000\n" and all(len(x.split(" ")) == 5 for x in labels.values())
+
+
+def test_pose_documents_keep_all_keys(spark, tmp_path):
+    images = [{"lat": 1.0, "lng": 2.0, "note": None}, {"lat": 3.0, "lng": 4.0, "note": "x"}]
+    (tmp_path / "0_matched_poses.json").write_text(json.dumps({"images": images, "version": 3, "camera": {"model": "T", "serial": None}}))
+    doc = json.loads(W.pose_documents(R.read_poses(spark, str(tmp_path))).first()["value"])
+    assert doc["images"] == images and doc["version"] == 3 and doc["camera"]["model"] == "T"
+
+
+def test_jobs_write_files(spark, folder, tmp_path):
+    """Files in, files out, an empty one too."""
+    from flocktab.plans import jobs
+
+    out = tmp_path / "jobs"
+    stats = jobs.interpolate_files(spark, folder, str(out / "full"), 1, "_full", glob="[25]_gt.txt").collect()
+    assert (out / "full/2_gt_full.txt").read_text().splitlines() == ["1,1,3,3,2,2,1.00,1,1.00,Z,0,0,0"] + [f"{f},1,{x},{x},2,2,{c},1,1.00,Z,0,0,1" for f, x, c in ((2, 2, "0.78"), (3, 2, "0.56"), (4, 2, "0.34"))] + ["5,1,1,1,2,2,0.12,1,1.00,X,0,0,0", "5,1,2,2,2,2,1.00,1,1.00,Y,0,0,0"]
+    assert (out / "full/5_gt_full.txt").read_text().strip() == "" and [(r["original"], r["interpolated"], r["total"]) for r in stats] == [(3, 3, 6)]
+    kept = jobs.filter_files(spark, folder, str(out / "kept"), "_k", glob="[25]_gt.txt", species=["X", "Z"]).where("seq_id is null").first()
+    assert (out / "kept/2_gt_k.txt").read_text().splitlines() == ["5,1,1,1,2,2,0.12,1,1.00,X,0,0,0", "1,1,3,3,2,2,1.00,1,1.00,Z,0,0,0"] and (kept["total"], kept["kept"]) == (3, 2)
+    found = jobs.label_files(spark, folder, str(out / "labels"), 10, 10, ["class_id"], glob="[25]_gt.txt").first()
+    assert sorted(x.name for x in (out / "labels").iterdir() if not x.name.startswith((".", "_"))) == ["2_1.txt", "2_5.txt"] and (found["frames"], found["labels"]) == (2, 3)
+    assert (out / "labels/2_5.txt").read_text() == "1 0.200000 0.200000 0.200000 0.200000\n1 0.300000 0.300000 0.200000 0.200000\n"
