@@ -17,7 +17,8 @@ Within a group, rows linked by one or two bits are joined first through shared o
 are still apart are compared. Components are found by star contraction over those forests.
 
 Defined results. Null or blank text: fingerprint zero, linked like any other. Null ids: they get the component of
-their fingerprint; a component of null ids only is null. Repeated rows share a fingerprint. Other columns are ignored.
+their fingerprint; a component of null ids only is null. Repeated rows share a fingerprint. A very long text is hashed
+shingle by shingle within its task. An empty table gives an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, join_skewed, small_batches
 from .components import components
 
 SEED, BLOCK, SAMPLE = 42, 8192, 2048
@@ -250,9 +251,11 @@ def links(fps: DataFrame, distance: int = 4, the_plan: Plan | None = None) -> Da
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id) for each row of docs."""
     prints = cut(fingerprints(docs, words, id_col, text_col))
-    each = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(links(each, distance))
-    classes = each.join(found, each["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    smallest = classes.groupBy("c").agg(F.min("first").alias("component_id"))
-    by_print = classes.join(smallest, "c").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    each = cut(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    found = components(links(each, distance)).withColumnRenamed("node", "fp")
+    members = cut(each.select("fp", "first").join(found, "fp"))
+    smallest = cut(members.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    linked = join_skewed(members.select("fp", "component"), smallest, "component").select("fp", "component_id")
+    # alone, a fingerprint's component is its own smallest id; in a component of null ids only, that is null too
+    by_print = cut(each.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    return join_skewed(prints, by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
