@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,12 +26,13 @@ class _Trails(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["frame", "line_no"], kind="stable")
-        held, out = [tuple(x) for x in self.last.get()], []
-        for r in batch.itertuples():
-            held = [*held, (r.bb_left + r.bb_width // 2, r.bb_top + r.bb_height // 2)][-self.n :]
-            out.append((key[0], key[1], r.frame, r.line_no, [{"cx": int(x), "cy": int(y)} for x, y in held], len(held) > 1))
-        self.last.put(held)
-        yield pd.DataFrame(out, columns=["seq_id", "track_id", "frame", "line_no", "trail", "shown"])
+        cx, cy = batch["bb_left"] + batch["bb_width"] // 2, batch["bb_top"] + batch["bb_height"] // 2
+        held = list(self.last.get())
+        centres = [{"cx": int(x), "cy": int(y)} for x, y in [*held, *zip(cx, cy, strict=True)]]
+        ends = range(len(held) + 1, len(centres) + 1)  # a window on the centres for each row
+        trails = [centres[max(0, e - self.n) : e] for e in ends]
+        self.last.put([(c["cx"], c["cy"]) for c in centres[-self.n :]])
+        yield pd.DataFrame({"seq_id": key[0], "track_id": key[1], "frame": batch["frame"].to_numpy(), "line_no": batch["line_no"].to_numpy(), "trail": trails, "shown": [len(t) > 1 for t in trails]})
 
     def close(self) -> None:
         pass
@@ -48,18 +50,28 @@ class _GapFill(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = ["frame", *BOX, "conf", "visibility", "class_id", "species", "gender", "age"]
         batch = pd.concat(list(rows)).sort_values(["frame", "line_no"], kind="stable")
-        a, out = (tuple(self.last.get()) if self.last.exists() else None), []
-        for b, mark in zip(batch[names].itertuples(index=False, name=None), batch["is_propagated"], strict=True):
-            late = a is not None and b[0] <= a[0]
-            if a is not None and not late and b[0] - a[0] > self.step:
-                for f in range(a[0] + self.step, b[0], self.step):
-                    t = (f - a[0]) / (b[0] - a[0])
-                    between = [x + (y - x) * t for x, y in zip(a[1:7], b[1:7], strict=True)]
-                    out.append((*key, f, *[round(x) for x in between[:4]], *between[4:], *a[7:], "1", False))
-            out.append((*key, *b, mark, late))
-            a = a if late else b
-        self.last.update(tuple(x.item() if hasattr(x, "item") else x for x in a))
-        yield pd.DataFrame(out, columns=[*TRACK, *names, "is_propagated", "late"])
+        frames, state = batch["frame"].to_numpy(), tuple(self.last.get()) if self.last.exists() else None
+        before = np.concatenate([[frames[0] - 1 if state is None else state[0]], frames[:-1]])
+        late = frames <= np.maximum.accumulate(before)
+        keys = batch.loc[~late, names]
+        if state is not None:
+            keys = pd.concat([pd.DataFrame([state], columns=names), keys])
+        yield self._between(key, keys.reset_index(drop=True), names)
+        yield pd.DataFrame({"seq_id": key[0], "track_id": key[1], **{c: batch[c].to_numpy() for c in [*names, "is_propagated"]}, "late": late})[[*TRACK, *names, "is_propagated", "late"]]
+        self.last.update(tuple(x.item() if hasattr(x, "item") else x for x in keys.iloc[-1]))
+
+    def _between(self, key, keys: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        """The rows between each key frame and the next, of all gaps at once."""
+        gap = np.diff(keys["frame"].to_numpy())
+        n = (gap - 1) // self.step
+        of = np.repeat(np.arange(len(gap)), n)
+        a, b = keys.iloc[of].reset_index(drop=True), keys.iloc[of + 1].reset_index(drop=True)
+        frame = a["frame"].to_numpy() + self.step * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + 1)
+        share = (frame - a["frame"].to_numpy()) / gap[of]
+        made = {c: a[c].to_numpy() + (b[c].to_numpy() - a[c].to_numpy()) * share for c in [*BOX, "conf", "visibility"]}
+        made |= {c: np.rint(made[c]).astype("int32") for c in BOX}
+        rest = {c: a[c].to_numpy() for c in names if c not in ("frame", *made)}
+        return pd.DataFrame({"seq_id": key[0], "track_id": key[1], "frame": frame, **made, **rest, "is_propagated": "1", "late": False})[[*TRACK, *names, "is_propagated", "late"]]
 
     def close(self) -> None:
         pass
