@@ -1,10 +1,10 @@
 """Line dedup: drop lines that many documents share, all but the ones in the last document that holds them.
 
 Method: the hashes of the lines are range-partitioned with a secondary sort by document and position, and one
-streaming pass over each partition ranks the occurrences of every hash. The hashes are uniform, so their range is cut
-evenly, without a look at the data. Only row_number-like window functions over sorted rows are used, so no group is
-ever held in memory. A hash that a third of all lines share would still fall to one task; each hash is therefore spread
-over `salts` slices of the documents. The pass over a slice settles every occurrence beyond the slice's first `min_docs`
+streaming pass over each partition ranks the occurrences of every hash. Only row_number-like window functions over sorted
+rows are used, so no group is ever held in memory. A hash that a third of all lines share would still fall to one task;
+each hash is therefore spread over `salts` slices of the documents, and what is cut into ranges is the hash of line and
+slice: uniform, so cut evenly, without a look at the data. The pass over a slice settles every occurrence beyond the slice's first `min_docs`
 documents by itself; only the first `min_docs` documents of each slice go on to a second pass that ranks them across
 slices. Both passes together are exact.
 
@@ -34,7 +34,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.hash("id"), F.lit(salts)).alias("slice"), "id", "text_hash", "pos")
     newest = F.col("id").desc_nulls_last()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    top = F.shiftright("h1", 32) + F.lit(1 << 31)  # 0 to 2 ** 32
+    top = F.shiftright(F.xxhash64("h1", "h2", "slice"), 32) + F.lit(1 << 31)  # 0 to 2 ** 32, evenly, however often a key occurs
     ordered = keyed.withColumn("range", F.shiftright(top * n, 32).cast("int")).repartitionById(n, "range").sortWithinPartitions("range", "h1", "h2", "slice", newest, "pos")
     in_slice = Window.partitionBy("range", "h1", "h2", "slice").orderBy(newest)
     first = ordered.withColumn("rank", F.dense_rank().over(in_slice))  # by document: a line's repeats in one document share a rank
