@@ -79,6 +79,36 @@ def p5_label_files(t):
     return t.spark.read.text(target, wholetext=True).select(F.col("_metadata.file_name").alias("label_file"), F.col("value").alias("content"))
 
 
+@query(f"SELECT seq_id || '_gt_gt.txt' AS file_name, {TEXT_SQL} FROM detections WHERE frame >= 10 AND frame < 400 AND (frame - 10) % 5 = 0 AND contains(species, 'deer')", DET)
+def k6_ground_truth_files(t):
+    target = _folder(t)
+    jobs.ground_truth_files(t.spark, _annotations(t), target, 10, 400, 5, "_gt", species=["deer"])
+    return R.read_mot(t.spark, target).select("file_name", *FIELDS)
+
+
+def _texts(t, line) -> DataFrame:
+    """(seq_id, value): the annotation lines of each sequence as one text, each as line(text, place) makes it."""
+    rows = W.format_mot(t.detections).select("seq_id", "line_no", "line")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x, k: line(x["line"], k))
+    return rows.groupBy("seq_id").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
+
+
+@query(f"SELECT seq_id || '_gt.txt' AS file_name, {TEXT_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY line_no) - 1 AS k FROM detections) WHERE k % 5 <> 0 AND k % 7 <> 1", DET)
+def f14_f20_short_and_comment_rows(t):
+    """Every fifth line is a comment, every seventh has five fields only, some lines are empty."""
+    made = lambda x, k: F.when(k % 5 == 0, F.concat(F.lit("# "), x)).when(k % 7 == 1, F.substring_index(x, ",", 5)).when(k % 11 == 3, F.concat(F.lit("\n"), x)).otherwise(x)
+    folder = _named(t, _texts(t, made).withColumn("name", F.concat("seq_id", F.lit("_gt.txt"))))
+    return R.read_mot(t.spark, folder, "point").select("file_name", *FIELDS)
+
+
+@query(f"SELECT 'flight_' || seq_id || '.zip' AS archive, 2 AS members, seq_id || '_gt.txt' AS file_name, seq_id, {TEXT_SQL} FROM detections", DET)
+def s11_mot_archives(t):
+    """Archives of an annotation file and a video each, of one name in all."""
+
+    texts = _texts(t, lambda x, k: x).select(F.concat(F.lit("store:/a/flight_"), "seq_id", F.lit(".zip")).alias("path"), F.create_map(F.concat_ws("/", "seq_id", F.concat("seq_id", F.lit("_gt.txt"))), "value", F.lit("x.mp4"), F.lit("..")).alias("members"))
+    return R.parse_archives(texts.select("path", W.zipped(F.col("members")).alias("content"))).select("archive", "members", "file_name", "seq_id", *FIELDS)
+
+
 FLAGS = ["contains_occluded_frames", "contains_unoccluded_frames", "contains_unknown_sex", "contains_male", "contains_female", "contains_unknown_age", "contains_juvenile", "contains_adult"]
 
 

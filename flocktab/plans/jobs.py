@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flocktab.operators import detections as D
+from flocktab.operators.frames import kept_ground_truth
 from flocktab.operators.tracks import interpolate_tracks
 from flocktab.sources.readers import file_names, read_mot
 from flocktab.sources.writers import plain_names, write_mot, write_yolo, yolo_files
@@ -34,6 +35,14 @@ def filter_files(spark: SparkSession, source: str, target: str, suffix: str = ""
     return D.filter_stats(det, passes)
 
 
+def ground_truth_files(spark: SparkSession, source: str, target: str, start: int = 0, end: int | None = None, rate: int = 1, suffix: str = "", glob: str = "*.txt", **filters) -> DataFrame:
+    """Writes each file with the rows that go beside the extracted frames; gives rows by file."""
+    det = kept_ground_truth(_rows(spark, source, "frames", glob), start, end, rate, **filters)
+    write_mot(det, target, suffix)
+    plain_names(spark, target, "out_file")
+    return det.groupBy("seq_id").agg(F.count("*").alias("rows"))
+
+
 def label_files(spark: SparkSession, source: str, target: str, img_width: int, img_height: int, properties: list[str], glob: str = "*.txt") -> DataFrame:
     """Writes a label file for each sequence and frame; gives frames and labels by sequence."""
     det = read_mot(spark, source, "yolo", glob=glob)

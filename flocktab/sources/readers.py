@@ -137,7 +137,7 @@ MOT_EXTENSIONS = ["txt", "csv"]
 
 
 def list_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
-    """(path, file_name, suffix, length, id) of the files with these suffixes, in any case; contents are not read."""
+    """(path, file_name, suffix, length, id) of the files with these suffixes, in any case; contents are not read. Files without a byte are left out, as in all of Spark's sources."""
     made = spark.read.format("binaryFile").load(folder).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("file_name"))
     suffix = F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1))
     return made.select("path", "file_name", suffix.alias("suffix"), "length", file_id(F.col("file_name")).alias("id")).where(F.col("suffix").isin([e.lower().lstrip(".") for e in extensions]))
@@ -164,6 +164,11 @@ def read_dem_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mot_archives(spark: SparkSession, path: str, dialect: str = "filter", glob: str = "flight_*.zip") -> DataFrame:
     """Detections straight from archives: archive, members (files in it), and the columns of read_mot."""
+    return parse_archives(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content"), dialect)
+
+
+def parse_archives(files: DataFrame, dialect: str = "filter") -> DataFrame:
+    """files (path, content: a zip archive) as detections; an archive is read whole: there is one a flight."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,7 +179,6 @@ def read_mot_archives(spark: SparkSession, path: str, dialect: str = "filter", g
                         if n.lower().endswith(".txt"):
                             yield pd.DataFrame([(path_.rsplit("/", 1)[1], len(names), n.rsplit("/", 1)[-1], z.read(n).decode())], columns=["archive", "members", "file_name", "value"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     texts = files.mapInPandas(members, "archive string, members int, file_name string, value string")
     # the archive travels in the file's name, so that files of one name in two archives stay apart
     lines = mot_lines(texts.withColumn("file_name", F.concat_ws("\t", "archive", F.col("members").cast("string"), "file_name")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import fmt_fixed, yolo_box, yolo_label
@@ -28,6 +31,23 @@ def write_mot(det: DataFrame, path: str, suffix: str = "", order: tuple[str, ...
     lines.repartition("out_file").sortWithinPartitions("out_file", *order).select("out_file", "line").write.partitionBy("out_file").text(path)
 
 
+def zipped(members: Column) -> Column:
+    """A zip archive of a map of names and texts."""
+
+    def one(texts: dict[str, str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in texts.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    @F.pandas_udf("binary")
+    def made(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: one(dict(x)))
+
+    return made(members)
+
+
 def plain_names(spark: SparkSession, path: str, column: str) -> None:
     """Moves the one part of <path>/<column>=<name>/ to <path>/<name>, so that files have their own names: a rename each, by the driver."""
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
