@@ -151,11 +151,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for wave in range(3):
         kept.append(docs.where(F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(3)) == wave))
         kept.compact()
-    # a file that a row comes from is one of the newest manifest, and no tier of it is full: else nothing was compacted
-    kind = kept.read(docs.schema).withColumn("__file", F.col("_metadata.file_name")) if kept.manifest() else kept.read(docs.schema).withColumn("__file", F.lit(None).cast("string"))
-    names = F.broadcast(spark.createDataFrame([(x["path"].rsplit("/", 1)[1], x["tier"]) for x in kept.manifest()], "__file string, tier int"))  # a row a shard
-    full = F.lit(len(kept.full_tiers()))
-    return kind.join(names, "__file", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.col("tier").isNotNull().alias("in_manifest"), full.alias("full_tiers"))
+    # no tier of the newest manifest is full, and it has all rows: else something was not compacted, or lost
+    full, rows = F.lit(len(kept.full_tiers())), F.lit(sum(x["rows"] for x in kept.manifest())).cast("long")
+    return kept.read(docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), full.alias("full_tiers"), rows.alias("manifest_rows"))
 
 
-ORACLE["op5_sharding"] = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS in_manifest, 0 AS full_tiers FROM documents"
+ORACLE["op5_sharding"] = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, 0 AS full_tiers, count(*) OVER () AS manifest_rows FROM documents"
