@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .geo import counted
+
 
 def valid_elevation(cells: DataFrame, nodata: float | None = None) -> DataFrame:
     """nodata and exactly 0 become null."""
@@ -95,7 +97,7 @@ def clip_cells(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float,
     touch = (F.col("x") <= F.col("max_x")) & (F.col("x") + cell_w >= F.col("min_x")) & (F.col("y") <= F.col("max_y")) & (F.col("y") + cell_h >= F.col("min_y"))
     # a pair that shares several bins counts in the first one only
     first = (F.col("bx") == F.greatest(F.floor(F.col("x") / bin_m), F.floor(F.col("min_x") / bin_m))) & (F.col("by") == F.greatest(F.floor(F.col("y") / bin_m), F.floor(F.col("min_y") / bin_m)))
-    return c.join(b, ["bx", "by"]).where(touch & first).select("flight_id", *cells.columns)
+    return c.join(counted(b), ["bx", "by"]).where(touch & first).select("flight_id", *cells.columns)
 
 
 def cells_in_box(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float, width: float, height: float) -> DataFrame:

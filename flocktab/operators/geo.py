@@ -66,9 +66,14 @@ def dem_tile_plan(poses: DataFrame, available: DataFrame, padding_m: float = 50.
     return tiles.join(first_available(tile_urls(tiles), available), "tile", "left")
 
 
+def counted(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has so many rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pair_poses_dem(poses: DataFrame, dem_meta: DataFrame) -> DataFrame:
-    """Poses with the elevation model of the same flight; poses without one are left out (see unmatched)."""
-    return poses.join(dem_meta, "flight_id")
+    """Poses with the elevation model of the same flight, broadcast if there are few; poses without one are left out (see unmatched)."""
+    return poses.join(counted(dem_meta), "flight_id")
 
 
 def unmatched(poses: DataFrame, dem_meta: DataFrame) -> DataFrame:
