@@ -2,7 +2,7 @@
 
 Writing is a Spark job over the pages: of the records with equal payloads of at least `min_revisit` bytes, that with the
 largest id is a response, the others revisit it. The largest id of a payload comes from an aggregation on digests that
-combines before it shuffles. Records are written by Spark's text writer with the WARC separator as line end, at most
+combines before it shuffles; a payload that very many pages have is broadcast, so that its pages meet in no one task. Records are written by Spark's text writer with the WARC separator as line end, at most
 `records` a file and compressed file by file, so archives go wherever Spark can write and each file is published once. A capture's
 offset counts in the uncompressed archive.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
@@ -46,8 +46,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     """One WARC record (string, without its closing separator) for each page."""
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
     base = base.withColumns({"size": F.octet_length("body").cast("long"), "digest": F.sha1(F.col("body").cast("binary"))})
-    shared = base.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null").drop("n")
-    both = base.join(shared, "digest", "left")
+    shared = cut(base.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    # payloads that more than a thousandth of these rows have are fewer than a thousand: broadcast; their rows, and those that ask for nothing, go anywhere
+    heavy = F.broadcast(shared.where(F.col("n") > total / 1000).select("digest", F.col("chosen").alias("sure")))
+    asks = F.col("sure").isNull() & (F.col("size") >= min_revisit)
+    keyed = base.join(heavy, "digest", "left").withColumn("key", F.when(asks, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))))
+    light = shared.where(F.col("n") <= total / 1000).select(F.col("digest").alias("key"), F.col("chosen").alias("may"))
+    both = keyed.join(light, "key", "left").withColumn("chosen", F.coalesce("sure", "may"))
     revisit = F.col("chosen").isNotNull() & ~F.col("id").eqNullSafe(F.col("chosen"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("body")))
@@ -247,8 +253,9 @@ def round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFr
 def histories(merged: DataFrame) -> DataFrame:
     """merged with nth, a capture's place in the history of its URL key. At most one key a range goes on from the one before."""
     merged = cut(merged)
-    last = merged.groupBy("range").agg(F.max_by(F.struct("url_key", "seen"), "pos").alias("x")).select("range", "x.*")  # a row a range
-    first = merged.where("pos = 0").select("range", "url_key")
-    earlier = last.select(F.col("range").alias("before"), "url_key", "seen")
-    carried = first.join(earlier, "url_key").where("before < range").groupBy("range", "url_key").agg(F.sum("seen").alias("carried"))
+    last = merged.groupBy("range").agg(F.max_by(F.struct("url_key", "seen"), "pos").alias("x")).select("x.url_key", "range", F.lit(1).alias("end"), "x.seen")
+    first = merged.where("pos = 0").select("url_key", "range", F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("seen"))
+    so_far = Window.partitionBy("url_key").orderBy("range", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # two rows a range; splitters are of a sample, so ranges are 2 * SPLIT_SAMPLE at most
+    carried = first.unionByName(last).withColumn("carried", F.sum("seen").over(so_far)).where("end = 0 and carried > 0").select("range", "url_key", "carried")
     return merged.join(F.broadcast(carried), ["range", "url_key"], "left").withColumn("nth", F.col("seen") + F.coalesce("carried", F.lit(0))).drop("carried", "seen")
