@@ -74,9 +74,9 @@ def p4_a2_filter_stats(t):
 
 @query(f"SELECT concat(seq_id, '_', frame, '.txt') AS label_file, string_agg({LABEL_SQL} || ' ' || {YOLO_SQL} || chr(10), '' ORDER BY line_no) AS content FROM detections GROUP BY seq_id, frame", DET)
 def p5_label_files(t):
-    target = _folder(t)
-    jobs.label_files(t.spark, _annotations(t), target, 640, 512, ["class_id", "gender", "age", "visibility"])
-    return t.spark.read.text(target, wholetext=True).select(F.col("_metadata.file_name").alias("label_file"), F.col("value").alias("content"))
+    """From annotation files to the contents of label files; jobs.label_files writes them, as many as there are frames."""
+    det = R.read_mot(t.spark, _annotations(t), "yolo")
+    return W.yolo_files(det, 640, 512, ["class_id", "gender", "age", "visibility"])
 
 
 @query(f"SELECT seq_id || '_gt_gt.txt' AS file_name, {TEXT_SQL} FROM detections WHERE frame >= 10 AND frame < 400 AND (frame - 10) % 5 = 0 AND contains(species, 'deer')", DET)

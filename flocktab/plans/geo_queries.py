@@ -35,9 +35,9 @@ def _laea_sql(lon: str, lat: str) -> tuple[str, str]:
 
 def _utm33_sql(lon: str, lat: str) -> tuple[str, str]:
     """EPSG:32633 in SQL, the Krüger series with its published numbers for WGS84, not the library's."""
-    # Eccentricity, rectifying radius in metres, and the first four coefficients.
+    # Eccentricity, rectifying radius in metres, and six coefficients.
     e, radius = 0.0818191908426215, 0.9996 * 6367449.145823415
-    alpha = [8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201358e-12]
+    alpha = [8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201358e-12, 5.711757677865804e-15, 1.4911177312583895e-17]
     t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
     dl = f"radians({lon} - 15)"
     xi, eta = f"atan2({t}, cos({dl}))", f"atanh(sin({dl}) / sqrt(1 + {t} * {t}))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import pandas as pd
@@ -52,13 +53,18 @@ def plain_names(spark: SparkSession, path: str, column: str) -> None:
     """Moves the one part of <path>/<column>=<name>/ to <path>/<name>, so that files have their own names: a rename each, by the driver."""
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in (x.getPath() for x in fs.listStatus(Path(path)) if x.getPath().getName().startswith(f"{column}=")):
-        parts = [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")]
-        if len(parts) != 1:
-            raise ValueError(f"{folder.toString()} has {len(parts)} parts, not one")
-        fs.rename(parts[0], Path(Path(path), unquote(folder.getName().split("=", 1)[1])))
+    parts = [x.getPath() for x in fs.globStatus(Path(f"{path}/{column}=*/part-*")) or []]
+    if len({x.getParent().getName() for x in parts}) < len(parts):
+        raise ValueError(f"a {column} of {path} has several parts")
+
+    def move(part) -> None:
+        folder = part.getParent()
+        fs.rename(part, Path(Path(path), unquote(folder.getName().split("=", 1)[1])))
         fs.delete(folder, True)
 
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, parts))
+
 
 def yolo_files(det: DataFrame, img_width: int, img_height: int, properties: list[str]) -> DataFrame:
     """(label_file, content): the label lines of each sequence and frame, in input order. Of several files of one sequence the last by name counts for a frame. A box without a number has 0 there."""
