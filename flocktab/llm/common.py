@@ -38,13 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_skewed(left: DataFrame, right: DataFrame, on: str, n: str = "n") -> DataFrame:
-    """Inner join of left with right, which has one row a key and in n how many rows of left have it, and is kept (cut).
+def join_skewed(left: DataFrame, right: DataFrame, on: str, total: int, n: str = "n") -> DataFrame:
+    """Inner join of left with right, which has one row a key and in n how many rows of left have it; total: rows of left, or half of them at least.
 
-    Keys that more than a thousandth of all rows have are fewer than a thousand: they are broadcast, so that no task gets
-    all rows of one; the others are shuffled.
+    Keys that more than a thousandth of `total` rows have are fewer than two thousand: they are broadcast, so that no task
+    gets all rows of one; the others are shuffled.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
     heavy = F.broadcast(right.where(F.col(n) > total / 1000))
     light = left.join(heavy.select(on), on, "left_anti").join(right.where(F.col(n) <= total / 1000), on)
     return light.unionByName(left.join(heavy, on)).drop(n)

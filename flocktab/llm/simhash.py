@@ -254,8 +254,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col:
     each = cut(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     found = components(links(each, distance)).withColumnRenamed("node", "fp")
     members = cut(each.select("fp", "first").join(found, "fp"))
-    smallest = cut(members.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
-    linked = join_skewed(members.select("fp", "component"), smallest, "component").select("fp", "component_id")
+    total = each.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    smallest = members.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    linked = join_skewed(members.select("fp", "component"), smallest, "component", total["prints"]).select("fp", "component_id")
     # alone, a fingerprint's component is its own smallest id; in a component of null ids only, that is null too
     by_print = cut(each.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
-    return join_skewed(prints, by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return join_skewed(prints, by_print, "fp", total["rows"]).select(F.col("id").alias(id_col), "fp", "component_id")
