@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, shards, simhash, substring_dedup, toxicity, url_filter, warc
+from . import bpe, decontaminate, fim, line_dedup, quality, resample, secret_scan, shards, simhash, substring_dedup, toxicity, url_filter, warc
 from .common import shared_dir, table
 
 QUERIES = {}
@@ -157,3 +157,64 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_sharding"] = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, 0 AS full_tiers, count(*) OVER () AS manifest_rows FROM documents"
+
+
+@query
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secret_scan.Ledger(spark, f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
+    # two commits to the history: even ids first, then all ids and further rules. Texts of the first are scanned for the further rules alone in the second.
+    ledger.scan(docs.where(F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0), secret_scan.BASE, 1)
+    ledger.scan(docs, secret_scan.RULES, 2)
+    found = ledger.findings(docs, secret_scan.RULES)
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in secret_scan.BASE], F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "first_scan")
+
+
+_KINDS = {
+    "assign": (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    "access": (r"(AKIA[A-Z0-9]+)", 1, 18), "hex": (r"([0-9a-f]+)", 1, 16), "pem": (r"(-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----)", 1, 0),
+    "jwt": (r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 0), "userinfo": (r"(://[^\s/:@]+:[^\s/:@]+@)", 1, 0),
+}
+_MATCHES = ",\n".join(
+    f"""m{k} AS (SELECT r, '{kind}' AS kind, {k} AS k, m, g, sum(length(p) + coalesce(length(before), 0)) OVER (PARTITION BY r ORDER BY i) AS s FROM
+ (SELECT r, i, p, m, g, lag(m) OVER (PARTITION BY r ORDER BY i) AS before FROM (SELECT r, unnest(range(len(m))) AS i, unnest(p[1:len(m)]) AS p, unnest(m) AS m, unnest(g) AS g
+ FROM (SELECT r, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g FROM d WHERE regexp_matches(text, '{pattern}')))) QUALIFY length(g) >= {least})"""
+    for k, (kind, (pattern, group, least)) in enumerate(_KINDS.items())
+)
+ORACLE["op11_secret_scans"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r, min(CASE WHEN coalesce(doc_id, 0) % 2 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY coalesce(text, '')) AS first_scan FROM documents),
+{_MATCHES},
+x AS ({" UNION ALL ".join(f"SELECT r, kind, k, CAST(s AS BIGINT) AS s, concat_ws(':', kind, CAST(s AS BIGINT), CAST(s + length(m) AS BIGINT)) AS span FROM m{k}" for k in range(len(_KINDS)))}),
+a AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+ string_agg(span, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS spans FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, first_scan
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resample.resample(docs, table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42, buckets=10_000)
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    fim.store(docs).write.option("compression", "none").parquet(folder)  # frames are compressed
+    made = fim.digests(fim.transform(spark.read.parquet(folder), seed=1, rate=90, spm=20))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+ORACLE["op13_fill_in_middle"] = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, [CAST('0x' || h[8 * k - 7:8 * k] AS BIGINT) FOR k IN [1, 2, 3, 4]] AS g FROM h),
+c AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+ CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || substring(text, 1, a) || '<S>' || substring(text, b + 1) || '<M>' || substring(text, a + 1, b - a)
+  ELSE '<S>' || substring(text, b + 1) || '<P>' || substring(text, 1, a) || '<M>' || substring(text, a + 1, b - a) END) AS output_sha256, sha256(text) AS restored_sha256 FROM c
+"""
