@@ -1,8 +1,7 @@
-"""Scalar functions as Column expressions. Only fmt_fixed leaves the JVM, for exact decimal text."""
+"""Scalar functions as Column expressions; none leaves the JVM."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +21,36 @@ def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANKS))
 
 
-def fmt_fixed(x: Column, digits: int) -> Column:
-    """Decimal text with the exact binary value rounded half to even; null stays null. A pandas UDF, for text sinks only: no JVM formatter rounds so."""
+def _product_error(x: Column, product: Column, factor: float) -> Column:
+    """What x * factor loses by rounding, exactly: factor has 26 bits at most, so half of x times it is exact (Dekker)."""
+    c = x * F.lit(134217729.0)
+    high = c - (c - x)
+    return (high * F.lit(factor) - product) + (x - high) * F.lit(factor)
+
 
-    @F.pandas_udf("string")
-    def made(v: pd.Series) -> pd.Series:
-        return v.map(lambda y: None if y is None or y != y else f"{y:.{digits}f}").astype(object).where(v.notna(), None)
+def _scaled(x: Column, digits: int) -> Column:
+    """x * 10 ** digits, rounded to the whole number that its exact binary value is nearest to, ties to even; a double below 2 ** 52."""
+    factor = 10.0**digits
+    p = x * F.lit(factor)
+    near, error = F.rint(p), _product_error(x, p, factor)
+    # rint sees the rounded product: only where that is a tie can the lost part decide otherwise
+    up, down = (p - near == 0.5) & (error > 0), (p - near == -0.5) & (error < 0)
+    return F.when(up, near + 1).when(down, near - 1).otherwise(near)
 
-    return made(x.cast("double"))
+
+def fmt_fixed(x: Column, digits: int) -> Column:
+    """Decimal text of up to 7 digits with the exact binary value rounded half to even, as printf has it; null and NaN are null. Below 2 ** 63, beyond that digits may differ."""
+    v = x.cast("double")
+    a = F.abs(v)
+    whole = F.floor(a).cast("bigint")
+    part = _scaled(a - whole, digits).cast("bigint")  # the difference is exact
+    carry, unit = F.when(part >= 10**digits, 1).otherwise(0), 10**digits
+    # half to even looks at the whole number where no digit follows
+    digits_text = F.concat(F.lit("."), F.lpad((part - carry * unit).cast("string"), digits, "0")) if digits else F.lit("")
+    text = F.concat((whole + carry).cast("string"), digits_text) if digits else F.rint(a).cast("bigint").cast("string")
+    sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")  # of -0.0 too
+    large = F.concat(F.abs(v).cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits if digits else ""))
+    return F.when(F.isnan(v) | v.isNull(), F.lit(None).cast("string")).when(a == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, F.when(a < 2.0**63, text).otherwise(large)))
 
 
 def decode_weather(v: Column) -> Column:
@@ -60,7 +81,11 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def round_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)
+    """Half to even, of the exact binary value, up to 7 digits: the nearest double to that decimal. Values of 2 ** 52 / 10 ** digits and more stay as they are."""
+    if not digits:
+        return F.bround(x, 0)
+    v = x.cast("double")
+    return F.when(F.abs(v) < 2.0**52 / 10**digits, _scaled(v, digits) / F.lit(10.0**digits)).otherwise(v)
 
 
 def floor_div(x: Column, n: int) -> Column:

@@ -5,10 +5,12 @@ x, y: a cell's lower left corner; row 0 is the northernmost.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geo import counted
+from .levels import keyed_points, keyed_ranges, keys
 
 
 def valid_elevation(cells: DataFrame, nodata: float | None = None) -> DataFrame:
@@ -85,44 +87,141 @@ def mosaic(tiles: list[DataFrame]) -> DataFrame:
     return out.groupBy("x", "y").agg(F.min_by(F.struct(*rest), "rank").alias("r")).select("x", "y", "r.*")
 
 
-def clip_cells(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float, bin_m: float | None = None) -> DataFrame:
-    """(flight_id, cell…) for each cell that touches a flight's box (min_x … max_y): a range join made an equi-join on bins of the plane.
+def clip_cells(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
+    """(flight_id, cell…) for each cell that touches a flight's box (min_x … max_y): a range join made an equi-join on bins of the boxes' own sizes.
 
-    A bin is as wide as the boxes are on average, and as a cell at least, so that a cell meets few boxes that it does not touch."""
-    if bin_m is None:
-        bin_m = max(cell_w, cell_h, boxes.agg(F.avg(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0] or 0.0)
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bin_m), F.floor(hi / bin_m)))
-    c = cells.withColumn("bx", span(F.col("x"), F.col("x") + cell_w)).withColumn("by", span(F.col("y"), F.col("y") + cell_h))
-    b = boxes.select("flight_id", "min_x", "min_y", "max_x", "max_y").withColumn("bx", span(F.col("min_x"), F.col("max_x"))).withColumn("by", span(F.col("min_y"), F.col("max_y")))
+    A box, with a cell's width to the left and height below, is looked up by the cells' lower left corners: four keys a box at most, one a cell and level."""
+    unit = max(cell_w, cell_h)
+    slack = unit * 1e-6  # the test below decides, not how sums are rounded here
+    b = boxes.select("flight_id", "min_x", "min_y", "max_x", "max_y")
+    b = keyed_ranges(b, [(F.col("min_x") - cell_w - slack, F.col("max_x") + slack), (F.col("min_y") - cell_h - slack, F.col("max_y") + slack)], unit)
     touch = (F.col("x") <= F.col("max_x")) & (F.col("x") + cell_w >= F.col("min_x")) & (F.col("y") <= F.col("max_y")) & (F.col("y") + cell_h >= F.col("min_y"))
-    # a pair that shares several bins counts in the first one only
-    first = (F.col("bx") == F.greatest(F.floor(F.col("x") / bin_m), F.floor(F.col("min_x") / bin_m))) & (F.col("by") == F.greatest(F.floor(F.col("y") / bin_m), F.floor(F.col("min_y") / bin_m)))
-    return c.join(counted(b), ["bx", "by"]).where(touch & first).select("flight_id", *cells.columns)
+    return keyed_points(cells, [F.col("x"), F.col("y")], b, unit).join(counted(b), keys(2)).where(touch).select("flight_id", *cells.columns)
 
 
-def cells_in_box(cells: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float, width: float, height: float) -> DataFrame:
-    """(flight_id, row_i, col_i, x, y, elev): each flight's box as a grid of its own cells of width and height, resampled bilinearly from cells of another size; row 0 is the northernmost."""
+def cells_in_box(cells: DataFrame, boxes: DataFrame, width: float, height: float, grids: DataFrame | None = None) -> DataFrame:
+    """(flight_id, row_i, col_i, x, y, elev): each flight's box as a grid of its own cells of width and height, resampled bilinearly; row 0 is the northernmost.
+
+    boxes name the model in dem_id; without that column all take the one model that cells are (see merged)."""
     n = lambda lo, hi, step: F.greatest(F.lit(1), F.ceil((F.col(hi) - F.col(lo)) / step)).cast("int")
-    grid = boxes.select("flight_id", "min_x", "min_y", n("min_x", "max_x", width).alias("nx"), n("min_y", "max_y", height).alias("ny"))
+    grid = boxes.select("flight_id", "min_x", "min_y", F.col("dem_id") if "dem_id" in boxes.columns else F.lit(MERGED).alias("dem_id"), n("min_x", "max_x", width).alias("nx"), n("min_y", "max_y", height).alias("ny"))
     grid = grid.withColumn("col_i", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).withColumn("row_i", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
     x, y = F.col("min_x") + F.col("col_i") * width, F.col("min_y") + (F.col("ny") - 1 - F.col("row_i")) * height
-    points = grid.select(F.struct("flight_id", "row_i", "col_i", x.alias("x"), y.alias("y")).alias("point_id"), (x + width / 2).alias("px"), (y + height / 2).alias("py"))
-    return resample_bilinear(cells, points, cell_w, cell_h).select("point_id.*", "elev")
+    points = grid.select("dem_id", F.struct("flight_id", "row_i", "col_i", x.alias("x"), y.alias("y")).alias("point_id"), (x + width / 2).alias("px"), (y + height / 2).alias("py"))
+    return resample_bilinear(cells, points, grids).select("point_id.*", "elev")
 
 
 def mesh_tables(cells: DataFrame, cell_w: float, cell_h: float, factor: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices, faces and normals of valid cells, every factor-th row and column."""
     origin, small = dem_origin(cells), decimate_cells(cells, factor)
     vertices, faces = grid_vertices(small, origin, cell_w, cell_h, factor), grid_faces(small)
-    return vertices, faces, vertex_normals(faces, vertices)
-
-
-def resample_bilinear(cells: DataFrame, points: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
-    """points (point_id, px, py) with the elevation from the centres of the four cells around; null if one is missing or invalid."""
-    gx, gy = F.col("px") / cell_w - 0.5, F.col("py") / cell_h - 0.5
-    base = points.select("point_id", F.floor(gx).alias("ix"), F.floor(gy).alias("iy"), (gx - F.floor(gx)).alias("fx"), (gy - F.floor(gy)).alias("fy"))
-    corner = lambda a, b, w: F.struct((F.col("ix") + a).alias("kx"), (F.col("iy") + b).alias("ky"), w.alias("w"))
-    fx, fy = F.col("fx"), F.col("fy")
-    four = base.select("point_id", F.explode(F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))).alias("c")).select("point_id", "c.*")
-    keyed = cells.where("elev is not null").select(F.floor(F.col("x") / cell_w).alias("kx"), F.floor(F.col("y") / cell_h).alias("ky"), "elev")
-    return four.join(keyed, ["kx", "ky"], "left").groupBy("point_id").agg(F.when(F.count("elev") == 4, F.sum(F.col("elev") * F.col("w"))).alias("elev"))
+    return vertices, faces, grid_normals(small, origin, cell_w, cell_h, factor)
+
+
+def model_grids(cells: DataFrame) -> DataFrame:
+    """(dem_id, x0, y0, cell_w, cell_h, min_x … max_y): each model's own grid, from where its cells lie: the lower left corner of cell (0, 0), the size of a cell, and the extent.
+
+    The size is what lies between the outermost rows and columns; a model of one row or column has null there (see metadata_grids)."""
+    a = cells.groupBy("dem_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y", "row_i", "col_i") for n, f in (("lo", F.min), ("hi", F.max))])
+    step = lambda c, k: F.when(F.col(f"hi_{k}") > F.col(f"lo_{k}"), (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / (F.col(f"hi_{k}") - F.col(f"lo_{k}")))
+    a = a.withColumns({"cell_w": step("x", "col_i"), "cell_h": step("y", "row_i")})
+    return a.select("dem_id", (F.col("lo_x") - F.col("lo_col_i") * F.col("cell_w")).alias("x0"), (F.col("hi_y") + F.col("lo_row_i") * F.col("cell_h")).alias("y0"), "cell_w", "cell_h",
+                    F.col("lo_x").alias("min_x"), F.col("lo_y").alias("min_y"), (F.col("hi_x") + F.col("cell_w")).alias("max_x"), (F.col("hi_y") + F.col("cell_h")).alias("max_y"))
+
+
+def metadata_grids(meta: DataFrame) -> DataFrame:
+    """The same from metadata documents: transform [width, 0, left, 0, -height, top, …] and the model's size in cells; dem_id is the flight's id."""
+    t = lambda k: F.col("transform")[k]
+    left, top, w, h = t(2), t(5), t(0), -t(4)
+    return meta.select(F.col("flight_id").alias("dem_id"), left.alias("x0"), (top - h).alias("y0"), w.alias("cell_w"), h.alias("cell_h"),
+                       left.alias("min_x"), (top - F.col("height") * h).alias("min_y"), (left + F.col("width") * w).alias("max_x"), top.alias("max_y"))
+
+
+#: The dem_id of cells of several models that were made one.
+MERGED = "merged"
+
+
+def merged(cells: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
+    """Cells of a mosaic, of models on one common grid, numbered anew as one model. Cells that lie off that grid are an error."""
+    first = lambda f, c: cells.agg(f(c).alias("v")).scalar()
+    col, row = (F.col("x") - first(F.min, "x")) / cell_w, (first(F.max, "y") - F.col("y")) / cell_h
+    on = lambda v: F.when(F.abs(v - F.rint(v)) < 1e-6, F.rint(v).cast("int")).otherwise(F.raise_error(F.lit("cells of several grids")).cast("int"))
+    return cells.withColumns({"dem_id": F.lit(MERGED), "row_i": on(row), "col_i": on(col)})
+
+
+def tiled(cells: DataFrame, size: int, before: int, after: int, *values: str) -> DataFrame:
+    """(dem_id, tile_r, tile_c, grid): tiles of size x size cells with a halo of rows and columns before and after; grid maps row to column to the values.
+
+    One shuffle, by tile: rows of a tile are put together where they are, then the tile."""
+    own = lambda c: F.floor(F.col(c) / size).cast("int")
+    tiles = lambda c: F.array_compact(F.array(
+        own(c), *([F.when(F.pmod(F.col(c), F.lit(size)) < after, own(c) - 1)] if after else []), *([F.when(F.pmod(F.col(c), F.lit(size)) >= size - before, own(c) + 1)] if before else [])))
+    tile = ["dem_id", "tile_r", "tile_c"]
+    spread = cells.withColumn("tile_r", F.explode(tiles("row_i"))).withColumn("tile_c", F.explode(tiles("col_i")))
+    # of cells that repeat one counts, the least
+    once = spread.repartition(*[F.col(c) for c in tile]).groupBy(*tile, "row_i", "col_i").agg(F.min(F.struct(*values)).alias("v"))
+    rows = once.groupBy(*tile, "row_i").agg(F.map_from_entries(F.collect_list(F.struct("col_i", "v"))).alias("cols"))
+    return rows.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("row_i", "cols"))).alias("grid"))
+
+
+def at(row: Column, col: Column) -> Column:
+    """A cell of a tile's grid, or null."""
+    return F.element_at(F.element_at("grid", row), col)
+
+
+def points_in_models(points: DataFrame, grids: DataFrame, unit: float = 1000.0) -> DataFrame:
+    """points with each model's grid: of the model in dem_id, or, without that column, of every model that the point lies in."""
+    if "dem_id" in points.columns:
+        return points.join(counted(grids), "dem_id", "left")
+    boxes = keyed_ranges(grids, [(F.col("min_x"), F.col("max_x")), (F.col("min_y"), F.col("max_y"))], unit)
+    inside = (F.col("px") >= F.col("min_x")) & (F.col("px") <= F.col("max_x")) & (F.col("py") >= F.col("min_y")) & (F.col("py") <= F.col("max_y"))
+    return keyed_points(points, [F.col("px"), F.col("py")], boxes, unit).join(counted(boxes), keys(2)).where(inside).drop(*keys(2))
+
+
+def resample_bilinear(cells: DataFrame, points: DataFrame, grids: DataFrame | None = None, size: int = 16) -> DataFrame:
+    """(point_id, dem_id, elev): points (point_id, px, py, and dem_id if each has its model) with the elevation from the centres of the four cells around, on each model's own grid.
+
+    Null if one of the four that has a weight is missing or invalid. A point without dem_id has a row for every model it lies in, so none outside of all.
+    Cells go to tiles that carry the next tile's first row and column, so a point meets one tile, by one join, and no group of points is made."""
+    placed = points_in_models(points, model_grids(cells) if grids is None else grids)
+    gx = (F.col("px") - F.col("x0")) / F.col("cell_w") - 0.5
+    gy = (F.col("y0") + F.col("cell_h") - F.col("py")) / F.col("cell_h") - 0.5
+    base = placed.select("point_id", "dem_id", F.floor(gx).cast("int").alias("c"), F.floor(gy).cast("int").alias("r"), (gx - F.floor(gx)).alias("fx"), (gy - F.floor(gy)).alias("fy"))
+    base = base.withColumns({"tile_r": F.floor(F.col("r") / size).cast("int"), "tile_c": F.floor(F.col("c") / size).cast("int")})
+    held = base.join(tiled(cells.where("elev is not null"), size, 0, 1, "elev"), ["dem_id", "tile_r", "tile_c"], "left")
+    total = F.lit(0.0)
+    for dr, wy in ((0, 1 - F.col("fy")), (1, F.col("fy"))):
+        for dc, wx in ((0, 1 - F.col("fx")), (1, F.col("fx"))):
+            w = wx * wy
+            total = total + F.when(w > 0, w * at(F.col("r") + dr, F.col("c") + dc)["elev"]).otherwise(0.0)
+    return held.select("point_id", "dem_id", F.when(F.col("fx").isNotNull(), total).alias("elev"))
+
+
+def grid_normals(cells: DataFrame, origin: DataFrame, cell_w: float, cell_h: float, factor: int = 1, size: int = 32) -> DataFrame:
+    """(dem_id, vertex, nx, ny, nz) of the vertices that grid_vertices gives: each from the six triangles around it, in tiles that carry a row and a column of each neighbour. One shuffle of cells."""
+    n = max(1, factor)
+    sizes = cells.groupBy("dem_id").agg((F.max("col_i") + 1).alias("mw"))  # one row a model
+    z = (F.coalesce("elev", "origin_z") - F.col("origin_z")).cast("float").cast("double")
+    flat = cells.join(counted(origin.select("dem_id", "origin_z")), "dem_id").select("dem_id", "row_i", "col_i", z.alias("z"))
+    tiles = tiled(flat, size, 1, 1, "z")
+    rows = tiles.select("dem_id", "tile_r", "tile_c", "grid", F.explode("grid").alias("r", "cols")).where(F.floor(F.col("r") / size) == F.col("tile_r"))
+    own = rows.select("dem_id", "tile_c", "grid", "r", F.explode("cols").alias("c", "v")).where(F.floor(F.col("c") / size) == F.col("tile_c"))
+    # columns go east, rows south; y grows to the north. In float32, as the vertices are
+    dx, dy = float(np.float32(cell_w * n)), float(np.float32(abs(cell_h) * n))
+    height = lambda dr, dc: F.col("v.z") if (dr, dc) == (0, 0) else at(F.col("r") + dr, F.col("c") + dc)["z"]
+    made = own.select("dem_id", "r", "c", *[height(dr, dc).alias(f"z{dr + 1}{dc + 1}") for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
+    sums = [F.lit(0.0)] * 3
+    # a quad's corners: north-west, north-east, south-west, south-east; its triangles (nw, sw, ne) and (ne, sw, se)
+    for r, c in ((-1, -1), (-1, 0), (0, -1), (0, 0)):
+        nw, ne, sw, se = [F.col(f"z{r + i + 1}{c + j + 1}") for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))]
+        first = (dy * (ne - nw) * -1, dx * (sw - nw), F.lit(dx * dy))
+        second = (dy * (sw - se), dx * (se - ne), F.lit(dx * dy))
+        for side, used in ((first, (r, c) != (-1, -1)), (second, (r, c) != (0, 0))):
+            if used:
+                length = F.sqrt(side[0] * side[0] + side[1] * side[1] + side[2] * side[2])
+                whole = nw.isNotNull() & ne.isNotNull() & sw.isNotNull() & se.isNotNull()
+                sums = [s + F.when(whole & (length > 0), x / length).otherwise(0.0) for s, x in zip(sums, side, strict=True)]
+    out = made.select("dem_id", "r", "c", *[s.alias(a) for s, a in zip(sums, "xyz", strict=True)]).join(counted(sizes), "dem_id")
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    out = out.withColumn("n", F.when(length > 0, length).otherwise(1.0))
+    return out.select("dem_id", (F.col("r") * F.col("mw") + F.col("c")).cast("bigint").alias("vertex"), *[(F.col(a) / F.col("n")).cast("float").alias(f"n{a}") for a in "xyz"])

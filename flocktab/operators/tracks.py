@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import box_center, lerp, round_even
 
+from .levels import keyed_points, keyed_ranges, keys
+
 TRACK = ["seq_id", "track_id"]
 BOX = ["bb_left", "bb_top", "bb_width", "bb_height"]
 LINEAR = ["conf", "visibility"]
@@ -42,19 +44,19 @@ def interpolate_tracks(det: DataFrame, step: int = 1) -> DataFrame:
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in det.columns])
 
 
-def boxes_at(det: DataFrame, targets: DataFrame, bin_frames: int = 64) -> DataFrame:
+def boxes_at(det: DataFrame, targets: DataFrame) -> DataFrame:
     """Boxes of every track at the target frames (seq_id, frame): rows exactly there, else the linear interpolation between the
     last row before and the first after; none outside a track's span. is_propagated is that of the earlier row.
 
-    A segment longer than a bin is joined through the bins it covers, so the range test becomes an equi-join.
+    A segment lies in bins of about its own length, two at most, and a target has one key for each level of lengths that there
+    is, so the range test becomes an equi-join and no segment has more rows for being long.
     """
     want = targets.select("seq_id", "frame").distinct()
     out = [c for c in det.columns if c not in ("seq_id", "frame")]
     exact = det.join(want, ["seq_id", "frame"]).select("seq_id", "frame", *out, F.lit(False).alias("_interpolated"), F.lit(None).cast("bigint").alias("_kf_a_frame"), F.lit(None).cast("bigint").alias("_kf_b_frame"))
     seg = key_segments(det).where(F.col("nxt.frame") - F.col("frame") > 1).withColumnRenamed("frame", "f0")
-    bin_of = lambda f: F.floor(f / bin_frames)
-    seg = seg.withColumn("bin", F.explode(F.sequence(bin_of(F.col("f0") + 1), bin_of(F.col("nxt.frame") - 1))))
-    hit = seg.join(want.withColumn("bin", bin_of(F.col("frame"))), ["seq_id", "bin"]).where((F.col("frame") > F.col("f0")) & (F.col("frame") < F.col("nxt.frame")))
+    ranges = keyed_ranges(seg, [(F.col("f0") + 1, F.col("nxt.frame") - 1)], 8.0)
+    hit = keyed_points(want, [F.col("frame")], ranges, 8.0).join(ranges, ["seq_id", *keys(1)]).where((F.col("frame") > F.col("f0")) & (F.col("frame") < F.col("nxt.frame")))
     t = (F.col("frame") - F.col("f0")) / (F.col("nxt.frame") - F.col("f0"))
     new = dict(zip(BOX + LINEAR, _between(t), strict=True))
     between = hit.select("seq_id", "frame", *[new.get(c, F.col(c)) for c in out], F.lit(True).alias("_interpolated"), F.col("f0").alias("_kf_a_frame"), F.col("nxt.frame").alias("_kf_b_frame"))
@@ -106,3 +108,38 @@ def merge_track_boxes(labels: DataFrame) -> DataFrame:
     order = F.struct(F.when(F.col("frame") < F.col("centre"), 0).when(F.col("frame") == F.col("centre"), 1).otherwise(2), F.col("frame"), F.col("line_no"))
     right, bottom = F.col("bb_left") + F.col("bb_width"), F.col("bb_top") + F.col("bb_height")
     return labels.groupBy("seq_id", "centre", "track_id").agg(F.min_by("class_id", order).alias("class_id"), F.min("bb_left").alias("x_min"), F.min("bb_top").alias("y_min"), F.max(right).alias("x_max"), F.max(bottom).alias("y_max"))
+
+
+def merged_boxes(det: DataFrame, centres: DataFrame, before: int = 15, after: int = 15) -> DataFrame:
+    """merge_track_boxes(neighbour_labels(det, centres)), without a row for each centre and state.
+
+    Sliding extremes: frames are cut into blocks as long as the span around a centre, which so lies in two blocks at most. Within a
+    block each state has the extremes of all states up to it, and of all from it on; a span's are the latter of its first state in
+    the first block and the former of its last in the second. One shuffle of det, then one lookup a centre and track.
+    """
+    n = before + after + 1
+    own = [*TRACK, "block"]
+    right, bottom = F.col("bb_left") + F.col("bb_width"), F.col("bb_top") + F.col("bb_height")
+    corners = {"x_min": (F.min, F.col("bb_left")), "y_min": (F.min, F.col("bb_top")), "x_max": (F.max, right), "y_max": (F.max, bottom)}
+    rows = det.where("track_id is not null").withColumn("block", F.floor(F.col("frame") / n))
+    order = ["frame", "line_no"]
+    upto = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy(*own).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    extremes = lambda w: F.struct(F.first("class_id").over(w).alias("class_id"), *[f(c).over(w).alias(name) for name, (f, c) in corners.items()])
+    states = rows.repartition(*[F.col(c) for c in TRACK]).select(*own, *order, extremes(upto).alias("upto"), extremes(onward).alias("onward"))
+    blocks = states.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(*order, "upto", "onward"))).alias("states"))
+    # a span that begins in a block reads its states and the next one's; where a track has only the latter, a block is put before
+    w = Window.partitionBy(*TRACK).orderBy("block")
+    near = lambda f, d: F.when(f("block").over(w) == F.col("block") + d, f("states").over(w))
+    spans = blocks.select(*own, "states", near(F.lead, 1).alias("next"), near(F.lag, -1).isNull().alias("alone"))
+    empty = F.array().cast(blocks.schema["states"].dataType)
+    pair = lambda block, a, b: F.struct(block.alias("block"), a.alias("a"), F.coalesce(b, empty).alias("b"))
+    spans = spans.select(*TRACK, F.explode(F.array_compact(F.array(pair(F.col("block"), F.col("states"), F.col("next")), F.when(F.col("alone"), pair(F.col("block") - 1, empty, F.col("states")))))).alias("s")).select(*TRACK, "s.*")
+    low, high = F.col("centre") - before, F.col("centre") + after
+    at = centres.select("seq_id", "centre", F.floor(low / n).alias("block"))
+    found = at.join(spans, ["seq_id", "block"])
+    a = F.get(F.filter("a", lambda x: x["frame"] >= low), F.lit(0))["onward"]
+    b = F.try_element_at(F.filter("b", lambda x: x["frame"] <= high), F.lit(-1))["upto"]
+    ends = found.select("seq_id", "centre", "track_id", a.alias("a"), b.alias("b")).where("a is not null or b is not null")
+    both = {name: (F.least if f is F.min else F.greatest)(F.col(f"a.{name}"), F.col(f"b.{name}")) for name, (f, _) in corners.items()}
+    return ends.select("seq_id", "centre", "track_id", F.when(F.col("a").isNotNull(), F.col("a.class_id")).otherwise(F.col("b.class_id")).alias("class_id"), *[c.alias(name) for name, c in both.items()])

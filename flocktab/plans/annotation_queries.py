@@ -301,8 +301,12 @@ NEAR = ", centres AS (SELECT DISTINCT seq_id, frame AS centre FROM detections),
 MERGED = NEAR + ", merged AS (SELECT seq_id, centre, track_id, arg_min(class_id, (frame, line_no)) AS class_id, min(bb_left) AS x_min, min(bb_top) AS y_min, max(bb_left + bb_width) AS x_max, max(bb_top + bb_height) AS y_max FROM near GROUP BY seq_id, centre, track_id)"
 
 
+def _centres(t):
+    return t.detections.select("seq_id", F.col("frame").alias("centre")).distinct()
+
+
 def _near(t):
-    return T.neighbour_labels(t.detections, t.detections.select("seq_id", F.col("frame").alias("centre")).distinct())
+    return T.neighbour_labels(t.detections, _centres(t))
 
 
 @query(NEAR + " SELECT seq_id, centre, frame, line_no FROM near", DET)
@@ -312,12 +316,12 @@ def j16_neighbour_labels(t):
 
 @query(MERGED + " SELECT * FROM merged", DET)
 def a9_merge_track_boxes(t):
-    return T.merge_track_boxes(_near(t))
+    return T.merged_boxes(t.detections, _centres(t))
 
 
 @query(MERGED + " SELECT seq_id, centre, track_id, class_id, greatest(0.0, least(1.0, (x_min + (x_max - x_min) / 2.0) / 640.0)) AS cx, greatest(0.0, least(1.0, (y_min + (y_max - y_min) / 2.0) / 512.0)) AS cy, greatest(0.0, least(1.0, (x_max - x_min) / 640.0)) AS w, greatest(0.0, least(1.0, (y_max - y_min) / 512.0)) AS h FROM merged", DET)
 def p13_merged_neighbour_labels(t):
-    m = T.merge_track_boxes(_near(t))
+    m = T.merged_boxes(t.detections, _centres(t))
     box = S.yolo_box(F.col("x_min"), F.col("y_min"), F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), 640.0, 512.0)
     return m.select("seq_id", "centre", "track_id", "class_id", *[c.alias(n) for c, n in zip(box, ("cx", "cy", "w", "h"), strict=True)])
 

@@ -201,8 +201,8 @@ def j15_face_corners(t):
 
 @query(NORMALS + " SELECT vertex, round(nx, 3) + 0.0 AS nx, round(ny, 3) + 0.0 AS ny, round(nz, 3) + 0.0 AS nz FROM normals", CELLS)
 def a10_vertex_normals(t):
-    _, _, v, f = _grid(t)
-    return M.vertex_normals(f, v).select("vertex", *[(F.round(F.col(c).cast("double"), 3) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
+    small, origin, _, _ = _grid(t)
+    return M.grid_normals(small, origin, CELL_W, CELL_H, 2).select("vertex", *[(F.round(F.col(c).cast("double"), 3) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
 
 
 @query(FACES + " SELECT min(vx)::DOUBLE AS min_vx, max(vx)::DOUBLE AS max_vx, min(vy)::DOUBLE AS min_vy, max(vy)::DOUBLE AS max_vy, count(*) AS n_vertices, (SELECT 3 * count(*) FROM faces) AS n_indices FROM verts", CELLS)
@@ -245,9 +245,14 @@ def j13_clip_cells(t):
 
 
 _PX, _PY = _utm33_sql("lng", "lat")
-BILINEAR = f""", g AS (SELECT flight_id, pos, {_PX} / {CELL_W} - 0.5 AS gx, {_PY} / {CELL_H} - 0.5 AS gy FROM poses),
-k AS (SELECT CAST(floor(x / {CELL_W}) AS BIGINT) AS kx, CAST(floor(y / {CELL_H}) AS BIGINT) AS ky, elev FROM dem_cells WHERE elev <> 0),
-four AS (SELECT flight_id, pos, CAST(floor(gx) AS BIGINT) + dx AS kx, CAST(floor(gy) AS BIGINT) + dy AS ky, CASE WHEN dx = 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END * CASE WHEN dy = 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END AS w FROM g, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) c(dx, dy))"""
+# Two models at one place: the table's own, and a finer one that begins off its corners. An elevation is what the cells weigh whose centres lie less than a cell away, by how near they are; it counts if these weights are 1 in all.
+_W2, _H2 = 9_000.0, 4_500.0
+_TWO_MODELS = f"""two AS (SELECT dem_id, x, y, {CELL_W} AS w, {CELL_H} AS h, nullif(elev, 0) AS elev FROM dem_cells UNION ALL
+ SELECT 'd1', 84321 + col_i * {_W2}, 5422777 - row_i * {_H2}, {_W2}, {_H2}, nullif(elev, 0) / 2 FROM dem_cells)"""
+_NEAR = "(1 - abs(px - x - w / 2) / w) * (1 - abs(py - y - h / 2) / h)"
+BILINEAR = f""", {_TWO_MODELS}, pt AS (SELECT flight_id || '_' || pos AS point_id, {_PX} AS px, {_PY} AS py FROM poses),
+inside AS (SELECT point_id, px, py, dem_id FROM pt JOIN (SELECT dem_id, min(x) AS x0, max(x + w) AS x1, min(y) AS y0, max(y + h) AS y1 FROM two GROUP BY dem_id) ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1),
+near AS (SELECT point_id, dem_id, sum({_NEAR}) AS w, sum(elev * {_NEAR}) AS elev FROM inside JOIN two USING (dem_id) WHERE elev IS NOT NULL AND px > x - w / 2 AND px < x + 1.5 * w AND py > y - h / 2 AND py < y + 1.5 * h GROUP BY point_id, dem_id)"""
 
 
 def _points(t):
@@ -255,10 +260,13 @@ def _points(t):
     return t.poses.select(F.concat_ws("_", "flight_id", F.col("pos").cast("string")).alias("point_id"), x.alias("px"), y.alias("py"))
 
 
-@query(BILINEAR + " SELECT flight_id || '_' || pos AS point_id, CASE WHEN count(elev) = 4 THEN round(sum(elev * w), 4) END AS elev FROM four LEFT JOIN k USING (kx, ky) GROUP BY flight_id, pos", ("poses", "dem_cells"))
+@query(BILINEAR + " SELECT point_id, dem_id, CASE WHEN abs(n.w - 1) < 1e-9 THEN round(n.elev, 4) END AS elev FROM inside LEFT JOIN near n USING (point_id, dem_id)", ("poses", "dem_cells"))
 def j14_resample_bilinear(t):
-    made = M.resample_bilinear(M.valid_elevation(t.dem_cells), _points(t), CELL_W, CELL_H)
-    return made.select("point_id", F.round("elev", 4).alias("elev"))
+    """Every pose in each of the two models that it lies in."""
+    cells = t.dem_cells
+    finer = cells.withColumns({"dem_id": F.lit("d1"), "x": 84321 + F.col("col_i") * _W2, "y": 5422777 - F.col("row_i") * _H2, "elev": F.col("elev") / 2})
+    made = M.resample_bilinear(M.valid_elevation(cells.unionByName(finer)), _points(t))
+    return made.select("point_id", "dem_id", F.round("elev", 4).alias("elev"))
 
 
 @query(CLIP + ", z AS (SELECT flight_id, nullif(elev, 0) AS elev FROM clip) SELECT flight_id, count(*) AS cells, count(elev) AS valid_cells, min(elev) AS lowest FROM z GROUP BY flight_id", ("poses", "dem_cells"))
@@ -271,14 +279,14 @@ def p8_dem_cells_for_flight(t):
 _W, _H = 1.25 * CELL_W, 1.5 * CELL_H
 RESAMPLED = UTM + f""", gr AS (SELECT *, CAST(greatest(1, ceil((max_x - min_x) / {_W})) AS INT) AS nx, CAST(greatest(1, ceil((max_y - min_y) / {_H})) AS INT) AS ny FROM ub),
 gc AS (SELECT *, unnest(range(0, nx)) AS col_i FROM gr), gp AS (SELECT *, unnest(range(0, ny)) AS row_i FROM gc),
-g AS (SELECT flight_id, row_i, col_i, (min_x + col_i * {_W} + {_W / 2}) / {CELL_W} - 0.5 AS gx, (min_y + (ny - 1 - row_i) * {_H} + {_H / 2}) / {CELL_H} - 0.5 AS gy FROM gp),
-k AS (SELECT CAST(floor(x / {CELL_W}) AS BIGINT) AS kx, CAST(floor(y / {CELL_H}) AS BIGINT) AS ky, elev FROM dem_cells WHERE elev <> 0),
-four AS (SELECT flight_id, row_i, col_i, CAST(floor(gx) AS BIGINT) + dx AS kx, CAST(floor(gy) AS BIGINT) + dy AS ky, CASE WHEN dx = 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END * CASE WHEN dy = 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END AS w FROM g, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) c(dx, dy))"""
+pt AS (SELECT flight_id, row_i, col_i, min_x + col_i * {_W} + {_W / 2} AS px, min_y + (ny - 1 - row_i) * {_H} + {_H / 2} AS py FROM gp),
+cc AS (SELECT x, y, {CELL_W} AS w, {CELL_H} AS h, elev FROM dem_cells WHERE elev <> 0),
+near AS (SELECT flight_id, row_i, col_i, sum({_NEAR}) AS w, sum(elev * {_NEAR}) AS elev FROM pt JOIN cc ON px > x - w / 2 AND px < x + 1.5 * w AND py > y - h / 2 AND py < y + 1.5 * h GROUP BY flight_id, row_i, col_i)"""
 
 
-@query(RESAMPLED + " SELECT flight_id, row_i, col_i, CASE WHEN count(elev) = 4 THEN round(sum(elev * w), 3) END AS elev FROM four LEFT JOIN k USING (kx, ky) GROUP BY flight_id, row_i, col_i", ("poses", "dem_cells"))
+@query(RESAMPLED + " SELECT flight_id, row_i, col_i, CASE WHEN abs(n.w - 1) < 1e-9 THEN round(n.elev, 3) END AS elev FROM pt LEFT JOIN near n USING (flight_id, row_i, col_i)", ("poses", "dem_cells"))
 def p8_resampled_cells(t):
     """Each flight's box as a grid of its own, from the mosaic's valid cells."""
     boxes = G.box_to_crs(G.flight_bbox(G.valid_poses(t.poses)), "EPSG:32633")
-    made = M.cells_in_box(M.valid_elevation(M.mosaic([t.dem_cells])), boxes, CELL_W, CELL_H, _W, _H)
+    made = M.cells_in_box(M.merged(M.valid_elevation(M.mosaic([t.dem_cells])), CELL_W, CELL_H), boxes, _W, _H)
     return made.select("flight_id", "row_i", "col_i", F.round("elev", 3).alias("elev"))
