@@ -83,10 +83,16 @@ def filter_stats(det: DataFrame, pred: Column, by: str = "seq_id") -> DataFrame:
 
 
 def profile(det: DataFrame, file_col: str = "seq_id") -> DataFrame:
-    """One row: distinct values in string order, size ranges ([0, 0] without rows), number of files."""
-    values = lambda c: F.sort_array(F.transform(F.collect_set(c), lambda x: x.cast("string"))).alias(f"{c}_values")
-    span = lambda c: F.array(F.coalesce(F.min(c), F.lit(0)), F.coalesce(F.max(c), F.lit(0))).alias(f"{c[3:]}_range")
-    return det.agg(*[values(c) for c in ("class_id", "species", "gender", "age", "visibility")], span("bb_width"), span("bb_height"), F.count_distinct(file_col).alias("file_count"))
+    """(name, value, low, high): a row for each distinct class, species, gender, age and visibility, with value; one for width and height each, with their range, [0, 0] without rows; one for files, with their number in low and high.
+
+    Sorting each name's values as text gives the report; no row holds all values."""
+    names = ("class_id", "species", "gender", "age", "visibility")
+    none = F.lit(None).cast("bigint")
+    pairs = det.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])).alias("p")).select("p.*").where("value is not null").distinct()
+    span = lambda c: F.struct(F.lit(c[3:]).alias("name"), *[F.coalesce(f(c), F.lit(0)).cast("bigint").alias(k) for k, f in (("low", F.min), ("high", F.max))])
+    ranges = det.agg(F.array(span("bb_width"), span("bb_height")).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    files = det.select(file_col).where(F.col(file_col).isNotNull()).distinct().agg(F.lit("files").alias("name"), F.count("*").alias("low"), F.count("*").alias("high"))
+    return pairs.select("*", none.alias("low"), none.alias("high")).unionByName(ranges.unionByName(files).withColumn("value", F.lit(None).cast("string")))
 
 
 def by_frame(det: DataFrame, *cols: str) -> DataFrame:
@@ -132,9 +138,14 @@ def species_summary(det: DataFrame) -> DataFrame:
 
 
 def survey_overview(det: DataFrame) -> DataFrame:
-    """One row: sequences, tracks, key frames, interpolated boxes, classes and frames' span."""
-    return det.agg(F.count_distinct("seq_id").alias("sequences"), F.count_distinct(*TRACK).alias("tracks"), F.count_if(F.col("is_propagated") == "0").alias("key_frames"),
-                   F.count_if(F.col("is_propagated") == "1").alias("interpolated"), F.count_distinct("class_id").alias("classes"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    """One row: sequences, tracks, key frames, interpolated boxes, classes and frames' span.
+
+    Counted by track and class first, so that what is distinct is counted over those few rows, and no row of det is expanded."""
+    marked = lambda v: F.count_if(F.col("is_propagated") == v)
+    by_track = det.groupBy(*TRACK, "class_id").agg(marked("0").alias("keys"), marked("1").alias("filled"), F.min("frame").alias("low"), F.max("frame").alias("high"))
+    whole = F.when(F.col("seq_id").isNotNull() & F.col("track_id").isNotNull(), F.struct(*TRACK))  # a null is no value
+    return by_track.agg(F.count_distinct("seq_id").alias("sequences"), F.count_distinct(whole).alias("tracks"), F.coalesce(F.sum("keys"), F.lit(0)).alias("key_frames"),
+                        F.coalesce(F.sum("filled"), F.lit(0)).alias("interpolated"), F.count_distinct("class_id").alias("classes"), F.min("low").alias("first_frame"), F.max("high").alias("last_frame"))
 
 
 def interpolation_stats(original: DataFrame, filled: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import file_id, frame_file, split_halves, stem
 
-from .detections import detection_filter, has_filter, last_wins, sample_frames
+from .detections import AGES, GENDERS, detection_filter, expand_aliases, has_filter, last_wins, sample_frames
 
 
 def pair_videos(videos: DataFrame, mot_files: DataFrame) -> DataFrame:
-    """videos (video_id, …) with mot_file (or null): the annotation file with the same id, of several the last by name."""
+    """videos (video_id, file_name, …) with mot_file (or null): the annotation file with the same id. Of several videos or files of one id the last by name."""
     mot = mot_files.select(file_id(F.col("file_name")).alias("video_id"), F.col("file_name").alias("mot_file")).where("video_id is not null")
-    return videos.join(last_wins(mot, "video_id", "mot_file"), "video_id", "left")
+    return last_wins(videos.where("video_id is not null"), "video_id", "file_name").join(last_wins(mot, "video_id", "mot_file"), "video_id", "left")
 
 
 def pair_single(video: DataFrame, mot_files: DataFrame) -> DataFrame:
@@ -23,6 +23,12 @@ def pair_single(video: DataFrame, mot_files: DataFrame) -> DataFrame:
     return paired.join(only).withColumn("mot_file", F.coalesce("mot_file", "__only")).drop("__only")  # one row each
 
 
+def with_codes(filters: dict) -> dict:
+    """The filters, names of genders and ages standing for their codes too."""
+    strict = filters.get("strict", False)
+    return filters | {k: expand_aliases(list(filters[k]), names, strict) for k, names in (("gender", GENDERS), ("age", AGES)) if filters.get(k)}
+
+
 def frames_with_matches(frames: DataFrame, det: DataFrame) -> DataFrame:
     """frames (video_id, mot_file, frame, …) that have a row of det (video_id, frame); videos without an annotation file keep all."""
     free = frames.where("mot_file is null")
@@ -34,8 +40,9 @@ def frame_plan(pairs: DataFrame, det: DataFrame, start: int = 0, end: int | None
     """(video_id, frame, modality, x0, x1, file_name) for each image to extract; det has video_id in place of seq_id.
 
     Frames from start to below end (and the video's end), each rate-th; with an active filter, and for videos with an
-    annotation file, only frames with a detection that passes it.
+    annotation file, only frames with a detection that passes it. Names of genders and ages stand for their codes too.
     """
+    filters = with_codes(filters)
     if not thermal and not rgb:
         raise ValueError("at least one of thermal and rgb")
     last = F.col("total_frames") - 1 if end is None else F.least(F.col("total_frames") - 1, F.lit(end - 1))
@@ -55,6 +62,7 @@ def frame_plan_totals(plan: DataFrame) -> DataFrame:
 
 
 def kept_ground_truth(det: DataFrame, start: int = 0, end: int | None = None, rate: int = 1, **filters) -> DataFrame:
-    """The detections that go beside the frames; all of the range if no filter is active."""
+    """The detections that go beside the frames; all of the range if no filter is active. Names of genders and ages stand for their codes too."""
+    filters = with_codes(filters)
     rows = sample_frames(det, start, end, rate)
     return rows.where(detection_filter(**filters)) if has_filter(**filters) else rows

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from flocktab.functions.projection import forward
 from flocktab.functions.scalar import TILE, TILE_BASE, TILE_PATTERNS, floor_div, fovy, round_even, tile_name
 
+from .detections import last_wins
+
 
 def valid_poses(poses: DataFrame) -> DataFrame:
     """Poses with lat, 0 included, and lon: the first of lng and lon that is neither null nor 0, else longitude, 0 included."""
@@ -72,7 +74,9 @@ def counted(df: DataFrame, rows: int = 100_000) -> DataFrame:
 
 
 def pair_poses_dem(poses: DataFrame, dem_meta: DataFrame) -> DataFrame:
-    """Poses with the elevation model of the same flight, broadcast if there are few; poses without one are left out (see unmatched)."""
+    """Poses with the elevation model of the same flight, of several documents of one flight the last by file name; broadcast if there are few. Poses without one are left out (see unmatched)."""
+    if "file_name" in dem_meta.columns:
+        dem_meta = last_wins(dem_meta, "flight_id", "file_name").withColumnRenamed("file_name", "dem_file")
     return poses.join(counted(dem_meta), "flight_id")
 
 

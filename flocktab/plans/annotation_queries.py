@@ -140,8 +140,8 @@ def a2_filter_stats(t):
 
 
 @query(
-    "SELECT " + ", ".join(f"list_sort(list(DISTINCT CAST({c} AS VARCHAR))) AS {c}_values" for c in ("class_id", "species", "gender", "age", "visibility"))
-    + ", [min(bb_width), max(bb_width)] AS width_range, [min(bb_height), max(bb_height)] AS height_range, count(DISTINCT seq_id) AS file_count FROM detections", DET)
+    " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS name, CAST({c} AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS high FROM detections" for c in ("class_id", "species", "gender", "age", "visibility"))
+    + "".join(f" UNION ALL SELECT '{c}', NULL, min(bb_{c}), max(bb_{c}) FROM detections" for c in ("width", "height")) + " UNION ALL SELECT 'files', NULL, count(DISTINCT seq_id), count(DISTINCT seq_id) FROM detections", DET)
 def a3_profile(t):
     return D.profile(t.detections)
 
@@ -347,17 +347,21 @@ def _by_video(t):
     return t.detections.withColumn("video_id", F.col("track_id").cast("string"))
 
 
-@query(PAIRS + " SELECT video_id, file_name, mot_file FROM pairs", VID)
+@query(PAIRS + " SELECT video_id, CASE WHEN CAST(video_id AS BIGINT) % 4 = 0 THEN video_id || '_second.mp4' ELSE file_name END AS file_name, mot_file FROM pairs", VID)
 def j1_pair_videos(t):
-    return X.pair_videos(t.videos, t.mot_files).select("video_id", "file_name", "mot_file")
+    """Some ids have three videos: the last by name counts."""
+    of = lambda n, name: t.videos.where(F.col("video_id").cast("bigint") % n == 0).withColumn("file_name", F.concat("video_id", F.lit(name)))
+    videos = t.videos.unionByName(of(4, "_second.mp4")).unionByName(of(2, "_a_first.mp4"))
+    return X.pair_videos(videos, t.mot_files).select("video_id", "file_name", "mot_file")
 
 
 PLAN = PAIRS + """, fr AS (SELECT *, unnest(range(10, least(total_frames, 150), 5)) AS frame FROM pairs WHERE total_frames > 10),
-plan AS (SELECT * FROM fr WHERE mot_file IS NULL OR EXISTS (SELECT 1 FROM detections d WHERE CAST(d.track_id AS VARCHAR) = fr.video_id AND d.frame = fr.frame AND d.class_id >= 0 AND contains(d.species, 'deer')))"""
+plan AS (SELECT * FROM fr WHERE mot_file IS NULL OR EXISTS (SELECT 1 FROM detections d WHERE CAST(d.track_id AS VARCHAR) = fr.video_id AND d.frame = fr.frame AND d.class_id >= 0 AND (contains(d.gender, 'Female') OR contains(d.gender, '2'))))"""
 
 
 def _plan(t):
-    return X.frame_plan(X.pair_videos(t.videos, t.mot_files), _by_video(t), 10, 150, 5, species=["deer"])
+    """Frames by the name of a sex; the annotations have codes."""
+    return X.frame_plan(X.pair_videos(t.videos, t.mot_files), _by_video(t), 10, 150, 5, gender=["Female"])
 
 
 @query(PLAN + " SELECT video_id, frame, 'thermal' AS modality, 0 AS x0, 1024 AS x1, printf('%s_%08d.png', video_id, frame) AS file_name FROM plan UNION ALL SELECT video_id, frame, 'rgb', 1024, 2048, printf('%s_%08d.png', video_id, frame) FROM plan", VID)

@@ -11,6 +11,9 @@ from flocktab.functions import scalar as S
 from flocktab.operators import dem as M
 from flocktab.sources import readers as R
 from flocktab.sources import writers as W
+from flocktab.sources.named_files import write_named
+from flocktab.sources.writers import write_mot
+from flocktab.streaming.annotations import filter_stream
 
 from . import jobs
 from .adapters import CELL_H, CELL_W
@@ -26,8 +29,7 @@ def _folder(t) -> str:
 def _named(t, rows: DataFrame) -> str:
     """A folder with rows (name, value) as files of these names."""
     folder = _folder(t)
-    rows.select("name", "value").repartition("name").write.partitionBy("name").text(folder)
-    W.plain_names(t.spark, folder, "name")
+    write_named(rows, folder, "name", "value")
     return folder
 
 
@@ -35,7 +37,6 @@ def _annotations(t) -> str:
     """The detections as annotation files, one a sequence."""
     folder = _folder(t)
     W.write_mot(t.detections.withColumn("file_name", F.concat("seq_id", F.lit("_gt.txt"))), folder)
-    W.plain_names(t.spark, folder, "out_file")
     return folder
 
 
@@ -74,15 +75,33 @@ def p4_a2_filter_stats(t):
 
 @query(f"SELECT concat(seq_id, '_', frame, '.txt') AS label_file, string_agg({LABEL_SQL} || ' ' || {YOLO_SQL} || chr(10), '' ORDER BY line_no) AS content FROM detections GROUP BY seq_id, frame", DET)
 def p5_label_files(t):
-    """From annotation files to the contents of label files; jobs.label_files writes them, as many as there are frames."""
-    det = R.read_mot(t.spark, _annotations(t), "yolo")
-    return W.yolo_files(det, 640, 512, ["class_id", "gender", "age", "visibility"])
+    """From annotation files to label files, one a frame, as they are on disk."""
+    target = _folder(t)
+    jobs.label_files(t.spark, _annotations(t), target, 640, 512, ["class_id", "gender", "age", "visibility"])
+    return t.spark.read.text(target, wholetext=True).select(F.col("_metadata.file_name").alias("label_file"), F.col("value").alias("content"))
 
 
-@query(f"SELECT seq_id || '_gt_gt.txt' AS file_name, {TEXT_SQL} FROM detections WHERE frame >= 10 AND frame < 400 AND (frame - 10) % 5 = 0 AND contains(species, 'deer')", DET)
+@query(f"""SELECT seq_id || '_gt.txt' AS file_name, coalesce(string_agg(concat_ws(',', frame, track_id, bb_left, bb_top, bb_width, bb_height, printf('%.2f', conf), class_id, printf('%.2f', visibility), species, gender, age, is_propagated), chr(10) ORDER BY line_no)
+ FILTER (WHERE frame >= 10 AND frame < 400 AND (frame - 10) % 5 = 0 AND class_id < 8 AND (contains(gender, 'Male') OR contains(gender, '1'))) || chr(10), '') AS content FROM detections GROUP BY seq_id""", DET)
 def k6_ground_truth_files(t):
-    target = _folder(t)
-    jobs.ground_truth_files(t.spark, _annotations(t), target, 10, 400, 5, "_gt", species=["deer"])
+    """By the name of a sex where files have codes. Every annotation file has its ground truth, an empty one where no row is kept, and of two of one id the last by name counts."""
+    source, target = _folder(t), _folder(t)
+    files = t.detections.withColumn("file_name", F.concat("seq_id", F.lit("_marks.csv")))
+    write_mot(files, source)
+    write_mot(files.where("seq_id < '3'").withColumns({"file_name": F.concat("seq_id", F.lit("_early.txt")), "bb_left": F.lit(1)}), source)
+    counts = jobs.ground_truth_files(t.spark, source, target, 10, 400, 5, class_id=list(range(8)), gender=["Male"], strict=True)
+    spare = counts.where("rows = 0").select(F.col("seq_id").alias("file_name"), F.lit("").alias("content"))  # Spark reads no file without a byte
+    return t.spark.read.text(target, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content")).unionByName(spare)
+
+
+@query(f"SELECT seq_id || '_gt_part.txt' AS file_name, {TEXT_SQL} FROM detections WHERE bb_width >= 20 AND class_id IN (1, 2, 3, 4, 5, 6, 7, 8)", DET)
+def s1_stream_filter_files(t):
+    """The filter job on a stream: files arrive in three parts, and each run goes on from the checkpoint of the one before, one file a batch."""
+    arrived, source, target, state = _annotations(t), _folder(t), _folder(t), _folder(t)
+    for k in range(3):
+        part = t.spark.read.text(arrived, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.rtrim("value", F.lit("\n")).alias("value"))
+        write_named(part.where(F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(3)) == k), source, "name", "value")
+        filter_stream(t.spark, source, target, state, "_part", files_a_batch=2, class_id=list(range(1, 9)), min_width=20).awaitTermination()
     return R.read_mot(t.spark, target).select("file_name", *FIELDS)
 
 
@@ -140,15 +159,14 @@ def s4_k3_pose_files(t):
     rows = t.poses.withColumns({"file_name": F.concat("flight_id", F.lit("_matched_poses.json")), "extra": F.when(F.col("pos") % 2 == 0, F.concat(F.lit("odd"), F.col("pos").cast("string"))), "document": F.struct(F.concat(F.lit("v"), "flight_id").alias("version"))})
     folder = _folder(t)
     W.write_poses(rows, folder)
-    W.plain_names(t.spark, folder, "file_name")
     return R.read_poses(t.spark, folder).select("flight_id", "file_name", "pos", "lat", "lng", "alt", "pitch", "roll", "yaw", "extra", "document.version")
 
 
-@query("SELECT flight_id, crs, origin_x, origin_y, origin_z, CAST(CAST(origin_z AS INT) + 1 AS INT) AS width FROM dem_meta", ("dem_meta",))
+@query("SELECT flight_id || '_matched_dem.json' AS file_name, flight_id, crs, origin_x, origin_y, origin_z, CAST(CAST(origin_z AS INT) + 1 AS INT) AS width FROM dem_meta", ("dem_meta",))
 def s5_dem_metadata(t):
     doc = F.to_json(F.struct((F.col("origin_z").cast("int") + 1).alias("width"), F.lit(2).alias("height"), "crs", F.array("origin_x", "origin_y", "origin_z").alias("origin")))
     made = R.read_dem_metadata(t.spark, _named(t, t.dem_meta.select(F.concat("flight_id", F.lit("_matched_dem.json")).alias("name"), doc.alias("value"))))
-    return made.select("flight_id", "crs", "origin_x", "origin_y", "origin_z", "width")
+    return made.select("file_name", "flight_id", "crs", "origin_x", "origin_y", "origin_z", "width")
 
 
 @query("SELECT DISTINCT seq_id || '_correction.json' AS file_name, CASE WHEN CAST(seq_id AS INT) % 3 = 0 THEN 0.0::DOUBLE ELSE CAST(seq_id AS DOUBLE) END AS shift_x, 0.0::DOUBLE AS shift_y, CASE WHEN CAST(seq_id AS INT) % 2 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS turn_z FROM detections", DET)
@@ -189,12 +207,15 @@ def s10_dem_cells(t):
     return R.read_dem_cells(t.spark, folder)
 
 
-@query(NORMALS + " SELECT 'vertices' AS name, count(*) AS n, sum(vertex) AS ids, round(sum(vx::DOUBLE), 2) AS total FROM verts UNION ALL SELECT 'faces', count(*), sum(a + b + c), 0.0::DOUBLE FROM faces UNION ALL SELECT 'normals', count(*), sum(vertex), round(sum(nz), 2) FROM normals", CELLS)
+@query(NORMALS + " SELECT 'vertices' AS name, vertex AS id, [vx, round(vz::DOUBLE, 3)]::DOUBLE[] AS numbers FROM verts UNION ALL SELECT 'faces', face, [a, b, c] FROM faces UNION ALL SELECT 'normals', vertex, [round(nx, 3) + 0.0, round(ny, 3) + 0.0, round(nz, 3) + 0.0] FROM normals", CELLS)
 def k5_mesh_tables(t):
+    """All rows of the three tables, as they are read back."""
     folder = _folder(t)
     W.write_mesh_tables(*M.mesh_tables(M.valid_elevation(t.dem_cells), CELL_W, CELL_H, 2), folder)
-    table = lambda name, ids, total: t.spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(ids).alias("ids"), F.round(F.sum(total), 2).alias("total"))
-    return table("vertices", F.col("vertex"), F.col("vx").cast("double")).unionByName(table("faces", F.col("a") + F.col("b") + F.col("c"), F.lit(0.0))).unionByName(table("normals", F.col("vertex"), F.col("nz").cast("double")))
+    to = lambda c: F.round(F.col(c).cast("double"), 3) + F.lit(0.0)
+    table = lambda name, id_, *numbers: t.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("name"), F.col(id_).alias("id"), F.array(*numbers).alias("numbers"))
+    double = lambda c: F.col(c).cast("double")
+    return table("vertices", "vertex", double("vx"), to("vz")).unionByName(table("faces", "face", *map(double, "abc"))).unionByName(table("normals", "vertex", *map(to, ("nx", "ny", "nz"))))
 
 
 @query("SELECT DISTINCT flight_id || '_matched_poses.json' AS file_name, flight_id AS stem, 'flights/' || flight_id || '/DEM/' AS output_dir FROM poses", ("poses",))

@@ -124,9 +124,19 @@ PAIR = ("poses", "dem_meta")
 OFF = 0.00012345678
 
 
-@query("SELECT p.flight_id, p.pos, d.crs, d.origin_x FROM poses p JOIN dem_meta d USING (flight_id)", PAIR)
+def _models(t):
+    """dem_meta as documents, of every third flight a second and an earlier one: the last by name counts."""
+    named = lambda rows, name, shift: rows.withColumns({"file_name": F.concat("flight_id", F.lit(name)), "origin_x": F.col("origin_x") + shift})
+    some = t.dem_meta.where(F.col("flight_id").cast("bigint") % 3 == 0)
+    return named(t.dem_meta, "_matched_dem.json", 0).unionByName(named(some, "_new_matched_dem.json", 100)).unionByName(named(some, "_a_matched_dem.json", 5))
+
+
+MODELS = ", dm AS (SELECT flight_id, crs, origin_x + CASE WHEN CAST(flight_id AS BIGINT) % 3 = 0 THEN 100 ELSE 0 END AS origin_x, origin_y, origin_z, flight_id || CASE WHEN CAST(flight_id AS BIGINT) % 3 = 0 THEN '_new' ELSE '' END || '_matched_dem.json' AS dem_file FROM dem_meta) "
+
+
+@query(MODELS + "SELECT p.flight_id, p.pos, d.crs, d.origin_x, d.dem_file FROM poses p JOIN dm d USING (flight_id)", PAIR)
 def j3_pair_poses_dem(t):
-    return G.pair_poses_dem(t.poses, t.dem_meta).select("flight_id", "pos", "crs", "origin_x")
+    return G.pair_poses_dem(t.poses, _models(t)).select("flight_id", "pos", "crs", "origin_x", "dem_file")
 
 
 @query("SELECT DISTINCT flight_id FROM poses WHERE flight_id NOT IN (SELECT flight_id FROM dem_meta)", PAIR)
@@ -134,10 +144,11 @@ def j3_unmatched_poses(t):
     return G.unmatched(t.poses, t.dem_meta)
 
 
-@query(f"SELECT p.flight_id, p.pos, round(round_even({_utm33_sql('p.lng', 'p.lat')[0]} - d.origin_x, 6) + {OFF}, 3) AS loc_x, round(round_even({_utm33_sql('p.lng', 'p.lat')[1]} - d.origin_y, 6) + {OFF}, 3) AS loc_y, round(round_even(p.alt - d.origin_z, 6) + {OFF}, 3) AS loc_z, p.pitch, p.roll, p.yaw FROM poses p JOIN dem_meta d USING (flight_id)", PAIR)
+@query(MODELS + f"SELECT p.flight_id, p.pos, round(round_even({_utm33_sql('p.lng', 'p.lat')[0]} - d.origin_x, 6) + {OFF}, 3) AS loc_x, round(round_even({_utm33_sql('p.lng', 'p.lat')[1]} - d.origin_y, 6) + {OFF}, 3) AS loc_y, CAST(printf('%.6f', p.alt - d.origin_z) AS DOUBLE) AS loc_z, p.pitch, p.roll, p.yaw FROM poses p JOIN dm d USING (flight_id)", PAIR)
 def t28_p10_relative_poses(t):
-    made = G.relative_poses(t.poses, t.dem_meta, ["EPSG:32633"])
-    return made.select("flight_id", "pos", *[F.round(F.col("location")[k] + OFF, 3).alias(f"loc_{c}") for k, c in enumerate("xyz")], *[F.col("rotation")[k].alias(c) for k, c in enumerate(("pitch", "roll", "yaw"))])
+    """Heights to all six digits; of what is projected three, as two engines' sines may differ in the last bits."""
+    made = G.relative_poses(t.poses, _models(t), ["EPSG:32633"])
+    return made.select("flight_id", "pos", *[F.round(F.col("location")[k] + OFF, 3).alias(f"loc_{c}") for k, c in enumerate("xy")], F.col("location")[2].alias("loc_z"), *[F.col("rotation")[k].alias(c) for k, c in enumerate(("pitch", "roll", "yaw"))])
 
 
 @query("SELECT DISTINCT p.flight_id, d.frame, p.lat, p.lng, p.alt, CASE WHEN p.pos % 3 = 0 THEN 40.0 + p.roll ELSE 50.0 END AS fovy, coalesce(m.origin_x / 1000, 0.0) AS shift_x, coalesce(m.origin_z, 0.0) AS turn_z FROM detections d JOIN poses p ON p.flight_id = d.seq_id AND p.pos = d.frame LEFT JOIN dem_meta m ON m.flight_id = p.flight_id", ("detections", "poses", "dem_meta"))

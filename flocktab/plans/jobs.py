@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flocktab.functions.scalar import file_id
 from flocktab.operators import detections as D
+from flocktab.operators.detections import last_wins
 from flocktab.operators.frames import kept_ground_truth
 from flocktab.operators.tracks import interpolate_tracks
 from flocktab.sources.readers import file_names, read_mot
-from flocktab.sources.writers import plain_names, write_mot, write_yolo, yolo_files
+from flocktab.sources.writers import write_mot, write_yolo, yolo_files
 
 
 def _rows(spark: SparkSession, source: str, dialect: str, glob: str) -> DataFrame:
@@ -22,30 +24,34 @@ def interpolate_files(spark: SparkSession, source: str, target: str, step: int =
     det = _rows(spark, source, "interp", glob)
     filled = interpolate_tracks(det, step)
     write_mot(filled, target, suffix, ("frame", "track_id", "line_no"), file_names(spark, source, glob))
-    plain_names(spark, target, "out_file")
     return D.interpolation_stats(det, filled)
 
 
-def filter_files(spark: SparkSession, source: str, target: str, suffix: str = "", glob: str = "*.txt", gender=(), age=(), strict: bool = False, **filters) -> DataFrame:
-    """Writes each file with the rows that pass; gives total, kept and percent by file, and for all. Names of genders and ages stand for their codes too."""
-    det = _rows(spark, source, "filter", glob)
+def write_filtered(det: DataFrame, names: DataFrame, target: str, suffix: str = "", gender=(), age=(), strict: bool = False, **filters) -> Column:
+    """Writes each file of names with the rows of det that pass, and gives the test. Names of genders and ages stand for their codes too."""
     passes = D.detection_filter(gender=D.expand_aliases(list(gender), D.GENDERS, strict), age=D.expand_aliases(list(age), D.AGES, strict), strict=strict, **filters)
-    write_mot(det.where(passes), target, suffix, files=file_names(spark, source, glob))
-    plain_names(spark, target, "out_file")
-    return D.filter_stats(det, passes)
+    write_mot(det.where(passes), target, suffix, files=names)
+    return passes
+
+
+def filter_files(spark: SparkSession, source: str, target: str, suffix: str = "", glob: str = "*.txt", **filters) -> DataFrame:
+    """Writes each file with the rows that pass (see write_filtered); gives total, kept and percent by file, and for all."""
+    det = _rows(spark, source, "filter", glob)
+    return D.filter_stats(det, write_filtered(det, file_names(spark, source, glob), target, suffix, **filters))
 
 
-def ground_truth_files(spark: SparkSession, source: str, target: str, start: int = 0, end: int | None = None, rate: int = 1, suffix: str = "", glob: str = "*.txt", **filters) -> DataFrame:
-    """Writes each file with the rows that go beside the extracted frames; gives rows by file."""
-    det = kept_ground_truth(_rows(spark, source, "frames", glob), start, end, rate, **filters)
-    write_mot(det, target, suffix)
-    plain_names(spark, target, "out_file")
-    return det.groupBy("seq_id").agg(F.count("*").alias("rows"))
+def ground_truth_files(spark: SparkSession, source: str, target: str, start: int = 0, end: int | None = None, rate: int = 1, glob: str = "*.{txt,csv}", gender=(), age=(), strict: bool = False, **filters) -> DataFrame:
+    """Writes <id>_gt.txt for each annotation file with an id (of several of one id the last by name), with the rows that go beside the extracted frames; of a file without such a row an empty one. Names of genders and ages stand for their codes too. Gives rows by file."""
+    names = file_names(spark, source, glob).select("file_name", file_id(F.col("file_name")).alias("id")).where("id is not null")
+    names = last_wins(names, "id", "file_name").select("file_name", F.concat("id", F.lit("_gt.txt")).alias("out"))
+    det = kept_ground_truth(_rows(spark, source, "frames", glob), start, end, rate, gender=gender, age=age, strict=strict, **filters)
+    det = det.join(names, "file_name").drop("file_name").withColumnsRenamed({"out": "file_name"})
+    write_mot(det, target, files=names.select(F.col("out").alias("file_name")), blank=None)
+    return names.select(F.col("out").alias("seq_id")).join(det.groupBy(F.col("file_name").alias("seq_id")).agg(F.count("*").alias("rows")), "seq_id", "left").fillna(0, "rows")
 
 
 def label_files(spark: SparkSession, source: str, target: str, img_width: int, img_height: int, properties: list[str], glob: str = "*.txt") -> DataFrame:
     """Writes a label file for each sequence and frame; gives frames and labels by sequence."""
     det = read_mot(spark, source, "yolo", glob=glob)
     write_yolo(yolo_files(det, img_width, img_height, properties), target)
-    plain_names(spark, target, "label_file")
     return det.groupBy("seq_id").agg(F.count_distinct("frame").alias("frames"), F.count("*").alias("labels"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from fnmatch import fnmatch
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -87,10 +86,19 @@ def read_mot(spark: SparkSession, path: str, dialect: str = "filter", on_error:
     return parse_mot(mot_lines(files), dialect, on_error)
 
 
-def read_flight_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """*_metadata.json documents; unreadable ones are skipped. Ordered by file name where order matters: file_name is a column."""
+def _flight_documents(spark: SparkSession, folder: str) -> DataFrame:
     made = spark.read.schema(schemas.FLIGHT + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder, multiLine=True, pathGlobFilter="*_metadata.json", mode="PERMISSIVE")
-    return made.withColumn("file_name", F.col("_metadata.file_name")).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return made.withColumn("file_name", F.col("_metadata.file_name"))
+
+
+def read_flight_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """*_metadata.json documents; unreadable ones are skipped (see unreadable_flight_metadata). Ordered by file name where order matters: file_name is a column."""
+    return _flight_documents(spark, folder).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def unreadable_flight_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, flight_key, record) of the documents that read_flight_metadata skips: flight_key if that much could be read, and the text."""
+    return _flight_documents(spark, folder).where(F.col("_corrupt_record").isNotNull()).select("file_name", "flight_key", F.col("_corrupt_record").alias("record"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -112,9 +120,10 @@ def read_poses(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 
 def read_dem_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """*_matched_dem.json documents with flight_id and the origin's coordinates."""
+    """*_matched_dem.json documents with file_name, flight_id and the origin's coordinates."""
     made = spark.read.schema(schemas.DEM_META).json(path, multiLine=True, pathGlobFilter="*_matched_dem.json")
-    return made.select(F.split(F.col("_metadata.file_name"), "_")[0].alias("flight_id"), "*", *[F.col("origin")[k].alias(f"origin_{c}") for k, c in enumerate("xyz")])
+    made = made.select(F.col("_metadata.file_name").alias("file_name"), "*")
+    return made.select(F.split("file_name", "_")[0].alias("flight_id"), "*", *[F.col("origin")[k].alias(f"origin_{c}") for k, c in enumerate("xyz")])
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
@@ -147,7 +156,8 @@ def file_names(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """(file_name) of the files of a folder, or of one file; empty ones too, which Spark's sources leave out. A listing by the driver, as every read begins with one."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [(folder.rstrip("/").rsplit("/", 1)[-1],)] if fs.getFileStatus(path).isFile() else [(x.getPath().getName(),) for x in fs.listStatus(path) if x.isFile() and fnmatch(x.getPath().getName(), glob)]
+    found = [fs.getFileStatus(path)] if fs.getFileStatus(path).isFile() else [x for x in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, glob)) or [] if x.isFile()]
+    names = [(x.getPath().getName(),) for x in found]
     return spark.createDataFrame(names, "file_name string")
 
 

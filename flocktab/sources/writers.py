@@ -1,19 +1,19 @@
-"""Sinks: the text formats as DataFrames, and writers that publish them through Spark."""
+"""Sinks: the text formats as DataFrames, and writers of files that have their own names."""
 
 from __future__ import annotations
 
 import io
 import zipfile
-from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import fmt_fixed, yolo_box, yolo_label
 from flocktab.schemas import DETECTION_FIELDS
 
+from .named_files import write_named
+
 
 def format_mot(det: DataFrame) -> DataFrame:
     """det with line: 13 comma-separated fields, conf and visibility with two decimals, species as it is; a null is an empty field."""
@@ -21,15 +21,15 @@ def format_mot(det: DataFrame) -> DataFrame:
     return det.withColumn("line", F.concat_ws(",", *[F.coalesce(text(c), F.lit("")) for c in DETECTION_FIELDS]))
 
 
-def write_mot(det: DataFrame, path: str, suffix: str = "", order: tuple[str, ...] = ("line_no",), files: DataFrame | None = None) -> None:
-    """One folder out_file=<stem><suffix><ext> for each input file, its lines in order; a file of `files` (file_name) without a row has one empty line."""
+def write_mot(det: DataFrame, path: str, suffix: str = "", order: tuple[str, ...] = ("line_no",), files: DataFrame | None = None, blank: str | None = "") -> None:
+    """A file <stem><suffix><ext> for each input file, its lines in order; a file of `files` (file_name) without a row has the line `blank`, or none."""
     ext = F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
     out_file = F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(suffix), ext).alias("out_file")
     lines = format_mot(det).select(out_file, "line", *order)
     if files is not None:
         none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]
-        lines = lines.unionByName(files.select("file_name").distinct().join(det.select("file_name").distinct(), "file_name", "left_anti").select(out_file, F.lit("").alias("line"), *none))
-    lines.repartition("out_file").sortWithinPartitions("out_file", *order).select("out_file", "line").write.partitionBy("out_file").text(path)
+        lines = lines.unionByName(files.select("file_name").distinct().join(det.select("file_name").distinct(), "file_name", "left_anti").select(out_file, F.lit(blank).cast("string").alias("line"), *none))
+    write_named(lines, path, "out_file", "line", order)
 
 
 def zipped(members: Column) -> Column:
@@ -49,23 +49,6 @@ def zipped(members: Column) -> Column:
     return made(members)
 
 
-def plain_names(spark: SparkSession, path: str, column: str) -> None:
-    """Moves the one part of <path>/<column>=<name>/ to <path>/<name>, so that files have their own names: a rename each, by the driver."""
-    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = [x.getPath() for x in fs.globStatus(Path(f"{path}/{column}=*/part-*")) or []]
-    if len({x.getParent().getName() for x in parts}) < len(parts):
-        raise ValueError(f"a {column} of {path} has several parts")
-
-    def move(part) -> None:
-        folder = part.getParent()
-        fs.rename(part, Path(Path(path), unquote(folder.getName().split("=", 1)[1])))
-        fs.delete(folder, True)
-
-    with ThreadPoolExecutor(16) as pool:
-        list(pool.map(move, parts))
-
-
 def yolo_files(det: DataFrame, img_width: int, img_height: int, properties: list[str]) -> DataFrame:
     """(label_file, content): the label lines of each sequence and frame, in input order. Of several files of one sequence the last by name counts for a frame. A box without a number has 0 there."""
     made = yolo_box(*[F.col(c) for c in ("bb_left", "bb_top", "bb_width", "bb_height")], float(img_width), float(img_height))
@@ -78,8 +61,8 @@ def yolo_files(det: DataFrame, img_width: int, img_height: int, properties: list
 
 
 def write_yolo(files: DataFrame, path: str) -> None:
-    """One folder label_file=<name> for each label file: opt-in, there are as many as frames."""
-    files.select("label_file", F.rtrim("content", F.lit("\n")).alias("value")).repartition("label_file").write.partitionBy("label_file").text(path)
+    """Each label file under its name: opt-in, there are as many as frames."""
+    write_named(files.select("label_file", F.rtrim("content", F.lit("\n")).alias("value")), path, "label_file", "value")
 
 
 def pose_documents(poses: DataFrame, keys: tuple[str, ...] = ("flight_id", "file_name", "pos", "document")) -> DataFrame:
@@ -92,7 +75,8 @@ def pose_documents(poses: DataFrame, keys: tuple[str, ...] = ("flight_id", "file
 
 
 def write_poses(poses: DataFrame, path: str) -> None:
-    pose_documents(poses).repartition("file_name").write.partitionBy("file_name").text(path)
+    """Each flight's document under its name."""
+    write_named(pose_documents(poses), path, "file_name", "value")
 
 
 def dem_documents(origin: DataFrame, crs: str, cell_w: float, cell_h: float) -> DataFrame:

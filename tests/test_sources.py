@@ -66,7 +66,7 @@ def test_write_mot_round_trip(spark, folder, tmp_path):
     out = str(tmp_path / "out")
     det = R.read_mot(spark, folder, glob="2_gt.txt")
     W.write_mot(det, out, "_f")
-    lines = [r["value"] for r in spark.read.text(out + "/out_file=2_gt_f.txt").collect()]
+    lines = [r["value"] for r in spark.read.text(out + "/2_gt_f.txt").collect()]
     assert lines[0] == "5,1,1,1,2,2,0.12,1,1.00,X,0,0,0" and len(lines) == 3
 
 
