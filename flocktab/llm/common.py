@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new one under /tmp only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a new one under /tmp only where it is unset and the session is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             return jsc.getCheckpointDir().get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -38,6 +41,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written in the shared folder, by name, and read back: they cut lineage as checkpoints do, and can be deleted once what was made of them is written too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        Path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = Path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for name in names:
+            fs.delete(Path(f"{self.folder}/{name}"), True)
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether df has so many rows at most; no more than these are counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def join_skewed(left: DataFrame, right: DataFrame, on: str, total: int, n: str = "n") -> DataFrame:
     """Inner join of left with right, which has one row a key and in n how many rows of left have it; total: rows of left, or half of them at least.
 

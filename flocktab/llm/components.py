@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,11 +13,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond): each
     step joins the links with one row a node, its smallest neighbour, so that a node with very many links adds no rows,
-    and the links shrink to stars in a few rounds. Every round is checkpointed.
+    and the links shrink to stars in a few rounds. Every round is written, and the one before deleted; the last stays.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
+    held = Scratch(links.sparkSession)
+    edges, before = held.cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "0"), None
+    for k in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: larger neighbours go to the smallest one
@@ -25,9 +25,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = cut(small)
+        edges = held.cut(small, str(k + 1))
+        held.drop(str(k))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
+        if now == before or not now["n"]:
             break
         before = now
     else:
