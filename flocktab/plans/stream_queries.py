@@ -13,36 +13,27 @@ from flocktab.streaming import tracks as X
 from .annotation_queries import DET, TRAIL_SQL, trail_text
 from .registry import query, shared_folder
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The frames at which the arrivals of a replay end; the last one has all that follow.
 ENDS = (180, 360, 540)
 
 
-def replay(t, make) -> DataFrame:
-    """make() of the detections as a stream: they arrive in four parts, by frame, each a run that goes on from the state of the one before; what they write is read back."""
+def replay(t, run) -> DataFrame:
+    """The detections as a stream: they arrive in four parts, by frame, each a run(stream, target, checkpoint) that goes on from the state of the one before; the rows that it writes are read back."""
     spark, folder, det = t.spark, f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}", t.detections
-    key = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(key)
-    spark.conf.set(key, PROVIDER)
-    try:
-        for low, high in zip((None, *ENDS), (*ENDS, None), strict=True):
-            part = det.where(F.lit(True) if low is None else F.col("frame") >= low).where(F.lit(True) if high is None else F.col("frame") < high)
-            part.write.mode("append").parquet(f"{folder}/in")
-            stream = spark.readStream.schema(det.schema).parquet(f"{folder}/in")
-            made = make(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-            made.awaitTermination()
-    finally:
-        spark.conf.set(key, was)
-    return spark.read.parquet(f"{folder}/out")
+    for low, high in zip((None, *ENDS), (*ENDS, None), strict=True):
+        part = det.where(F.lit(True) if low is None else F.col("frame") >= low).where(F.lit(True) if high is None else F.col("frame") < high)
+        part.write.mode("append").parquet(f"{folder}/in")
+        run(spark.readStream.schema(det.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/rows")
 
 
-TRAILS = f"SELECT line_no, {TRAIL_SQL}, count(*) OVER w > 1 AS shown FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+TRAILS = f"SELECT line_no, {TRAIL_SQL}, count(*) OVER w > 1 AS shown, false AS late FROM detections WINDOW w AS (PARTITION BY seq_id, track_id ORDER BY frame, line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
 
 
 @query(TRAILS, DET)
 def x1_stream_trails(t):
-    made = replay(t, lambda det: X.stream_trails(det, 5))
-    return made.select("line_no", *trail_text(), "shown")
+    made = replay(t, lambda det, target, state: X.stream_trails(det, target, state, 5))
+    return made.select("line_no", *trail_text(), "shown", "late")
 
 
 GAPS = """, k AS (SELECT *, row_number() OVER (PARTITION BY seq_id, track_id, frame ORDER BY line_no) > 1 AS late FROM detections),
@@ -55,4 +46,4 @@ UNION ALL SELECT seq_id, track_id, gf, CAST(round_even(bb_left + (l1 - bb_left)
 
 @query(GAPS, DET)
 def x2_stream_gap_fill(t):
-    return replay(t, lambda det: X.stream_gap_fill(det, 2)).select("seq_id", "track_id", "frame", *T.BOX, *T.LINEAR, "class_id", "species", "gender", "age", "is_propagated", "late")
+    return replay(t, lambda det, target, state: X.stream_gap_fill(det, target, state, 2)).select("seq_id", "track_id", "frame", *T.BOX, *T.LINEAR, "class_id", "species", "gender", "age", "is_propagated", "late")

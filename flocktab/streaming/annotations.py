@@ -19,9 +19,7 @@ from flocktab.plans import jobs
 from flocktab.sources.readers import mot_lines, parse_mot
 from flocktab.sources.writers import write_yolo, yolo_files
 
-#: Where a target keeps the numbers of its published batches.
-MARKERS = "_published"
-
+from .batches import published_once
 
 def stream_texts(spark: SparkSession, folder: str, glob: str = "*.txt", files_a_batch: int | None = None) -> DataFrame:
     """(file_name, value: whole text) of the files of a folder, as they arrive."""
@@ -35,23 +33,7 @@ def stream_mot(spark: SparkSession, folder: str, dialect: str = "filter", on_err
     return parse_mot(mot_lines(stream_texts(spark, folder, glob, files_a_batch)), dialect, on_error)
 
 
-def published_once(spark: SparkSession, target: str, publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch: publish(batch), unless the target has the marker of the batch's number."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        marker = Path(f"{target}/{MARKERS}/{number}")
-        fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(marker):
-            return
-        publish(batch)
-        fs.mkdirs(marker.getParent())
-        fs.create(marker, True).close()
-
-    return run
-
-
-def _start(spark: SparkSession, source: str, target: str, checkpoint: str, glob: str, files_a_batch: int | None, publish: Callable[[DataFrame], None], once: bool) -> StreamingQuery:
+def _start(spark: SparkSession, source: str, target: str, checkpoint: str, glob: str, files_a_batch: int | None, publish: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
     out = stream_texts(spark, source, glob, files_a_batch).writeStream.foreachBatch(published_once(spark, target, publish)).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()
 
@@ -59,7 +41,7 @@ def _start(spark: SparkSession, source: str, target: str, checkpoint: str, glob:
 def filter_stream(spark: SparkSession, source: str, target: str, checkpoint: str, suffix: str = "", glob: str = "*.txt", files_a_batch: int | None = None, once: bool = True, **filters) -> StreamingQuery:
     """jobs.filter_files of the files that arrive; once: those that are there, then it ends."""
 
-    def publish(texts: DataFrame) -> None:
+    def publish(texts: DataFrame, number: int) -> None:
         det = parse_mot(mot_lines(texts), "filter").withColumn("seq_id", F.col("file_name"))
         jobs.write_filtered(det, texts.select("file_name"), target, suffix, **filters)
 
@@ -69,7 +51,7 @@ def filter_stream(spark: SparkSession, source: str, target: str, checkpoint: str
 def label_stream(spark: SparkSession, source: str, target: str, checkpoint: str, img_width: int, img_height: int, properties: list[str], glob: str = "*.txt", files_a_batch: int | None = None, once: bool = True) -> StreamingQuery:
     """jobs.label_files of the files that arrive. Of several files of one sequence the last that arrives counts for a frame."""
 
-    def publish(texts: DataFrame) -> None:
+    def publish(texts: DataFrame, number: int) -> None:
         write_yolo(yolo_files(parse_mot(mot_lines(texts), "yolo"), img_width, img_height, properties), target)
 
     return _start(spark, source, target, checkpoint, glob, files_a_batch, publish, once)

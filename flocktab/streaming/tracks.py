@@ -1,91 +1,97 @@
-"""Incremental twins of track_trails and of gap filling, as Structured Streaming with state per track."""
+"""Incremental twins of track_trails and of gap filling, over a stream of detections.
 
-from __future__ import annotations
+A batch is computed by the window operators of the batch jobs, in the JVM: its rows together with each track's edge, the last
+rows before it, which is all that is kept as state. Time is event time: a sequence's clock is its highest frame so far. A row
+that comes after its track has moved on, or more than `idle` frames behind the clock before its batch, is late: it is passed
+on, marked, and changes nothing. A track that its sequence's
+clock has left more than `idle` frames behind has ended: it goes to the side output and its edge is forgotten, so state holds
+live tracks only; if it comes back it begins anew.
 
-from collections.abc import Iterator
+Output and state of a batch are written under its number and count once its marker is there, so a batch that is delivered
+again after a failure is replaced or skipped, never doubled.
+"""
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from __future__ import annotations
 
-TRACK = ["seq_id", "track_id"]
-BOX = ["bb_left", "bb_top", "bb_width", "bb_height"]
-TRAIL = "seq_id string, track_id bigint, frame bigint, line_no bigint, trail array<struct<cx: bigint, cy: bigint>>, shown boolean"
-FILLED = "seq_id string, track_id bigint, frame bigint, bb_left int, bb_top int, bb_width int, bb_height int, conf double, visibility double, class_id int, species string, gender string, age string, is_propagated string, late boolean"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-class _Trails(StatefulProcessor):
-    """State: the last n box centres."""
+from flocktab.operators.tracks import BOX, TRACK, interpolate_tracks, track_trails
 
-    def __init__(self, n: int, ttl_ms: int | None):
-        self.n, self.ttl_ms = n, ttl_ms
+from .batches import forget_state, published_once, state_before, write_state
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "cx bigint, cy bigint", self.ttl_ms)
+ORDER = ["frame", "line_no"]
+CLOCKS = "seq_id string, clock bigint"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["frame", "line_no"], kind="stable")
-        cx, cy = batch["bb_left"] + batch["bb_width"] // 2, batch["bb_top"] + batch["bb_height"] // 2
-        held = list(self.last.get())
-        centres = [{"cx": int(x), "cy": int(y)} for x, y in [*held, *zip(cx, cy, strict=True)]]
-        ends = range(len(held) + 1, len(centres) + 1)  # a window on the centres for each row
-        trails = [centres[max(0, e - self.n) : e] for e in ends]
-        self.last.put([(c["cx"], c["cy"]) for c in centres[-self.n :]])
-        yield pd.DataFrame({"seq_id": key[0], "track_id": key[1], "frame": batch["frame"].to_numpy(), "line_no": batch["line_no"].to_numpy(), "trail": trails, "shown": [len(t) > 1 for t in trails]})
 
-    def close(self) -> None:
-        pass
+def _last(rows: DataFrame, n: int) -> DataFrame:
+    """Each track's last n rows."""
+    w = Window.partitionBy(*TRACK).orderBy(*[F.desc(c) for c in ORDER])
+    return rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
 
 
-class _GapFill(StatefulProcessor):
-    """State: the last key frame. A row at or before it is late: passed on marked, and no gap is filled for it."""
+def _stream(det: DataFrame, target: str, checkpoint: str, columns: list[str], depth: int, idle: int | None, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], once: bool) -> StreamingQuery:
+    """step(edges, batch) -> output rows, and the rows that edges are taken from; batch has __last, its track's last frame before, and __behind: too far behind the clock."""
+    spark, edge = det.sparkSession, det.select(*columns).schema
 
-    def __init__(self, step: int, ttl_ms: int | None):
-        self.step, self.ttl_ms = step, ttl_ms
+    def publish(batch: DataFrame, number: int) -> None:
+        edges, clocks = state_before(spark, target, "edges", edge), state_before(spark, target, "clocks", CLOCKS)
+        known = batch.join(edges.groupBy(*TRACK).agg(F.max("frame").alias("__last")), TRACK, "left")
+        behind = F.lit(False) if idle is None else F.coalesce(F.col("clock") - F.col("frame") > idle, F.lit(False))
+        known = (known if idle is None else known.join(clocks, "seq_id", "left")).withColumn("__behind", behind).drop("clock")
+        out, rows = step(edges, known)
+        out.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        if idle is not None:
+            clocks = clocks.unionByName(batch.groupBy("seq_id").agg(F.max("frame").alias("clock"))).groupBy("seq_id").agg(F.max("clock").alias("clock"))
+            write_state(target, "clocks", number, clocks)
+            clocks = state_at(number, "clocks", CLOCKS)
+        else:
+            write_state(target, "clocks", number, clocks)
+        kept = _last(rows.select(*columns), depth)
+        if idle is not None:
+            last = kept.groupBy(*TRACK).agg(F.max("frame").alias("last_frame")).join(clocks, "seq_id")
+            ended = last.where(F.col("clock") - F.col("last_frame") > idle).select(*TRACK, "last_frame")
+            ended.write.mode("overwrite").parquet(f"{target}/ended/batch={number}")
+            kept = kept.join(spark.read.schema(ended.schema).parquet(f"{target}/ended/batch={number}"), TRACK, "left_anti")
+        write_state(target, "edges", number, kept)
+        forget_state(spark, target, number)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "frame bigint, bb_left int, bb_top int, bb_width int, bb_height int, conf double, visibility double, class_id int, species string, gender string, age string", self.ttl_ms)
+    def state_at(number: int, name: str, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{target}/_state/{number}/{name}")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["frame", *BOX, "conf", "visibility", "class_id", "species", "gender", "age"]
-        batch = pd.concat(list(rows)).sort_values(["frame", "line_no"], kind="stable")
-        frames, state = batch["frame"].to_numpy(), tuple(self.last.get()) if self.last.exists() else None
-        before = np.concatenate([[frames[0] - 1 if state is None else state[0]], frames[:-1]])
-        late = frames <= np.maximum.accumulate(before)
-        keys = batch.loc[~late, names]
-        if state is not None:
-            keys = pd.concat([pd.DataFrame([state], columns=names), keys])
-        yield self._between(key, keys.reset_index(drop=True), names)
-        yield pd.DataFrame({"seq_id": key[0], "track_id": key[1], **{c: batch[c].to_numpy() for c in [*names, "is_propagated"]}, "late": late})[[*TRACK, *names, "is_propagated", "late"]]
-        self.last.update(tuple(x.item() if hasattr(x, "item") else x for x in keys.iloc[-1]))
+    made = det.writeStream.foreachBatch(published_once(spark, target, publish)).option("checkpointLocation", checkpoint)
+    return (made.trigger(availableNow=True) if once else made).start()
 
-    def _between(self, key, keys: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-        """The rows between each key frame and the next, of all gaps at once."""
-        gap = np.diff(keys["frame"].to_numpy())
-        n = (gap - 1) // self.step
-        of = np.repeat(np.arange(len(gap)), n)
-        a, b = keys.iloc[of].reset_index(drop=True), keys.iloc[of + 1].reset_index(drop=True)
-        frame = a["frame"].to_numpy() + self.step * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + 1)
-        share = (frame - a["frame"].to_numpy()) / gap[of]
-        made = {c: a[c].to_numpy() + (b[c].to_numpy() - a[c].to_numpy()) * share for c in [*BOX, "conf", "visibility"]}
-        made |= {c: np.rint(made[c]).astype("int32") for c in BOX}
-        rest = {c: a[c].to_numpy() for c in names if c not in ("frame", *made)}
-        return pd.DataFrame({"seq_id": key[0], "track_id": key[1], "frame": frame, **made, **rest, "is_propagated": "1", "late": False})[[*TRACK, *names, "is_propagated", "late"]]
 
-    def close(self) -> None:
-        pass
+def stream_trails(det: DataFrame, target: str, checkpoint: str, n: int, idle: int | None = None, once: bool = True) -> StreamingQuery:
+    """track_trails of a stream, into target/rows: det with trail, shown and late; of a late row the trail is null. Ended tracks go to target/ended."""
 
+    def step(edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        marked = batch.withColumn("late", F.coalesce(F.col("frame") < F.col("__last"), F.lit(False)) | F.col("__behind")).drop("__last", "__behind")
+        on_time = marked.where(~F.col("late")).withColumn("__new", F.lit(True))
+        rows = on_time.unionByName(edges.withColumn("__new", F.lit(False)), allowMissingColumns=True)
+        made = track_trails(rows, n).where("__new").drop("__new")
+        late = marked.where("late").withColumns({"trail": F.lit(None).cast(made.schema["trail"].dataType), "shown": F.lit(False)})
+        return made.unionByName(late), rows
 
-def _run(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy(*TRACK).transformWithStateInPandas(processor, schema, "append", "none")
+    return _stream(det, target, checkpoint, [*TRACK, *ORDER, *BOX], n, idle, step, once)
 
 
-def stream_trails(det: DataFrame, n: int, ttl_ms: int | None = None) -> DataFrame:
-    """track_trails of a stream: within a track, rows are taken in order within a micro-batch and batches as they come."""
-    return _run(det, _Trails(n, ttl_ms), TRAIL)
+def stream_gap_fill(det: DataFrame, target: str, checkpoint: str, step: int = 1, idle: int | None = None, once: bool = True) -> StreamingQuery:
+    """interpolate_tracks of a stream, into target/rows: det and the rows between key frames, with late. A gap is filled when the next key
+    frame arrives; a row at or before its track's last key frame is late, and no gap is filled for it. Ended tracks go to target/ended."""
+    columns = det.columns
 
+    def fill(edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        again = Window.partitionBy(*TRACK, "frame").orderBy("line_no")  # of rows of one frame the first is the key frame
+        late = F.coalesce(F.col("frame") <= F.col("__last"), F.lit(False)) | F.col("__behind") | (F.row_number().over(again) > 1)
+        marked = batch.withColumn("late", late).drop("__last", "__behind")
+        keys = marked.where(~F.col("late")).drop("late").withColumn("__new", F.lit(True)).unionByName(edges.withColumn("__new", F.lit(False)))
+        filled = interpolate_tracks(keys.withColumn("__of", F.col("frame")), step)
+        out = filled.where(F.col("__new") | (F.col("frame") != F.col("__of"))).select(*columns, F.lit(False).alias("late"))  # an edge has been passed on before
+        return out.unionByName(marked.where("late").select(*columns, "late")), keys
 
-def stream_gap_fill(det: DataFrame, step: int = 1, ttl_ms: int | None = None) -> DataFrame:
-    """interpolate_tracks of a stream: a gap is filled when the next key frame arrives; `late` marks the side output."""
-    return _run(det, _GapFill(step, ttl_ms), FILLED)
+    return _stream(det, target, checkpoint, columns, 1, idle, fill, once)

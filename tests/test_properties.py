@@ -1,7 +1,6 @@
 """Properties of the operators, goldens on the shipped metadata, plans, and streams against their batch twins."""
 
 import math
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,35 +252,3 @@ def test_clip_bins_are_small(spark):
     got = dem.clip_cells(cells, boxes, 10.0, 10.0)
     want = {(str(k), r, c) for k in range(20) for r in range(100) for c in range(100) if c * 10 <= 35 * k + 20 and c * 10 + 10 >= 35 * k and r * 10 <= 35 * k + 20 and r * 10 + 10 >= 35 * k}
     assert {(r["flight_id"], r["row_i"], r["col_i"]) for r in got.collect()} == want and got.count() == len(want)
-
-
-def _stream(spark, tmp_path, det, make, name):
-    src = str(tmp_path / "src")
-    for k, (lo, hi) in enumerate(((0, 240), (240, 480), (480, 10_000))):
-        det.where(f"frame >= {lo} and frame < {hi}").coalesce(1).write.mode("append").parquet(f"{src}/{k}")
-    frames = sorted(os.listdir(src))
-    read = spark.readStream.schema(det.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    q = make(read).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    assert len(frames) == 3
-    return spark.table(name)
-
-
-def test_stream_trails_equals_batch(spark, tmp_path, det):
-    streaming = pytest.importorskip("flocktab.streaming.tracks")
-    few = det.where("track_id % 4 = 1").drop("species")
-    got = _stream(spark, tmp_path, few, lambda s: streaming.stream_trails(s, 5), "trails")
-    want = T.track_trails(few, 5).select("line_no", F.transform("trail", lambda p: p["cx"]).alias("x"))
-    assert got.select("line_no", F.transform("trail", lambda p: p["cx"]).alias("x")).exceptAll(want).isEmpty() and got.count() == few.count()
-
-
-def test_stream_gap_fill_equals_batch(spark, tmp_path, det):
-    streaming = pytest.importorskip("flocktab.streaming.tracks")
-    few = det.where("track_id % 4 = 1").groupBy("seq_id", "track_id", "frame").agg(F.min_by(F.struct(*det.columns), "line_no").alias("r")).select("r.*")
-    got = _stream(spark, tmp_path, few, lambda s: streaming.stream_gap_fill(s, 2), "filled")
-    cols = ["seq_id", "track_id", "frame", *T.BOX, "is_propagated"]
-    want = T.interpolate_tracks(few, 2).select(cols)
-    assert got.where("not late").select(cols).exceptAll(want).isEmpty() and got.count() == want.count()
