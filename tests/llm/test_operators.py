@@ -65,6 +65,18 @@ def test_line_dedup(spark, corpus):
     assert sum(w[3] for w in want) >= 6
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_line_dedup_of_many_lines_and_both_ways(spark, corpus, monkeypatch, salts):
+    """Bitmaps of several words with gaps, with the bitmaps broadcast and not."""
+    shared = [f"this line number {k} is shared by all of them" for k in range(300)]
+    rows = [(i, "\n".join(x for k, x in enumerate(shared) if k % (i + 2) < 2 or k > 250) + "\nown\n" * i) for i in range(5)] + corpus
+    want = sorted((str(i), t, a, b) for i, t, a, b in brute_lines(rows))
+    for bound in (0, 1 << 30):
+        monkeypatch.setattr(line_dedup, "MAX_BROADCAST", bound)
+        got = line_dedup.dedup_lines(docs(spark, rows), salts=salts).select("doc_id", "text", "n_lines", "n_dropped").collect()
+        assert sorted((str(r[0]), *r[1:]) for r in got) == want
+
+
 @pytest.mark.parametrize("salts", [1, 3])
 def test_line_dedup_salts_agree(spark, corpus, salts):
     a = line_dedup.dedup_lines(docs(spark, corpus), salts=salts).select("doc_id", "text", "n_dropped")
@@ -434,7 +446,7 @@ def test_shards(spark, tmp_path, corpus):
         kept.append(d.where(F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == wave))
     before = kept.manifest()
     assert kept.version() == 3 and len(before) > 10
-    kept.compact(keep_old=True)
+    kept.compact()
     after = kept.manifest()
     assert len(after) < len(before) and sum(x["rows"] for x in after) == len(corpus)
     for v in (3, None):
@@ -444,6 +456,49 @@ def test_shards(spark, tmp_path, corpus):
         kept.commit([], 2)
     kept.append(d.limit(0))
     assert kept.version() > 4 and kept.read().count() == len(corpus)
+    old = kept.read(version=3)
+    assert kept.expire(3600) == 0 and old.count() == len(corpus)  # readers of older versions have time to end
+    assert kept.expire(0) >= len(before) and kept.read().count() == len(corpus) and kept.version() > 4
+    assert kept.expire(0) == 0
+
+
+def test_a_commit_whose_answer_is_lost(spark, tmp_path, monkeypatch):
+    """The rename succeeds and reports a failure: the version stands, and so do its shards. If it fails in truth, with another writer's version there, the own files go."""
+    kept = shards.ShardSet(spark, str(tmp_path / uuid.uuid4().hex))
+    rows = spark.createDataFrame([(k, "x") for k in range(10)], "doc_id long, text string")
+    rename = shards.ShardSet._rename
+
+    def lost(self, old, new):
+        rename(self, old, new)
+        rename(self, old, new)  # the file is gone: an error from the store
+
+    monkeypatch.setattr(shards.ShardSet, "_rename", lost)
+    assert kept.append(rows) == 1 and kept.read().count() == 10
+
+    def outrun(self, old, new):
+        self._write(new, '{"commit": "other", "parts": [], "at": 0}')
+        rename(self, old, new)
+
+    monkeypatch.setattr(shards.ShardSet, "_rename", outrun)
+    with pytest.raises(RuntimeError, match="committed already"):
+        kept.append(rows)
+    monkeypatch.setattr(shards.ShardSet, "_rename", rename)
+    assert kept.version() == 2 and len(list((tmp_path / kept.root.rsplit("/", 1)[1] / "data").iterdir())) == 1
+
+
+def test_parts_of_a_manifest(spark, tmp_path, monkeypatch):
+    """An append adds a part and leaves the others; a compaction rewrites parts that lose a shard, or are short."""
+    monkeypatch.setattr(shards, "PART_LINES", 2)
+    kept = shards.ShardSet(spark, str(tmp_path / uuid.uuid4().hex), shard_rows=4, base_bytes=1 << 20, fanout=4)
+    rows = lambda n: spark.createDataFrame([(k, "x") for k in range(n)], "doc_id long, text string").coalesce(1)
+    kept.append(rows(8))
+    first = kept.parts()
+    kept.append(rows(3))
+    assert kept.parts()[:1] == first and len(kept.parts()) == 2 and len(kept.manifest()) == 3
+    kept.append(rows(4))
+    kept.compact()
+    assert len(kept.manifest()) == 1 and len(kept.parts()) == 1 and kept.read().count() == 15
+    assert [len(kept.parts(v)) for v in (1, 2, 3, 4)] == [1, 2, 3, 1] and kept.read(version=2).count() == 11
 
 
 def test_toxicity_held_out(spark):
