@@ -3,8 +3,8 @@
 The base figures (symbols, duplicate lines, repeated windows, ...) are computed for every document. The further rules
 are tried one after another and stop at the first that rejects. The order is made rule by rule on a sample of at most
 `sample_rows` documents that pass the base rule: the next rule is that with most rejections a second among the documents
-that no rule before it rejects. A rule's seconds are those of a job that applies it REPEATS times to each document of the
-sample, less those of the same job without a rule, both run once before to have their code compiled. The sample is of
+that no rule before it rejects. One job applies all rules to each document of the sample REPEATS times, with the clock read
+between them; the later half counts, when code is compiled. The sample is of
 texts of at most SAMPLE_CHARS characters from the first partitions that have enough, so no partition is read for it that
 need not be. The order changes the work, never the verdict. Everything is DataFrame functions within a row: no shuffle.
 
@@ -16,7 +16,6 @@ name (`out_col`).
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +26,7 @@ from .common import BLANKS, let
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 #: How often a rule is applied to time it, and the longest text of the sample.
-REPEATS, SAMPLE_CHARS = 8, 20_000
+REPEATS, SAMPLE_CHARS = 4, 20_000
 
 Rule = Callable[[Column, Column, Column], Column]
 
@@ -107,43 +106,27 @@ def order_rules(docs: DataFrame, rules: dict[str, Rule], text_col: str = "text",
     """Names of the rules, each the best in rejections a second of what those before it leave; ties keep the given order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = docs.select(text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(sample_rows)  # bounded, and as few partitions as give them
-    some = docs.sparkSession.createDataFrame(some, "text string").coalesce(1)  # timed in one task each
+    some = docs.sparkSession.createDataFrame(some, "text string").coalesce(1)  # timed in one task
     text, words, m = F.col("text"), F.col("__words"), F.col("__m")
     some = some.select("text", let(_words(text), lambda w: F.struct(w.alias("words"), _figures(text, w).alias("m"))).alias("x")).select("text", F.col("x.words").alias("__words"), F.col("x.m").alias("__m"))
-    some = some.where(~base_failed(m)).persist()
-    try:
-        seconds = _seconds(some, rules)
-        marks = some.select(*[F.coalesce(rule(text, words, m), F.lit(False)) for rule in rules.values()]).collect()  # a flag a rule, of the sample
-    finally:
-        some.unpersist()
-    left, order, names = [tuple(r) for r in marks], [], list(rules)
+    often = some.where(~base_failed(m)).withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+    now = lambda: F.java_method(F.lit("java.lang.System"), F.lit("nanoTime")).cast("bigint")
+    # a row's columns are computed one after another, so a rule's time is what lies between the two beside it
+    steps = [x for k, rule in enumerate(rules.values()) for x in (F.coalesce(rule(text, words, m), F.lit(False)).alias(f"f{k}"), now().alias(f"t{k}"))]
+    timed = often.select("__again", now().alias("first"), now().alias("begin"), *steps).collect()  # numbers and flags of the sample
+    warm = [r for r in timed if r["__again"] > REPEATS // 2]  # code is compiled by then
+    empty = sum(r["begin"] - r["first"] for r in warm)
+    before = lambda r, k: r[f"t{k - 1}"] if k else r["begin"]
+    cost = [max(sum(r[f"t{k}"] - before(r, k) for r in warm) - empty, 1) for k in range(len(rules))]
+    left, order, names = [[r[f"f{k}"] for k in range(len(rules))] for r in timed if r["__again"] == REPEATS], [], list(rules)
     while len(order) < len(names):
-        worth = {k: sum(r[k] for r in left) / seconds[name] for k, name in enumerate(names) if name not in order}
+        worth = {k: sum(r[k] for r in left) / cost[k] for k, name in enumerate(names) if name not in order}
         best = max(worth, key=lambda k: worth[k])
         order.append(names[best])
         left = [r for r in left if not r[best]]
     return order
 
 
-def _seconds(some: DataFrame, rules: dict[str, Rule]) -> dict[str, float]:
-    """What each rule takes on the sample, above what the job takes without one."""
-    often = some.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-
-    def run(test: Column) -> float:
-        began = time.perf_counter()
-        often.agg(F.count_if(test)).collect()
-        return time.perf_counter() - began
-
-    def best(test: Column) -> float:
-        run(test)  # to have its code compiled
-        return run(test)
-
-    text, words, m = F.col("text"), F.col("__words"), F.col("__m")
-    empty = best(F.col("__again") < 0)
-    # the times count in the test, so that a rule is applied anew each time
-    return {name: max(best(rule(text, words, m) & (F.col("__again") > 0)) - empty, 1e-4) for name, rule in rules.items()}
-
-
 def judge(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] | None = None, order: list[str] | None = None, out_col: str = "quality") -> DataFrame:
     """docs with `out_col`: a struct of the base figures, base_failed, rejected_by (name of the first rule that rejects, else null) and kept."""
     rules = RULES if rules is None else rules
