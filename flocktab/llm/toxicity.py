@@ -1,12 +1,14 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is the bag of its words; a word is the bag of its hashed character n-grams (3 to 5, with word boundaries) and
-of itself. The vectors of all these features are averaged over the text and go into a softmax of two classes. Vectors
+of itself. The vectors of all its words are averaged over the whole text and go into a softmax of two classes. Vectors
 and softmax are trained together by stochastic gradient steps on a sample of at most `max_rows` labelled rows; a
-misspelling that was never seen shares most n-grams, and so most of its vector, with the word that was. As the average
-is linear, a word's part in the final logit is one number, which each worker keeps for words it has met (two generations
-of at most CACHE words). A long text would hide a few telling words in its average, so a text is scored as the
-highest of its stretches of STRETCH words, which are also what the model is trained on.
+misspelling that was never seen shares most n-grams, and so most of its vector, with the word that was.
+
+An even average of a long text would hide a few telling words, so the average is weighted: a word weighs exp(SHARP times
+its own logit), as attention does, with weights that sum to 1 over the text. They are part of the model: training goes
+through them. Both the logit of a word and its weight are one number, so scoring needs just that number of each word, which
+each worker keeps for words it has met (two generations of at most CACHE words).
 
 Training rows are chosen by hash of the id, not by place, and leave out the fold that is held out. Scoring is one pass
 over all rows, Arrow batch by Arrow batch, without a shuffle.
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 WORD = re.compile(r"[^\W_]+")
-DIM, ROWS, STRETCH, CACHE = 8, 1 << 16, 8, 250_000
+DIM, ROWS, SHARP, CACHE = 8, 1 << 16, 0.5, 250_000
 
 
 def features(word: str) -> list[int]:
@@ -43,9 +45,8 @@ def features(word: str) -> list[int]:
     return [of(w) % ROWS] + [of(w[i : i + n]) % ROWS for n in (3, 4, 5) for i in range(len(w) - n + 1)]
 
 
-def stretches(text: str | None) -> list[list[str]]:
-    words = WORD.findall((text or "").lower())
-    return [words[i : i + STRETCH] for i in range(0, len(words), STRETCH)]
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
 class Model:
@@ -78,11 +79,12 @@ class Model:
         if self.weight is None:
             return self.bias
         known, part = self.known.get, self.part
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words:
             return self.bias
-        parts = [part(w) if (p := known(w)) is None else p for w in words]
-        return self.bias + max([sum(parts[i : i + STRETCH]) / len(parts[i : i + STRETCH]) for i in range(0, len(parts), STRETCH)])
+        own = np.array([part(w) if (p := known(w)) is None else p for w in words])
+        weight = np.exp(SHARP * (own - own.max()))
+        return self.bias + float(weight @ own / weight.sum())
 
     def score(self, text: str | None) -> float:
         x = max(-700.0, min(700.0, self.logit(text)))
@@ -106,54 +108,48 @@ def summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def gradients(vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray, bags: list[np.ndarray], y: np.ndarray, rows_of: list[np.ndarray]):
     """Mean loss of bags of words, none empty, and its derivatives by vectors, softmax and bias."""
     used, at = np.unique(np.concatenate(bags), return_inverse=True)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    share = np.repeat([1 / len(b) for b in bags], [len(b) for b in bags])
+    length = np.array([len(b) for b in bags])
+    doc, begin = np.repeat(np.arange(len(bags)), length), np.cumsum(length) - length
     size = np.array([len(rows_of[w]) for w in used])
     rows, word = np.concatenate([rows_of[w] for w in used]), np.repeat(np.arange(len(used)), size)
     of_word = np.add.reduceat(vectors[rows], np.cumsum(size) - size) / size[:, None]
-    mean = np.add.reduceat(of_word[at] * share[:, None], np.searchsorted(doc, np.arange(len(bags))))
-    z = mean @ soft + bias
+    own = (of_word @ (soft[:, 1] - soft[:, 0]))[at]  # each word's logit
+    share = np.exp(SHARP * (own - np.maximum.reduceat(own, begin)[doc]))
+    share /= np.add.reduceat(share, begin)[doc]
+    summed_up = lambda weight: np.add.reduceat(of_word[at] * weight[:, None], begin)
+    z = summed_up(share) @ soft + bias
+    # a word moves the logit by its share, and by what its share moves
+    moves = share * (1 + SHARP * (own - np.add.reduceat(share * own, begin)[doc]))
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    own = np.arange(len(bags))
-    loss = -np.log(np.maximum(p[own, y], 1e-300)).mean()
-    p[own, y] -= 1
+    docs = np.arange(len(bags))
+    loss = -np.log(np.maximum(p[docs, y], 1e-300)).mean()
+    p[docs, y] -= 1
     p /= len(bags)
-    of_used = summed(at, (p @ soft.T)[doc] * share[:, None], len(used))
-    return loss, summed(rows, (of_used / size[:, None])[word], len(vectors)), mean.T @ p, p.sum(0)
+    of_used = summed(at, (p @ soft.T)[doc] * moves[:, None], len(used))
+    return loss, summed(rows, (of_used / size[:, None])[word], len(vectors)), summed_up(moves).T @ p, p.sum(0)
 
 
-def fit(texts: list[str | None], labels: list[int], whole_epochs: int = 6, stretch_epochs: int = 5, rate: float = 0.1, batch: int = 64, decay: float = 3e-5, seed: int = 1) -> Model:
-    """Adagrad with weight decay on mini-batches: first on whole texts, then on the stretch of each text that scores highest at the time."""
+def fit(texts: list[str | None], labels: list[int], epochs: int = 8, rate: float = 0.1, batch: int = 64, decay: float = 3e-5, seed: int = 1) -> Model:
+    """Adagrad with weight decay on mini-batches of whole texts."""
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(None, 800.0 if len(y) and y.max() == 1 else -800.0)
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
-    parts = [[np.array([ids.setdefault(w, len(ids)) for w in words], np.int32) for words in stretches(t)] for t in texts]
+    bags = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in texts]
     rows_of = [np.array(features(w), np.int32) for w in ids]
-    flat, size = np.concatenate(rows_of), np.array([len(r) for r in rows_of])
-    start = np.cumsum(size) - size
     vectors = _Adagrad((rng.random((ROWS, DIM)) - 0.5) / DIM, rate)
     soft, bias = _Adagrad((rng.random((DIM, 2)) - 0.5) / DIM, rate), _Adagrad(np.zeros(2), rate)
-
-    def learn(docs: np.ndarray, bags: list[np.ndarray]) -> None:
-        """One step on the bags of these documents."""
-        _, of_vectors, of_soft, of_bias = gradients(vectors.value, soft.value, bias.value, bags, y[docs], rows_of)
-        soft.step(of_soft)
-        bias.step(of_bias)
-        vectors.step(of_vectors + decay * vectors.value)
-
-    own = np.array([i for i, b in enumerate(parts) if b])
-    for epoch in range(whole_epochs + stretch_epochs):
-        if epoch >= whole_epochs:
-            collapsed = vectors.value @ (soft.value[:, 1] - soft.value[:, 0])
-            part = np.add.reduceat(collapsed[flat], start) / size
-            chosen = {i: max(parts[i], key=lambda b: part[b].mean()) for i in own.tolist()}
+    own = np.array([i for i, b in enumerate(bags) if len(b)], np.int64)
+    for _ in range(epochs):
         order = rng.permutation(own)
         for k in range(0, len(order), batch):
             docs = order[k : k + batch]
-            learn(docs, [chosen[i] if epoch >= whole_epochs else np.concatenate(parts[i]) for i in docs.tolist()])
+            _, of_vectors, of_soft, of_bias = gradients(vectors.value, soft.value, bias.value, [bags[i] for i in docs.tolist()], y[docs], rows_of)
+            soft.step(of_soft)
+            bias.step(of_bias)
+            vectors.step(of_vectors + decay * vectors.value)
     return Model((vectors.value @ (soft.value[:, 1] - soft.value[:, 0])).tolist(), float(bias.value[1] - bias.value[0]))
 
 

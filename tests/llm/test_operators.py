@@ -510,19 +510,18 @@ def test_toxicity_held_out(spark):
     held = d.join(labels, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0).select("doc_id", "text", "toxic")
     rows = toxicity.score(held, model).collect()
     y, s = np.array([r["toxic"] for r in rows]), np.array([r["score"] for r in rows])
-    assert ((s >= 0.5) == y).mean() > 0.9 and s[y == 1].mean() > 0.6 > 0.2 > s[y == 0].mean()
+    caught = (s >= 0.5) & (y == 1)
+    assert caught.sum() > 0.85 * y.sum() and caught.sum() > 0.92 * (s >= 0.5).sum()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows[:50])
 
 
 def loop_loss(vectors, soft, bias, bags, y, rows_of):
-    """Loss of bags of words, one number after another."""
+    """Loss of bags of words, one number after another: words weighted by what they say themselves, vectors averaged, softmax."""
     total = 0.0
     for words, label in zip(bags, y, strict=True):
-        mean = [0.0] * vectors.shape[1]
-        for w in words:
-            for r in rows_of[w]:
-                for d in range(len(mean)):
-                    mean[d] += vectors[r, d] / len(rows_of[w]) / len(words)
+        each = [[sum(vectors[r, d] for r in rows_of[w]) / len(rows_of[w]) for d in range(vectors.shape[1])] for w in words]
+        weight = [np.exp(toxicity.SHARP * sum(v * (soft[d, 1] - soft[d, 0]) for d, v in enumerate(e))) for e in each]
+        mean = [sum(w * e[d] for w, e in zip(weight, each, strict=True)) / sum(weight) for d in range(vectors.shape[1])]
         z = [sum(mean[d] * soft[d, c] for d in range(len(mean))) + bias[c] for c in (0, 1)]
         total -= z[label] - np.log(sum(np.exp(z)))
     return total / len(bags)
@@ -547,13 +546,28 @@ def test_toxicity_gradients():
             assert abs(made[k][at] - (up - down) / (2 * step)) < 1e-6
 
 
-def test_toxicity_score_is_the_softmax():
-    """A fitted model's score is the softmax of the average over the highest stretch."""
+def test_toxicity_score_is_the_softmax(monkeypatch):
+    """A fitted model's score is the softmax of the whole text's weighted average; also when the cache of words turns over."""
     model = toxicity.Model(np.random.default_rng(5).normal(size=toxicity.ROWS).tolist(), 0.25)
     words = [f"Wort{k}" for k in range(19)]
-    part = {w: np.mean([model.weight[r] for r in toxicity.features(w.lower())]) for w in words}
-    best = max(np.mean([part[w] for w in words[k : k + 8]]) for k in (0, 8, 16))
-    assert abs(model.score(" ".join(words)) - 1 / (1 + np.exp(-0.25 - best))) < 1e-12 and abs(model.score(None) - 1 / (1 + np.exp(-0.25))) < 1e-12
+    part = np.array([np.mean([model.weight[r] for r in toxicity.features(w.lower())]) for w in words])
+    weight = np.exp(toxicity.SHARP * part)
+    want = 1 / (1 + np.exp(-0.25 - weight @ part / weight.sum()))
+    monkeypatch.setattr(toxicity, "CACHE", 4)
+    for _ in range(2):
+        assert abs(model.score(" ".join(words)) - want) < 1e-12 and abs(model.score(None) - 1 / (1 + np.exp(-0.25))) < 1e-12
+
+
+def test_toxicity_in_long_texts_and_misspelt():
+    """A few words in a long text count wherever they stand, and an unseen misspelling of one does."""
+    rng = random.Random(8)
+    bad = [(" ".join([prose(rng, n := rng.randrange(5, 200)), "you vile scumbag", prose(rng, 200 - n)]), 1) for _ in range(120)]
+    good = [(prose(rng, 200), 0) for _ in range(240)]
+    model = toxicity.fit(*zip(*(bad + good), strict=True))
+    for at in (0, 7, 1500, 3000):
+        own = prose(rng, 3000).split()
+        assert model.score(" ".join(own)) < 0.5 < model.score(" ".join([*own[:at], "you vile scumbag", *own[at:]]))
+    assert model.score("so a scumbagg here") > 0.5 > model.score("so a w77 here")
 
 
 def test_toxicity_trains_alike_and_keeps_rows(spark, tmp_path):
