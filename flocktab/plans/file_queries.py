@@ -122,10 +122,9 @@ def f14_f20_short_and_comment_rows(t):
 
 @query(f"SELECT 'flight_' || seq_id || '.zip' AS archive, 2 AS members, seq_id || '_gt.txt' AS file_name, seq_id, {TEXT_SQL} FROM detections", DET)
 def s11_mot_archives(t):
-    """Archives of an annotation file and a video each, of one name in all."""
-
-    texts = _texts(t, lambda x, k: x).select(F.concat(F.lit("store:/a/flight_"), "seq_id", F.lit(".zip")).alias("path"), F.create_map(F.concat_ws("/", "seq_id", F.concat("seq_id", F.lit("_gt.txt"))), "value", F.lit("x.mp4"), F.lit("..")).alias("members"))
-    return R.parse_archives(texts.select("path", W.zipped(F.col("members")).alias("content"))).select("archive", "members", "file_name", "seq_id", *FIELDS)
+    """Archives of an annotation file and a video each, of one name in all, as files; members are read from their places."""
+    texts = _texts(t, lambda x, k: x).select(F.concat(F.lit("flight_"), "seq_id", F.lit(".zip")).alias("name"), F.create_map(F.concat_ws("/", "seq_id", F.concat("seq_id", F.lit("_gt.txt"))), "value", F.lit("x.mp4"), F.lit("..")).alias("members"))
+    return R.read_mot_archives(t.spark, _named(t, texts.select("name", W.zipped(F.col("members")).alias("value")))).select("archive", "members", "file_name", "seq_id", *FIELDS)
 
 
 FLAGS = ["contains_occluded_frames", "contains_unoccluded_frames", "contains_unknown_sex", "contains_male", "contains_female", "contains_unknown_age", "contains_juvenile", "contains_adult"]

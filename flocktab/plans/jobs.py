@@ -11,7 +11,7 @@ from flocktab.operators.detections import last_wins
 from flocktab.operators.frames import kept_ground_truth
 from flocktab.operators.tracks import interpolate_tracks
 from flocktab.sources.readers import file_names, read_mot
-from flocktab.sources.writers import write_mot, write_yolo, yolo_files
+from flocktab.sources.writers import out_name, write_mot, write_yolo, yolo_files
 
 
 def _rows(spark: SparkSession, source: str, dialect: str, glob: str) -> DataFrame:
@@ -22,9 +22,11 @@ def _rows(spark: SparkSession, source: str, dialect: str, glob: str) -> DataFram
 def interpolate_files(spark: SparkSession, source: str, target: str, step: int = 1, suffix: str = "", glob: str = "*.txt") -> DataFrame:
     """Writes each file with its tracks filled, by frame and track; gives rows before, filled and after by file."""
     det = _rows(spark, source, "interp", glob)
-    filled = interpolate_tracks(det, step)
-    write_mot(filled, target, suffix, ("frame", "track_id", "line_no"), file_names(spark, source, glob))
-    return D.interpolation_stats(det, filled)
+    write_mot(interpolate_tracks(det, step), target, suffix, ("frame", "track_id", "line_no"), file_names(spark, source, glob))
+    # counted in what was written: tracks are filled once
+    written = _rows(spark, target, "interp", "*").select(F.col("file_name").alias("out"), "is_propagated")
+    names = det.select("seq_id").distinct().withColumn("out", out_name(F.col("seq_id"), suffix))
+    return D.interpolation_stats(det, written.join(names, "out"))
 
 
 def write_filtered(det: DataFrame, names: DataFrame, target: str, suffix: str = "", gender=(), age=(), strict: bool = False, **filters) -> Column:

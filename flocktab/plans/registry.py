@@ -24,8 +24,11 @@ class Tables:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new one under /tmp only where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """The folder that the cluster names in spark.checkpoint.dir; a new one under /tmp only where it is unset and the session is local (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-")
 
 
 def query(sql: str | None = None, needs: tuple[str, ...] = (), recursive: bool = False):

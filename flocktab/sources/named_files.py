@@ -1,4 +1,4 @@
-"""A sink for text files that have their own names: rows of (name, line), all lines of a file in one partition and in order.
+"""A sink for files that have their own names: rows of (name, line), all lines of a file in one partition and in order; bytes are written as they are.
 
 Tasks write: each attempt streams its files into a folder of its own and, once all are whole, moves them into place itself. For a
 target that does not exist yet that place is a hidden folder beside it, which one rename publishes when the job commits, so the
@@ -64,7 +64,9 @@ class NamedTextWriter(DataSourceArrowWriter):
                             store.create_dir(own, recursive=True)
                         name, out = new, store.open_output_stream(f"{own}/{new}")
                         names.append(new)
-                    out.write("".join(f"{line}\n" for _, line in rows if line is not None).encode())
+                    for _, line in rows:
+                        if line is not None:
+                            out.write(line if isinstance(line, bytes) else f"{line}\n".encode())
         finally:
             if out:
                 out.close()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from flocktab import schemas
 from flocktab.functions.scalar import file_id, seq_id, split_class_key, strip
 
+from .named_files import file_system
+
 #: dialect -> lines stripped and blank ones skipped, quotes honoured, fewest fields, pattern of # lines skipped, last three fields as int, blanks kept or an error
 DIALECTS = {
     "filter": {"strip": True, "quotes": True, "least": 0, "comments": None, "ints": False},
@@ -173,12 +176,60 @@ def read_dem_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mot_archives(spark: SparkSession, path: str, dialect: str = "filter", glob: str = "flight_*.zip") -> DataFrame:
-    """Detections straight from archives: archive, members (files in it), and the columns of read_mot."""
-    return parse_archives(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content"), dialect)
+    """Detections straight from archives: archive, members (files in it), and the columns of read_mot.
+
+    Only an archive's directory is read to plan; its members are dealt over tasks, and each is read from its own place. So an
+    archive may be of any size, and none goes through one task."""
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")  # contents are not read
+    return _detections(read_members(archive_members(archives)), dialect)
+
+
+MEMBER = "path string, members int, name string, offset long, packed long, method int, crc long"
+
+
+def archive_members(archives: DataFrame) -> DataFrame:
+    """archives (path) -> a row for each .txt file in their directories: where it begins, its packed length, its method and its check sum."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                store, at = file_system(path)
+                with store.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                    all_ = z.infolist()
+                rows = [(path, len(all_), x.filename, x.header_offset, x.compress_size, x.compress_type, x.CRC) for x in all_ if x.filename.lower().endswith(".txt")]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER.split(", ")])
+
+    return archives.mapInPandas(listed, MEMBER)
+
+
+def read_members(members: DataFrame) -> DataFrame:
+    """archive_members' rows with their texts: (archive, members, file_name, value)."""
+
+    def text(path: str, name: str, offset: int, packed: int, method: int, crc: int) -> str:
+        store, at = file_system(path)
+        with store.open_input_file(at) as f:
+            f.seek(offset)
+            head = f.read(30)
+            f.seek(offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))  # a name and further fields of their own lengths
+            body = f.read(packed)
+        if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise ValueError(f"{name} of {path} is packed by method {method}")
+        out = body if method == zipfile.ZIP_STORED else zlib.decompress(body, -15)
+        if zlib.crc32(out) != crc:
+            raise ValueError(f"{name} of {path} is damaged")
+        return out.decode()
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                value = text(r.path, r.name, r.offset, r.packed, r.method, r.crc)
+                yield pd.DataFrame([(r.path.rsplit("/", 1)[1], r.members, r.name.rsplit("/", 1)[-1], value)], columns=["archive", "members", "file_name", "value"])
+
+    return members.repartition("path", "name").mapInPandas(texts, "archive string, members int, file_name string, value string")
 
 
 def parse_archives(files: DataFrame, dialect: str = "filter") -> DataFrame:
-    """files (path, content: a zip archive) as detections; an archive is read whole: there is one a flight."""
+    """files (path, content: a zip archive) as detections, of archives that are in a table; one is read whole."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,7 +240,10 @@ def parse_archives(files: DataFrame, dialect: str = "filter") -> DataFrame:
                         if n.lower().endswith(".txt"):
                             yield pd.DataFrame([(path_.rsplit("/", 1)[1], len(names), n.rsplit("/", 1)[-1], z.read(n).decode())], columns=["archive", "members", "file_name", "value"])
 
-    texts = files.mapInPandas(members, "archive string, members int, file_name string, value string")
+    return _detections(files.mapInPandas(members, "archive string, members int, file_name string, value string"), dialect)
+
+
+def _detections(texts: DataFrame, dialect: str) -> DataFrame:
     # the archive travels in the file's name, so that files of one name in two archives stay apart
     lines = mot_lines(texts.withColumn("file_name", F.concat_ws("\t", "archive", F.col("members").cast("string"), "file_name")))
     lines = lines.withColumn("seq_id", seq_id(F.split("file_name", "\t")[2]))

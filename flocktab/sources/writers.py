@@ -21,10 +21,14 @@ def format_mot(det: DataFrame) -> DataFrame:
     return det.withColumn("line", F.concat_ws(",", *[F.coalesce(text(c), F.lit("")) for c in DETECTION_FIELDS]))
 
 
+def out_name(name: Column, suffix: str) -> Column:
+    """<stem><suffix><ext>."""
+    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(suffix), F.regexp_extract(name, r"(\.[^.]*)$", 1))
+
+
 def write_mot(det: DataFrame, path: str, suffix: str = "", order: tuple[str, ...] = ("line_no",), files: DataFrame | None = None, blank: str | None = "") -> None:
     """A file <stem><suffix><ext> for each input file, its lines in order; a file of `files` (file_name) without a row has the line `blank`, or none."""
-    ext = F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
-    out_file = F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(suffix), ext).alias("out_file")
+    out_file = out_name(F.col("file_name"), suffix).alias("out_file")
     lines = format_mot(det).select(out_file, "line", *order)
     if files is not None:
         none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]

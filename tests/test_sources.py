@@ -194,3 +194,27 @@ def test_jobs_write_files(spark, folder, tmp_path):
     found = jobs.label_files(spark, folder, str(out / "labels"), 10, 10, ["class_id"], glob="[25]_gt.txt").first()
     assert sorted(x.name for x in (out / "labels").iterdir() if not x.name.startswith((".", "_"))) == ["2_1.txt", "2_5.txt"] and (found["frames"], found["labels"]) == (2, 3)
     assert (out / "labels/2_5.txt").read_text() == "1 0.200000 0.200000 0.200000 0.200000\n1 0.300000 0.300000 0.200000 0.200000\n"
+
+
+def test_members_are_read_from_their_places(spark, tmp_path):
+    """Archives with stored and packed members, in folders, of other kinds, empty; a damaged member and an unknown method are errors."""
+    import zipfile
+
+    line = "{},1,10,20,30,40,0.5,3,1.00,deer,1,2,0\n"
+    for n in (1, 2):
+        with zipfile.ZipFile(tmp_path / f"flight_{n}.zip", "w") as z:
+            z.writestr(f"a/{n}_gt.txt", "".join(line.format(k) for k in range(50 * n)), zipfile.ZIP_DEFLATED)
+            z.writestr("video.mp4", b"x" * 100_000)
+            z.writestr(f"{n}_more.TXT", line.format(7), zipfile.ZIP_STORED)
+            z.writestr("none.txt", "")
+    got = R.read_mot_archives(spark, str(tmp_path))
+    assert {(r["archive"], r["members"], r["file_name"]): r["count"] for r in got.groupBy("archive", "members", "file_name").count().collect()} == {
+        ("flight_1.zip", 4, "1_gt.txt"): 50, ("flight_1.zip", 4, "1_more.TXT"): 1, ("flight_2.zip", 4, "2_gt.txt"): 100, ("flight_2.zip", 4, "2_more.TXT"): 1}
+    whole = R.parse_archives(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    assert got.exceptAll(whole.select(*got.columns)).isEmpty() and whole.count() == got.count()
+    members = R.archive_members(spark.createDataFrame([(f"file:{tmp_path}/flight_2.zip",)], "path string"))
+    assert members.count() == 3
+    for change in ("crc + 1 AS crc", "99 AS method"):
+        name = change.split()[-1]
+        with pytest.raises(Exception, match="is damaged|by method 99"):
+            R.read_members(members.selectExpr(*[change if c == name else c for c in members.columns])).collect()
