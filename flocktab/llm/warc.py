@@ -6,8 +6,8 @@ combines before it shuffles; a payload that very many pages have is broadcast, s
 `records` a file and compressed file by file, so archives go wherever Spark can write and each file is published once. A capture's
 offset counts in the uncompressed archive.
 
-Reading parses each archive by Content-Length in the task that holds it and yields its captures sorted by URL key and
-timestamp: a local run. The merge is external: every run is cut at splitters taken from a sample of at most
+Reading opens each archive from its store in a task, parses it by Content-Length record after record, so that a task holds
+one payload whatever the archive's size, and yields its captures sorted by URL key and timestamp: a local run. The merge is external: every run is cut at splitters taken from a sample of at most
 SPLIT_SAMPLE keys (key, timestamp and id together, so a URL with very many captures is cut as well), the pieces of one
 range of keys meet in one task and go through a k-way loser tree, which hands its captures on as they come. Ranges are of
 about `range_rows` captures, and (range, pos) orders all captures globally. A capture's place in the history of its URL
@@ -15,7 +15,7 @@ key is counted as the merge goes; a key that goes on in the next range is carrie
 
 Defined results. Null or empty html: an empty payload, always a response. Null URL: an empty target URI. A null id is
 written as an empty id and read back as null; it never is the response others refer to. Rows that repeat the largest id are all
-responses. A very long payload makes its archive as long: an archive is read whole by one task. Pages have no capture
+responses. A very long payload is held by the task that reads it, one at a time. An archive that is cut off, or has no record where one is due, is an error. Pages have no capture
 time of their own: they are dated in UTC from EPOCH on, a second for each id (modulo 2 ** 36). An empty table gives an
 empty archive set and no captures. Other columns are ignored, whatever their names.
 """
@@ -24,14 +24,19 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flocktab.sources.named_files import file_system
+
 from .common import cut, shared_dir
 
 END = "\r\n\r\n"
@@ -84,21 +89,27 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (rest[cut_at:] or "/")
 
 
-def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of each record of an archive."""
-    at, total = 0, len(content)
-    while at < total:
-        if content[at : at + 2] == b"\r\n":
-            at += 2
+def parse(archive: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields, block) of each record of an archive, one after another."""
+    at = 0
+    while first := archive.readline():
+        begin, at = at, at + len(first)
+        if first == b"\r\n":
             continue
-        stop = content.index(b"\r\n\r\n", at)
-        lines = content[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.lower(): v for k, v in (x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])}
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record at byte {begin}")
+        fields, line = {}, b""
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            at += len(line)
+            x = line.decode("utf-8", "replace").removesuffix("\r\n")
+            k, v = x.split(": ", 1) if ": " in x else (x.rstrip(":"), "")
+            fields[k.lower()] = v
         size = int(fields["content-length"])
-        yield at, fields, content[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        block = archive.read(size)
+        if len(block) < size:
+            raise ValueError(f"the record at byte {begin} is cut off")
+        yield begin, fields, block
+        at += len(line) + size
 
 
 def _id(urn: str | None) -> int | None:
@@ -106,10 +117,10 @@ def _id(urn: str | None) -> int | None:
     return int(tail) if tail else None
 
 
-def captures_of(name: str, content: bytes) -> list[tuple]:
+def captures_of(name: str, archive: BinaryIO) -> list[tuple]:
     """A run: the captures of an archive by URL key, timestamp and id."""
     out = []
-    for at, h, block in parse(content):
+    for at, h, block in parse(archive):
         http, _, body = block.partition(b"\r\n\r\n")
         kind = h["warc-type"]
         if kind == "revisit":
@@ -128,16 +139,29 @@ def _order(row) -> tuple:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Captures of all archives of a folder; each archive is a sorted run within one partition."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    files, names = spark.read.format("binaryFile").load(folder), [x.split()[0] for x in CAPTURE.split(", ")]
+
+    def run(path: str, raw: BinaryIO) -> pd.DataFrame:
+        with gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw) as archive:
+            return _frame(captures_of(path.rsplit("/", 1)[1], archive), names)
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                store, at = file_system(path)
+                with store.open_input_file(at) as raw:
+                    yield run(path, raw)
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in CAPTURE.split(", ")]
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                whole = gzip.decompress(content) if path.endswith(".gz") else bytes(content)
-                yield _frame(captures_of(path.rsplit("/", 1)[1], whole), names)
+                yield run(path, io.BytesIO(content))
 
-    return files.mapInPandas(parsed, CAPTURE)
+    try:
+        file_system(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):  # a store that only Spark reads: archives come as rows
+        return files.select("path", "content").mapInPandas(held, CAPTURE)
+    return files.select("path").mapInPandas(opened, CAPTURE)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

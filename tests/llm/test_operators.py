@@ -3,6 +3,7 @@ repeated rows, empty tables and columns whose names clash."""
 
 import base64
 import hashlib
+import io
 import random
 import re
 import uuid
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as PT
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -434,6 +436,28 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
 
 
+def test_archives_are_parsed_record_by_record(spark, tmp_path, monkeypatch):
+    """Offsets, long payloads, blocks that look like records; cut archives are errors; a store that pyarrow does not know gives the same rows."""
+    page = "WARC/1.1\r\n\r\n" * 3 + "x" * 3_000_000
+    pages = spark.createDataFrame([(k, f"http://a.b/{k}", page if k == 3 else f"<p>{k}</p>\n" * k) for k in range(9)], "page_id long, url string, html string")
+    for compression in ("gzip", "none"):
+        folder = str(tmp_path / compression)
+        warc.write(pages, folder, per_file=4, compression=compression)
+        got = {r["page_id"]: r for r in warc.read(spark, folder).collect()}
+        assert {k: r["payload_bytes"] for k, r in got.items()} == {k: len(page) if k == 3 else len(f"<p>{k}</p>\n" * k) for k in range(9)}
+        with monkeypatch.context() as m:
+            m.setattr(warc, "file_system", lambda x: (_ for _ in ()).throw(pa.ArrowInvalid("unknown")))
+            assert sorted(map(tuple, warc.read(spark, folder).collect())) == sorted(map(tuple, got.values()))
+    r = got[5]
+    content = (tmp_path / "none" / r["archive"]).read_bytes()
+    assert content[r["offset"] :].startswith(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>")
+    assert [at for at, _, _ in warc.parse(io.BytesIO(content))] == sorted(x["offset"] for x in got.values() if x["archive"] == r["archive"])
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(io.BytesIO(content[:-9])))
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.parse(io.BytesIO(b"x" + content)))
+
+
 def test_empty_warc(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w")).count() == 0
 
