@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flocktab.llm import bpe, line_dedup, substring_dedup, toxicity
+from flocktab.llm import bpe, jaccard, line_dedup, substring_dedup, toxicity
 
 MODEL = toxicity.Model([0.1] * toxicity.ROWS, -1.0)
 OPERATORS = {
@@ -52,3 +52,15 @@ def test_very_long_texts_and_ties(spark, sf_dir, name):
         assert got == sorted(rows)
     else:
         assert [i for i, _ in got] == [1, 1, 2, 3, 4] and all(n > 30_000 for _, n in got)
+
+
+def test_near_dedup_without_broadcasts(spark, sf_dir, monkeypatch):
+    """Beyond the bounds of the counted broadcasts texts and rows are shuffled, and the same rows stay."""
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(12)]
+    rows = [(k % 17, base[k % 12] + (f" tail{k}" if k % 3 else "")) for k in range(40)] + [(None, base[0]), (None, base[0]), (99, None), (98, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, corpus_pipeline.near_dedup(spark, frame, sf_dir).collect()))
+    monkeypatch.setattr(corpus_pipeline, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(jaccard.texts_of, "__defaults__", (0,))
+    assert sorted(map(str, corpus_pipeline.near_dedup(spark, frame, sf_dir).collect())) == want and 10 < len(want) < 20
