@@ -88,7 +88,7 @@ PRESENT = "SELECT 'flight_' || flight_id || '.zip' AS name FROM manifest_flights
 
 
 def _index(t):
-    parts = t.manifest_flights.groupBy("part", "deposition_id").agg(F.array_sort(F.collect_list("flight_id"), lambda a, b: (a.cast("bigint") - b.cast("bigint")).cast("int")).alias("flights"))
+    parts = t.manifest_flights.groupBy("part", "deposition_id").agg(F.sort_array(F.collect_list(F.struct(F.col("flight_id").cast("bigint").alias("n"), "flight_id"))).alias("x")).select("part", "deposition_id", F.transform("x", lambda x: x["flight_id"]).alias("flights"))
     files = F.map_from_arrays("flights", F.transform("flights", lambda f: F.array(F.concat(f, F.lit("_gt.txt")), F.concat(f, F.lit("_"), f, F.lit(".mp4")))))
     return R.flight_index(parts.withColumn("flight_details", files))
 

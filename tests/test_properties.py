@@ -252,3 +252,13 @@ def test_clip_bins_are_small(spark):
     got = dem.clip_cells(cells, boxes, 10.0, 10.0)
     want = {(str(k), r, c) for k in range(20) for r in range(100) for c in range(100) if c * 10 <= 35 * k + 20 and c * 10 + 10 >= 35 * k and r * 10 <= 35 * k + 20 and r * 10 + 10 >= 35 * k}
     assert {(r["flight_id"], r["row_i"], r["col_i"]) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_flight_index_of_large_parts(spark):
+    """A part's details travel once, by flight, and are those of the part that counts."""
+    kind = "line_no int, part int, deposition_id long, flights array<string>, flight_details map<string, array<string>>"
+    parts = spark.createDataFrame([(0, 1, 10, ["7", "8", "7"], {"8": ["old.txt"], "none": ["x"]}), (1, 2, 20, ["8"], {"7": ["other.txt"]}), (2, 3, 30, ["9"], None)], kind)
+    index = M.flight_index(parts)
+    assert sorted(tuple(r) for r in index.select("flight_id", "part", "files", "pos").collect()) == [("7", 1, [], 2), ("8", 2, [], 0), ("9", 3, [], 0)]
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(flight_details" not in plan and "Join" not in plan
