@@ -26,10 +26,10 @@ def _folder(t) -> str:
     return f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}"
 
 
-def _named(t, rows: DataFrame) -> str:
+def _named(t, rows: DataFrame, folders: bool = False) -> str:
     """A folder with rows (name, value) as files of these names."""
     folder = _folder(t)
-    write_named(rows, folder, "name", "value")
+    write_named(rows, folder, "name", "value", folders=folders)
     return folder
 
 
@@ -97,10 +97,10 @@ def k6_ground_truth_files(t):
 @query(f"SELECT seq_id || '_gt_part.txt' AS file_name, {TEXT_SQL} FROM detections WHERE bb_width >= 20 AND class_id IN (1, 2, 3, 4, 5, 6, 7, 8)", DET)
 def s1_stream_filter_files(t):
     """The filter job on a stream: files arrive in three parts, and each run goes on from the checkpoint of the one before, one file a batch."""
-    arrived, source, target, state = _annotations(t), _folder(t), _folder(t), _folder(t)
+    source, target, state = _folder(t), _folder(t), _folder(t)
+    files = t.detections.withColumn("file_name", F.concat("seq_id", F.lit("_gt.txt")))
     for k in range(3):
-        part = t.spark.read.text(arrived, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.rtrim("value", F.lit("\n")).alias("value"))
-        write_named(part.where(F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(3)) == k), source, "name", "value")
+        write_mot(files.where(F.pmod(F.crc32(F.col("file_name").cast("binary")), F.lit(3)) == k), source)
         filter_stream(t.spark, source, target, state, "_part", files_a_batch=2, class_id=list(range(1, 9)), min_width=20).awaitTermination()
     return R.read_mot(t.spark, target).select("file_name", *FIELDS)
 
@@ -157,14 +157,14 @@ def s4_k3_pose_files(t):
     """With a key that some images have as null, and one of the document."""
     rows = t.poses.withColumns({"file_name": F.concat("flight_id", F.lit("_matched_poses.json")), "extra": F.when(F.col("pos") % 2 == 0, F.concat(F.lit("odd"), F.col("pos").cast("string"))), "document": F.struct(F.concat(F.lit("v"), "flight_id").alias("version"))})
     folder = _folder(t)
-    W.write_poses(rows, folder)
+    W.write_poses(rows, folder, folders=True)
     return R.read_poses(t.spark, folder).select("flight_id", "file_name", "pos", "lat", "lng", "alt", "pitch", "roll", "yaw", "extra", "document.version")
 
 
 @query("SELECT flight_id || '_matched_dem.json' AS file_name, flight_id, crs, origin_x, origin_y, origin_z, CAST(CAST(origin_z AS INT) + 1 AS INT) AS width FROM dem_meta", ("dem_meta",))
 def s5_dem_metadata(t):
     doc = F.to_json(F.struct((F.col("origin_z").cast("int") + 1).alias("width"), F.lit(2).alias("height"), "crs", F.array("origin_x", "origin_y", "origin_z").alias("origin")))
-    made = R.read_dem_metadata(t.spark, _named(t, t.dem_meta.select(F.concat("flight_id", F.lit("_matched_dem.json")).alias("name"), doc.alias("value"))))
+    made = R.read_dem_metadata(t.spark, _named(t, t.dem_meta.select(F.concat("flight_id", F.lit("_matched_dem.json")).alias("name"), doc.alias("value")), folders=True), recursive=True)
     return made.select("file_name", "flight_id", "crs", "origin_x", "origin_y", "origin_z", "width")
 
 
@@ -195,8 +195,8 @@ SUFFIX_SQL = "CASE CAST(video_id AS BIGINT) % 5 WHEN 0 THEN 'mp4' WHEN 1 THEN 'T
 def s8_list_files(t):
     n = F.col("video_id").cast("bigint") % 5
     suffix = F.when(n == 0, "mp4").when(n == 1, "TS").when(n == 2, "webm").when(n == 3, "Mov").otherwise("txt")
-    folder = _named(t, t.videos.select(F.concat("video_id", F.lit("_a."), suffix).alias("name"), F.lit("x").alias("value")))
-    return R.list_files(t.spark, folder, R.VIDEO_EXTENSIONS).select("file_name", "suffix", "id")
+    folder = _named(t, t.videos.select(F.concat("video_id", F.lit("_a."), suffix).alias("name"), F.lit("x").alias("value")), folders=True)
+    return R.list_files(t.spark, folder, R.VIDEO_EXTENSIONS, recursive=True).select("file_name", "suffix", "id")
 
 
 @query("SELECT dem_id, row_i, col_i, x, y, elev FROM dem_cells", CELLS)

@@ -9,15 +9,16 @@ attempts that a speculative copy has outrun, leave nothing: the job's hidden fol
 
 from __future__ import annotations
 
+import fnmatch
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -38,9 +39,19 @@ class Written(WriterCommitMessage):
     files: int
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, list]]:
+    """Names of a batch as they follow each other, and the lines of each that are not null."""
+    names, lines = batch.column(0), batch.column(1)
+    new = pc.indices_nonzero(pc.fill_null(pc.not_equal(names[1:], names[:-1]), True)).to_pylist() if len(names) > 1 else []
+    starts = [0, *[k + 1 for k in new], len(names)]
+    for a, b in zip(starts, starts[1:]):
+        if b > a:
+            yield names[a].as_py(), [x for x in lines[a:b].to_pylist() if x is not None]
+
+
 class NamedTextWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, folders: bool = False):
+        self.path, self.folders = path.rstrip("/"), folders
         store, self.target = file_system(self.path)
         self.new = not exists(store, self.target)
         parent, _, base = self.target.rpartition("/")
@@ -54,7 +65,7 @@ class NamedTextWriter(DataSourceArrowWriter):
         names, name, out = [], None, None
         try:
             for batch in iterator:
-                for new, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: x[0]):
+                for new, lines in _runs(batch):
                     if new != name:
                         if out:
                             out.close()
@@ -64,18 +75,18 @@ class NamedTextWriter(DataSourceArrowWriter):
                             store.create_dir(own, recursive=True)
                         name, out = new, store.open_output_stream(f"{own}/{new}")
                         names.append(new)
-                    for _, line in rows:
-                        if line is not None:
-                            out.write(line if isinstance(line, bytes) else f"{line}\n".encode())
+                    if lines:
+                        out.write(b"".join(lines) if isinstance(lines[0], bytes) else ("\n".join(lines) + "\n").encode())
         finally:
             if out:
                 out.close()
         if len(set(names)) < len(names):
             raise ValueError("lines of a file do not stand together")
+        place = f"{self.place}/{task.partitionId():05d}" if self.folders else self.place
         if names:
-            store.create_dir(self.place, recursive=True)
+            store.create_dir(place, recursive=True)
         for x in names:
-            store.move(f"{own}/{x}", f"{self.place}/{x}")
+            store.move(f"{own}/{x}", f"{place}/{x}")
         return Written(len(names))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -102,11 +113,68 @@ class NamedText(DataSource):
         return "name string, line string"
 
     def writer(self, schema, overwrite: bool) -> NamedTextWriter:
-        return NamedTextWriter(self.options["path"])
+        return NamedTextWriter(self.options["path"], self.options.get("folders") == "true")
+
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks that files are dealt over. Given as a number, as Spark would else join small rows by their bytes, and one task would write or read very many files."""
+    return 2 * spark.sparkContext.defaultParallelism
 
-def write_named(rows: DataFrame, path: str, name: str, line: str, order: tuple[str, ...] = ()) -> None:
-    """Writes a text file for each name, its lines in order; a null is no line, so a name with nulls alone is an empty file. A file's lines are one task's; files are spread by name."""
+
+def write_named(rows: DataFrame, path: str, name: str, line: str, order: tuple[str, ...] = (), folders: bool = False) -> None:
+    """Writes a text file for each name, its lines in order; a null is no line, so a name with nulls alone is an empty file. A file's lines are one task's; files are spread by name. folders: in a subfolder a task, so that very many files can be listed by many tasks."""
     rows.sparkSession.dataSource.register(NamedText)
-    dealt = rows.repartition(name).sortWithinPartitions(name, *order)
-    dealt.select(F.col(name).alias("name"), F.col(line).alias("line")).write.format(FORMAT).mode("append").save(path)
+    dealt = rows.repartition(tasks(rows.sparkSession), name).sortWithinPartitions(name, *order)
+    dealt.select(F.col(name).alias("name"), F.col(line).alias("line")).write.format(FORMAT).mode("append").option("folders", folders).save(path)
+
+
+LISTED = "path string, length long, folder boolean"
+
+
+def listed(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False) -> DataFrame:
+    """(path, file_name, length) of the files of a folder, or of one file, as Spark's sources see them: none that is hidden or empty. Tasks list, the driver has no name; with recursive subfolders are dealt over tasks."""
+
+    def entries(deep: bool):
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for root in batch.column(0).to_pylist():
+                    store, at = file_system(root)
+                    head = root[: -len(at)] if root.endswith(at) else ""
+                    info = store.get_file_info(at)
+                    found = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(at, recursive=deep))
+                    for k in range(0, len(found), 10_000):
+                        part = [x for x in found[k : k + 10_000] if not any(p[:1] in ("_", ".") for p in x.path[len(at) :].split("/"))]
+                        yield pa.RecordBatch.from_arrays([pa.array([head + x.path for x in part], "string"), pa.array([x.size or 0 for x in part], "int64"), pa.array([x.type == pafs.FileType.Directory for x in part], "bool")], ["path", "length", "folder"])
+
+        return made
+
+    top = spark.createDataFrame([(path.rstrip("/"),)], "path string").mapInArrow(entries(False), LISTED)
+    files = top.where("not folder")
+    if recursive:
+        files = files.unionByName(top.where("folder").select("path").repartition(tasks(spark), "path").mapInArrow(entries(True), LISTED).where("not folder"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where("length > 0").select("path", name.alias("file_name"), "length").where(name.rlike(fnmatch.translate(glob)))
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """(file_name, value): the whole texts of listed files, many small ones a task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, values, size = [], [], 0
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names.append(name)
+                values.append(text(path))
+                size += len(values[-1])
+                if size > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, "string"), pa.array(values, "string")], ["file_name", "value"])
+                    names, values, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, "string"), pa.array(values, "string")], ["file_name", "value"])
+
+    return files.select("path", "file_name").repartition(tasks(files.sparkSession), "path").mapInArrow(read, "file_name string, value string")
+
+
+def text(path: str) -> str:
+    store, at = file_system(path)
+    with store.open_input_stream(at, compression=None) as f:
+        return f.read().decode(errors="replace")

@@ -8,13 +8,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, _parse_datatype_string
 
 from flocktab import schemas
 from flocktab.functions.scalar import file_id, seq_id, split_class_key, strip
 
-from .named_files import file_system
+from .named_files import file_system, listed, tasks, text, texts
 
 #: dialect -> lines stripped and blank ones skipped, quotes honoured, fewest fields, pattern of # lines skipped, last three fields as int, blanks kept or an error
 DIALECTS = {
@@ -35,6 +36,22 @@ def mot_lines(files: DataFrame) -> DataFrame:
     return rows.where("line != ''").select("file_name", seq_id(F.col("file_name")).alias("seq_id"), F.col("line_no").cast("bigint"), "line")
 
 
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """mot_lines of a scan of files by lines (file_name, path, block: where the line's split begins, value), so that a file of any size is read by many tasks.
+
+    A split is in one task, in order: a line's place is its place in the split, and the lines of the splits before."""
+    at = rows.withColumn("id", F.monotonically_increasing_id())
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = at.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    made = at.join(splits, ["path", "block"]).where("value != ''")
+    return made.select("file_name", seq_id(F.col("file_name")).alias("seq_id"), F.coalesce(F.col("id") + F.col("shift"), F.lit(0)).alias("line_no"), F.col("value").alias("line"))
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """A scan of text files, by lines, as numbered_lines takes it."""
+    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
 def parse_mot(lines: DataFrame, dialect: str = "filter", on_error: str = "raise") -> DataFrame:
     """Lines as detections. A number that can't be read raises; with on_error="null" it is null and _corrupt is true.
 
@@ -84,9 +101,8 @@ def parse_mot(lines: DataFrame, dialect: str = "filter", on_error: str = "raise"
 
 
 def read_mot(spark: SparkSession, path: str, dialect: str = "filter", on_error: str = "raise", glob: str = "*.txt") -> DataFrame:
-    """A text file or a folder of them as detections, with file and line order kept. A file is read whole: there is one a flight. An empty folder has none."""
-    files = spark.read.schema("value string").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
-    return parse_mot(mot_lines(files), dialect, on_error)
+    """A text file or a folder of them as detections, with file and line order kept. A file is read by lines, a large one by many tasks. An empty folder has none."""
+    return parse_mot(numbered_lines(scanned(spark.read.schema("value string").option("pathGlobFilter", glob).text(path))), dialect, on_error)
 
 
 def _flight_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,17 +131,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_poses(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """*_poses.json documents, one row an image: flight_id, file_name, pos, the image's own keys (schema inferred, so none is lost), and in document, if there are any, the keys beside images."""
-    made = spark.read.option("recursiveFileLookup", recursive).json(path, multiLine=True, pathGlobFilter="*_poses.json")
-    beside = [f"`{c}`" for c in made.columns if c != "images"]
+    files = listed(spark, path, "*_poses.json", recursive)
+    schema = spark.read.json(files.select("path").repartition(tasks(spark), "path").rdd.map(lambda r: text(r[0]))).schema
+    made = texts(files).select("file_name", F.inline(F.from_json("value", ArrayType(schema))))
+    beside = [f"`{c}`" for c in schema.names if c != "images"]
     document = [F.struct(*beside).alias("document")] if beside else []
-    rows = made.select(F.col("_metadata.file_name").alias("file_name"), *document, F.posexplode("images").alias("pos", "image"))
+    rows = made.select("file_name", *document, F.posexplode("images").alias("pos", "image"))
     return rows.select(F.split("file_name", "_")[0].alias("flight_id"), "file_name", F.col("pos").cast("bigint").alias("pos"), *(["document"] if beside else []), "image.*")
 
 
-def read_dem_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """*_matched_dem.json documents with file_name, flight_id and the origin's coordinates."""
-    made = spark.read.schema(schemas.DEM_META).json(path, multiLine=True, pathGlobFilter="*_matched_dem.json")
-    made = made.select(F.col("_metadata.file_name").alias("file_name"), "*")
+def read_dem_metadata(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """*_matched_dem.json documents with file_name, flight_id and the origin's coordinates; recursive: of all subfolders too."""
+    made = texts(listed(spark, path, "*_matched_dem.json", recursive))
+    made = made.select("file_name", F.inline_outer(F.from_json("value", ArrayType(_parse_datatype_string(schemas.DEM_META)))))
     return made.select(F.split("file_name", "_")[0].alias("flight_id"), "*", *[F.col("origin")[k].alias(f"origin_{c}") for k, c in enumerate("xyz")])
 
 
@@ -148,9 +166,9 @@ VIDEO_EXTENSIONS = ["mp4", "avi", "mov", "mkv", "ts", "wmv", "flv"]
 MOT_EXTENSIONS = ["txt", "csv"]
 
 
-def list_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
-    """(path, file_name, suffix, length, id) of the files with these suffixes, in any case; contents are not read. Files without a byte are left out, as in all of Spark's sources."""
-    made = spark.read.format("binaryFile").load(folder).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+def list_files(spark: SparkSession, folder: str, extensions: list[str], recursive: bool = False) -> DataFrame:
+    """(path, file_name, suffix, length, id) of the files with these suffixes, in any case; contents are not read. Files without a byte are left out, as in all of Spark's sources. recursive: of all subfolders too, which tasks list."""
+    made = listed(spark, folder, recursive=recursive)
     suffix = F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1))
     return made.select("path", "file_name", suffix.alias("suffix"), "length", file_id(F.col("file_name")).alias("id")).where(F.col("suffix").isin([e.lower().lstrip(".") for e in extensions]))
 

@@ -78,9 +78,9 @@ def pose_documents(poses: DataFrame, keys: tuple[str, ...] = ("flight_id", "file
     return docs.select("file_name", F.to_json(F.struct(*(["document.*"] if beside else []), "images"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_poses(poses: DataFrame, path: str) -> None:
-    """Each flight's document under its name."""
-    write_named(pose_documents(poses), path, "file_name", "value")
+def write_poses(poses: DataFrame, path: str, folders: bool = False) -> None:
+    """Each flight's document under its name; folders: see write_named."""
+    write_named(pose_documents(poses), path, "file_name", "value", folders=folders)
 
 
 def dem_documents(origin: DataFrame, crs: str, cell_w: float, cell_h: float) -> DataFrame:

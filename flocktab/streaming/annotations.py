@@ -13,19 +13,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from flocktab.plans import jobs
-from flocktab.sources.readers import mot_lines, parse_mot
+from flocktab.sources.readers import mot_lines, numbered_lines, parse_mot, scanned
 from flocktab.sources.writers import write_yolo, yolo_files
 
 from .batches import published_once
 
+def _stream(spark: SparkSession, glob: str, files_a_batch: int | None) -> DataStreamReader:
+    stream = spark.readStream.schema("value string").option("pathGlobFilter", glob)
+    return stream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else stream
+
+
 def stream_texts(spark: SparkSession, folder: str, glob: str = "*.txt", files_a_batch: int | None = None) -> DataFrame:
     """(file_name, value: whole text) of the files of a folder, as they arrive."""
-    stream = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", glob)
-    stream = stream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else stream
-    return stream.text(folder).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    return _stream(spark, glob, files_a_batch).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
 
 
 def stream_mot(spark: SparkSession, folder: str, dialect: str = "filter", on_error: str = "raise", glob: str = "*.txt", files_a_batch: int | None = None) -> DataFrame:
@@ -34,16 +37,16 @@ def stream_mot(spark: SparkSession, folder: str, dialect: str = "filter", on_err
 
 
 def _start(spark: SparkSession, source: str, target: str, checkpoint: str, glob: str, files_a_batch: int | None, publish: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
-    out = stream_texts(spark, source, glob, files_a_batch).writeStream.foreachBatch(published_once(spark, target, publish)).option("checkpointLocation", checkpoint)
+    out = scanned(_stream(spark, glob, files_a_batch).text(source)).writeStream.foreachBatch(published_once(spark, target, publish)).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()
 
 
 def filter_stream(spark: SparkSession, source: str, target: str, checkpoint: str, suffix: str = "", glob: str = "*.txt", files_a_batch: int | None = None, once: bool = True, **filters) -> StreamingQuery:
     """jobs.filter_files of the files that arrive; once: those that are there, then it ends."""
 
-    def publish(texts: DataFrame, number: int) -> None:
-        det = parse_mot(mot_lines(texts), "filter").withColumn("seq_id", F.col("file_name"))
-        jobs.write_filtered(det, texts.select("file_name"), target, suffix, **filters)
+    def publish(rows: DataFrame, number: int) -> None:
+        det = parse_mot(numbered_lines(rows), "filter").withColumn("seq_id", F.col("file_name"))
+        jobs.write_filtered(det, rows.select("file_name"), target, suffix, **filters)
 
     return _start(spark, source, target, checkpoint, glob, files_a_batch, publish, once)
 
@@ -51,7 +54,7 @@ def filter_stream(spark: SparkSession, source: str, target: str, checkpoint: str
 def label_stream(spark: SparkSession, source: str, target: str, checkpoint: str, img_width: int, img_height: int, properties: list[str], glob: str = "*.txt", files_a_batch: int | None = None, once: bool = True) -> StreamingQuery:
     """jobs.label_files of the files that arrive. Of several files of one sequence the last that arrives counts for a frame."""
 
-    def publish(texts: DataFrame, number: int) -> None:
-        write_yolo(yolo_files(parse_mot(mot_lines(texts), "yolo"), img_width, img_height, properties), target)
+    def publish(rows: DataFrame, number: int) -> None:
+        write_yolo(yolo_files(parse_mot(numbered_lines(rows), "yolo"), img_width, img_height, properties), target)
 
     return _start(spark, source, target, checkpoint, glob, files_a_batch, publish, once)

@@ -262,3 +262,14 @@ def test_flight_index_of_large_parts(spark):
     assert sorted(tuple(r) for r in index.select("flight_id", "part", "files", "pos").collect()) == [("7", 1, [], 2), ("8", 2, [], 0), ("9", 3, [], 0)]
     plan = index._jdf.queryExecution().optimizedPlan().toString()
     assert "element_at(flight_details" not in plan and "Join" not in plan
+
+
+def test_exact_text_near_ties(spark):
+    """As printf has it, on both sides of a tie, on ties, and with either zero."""
+    import math
+
+    base = [k / 200 for k in range(400)] + [k / 8 for k in range(80)] + [1e7 + 0.005, 123456.785, 0.994999, 9.995, 99.995, 0.0, -0.0, -0.001, -1.005, 1e15 + 0.5]
+    values = [x for b in base for x in (b, math.nextafter(b, math.inf), math.nextafter(b, -math.inf), -b, b + 1e-7)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.fmt_fixed(F.col("x"), 2).alias("two"), S.fmt_fixed(F.col("x"), 6).alias("six")).collect()
+    assert [(r["x"], r["two"]) for r in rows if r["two"] != f"{r['x']:.2f}"] == []
+    assert [(r["x"], r["six"]) for r in rows if r["six"] != f"{r['x']:.6f}"] == []

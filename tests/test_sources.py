@@ -1,6 +1,7 @@
 """Dialects of the annotation format, documents, archives and the text sinks, on hand-made files."""
 
 import json
+import os
 import zipfile
 
 import pytest
@@ -218,3 +219,31 @@ def test_members_are_read_from_their_places(spark, tmp_path):
         name = change.split()[-1]
         with pytest.raises(Exception, match="is damaged|by method 99"):
             R.read_members(members.selectExpr(*[change if c == name else c for c in members.columns])).collect()
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """A file that is cut into many splits has the lines and places that it has as a whole, with all three line ends and empty lines."""
+    lines = [f"{k},{k % 7},1,2,3,4,0.5,1,1.0,x{'y' * (k % 90)},0,0,0" for k in range(900)]
+    (tmp_path / "1_gt.txt").write_bytes("".join(x + ["\n", "\r\n", "\r", "\n\n"][k % 4] for k, x in enumerate(lines)).encode())
+    (tmp_path / "2_gt.txt").write_text("\n".join(lines[:3]))
+    want = R.parse_mot(R.mot_lines(spark.read.text(str(tmp_path), wholetext=True).selectExpr("_metadata.file_name", "value"))).collect()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+        got = R.read_mot(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 1 and sorted(got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_many_small_files_are_dealt_and_listed_by_tasks(spark, tmp_path):
+    from flocktab.sources.named_files import tasks, write_named
+
+    names = spark.range(400).selectExpr("concat(id, '_a.', if(id % 2 = 0, 'mp4', 'txt')) AS name", "'x' AS value")
+    write_named(names, f"{tmp_path}/out", "name", "value", folders=True)
+    assert len(os.listdir(tmp_path / "out")) == tasks(spark)
+    (tmp_path / "out" / "_hidden.mp4").write_text("x")
+    (tmp_path / "out" / "empty.mp4").write_text("")
+    got = R.list_files(spark, f"file:{tmp_path}/out", R.VIDEO_EXTENSIONS, recursive=True).collect()
+    assert sorted(int(r["id"]) for r in got) == list(range(0, 400, 2)) and all(r["path"].startswith("file:/") and r["length"] == 2 for r in got)
+    assert R.list_files(spark, f"{tmp_path}/out", R.VIDEO_EXTENSIONS).count() == 0
