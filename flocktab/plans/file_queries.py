@@ -132,9 +132,9 @@ FLAGS = ["contains_occluded_frames", "contains_unoccluded_frames", "contains_unk
 
 @query("SELECT flight_key, split, frame_count, weather, drone_name, wikidata_id, species_name, " + ", ".join(FLAGS) + ", num_labels, CAST(num_label_states AS INT) AS num_label_states FROM flights LEFT JOIN flight_species USING (flight_key)", ("flights", "flight_species"))
 def s2_flight_metadata(t):
-    """Documents in arrays of some hundreds a file."""
+    """Documents in arrays of some hundreds a file, however many there are."""
     docs = t.full_flights.select("flight_key", F.to_json(F.struct("flight_key", "split", "frame_count", "flight_info", "species_present")).alias("doc"))
-    part = F.pmod(F.crc32(F.col("flight_key").cast("binary")), F.lit(32))
+    part = F.pmod(F.crc32(F.col("flight_key").cast("binary")), F.lit(max(32, t.flights.count() // 500)))
     files = docs.groupBy(F.concat(part.cast("string"), F.lit("_metadata.json")).alias("name")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("doc"), ","), F.lit("]")).alias("value"))
     files = files.unionByName(t.spark.createDataFrame([("broken_metadata.json", '[{"flight_key": "x"')], "name string, value string"))
     made = R.read_flight_metadata(t.spark, _named(t, files))

@@ -247,3 +247,18 @@ def test_many_small_files_are_dealt_and_listed_by_tasks(spark, tmp_path):
     got = R.list_files(spark, f"file:{tmp_path}/out", R.VIDEO_EXTENSIONS, recursive=True).collect()
     assert sorted(int(r["id"]) for r in got) == list(range(0, 400, 2)) and all(r["path"].startswith("file:/") and r["length"] == 2 for r in got)
     assert R.list_files(spark, f"{tmp_path}/out", R.VIDEO_EXTENSIONS).count() == 0
+
+
+def test_metadata_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """s2_flight_metadata writes files of some hundreds of documents, however many flights there are."""
+    from flocktab.plans import registry
+
+    file_queries = registry.file_queries
+
+    spark.range(20_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp'2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(10).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_quantity", "'R' AS l_returnflag", "'O' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, plain = [], file_queries._named
+    monkeypatch.setattr(file_queries, "_named", lambda t, rows: seen.append(plain(t, rows)) or seen[-1])
+    assert registry.QUERIES["s2_flight_metadata"](spark, str(tmp_path)).count() == 20_000
+    sizes = [len(json.loads((tmp_path / seen[0] / x).read_text())) for x in os.listdir(seen[0]) if x[0] != "b"]
+    assert sum(sizes) == 20_000 and max(sizes) < 600
