@@ -73,10 +73,10 @@ def _utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
 
 
 def inverse(x: Column, y: Column, crs: str) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees of UTM north coordinates."""
+    """Longitude and latitude in degrees of UTM north coordinates; null for a northing of more than half the way around the globe, which is no place."""
     zone = _zone(crs)
     radius, _, beta, delta = _series()
-    xi0, eta0 = y / radius, (x - 500000.0) / radius
+    xi0, eta0 = F.when(F.abs(y / radius) <= math.pi, y / radius), (x - 500000.0) / radius
     xi, eta = xi0, eta0
     for k, b in enumerate(beta, 1):
         xi = xi - F.sin(xi0 * (2 * k)) * F.cosh(eta0 * (2 * k)) * b

@@ -273,3 +273,15 @@ def test_exact_text_near_ties(spark):
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.fmt_fixed(F.col("x"), 2).alias("two"), S.fmt_fixed(F.col("x"), 6).alias("six")).collect()
     assert [(r["x"], r["two"]) for r in rows if r["two"] != f"{r['x']:.2f}"] == []
     assert [(r["x"], r["six"]) for r in rows if r["six"] != f"{r['x']:.6f}"] == []
+
+
+def test_no_degrees_off_the_globe(spark):
+    """A northing that goes around the globe has no degrees, where it had those of another place; one beyond the pole comes back."""
+    from flocktab.functions import projection as P
+
+    rows = spark.createDataFrame([(80000.0, 5.4e6), (80000.0, -12.5e6), (80000.0, -174564000.0)], "x double, y double")
+    lon, lat = P.inverse(F.col("x"), F.col("y"), "EPSG:32633")
+    at = rows.select("x", "y", lon.alias("lon"), lat.alias("lat"))
+    bx, by = P.forward(F.col("lon"), F.col("lat"), "EPSG:32633")
+    got = [(r["x"], r["y"], r["bx"], r["by"]) for r in at.select("*", bx.alias("bx"), by.alias("by")).collect()]
+    assert all(abs(x - a) < 0.01 and abs(y - b) < 0.01 for x, y, a, b in got[:2]) and got[2][2:] == (None, None)
