@@ -32,7 +32,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that links of similarity 0.8 or more join, in shingles of five words: that with the smallest id."""
+    """One row of each group of texts that links of similarity 0.8 or more join, in shingles of five words: that with the smallest id.
+
+    Links are those of SimHash, as op3 finds them, and those of MinHash bands, which find the pairs that SimHash's four bits miss; all are verified."""
     held = docs.withColumn("__row", row_digest(docs))
     rows = jaccard.near_groups(held, words=5, threshold=0.8, keep=("doc_id", "__row"))
     # by row, not by id: ids may be null or repeat; nulls last

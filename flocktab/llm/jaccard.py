@@ -1,9 +1,10 @@
 """Near-duplicates by the Jaccard similarity of word shingles: the SimHash operator's form for a similarity.
 
-SimHash's bits can't carry this contract: at a similarity of 0.8 two texts differ in about 10 of 64 bits, and in up to 24,
-where unrelated ones meet. Candidates here share a band of MinHash values instead: with BANDS bands of ROWS values, a pair
-at similarity 0.8 shares none with probability (1 - 0.8 ** 4) ** 24, about 3 in a million, and fewer above. Every link is
-then verified on the shingle sets themselves, so no pair below the threshold links.
+The SimHash operator's links come first: its fingerprints and its search, 4 or fewer differing bits. They can't carry this
+contract alone: at a similarity of 0.8 two texts differ in about 10 of 64 bits, and in up to 24, where unrelated ones meet.
+So texts that share a band of MinHash values are candidates too: with BANDS bands of ROWS values, a pair at similarity 0.8
+shares none with probability (1 - 0.8 ** 4) ** 24, about 3 in a million, and fewer above. Every link of either kind is then
+verified on the shingle sets themselves, so no pair below the threshold links.
 
 Equal word sequences, by a digest of 128 bits, are one node from the start. A band's nodes are first compared with one of
 their number only, the least; the links found contract the graph. Then nodes of a band that are still apart and whose sizes
@@ -30,9 +31,12 @@ from pyspark.sql import types as T
 
 from .common import Scratch, at_most, join_skewed, small_batches
 from .components import components
-from .simhash import Forest, shingle_hashes
+from .simhash import Forest, fingerprint, shingle_hashes
+from .simhash import links as simhash_links
 
 BANDS, ROWS = 24, 4
+#: Words of a shingle and differing bits at most in SimHash, as in its own operator.
+PRINT_WORDS, DISTANCE = 4, 4
 #: Bands of up to FEW nodes are joined with themselves; larger ones are cut into blocks.
 FEW, BLOCK = 8, 1024
 #: Bytes of shingle hashes that a block holds on average, and columns of the table that counts shared ones.
@@ -66,17 +70,17 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def sketches(docs: DataFrame, words: int, text_col: str, *keep) -> DataFrame:
-    """(*keep, h1, h2, size, bands) for each row."""
+    """(*keep, h1, h2, size, fp, bands) for each row; fp: the SimHash fingerprint."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("h1 long, h2 long, size int, bands array<long>")
+    @F.pandas_udf("h1 long, h2 long, size int, fp long, bands array<long>")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for x in texts:
                 own = np.unique(shingle_hashes(x, words))
-                rows.append((*node(x), len(own), np.array(bands(own), np.uint64).astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["h1", "h2", "size", "bands"])
+                rows.append((*node(x), len(own), fingerprint(shingle_hashes(x, PRINT_WORDS)), np.array(bands(own), np.uint64).astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["h1", "h2", "size", "fp", "bands"])
 
     return docs.select(*keep, made(F.coalesce(F.col(text_col), F.lit(""))).alias("__s")).select("*", "__s.*").drop("__s")
 
@@ -117,21 +121,34 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
     return held.where(holds("text_a", "text_b")).select(*pairs.columns)
 
 
+def simhash_pairs(nodes: DataFrame, own: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes(node, size, fp), with size_a and size_b, that SimHash links: each node with the first of its fingerprint, and the firsts of two fingerprints that the operator's search links."""
+    first = own.cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n")), "firsts")
+    same = join_skewed(nodes.select("fp", "node", "size"), first.where("n > 1"), "fp", nodes.count()).where(F.col("node") != F.col("c.node"))
+    near = own.cut(simhash_links(first.select("fp"), DISTANCE).distinct(), "near")
+    a, b = first.select(F.col("fp").alias("a"), F.col("c").alias("x")), first.select(F.col("fp").alias("b"), F.col("c").alias("y"))
+    firsts = near.join(a, "a").join(b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = firsts.unionByName(same.select(F.col("c").alias("x"), F.struct("node", "size").alias("y")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """(*keep, component) for each row: the component joins rows by links of the similarity. What it writes on the way is deleted but for two tables that the result is read from."""
     own = Scratch(docs.sparkSession)
     prints = own.cut(sketches(docs, words, text_col, *keep, *text_digest(F.col(text_col))), "prints")
-    first = prints.groupBy("h1", "h2").agg(F.first(F.struct("t1", "t2", "size", "bands")).alias("x"))
+    first = prints.groupBy("h1", "h2").agg(F.first(F.struct("t1", "t2", "size", "fp", "bands")).alias("x"))
     nodes = own.cut(first.select("h1", "h2", "x.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", "size", F.explode("bands").alias("value"))
     shared = own.cut(rows.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("c")).where("n > 1"), "shared")  # bands of one node go
     members = own.cut(join_skewed(rows, shared.withColumn("of", F.col("n")), "value", BANDS * nodes.count()), "members")
-    linked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "t1", "t2")
+    fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
+    prints_near = own.cut(simhash_pairs(nodes, own).where(fits(F.col("size_a"), F.col("size_b"))).select("a", "b"), "simhash")
+    ends = members.select("node").unionByName(prints_near.select(F.explode(F.array("a", "b")).alias("node")))
+    linked = nodes.join(ends.distinct(), "node", "left_semi").select("node", "t1", "t2")
     texts = own.cut(texts_of(docs, linked, text_col), "texts")
 
-    fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
-    stars = members.where((F.col("node") != F.col("c.node")) & fits(F.col("size"), F.col("c.size"))).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = own.cut(verified(stars, texts, words, threshold), "links")
+    stars = members.where((F.col("node") != F.col("c.node")) & fits(F.col("size"), F.col("c.size"))).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    links = own.cut(verified(stars.unionByName(prints_near).distinct(), texts, words, threshold), "links")
     found = components(links)
     # what is left: nodes of one band in different components
     placed = own.cut(members.join(found, "node", "left").select("value", "node", "size", "of", F.col("c.node").alias("centre"), F.coalesce("component", "node").alias("c")), "placed")
@@ -147,8 +164,8 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, text_co
     joined = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("last"))
     each = nodes.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
     final = own.cut(each.join(joined, "c", "left").select("h1", "h2", F.coalesce("last", "c").alias("component")), "final")
-    own.drop("nodes", "shared", "members", "texts", "links", "placed", "open", "left", "more")
-    return prints.drop("t1", "t2", "size", "bands").join(final, ["h1", "h2"]).drop("h1", "h2")
+    own.drop("nodes", "shared", "members", "firsts", "near", "simhash", "texts", "links", "placed", "open", "left", "more")
+    return prints.drop("t1", "t2", "size", "fp", "bands").join(final, ["h1", "h2"]).drop("h1", "h2")
 
 
 def in_blocks(members: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:

@@ -7,11 +7,13 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import _decontaminated, brute_lines, reference_encoding
 
 import corpus_pipeline
 from flocktab.llm import jaccard, queries
 from flocktab.llm.common import table
+from flocktab.llm.simhash import fingerprint, shingle_hashes
 
 
 def brute_near(texts):
@@ -156,6 +158,23 @@ def test_near_dedup_finds_all_at_jaccard(spark, sf_dir):
     assert {r["doc_id"] for r in got.collect()} == set(up) and 25 < len(set(up)) < 140
 
 
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """Without a band of MinHash, copies within SimHash's four bits are still found, and none of another similarity."""
+    made = jaccard.sketches
+    monkeypatch.setattr(jaccard, "sketches", lambda *a: made(*a).withColumn("bands", F.array().cast("array<long>")))
+    rng, texts = random.Random(5), []
+    for _ in range(12):
+        own = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(own), " ".join([*own[:-1], "x"])]
+    texts.append("")
+    got = jaccard.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=("doc_id",)).collect()
+    prints = [fingerprint(shingle_hashes(t)) for t in texts]
+    close = [k for k in range(0, 24, 2) if bin((prints[k] ^ prints[k + 1]) & (2**64 - 1)).count("1") <= 4]
+    of = {r["doc_id"]: r["component"] for r in got}
+    assert len(close) > 6 and [k for k in range(0, 24, 2) if of[k] == of[k + 1]] == close
+    assert len(set(of.values())) == 25 - len(close)
+
+
 def test_near_dedup_null_and_repeated_ids(spark, sf_dir):
     """Survivors are rows: different texts stay, whatever their ids."""
     rng = random.Random(4)
