@@ -41,6 +41,17 @@ def _scaled(x: Column, digits: int) -> Column:
 def fmt_fixed(x: Column, digits: int) -> Column:
     """Decimal text of up to 7 digits with the exact binary value rounded half to even, as printf has it; null and NaN are null. Below 2 ** 63, beyond that digits may differ."""
     v = x.cast("double")
+    if digits != 2:
+        return _fixed_text(v, digits)
+    # for annotation lines: where the product is clearly no tie, its nearest integer has the digits; it is off by 2 ** -23 at most.
+    # What is left goes through functions of a bound variable, as its text inlined is too much code to compile
+    y = F.abs(v) * 100.0
+    near, clear = F.rint(y).cast("bigint"), (y < 1e9) & (F.abs(y - F.floor(y) - 0.5) > 1e-6) & (v != 0)
+    quick = F.concat(F.when(v < 0, "-").otherwise(""), F.floor(near / F.lit(100.0)).cast("string"), F.lit("."), F.lpad((near % 100).cast("string"), 2, "0"))
+    return F.when(clear, quick).when((v == 0) & (F.signum(v).cast("string") == "0.0"), "0.00").otherwise(F.element_at(F.transform(F.array(v), lambda z: _fixed_text(z, 2)), 1))
+
+
+def _fixed_text(v: Column, digits: int) -> Column:
     a = F.abs(v)
     whole = F.floor(a).cast("bigint")
     part = _scaled(a - whole, digits).cast("bigint")  # the difference is exact
@@ -49,13 +60,8 @@ def fmt_fixed(x: Column, digits: int) -> Column:
     digits_text = F.concat(F.lit("."), F.lpad((part - carry * unit).cast("string"), digits, "0")) if digits else F.lit("")
     text = F.concat((whole + carry).cast("string"), digits_text) if digits else F.rint(a).cast("bigint").cast("string")
     sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")  # of -0.0 too
-    # where the product is clearly no tie, its nearest integer has the digits; it is off by 2 ** -23 at most. For the two digits of annotation lines: with label files' four texts of six it is too much code to compile
-    y = a * float(unit)
-    near, clear = F.rint(y).cast("bigint"), (y < 1e9) & (F.abs(y - F.floor(y) - 0.5) > 1e-6)
-    quick_sign = F.when(v == 0, sign).when(v < 0, "-").otherwise("")
-    quick = F.concat(quick_sign, F.floor(near / F.lit(float(unit))).cast("string"), F.concat(F.lit("."), F.lpad((near % unit).cast("string"), digits, "0")) if digits else F.lit(""))
     large = F.concat(F.abs(v).cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits if digits else ""))
-    return F.when(F.isnan(v) | v.isNull(), F.lit(None).cast("string")).when(clear if digits == 2 else F.lit(False), quick).when(a == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, F.when(a < 2.0**63, text).otherwise(large)))
+    return F.when(F.isnan(v) | v.isNull(), F.lit(None).cast("string")).when(a == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, F.when(a < 2.0**63, text).otherwise(large)))
 
 
 def decode_weather(v: Column) -> Column:

@@ -11,7 +11,7 @@ from flocktab.functions import scalar as S
 from flocktab.operators import dem as M
 from flocktab.sources import readers as R
 from flocktab.sources import writers as W
-from flocktab.sources.named_files import write_named
+from flocktab.sources.named_files import write_archives, write_named
 from flocktab.sources.writers import write_mot
 from flocktab.streaming.annotations import filter_stream
 
@@ -123,8 +123,12 @@ def f14_f20_short_and_comment_rows(t):
 @query(f"SELECT 'flight_' || seq_id || '.zip' AS archive, 2 AS members, seq_id || '_gt.txt' AS file_name, seq_id, {TEXT_SQL} FROM detections", DET)
 def s11_mot_archives(t):
     """Archives of an annotation file and a video each, of one name in all, as files; members are read from their places."""
-    texts = _texts(t, lambda x, k: x).select(F.concat(F.lit("flight_"), "seq_id", F.lit(".zip")).alias("name"), F.create_map(F.concat_ws("/", "seq_id", F.concat("seq_id", F.lit("_gt.txt"))), "value", F.lit("x.mp4"), F.lit("..")).alias("members"))
-    return R.read_mot_archives(t.spark, _named(t, texts.select("name", W.zipped(F.col("members")).alias("value")))).select("archive", "members", "file_name", "seq_id", *FIELDS)
+    archive = F.concat(F.lit("flight_"), "seq_id", F.lit(".zip")).alias("archive")
+    rows = W.format_mot(t.detections).select(archive, F.concat("seq_id", F.lit("/"), "seq_id", F.lit("_gt.txt")).alias("member"), "line_no", "line")
+    videos = t.detections.select(archive).distinct().select("archive", F.lit("x.mp4").alias("member"), F.lit(0).cast("bigint").alias("line_no"), F.lit("..").alias("line"))
+    folder = _folder(t)
+    write_archives(rows.unionByName(videos), folder, "archive", "member", "line", ("line_no",))
+    return R.read_mot_archives(t.spark, folder).select("archive", "members", "file_name", "seq_id", *FIELDS)
 
 
 FLAGS = ["contains_occluded_frames", "contains_unoccluded_frames", "contains_unknown_sex", "contains_male", "contains_female", "contains_unknown_age", "contains_juvenile", "contains_adult"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import fnmatch
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,9 +50,34 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, list]]:
             yield names[a].as_py(), [x for x in lines[a:b].to_pylist() if x is not None]
 
 
+class _Archive:
+    """A zip archive that is written as it comes, a member after another; none is held whole."""
+
+    def __init__(self, out: pa.NativeFile):
+        self.out, self.member = out, None
+        self.zip = zipfile.ZipFile(self, "w", zipfile.ZIP_DEFLATED)
+
+    def begin(self, member: str) -> None:
+        if self.member:
+            self.member.close()
+        self.member = self.zip.open(member, "w", force_zip64=True)
+
+    def write(self, data: bytes) -> int:  # by the archive itself
+        self.out.write(data)
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        if self.member:
+            self.member.close()
+        self.zip.close()
+
+
 class NamedTextWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, folders: bool = False):
-        self.path, self.folders = path.rstrip("/"), folders
+    def __init__(self, path: str, folders: bool = False, zipped: bool = False):
+        self.path, self.folders, self.zipped = path.rstrip("/"), folders, zipped
         store, self.target = file_system(self.path)
         self.new = not exists(store, self.target)
         parent, _, base = self.target.rpartition("/")
@@ -62,11 +88,14 @@ class NamedTextWriter(DataSourceArrowWriter):
         store, _ = file_system(self.path)
         task = TaskContext.get()
         own = f"{self.hidden}/attempt-{task.partitionId()}-{task.taskAttemptId()}"
-        names, name, out = [], None, None
+        names, name, out, archive, inside = [], None, None, None, None
         try:
             for batch in iterator:
                 for new, lines in _runs(batch):
+                    new, member = new.split("\t") if self.zipped else (new, None)
                     if new != name:
+                        if archive:
+                            archive.close()
                         if out:
                             out.close()
                         if not new or "/" in new or new in (".", ".."):
@@ -75,8 +104,15 @@ class NamedTextWriter(DataSourceArrowWriter):
                             store.create_dir(own, recursive=True)
                         name, out = new, store.open_output_stream(f"{own}/{new}")
                         names.append(new)
+                        archive, inside = _Archive(out) if self.zipped else None, None
+                    if member != inside:
+                        archive.begin(member)
+                        inside = member
                     if lines:
-                        out.write(b"".join(lines) if isinstance(lines[0], bytes) else ("\n".join(lines) + "\n").encode())
+                        to = archive.member if archive else out
+                        to.write(b"".join(lines) if isinstance(lines[0], bytes) else ("\n".join(lines) + "\n").encode())
+            if archive:
+                archive.close()
         finally:
             if out:
                 out.close()
@@ -113,7 +149,7 @@ class NamedText(DataSource):
         return "name string, line string"
 
     def writer(self, schema, overwrite: bool) -> NamedTextWriter:
-        return NamedTextWriter(self.options["path"], self.options.get("folders") == "true")
+        return NamedTextWriter(self.options["path"], self.options.get("folders") == "true", self.options.get("zipped") == "true")
 
 
 def tasks(spark: SparkSession) -> int:
@@ -128,6 +164,13 @@ def write_named(rows: DataFrame, path: str, name: str, line: str, order: tuple[s
     dealt.select(F.col(name).alias("name"), F.col(line).alias("line")).write.format(FORMAT).mode("append").option("folders", folders).save(path)
 
 
+def write_archives(rows: DataFrame, path: str, name: str, member: str, line: str, order: tuple[str, ...] = ()) -> None:
+    """Writes a zip archive for each name, of text files by the name of a member, their lines in order. An archive is one task's, which holds some lines of it at a time."""
+    rows.sparkSession.dataSource.register(NamedText)
+    dealt = rows.repartition(tasks(rows.sparkSession), name).sortWithinPartitions(name, member, *order)
+    dealt.select(F.concat_ws("\t", name, member).alias("name"), F.col(line).alias("line")).write.format(FORMAT).mode("append").option("zipped", True).save(path)
+
+
 LISTED = "path string, length long, folder boolean"
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, _parse_datatype_string
@@ -220,30 +223,69 @@ def archive_members(archives: DataFrame) -> DataFrame:
     return archives.mapInPandas(listed, MEMBER)
 
 
+CHUNK = 1 << 20
+MEMBER_LINES = "archive string, members int, file_name string, line_no long, line string"
+
+
+def _member_bytes(path: str, name: str, offset: int, packed: int, method: int, crc: int) -> Iterator[bytes]:
+    """A member's bytes, some at a time."""
+    if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"{name} of {path} is packed by method {method}")
+    store, at = file_system(path)
+    unpack, sum_ = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None, 0
+    with store.open_input_file(at) as f:
+        f.seek(offset)
+        head = f.read(30)
+        f.seek(offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))  # a name and further fields of their own lengths
+        while packed:
+            body = f.read(min(CHUNK, packed))
+            if not body:
+                raise ValueError(f"{name} of {path} is cut off")
+            packed -= len(body)
+            while body:
+                out = unpack.decompress(body, 4 * CHUNK) if unpack else body
+                body = unpack.unconsumed_tail if unpack else b""
+                sum_ = zlib.crc32(out, sum_)
+                yield out
+    last = unpack.flush() if unpack else b""
+    if (unpack and not unpack.eof) or zlib.crc32(last, sum_) != crc:
+        raise ValueError(f"{name} of {path} is damaged")
+    yield last
+
+
+def _numbered(chunks: Iterator[bytes]) -> Iterator[tuple[int, list[str]]]:
+    """Lines, some at a time, with the number of the first."""
+    first, held = 0, b""
+    for chunk in chunks:
+        held += chunk
+        end = held.rfind(b"\n")
+        if end < 0:
+            end = held.rfind(b"\r", 0, len(held) - 1)  # a last one may be half of a line's end
+        if end < 0:
+            continue
+        whole, held = held[: end + 1].decode(), held[end + 1 :]
+        lines = (re.split("\r\n|\r|\n", whole) if "\r" in whole else whole.split("\n"))[:-1]
+        yield first, lines
+        first += len(lines)
+    yield first, re.split("\r\n|\r|\n", held.decode())
+
+
 def read_members(members: DataFrame) -> DataFrame:
-    """archive_members' rows with their texts: (archive, members, file_name, value)."""
-
-    def text(path: str, name: str, offset: int, packed: int, method: int, crc: int) -> str:
-        store, at = file_system(path)
-        with store.open_input_file(at) as f:
-            f.seek(offset)
-            head = f.read(30)
-            f.seek(offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))  # a name and further fields of their own lengths
-            body = f.read(packed)
-        if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-            raise ValueError(f"{name} of {path} is packed by method {method}")
-        out = body if method == zipfile.ZIP_STORED else zlib.decompress(body, -15)
-        if zlib.crc32(out) != crc:
-            raise ValueError(f"{name} of {path} is damaged")
-        return out.decode()
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """archive_members' rows with their lines: (archive, members, file_name, line_no, line), empty lines left out. A member is read by one task, which holds some lines of it at a time; its lines are then dealt over all."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                value = text(r.path, r.name, r.offset, r.packed, r.method, r.crc)
-                yield pd.DataFrame([(r.path.rsplit("/", 1)[1], r.members, r.name.rsplit("/", 1)[-1], value)], columns=["archive", "members", "file_name", "value"])
+            for r in batch.to_pylist():
+                path, count, name = r.pop("path"), r.pop("members"), r.pop("name")
+                for first, texts in _numbered(_member_bytes(path, name, **r)):
+                    rows = pa.table({"line_no": pa.array(range(first, first + len(texts)), "int64"), "line": pa.array(texts, "string")})
+                    rows = rows.filter(pc.not_equal(rows["line"], ""))
+                    same = {"archive": path.rsplit("/", 1)[1], "members": count, "file_name": name.rsplit("/", 1)[-1]}
+                    own = [pa.array([v] * len(rows), "int32" if c == "members" else "string") for c, v in same.items()]
+                    yield from pa.table([*own, rows["line_no"], rows["line"]], [*same, "line_no", "line"]).to_batches()
 
-    return members.repartition("path", "name").mapInPandas(texts, "archive string, members int, file_name string, value string")
+    n = tasks(members.sparkSession)
+    return members.repartition(n, "path", "name").mapInArrow(lines, MEMBER_LINES).repartition(n, "line_no")
 
 
 def parse_archives(files: DataFrame, dialect: str = "filter") -> DataFrame:
@@ -258,13 +300,18 @@ def parse_archives(files: DataFrame, dialect: str = "filter") -> DataFrame:
                         if n.lower().endswith(".txt"):
                             yield pd.DataFrame([(path_.rsplit("/", 1)[1], len(names), n.rsplit("/", 1)[-1], z.read(n).decode())], columns=["archive", "members", "file_name", "value"])
 
-    return _detections(files.mapInPandas(members, "archive string, members int, file_name string, value string"), dialect)
+    return _detections(_lines(files.mapInPandas(members, "archive string, members int, file_name string, value string")), dialect)
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """texts (archive, members, file_name, value) by lines, as read_members has them."""
+    rows = texts.select("archive", "members", "file_name", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"))
+    return rows.where("line != ''").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def _detections(texts: DataFrame, dialect: str) -> DataFrame:
+def _detections(lines: DataFrame, dialect: str) -> DataFrame:
     # the archive travels in the file's name, so that files of one name in two archives stay apart
-    lines = mot_lines(texts.withColumn("file_name", F.concat_ws("\t", "archive", F.col("members").cast("string"), "file_name")))
-    lines = lines.withColumn("seq_id", seq_id(F.split("file_name", "\t")[2]))
+    lines = lines.select(F.concat_ws("\t", "archive", F.col("members").cast("string"), "file_name").alias("file_name"), seq_id(F.col("file_name")).alias("seq_id"), "line_no", "line")
     det = parse_mot(lines, dialect)
     part = F.split("file_name", "\t")
     return det.select(part[0].alias("archive"), part[1].cast("int").alias("members"), part[2].alias("__name"), "*").drop("file_name").withColumnRenamed("__name", "file_name")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flocktab.sources import readers as R
+from flocktab.sources.named_files import write_archives
 from flocktab.sources import writers as W
 
 FILES = {
@@ -262,3 +263,21 @@ def test_metadata_files_grow_in_number(spark, tmp_path, monkeypatch):
     assert registry.QUERIES["s2_flight_metadata"](spark, str(tmp_path)).count() == 20_000
     sizes = [len(json.loads((tmp_path / seen[0] / x).read_text())) for x in os.listdir(seen[0]) if x[0] != "b"]
     assert sum(sizes) == 20_000 and max(sizes) < 600
+
+
+def test_members_are_read_by_lines(spark, tmp_path):
+    """A member's lines come some at a time, wherever it is cut, and are dealt over many tasks."""
+    import re
+
+    text = "a,é\r\n\r\nb\rc\n\n\rd,ü\r\n" + "e" * 9
+    want = [(k, x) for k, x in enumerate(re.split("\r\n|\r|\n", text)) if x]
+    for size in range(1, 12):
+        raw = text.encode()
+        got = R._numbered(raw[k : k + size] for k in range(0, len(raw), size))
+        assert [(first + k, x) for first, lines in got for k, x in enumerate(lines) if x] == want
+    made = spark.range(3000).selectExpr("concat('flight_', id % 2, '.zip') AS archive", "concat(id % 2, '/', id % 4, '_gt.txt') AS member", "id AS line_no", "concat(id, ',1,2,3,4,5,0.50,7,1.00,deer') AS line")
+    write_archives(made, f"{tmp_path}/zips", "archive", "member", "line", ("line_no",))
+    read = R.read_mot_archives(spark, f"{tmp_path}/zips")
+    rows = read.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["archive"], r["members"], r["seq_id"], r["line_no"], r["frame"]) for r in rows) == sorted((f"flight_{k % 2}.zip", 2, str(k % 4), k // 4, k) for k in range(3000))
+    assert len({r["task"] for r in rows if r["seq_id"] == "3"}) > 1
