@@ -14,9 +14,9 @@ from flocktab.sources.readers import file_names, read_mot
 from flocktab.sources.writers import out_name, write_mot, write_yolo, yolo_files
 
 
-def _rows(spark: SparkSession, source: str, dialect: str, glob: str) -> DataFrame:
+def _rows(spark: SparkSession, source: str, dialect: str, glob: str, only: DataFrame | None = None) -> DataFrame:
     """Detections of the files; each file by itself, also where two have one id."""
-    return read_mot(spark, source, dialect, glob=glob).withColumn("seq_id", F.col("file_name"))
+    return read_mot(spark, source, dialect, glob=glob, only=only).withColumn("seq_id", F.col("file_name"))
 
 
 def interpolate_files(spark: SparkSession, source: str, target: str, step: int = 1, suffix: str = "", glob: str = "*.txt") -> DataFrame:
@@ -46,10 +46,12 @@ def ground_truth_files(spark: SparkSession, source: str, target: str, start: int
     """Writes <id>_gt.txt for each annotation file with an id (of several of one id the last by name), with the rows that go beside the extracted frames; of a file without such a row an empty one. Names of genders and ages stand for their codes too. Gives rows by file."""
     names = file_names(spark, source, glob).select("file_name", file_id(F.col("file_name")).alias("id")).where("id is not null")
     names = last_wins(names, "id", "file_name").select("file_name", F.concat("id", F.lit("_gt.txt")).alias("out"))
-    det = kept_ground_truth(_rows(spark, source, "frames", glob), start, end, rate, gender=gender, age=age, strict=strict, **filters)
+    det = kept_ground_truth(_rows(spark, source, "frames", glob, names), start, end, rate, gender=gender, age=age, strict=strict, **filters)
     det = det.join(names, "file_name").drop("file_name").withColumnsRenamed({"out": "file_name"})
     write_mot(det, target, files=names.select(F.col("out").alias("file_name")), blank=None)
-    return names.select(F.col("out").alias("seq_id")).join(det.groupBy(F.col("file_name").alias("seq_id")).agg(F.count("*").alias("rows")), "seq_id", "left").fillna(0, "rows")
+    # counted in what was written, a line a row: the input is parsed once
+    written = spark.read.schema("value string").option("pathGlobFilter", "*_gt.txt").text(target).groupBy(F.col("_metadata.file_name").alias("seq_id")).agg(F.count("*").alias("rows"))
+    return names.select(F.col("out").alias("seq_id")).join(written, "seq_id", "left").fillna(0, "rows")
 
 
 def label_files(spark: SparkSession, source: str, target: str, img_width: int, img_height: int, properties: list[str], glob: str = "*.txt") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -40,14 +40,16 @@ class Written(WriterCommitMessage):
     files: int
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, list]]:
-    """Names of a batch as they follow each other, and the lines of each that are not null."""
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Buffer | None]]:
+    """Names of a batch as they follow each other, and the bytes of each one's lines that are not null, or none."""
     names, lines = batch.column(0), batch.column(1)
     new = pc.indices_nonzero(pc.fill_null(pc.not_equal(names[1:], names[:-1]), True)).to_pylist() if len(names) > 1 else []
     starts = [0, *[k + 1 for k in new], len(names)]
     for a, b in zip(starts, starts[1:]):
         if b > a:
-            yield names[a].as_py(), [x for x in lines[a:b].to_pylist() if x is not None]
+            held = lines[a:b].drop_null().cast("large_binary")
+            ends = memoryview(held.buffers()[1]).cast("q")[held.offset : held.offset + len(held) + 1] if len(held) else (0,)
+            yield names[a].as_py(), held.buffers()[2].slice(ends[0], ends[-1] - ends[0]) if ends[-1] > ends[0] else None
 
 
 class _Archive:
@@ -76,8 +78,8 @@ class _Archive:
 
 
 class NamedTextWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, folders: bool = False, zipped: bool = False):
-        self.path, self.folders, self.zipped = path.rstrip("/"), folders, zipped
+    def __init__(self, path: str, folders: bool = False, zipped: bool = False, blank: str | None = None):
+        self.path, self.folders, self.zipped, self.blank = path.rstrip("/"), folders, zipped, blank
         store, self.target = file_system(self.path)
         self.new = not exists(store, self.target)
         parent, _, base = self.target.rpartition("/")
@@ -88,14 +90,20 @@ class NamedTextWriter(DataSourceArrowWriter):
         store, _ = file_system(self.path)
         task = TaskContext.get()
         own = f"{self.hidden}/attempt-{task.partitionId()}-{task.taskAttemptId()}"
-        names, name, out, archive, inside = [], None, None, None, None
+        names, name, out, archive, inside, written = [], None, None, None, None, False
+
+        def end() -> None:
+            if archive:
+                archive.close()
+            elif out and not written and self.blank is not None:
+                out.write(f"{self.blank}\n".encode())
+
         try:
             for batch in iterator:
                 for new, lines in _runs(batch):
                     new, member = new.split("\t") if self.zipped else (new, None)
                     if new != name:
-                        if archive:
-                            archive.close()
+                        end()
                         if out:
                             out.close()
                         if not new or "/" in new or new in (".", ".."):
@@ -104,15 +112,14 @@ class NamedTextWriter(DataSourceArrowWriter):
                             store.create_dir(own, recursive=True)
                         name, out = new, store.open_output_stream(f"{own}/{new}")
                         names.append(new)
-                        archive, inside = _Archive(out) if self.zipped else None, None
+                        archive, inside, written = _Archive(out) if self.zipped else None, None, False
                     if member != inside:
                         archive.begin(member)
                         inside = member
-                    if lines:
-                        to = archive.member if archive else out
-                        to.write(b"".join(lines) if isinstance(lines[0], bytes) else ("\n".join(lines) + "\n").encode())
-            if archive:
-                archive.close()
+                    if lines is not None:
+                        (archive.member if archive else out).write(lines)
+                        written = True
+            end()
         finally:
             if out:
                 out.close()
@@ -149,7 +156,7 @@ class NamedText(DataSource):
         return "name string, line string"
 
     def writer(self, schema, overwrite: bool) -> NamedTextWriter:
-        return NamedTextWriter(self.options["path"], self.options.get("folders") == "true", self.options.get("zipped") == "true")
+        return NamedTextWriter(self.options["path"], self.options.get("folders") == "true", self.options.get("zipped") == "true", self.options.get("blank"))
 
 
 def tasks(spark: SparkSession) -> int:
@@ -157,18 +164,24 @@ def tasks(spark: SparkSession) -> int:
     return 2 * spark.sparkContext.defaultParallelism
 
 
-def write_named(rows: DataFrame, path: str, name: str, line: str, order: tuple[str, ...] = (), folders: bool = False) -> None:
-    """Writes a text file for each name, its lines in order; a null is no line, so a name with nulls alone is an empty file. A file's lines are one task's; files are spread by name. folders: in a subfolder a task, so that very many files can be listed by many tasks."""
+def _ended(rows: DataFrame, line: str) -> Column:
+    """Lines with their ends, as they are written; bytes are written as they are."""
+    return (F.col(line) if dict(rows.dtypes)[line] == "binary" else F.concat(F.col(line), F.lit("\n"))).alias("line")
+
+
+def write_named(rows: DataFrame, path: str, name: str, line: str, order: tuple[str, ...] = (), folders: bool = False, blank: str | None = None) -> None:
+    """Writes a text file for each name, its lines in order; a null is no line, so a name with nulls alone is an empty file, or one of the line `blank`. A file's lines are one task's; files are spread by name. folders: in a subfolder a task, so that very many files can be listed by many tasks."""
     rows.sparkSession.dataSource.register(NamedText)
     dealt = rows.repartition(tasks(rows.sparkSession), name).sortWithinPartitions(name, *order)
-    dealt.select(F.col(name).alias("name"), F.col(line).alias("line")).write.format(FORMAT).mode("append").option("folders", folders).save(path)
+    to = dealt.select(F.col(name).alias("name"), _ended(rows, line)).write.format(FORMAT).mode("append").option("folders", folders)
+    (to if blank is None else to.option("blank", blank)).save(path)
 
 
 def write_archives(rows: DataFrame, path: str, name: str, member: str, line: str, order: tuple[str, ...] = ()) -> None:
     """Writes a zip archive for each name, of text files by the name of a member, their lines in order. An archive is one task's, which holds some lines of it at a time."""
     rows.sparkSession.dataSource.register(NamedText)
     dealt = rows.repartition(tasks(rows.sparkSession), name).sortWithinPartitions(name, member, *order)
-    dealt.select(F.concat_ws("\t", name, member).alias("name"), F.col(line).alias("line")).write.format(FORMAT).mode("append").option("zipped", True).save(path)
+    dealt.select(F.concat_ws("\t", name, member).alias("name"), _ended(rows, line)).write.format(FORMAT).mode("append").option("zipped", True).save(path)
 
 
 LISTED = "path string, length long, folder boolean"

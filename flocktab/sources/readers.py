@@ -39,15 +39,19 @@ def mot_lines(files: DataFrame) -> DataFrame:
     return rows.where("line != ''").select("file_name", seq_id(F.col("file_name")).alias("seq_id"), F.col("line_no").cast("bigint"), "line")
 
 
-def numbered_lines(rows: DataFrame) -> DataFrame:
+def numbered_lines(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """mot_lines of a scan of files by lines (file_name, path, block: where the line's split begins, value), so that a file of any size is read by many tasks.
 
-    A split is in one task, in order: a line's place is its place in the split, and the lines of the splits before."""
+    A split is in one task, in order: a line's place is its place in the split, and the lines of the splits before. only (file_name): other files' splits, so their lines too, are left out."""
     at = rows.withColumn("id", F.monotonically_increasing_id())
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    splits = at.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    made = at.join(splits, ["path", "block"]).where("value != ''")
-    return made.select("file_name", seq_id(F.col("file_name")).alias("seq_id"), F.coalesce(F.col("id") + F.col("shift"), F.lit(0)).alias("line_no"), F.col("value").alias("line"))
+    splits = at.groupBy("path", "block", "file_name").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    if only is not None:
+        splits = splits.join(only, "file_name", "left_semi")
+    # names are taken apart once a split, not once a line
+    splits = splits.select("path", "block", "file_name", seq_id(F.col("file_name")).alias("seq_id"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    made = at.drop("file_name").join(splits, ["path", "block"]).where("value != ''")
+    return made.select("file_name", "seq_id", F.coalesce(F.col("id") + F.col("shift"), F.lit(0)).alias("line_no"), F.col("value").alias("line"))
 
 
 def scanned(files: DataFrame) -> DataFrame:
@@ -65,36 +69,36 @@ def parse_mot(lines: DataFrame, dialect: str = "filter", on_error: str = "raise"
     if d["comments"]:
         head = strip(F.col("line")) if d["comments"] == "stripped" else F.col("line")
         lines = lines.where(~head.startswith("#"))
+    parts, quoted = F.split("line", ","), F.col("line").contains('"') | F.col("line").contains("\0")  # a zero byte begins a comment in from_csv
     if d["quotes"]:
-        fields = F.from_csv("line", F.lit(_TEXT), {"mode": "PERMISSIVE", "quote": '"', "escape": '"'})
-    else:
-        parts = F.split("line", ",")
-        fields = F.struct(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(schemas.DETECTION_FIELDS)])
+        csv = F.from_csv("line", F.lit(_TEXT), {"mode": "PERMISSIVE", "quote": '"', "escape": '"'})
+        parts = F.when(quoted, F.element_at(F.transform(F.array(csv), lambda x: F.array(*[x[c] for c in schemas.DETECTION_FIELDS])), 1)).otherwise(parts)
     if d["least"]:
         # from_csv gives null for a missing field and for an empty one; commas outside quotes tell them apart
-        bare = F.regexp_replace("line", r'"[^"]*"', "")
+        bare = F.when(quoted, F.regexp_replace("line", r'"[^"]*"', "")).otherwise(F.col("line"))
         lines = lines.where(F.size(F.split(bare, ",")) >= d["least"])
-    made = lines.select("file_name", "seq_id", "line_no", fields.alias("f"))
-    text = lambda c: F.nullif(strip(F.col(f"f.{c}")), F.lit(""))
+    # by explode: filters on fields go down to a plain column's place, and the line would be taken apart anew for each of them
+    made = lines.select("file_name", "seq_id", "line_no", F.explode(F.array(parts)).alias("f"))
+    field = lambda c: F.get("f", F.lit(schemas.DETECTION_FIELDS.index(c)))
+    # what a cast reads as it is needs no more; the rest goes through functions of a bound variable, as their text inlined is too much code to compile
+    rest = lambda c, made: F.element_at(F.transform(F.array(field(c)), lambda x: made(F.nullif(strip(x), F.lit("")))), 1)
     soft = on_error == "null" or d.get("lenient", False)
     bad = []
 
     def number(c: str, kind: str, zero: str):
-        value = text(c)
-        cast = value.try_cast(kind) if soft else value.cast(kind)
+        quick, needed = field(c).try_cast(kind), d.get("blank_fails") and c in schemas.DETECTION_FIELDS[:9]
+        blank = F.lit(None if needed or d.get("lenient") else zero).cast(kind)
+        if needed and not soft:
+            blank = F.raise_error(F.lit(f"blank {c}")).cast(kind)
+        cast = lambda value: value.try_cast(kind) if soft else value.cast(kind)
         if soft:
-            bad.append(value.isNotNull() & cast.isNull())
-        if d.get("blank_fails") and c in schemas.DETECTION_FIELDS[:9]:
-            blank = F.lit(None).cast(kind) if soft else F.raise_error(F.lit(f"blank {c}")).cast(kind)
-            if soft:
-                bad.append(value.isNull())
-            return F.when(value.isNull(), blank).otherwise(cast)
-        return F.when(value.isNull(), F.lit(None if d.get("lenient") else zero).cast(kind)).otherwise(cast)
+            bad.append(quick.isNull() & rest(c, lambda value: (value.isNull() & F.lit(bool(needed))) | (value.isNotNull() & cast(value).isNull())))
+        return F.coalesce(quick, rest(c, lambda value: F.when(value.isNull(), blank).otherwise(cast(value))))
 
     out = [number(c, "bigint" if c in ("frame", "track_id") else "int", "0").alias(c) for c in _INTS if c != "class_id"]
-    out += [number("conf", "double", "0").alias("conf"), number("class_id", "int", "0").alias("class_id"), number("visibility", "double", "0").alias("visibility"), F.coalesce(strip(F.col("f.species")), F.lit("")).alias("species")]
+    out += [number("conf", "double", "0").alias("conf"), number("class_id", "int", "0").alias("class_id"), number("visibility", "double", "0").alias("visibility"), F.coalesce(strip(field("species")), F.lit("")).alias("species")]
     for c in ("gender", "age", "is_propagated"):
-        out.append(number(c, "int", "0").cast("string").alias(c) if d["ints"] else F.coalesce(strip(F.col(f"f.{c}")), F.lit("")).alias(c))
+        out.append(number(c, "int", "0").cast("string").alias(c) if d["ints"] else F.coalesce(strip(field(c)), F.lit("")).alias(c))
     if on_error == "null":
         corrupt = F.lit(False)
         for b in bad:
@@ -103,9 +107,10 @@ def parse_mot(lines: DataFrame, dialect: str = "filter", on_error: str = "raise"
     return made.select("file_name", "seq_id", "line_no", *out)
 
 
-def read_mot(spark: SparkSession, path: str, dialect: str = "filter", on_error: str = "raise", glob: str = "*.txt") -> DataFrame:
-    """A text file or a folder of them as detections, with file and line order kept. A file is read by lines, a large one by many tasks. An empty folder has none."""
-    return parse_mot(numbered_lines(scanned(spark.read.schema("value string").option("pathGlobFilter", glob).text(path))), dialect, on_error)
+def read_mot(spark: SparkSession, path: str, dialect: str = "filter", on_error: str = "raise", glob: str = "*.txt", only: DataFrame | None = None) -> DataFrame:
+    """A text file or a folder of them as detections, with file and line order kept. A file is read by lines, a large one by many tasks. An empty folder has none. only (file_name): lines of other files are not parsed."""
+    lines = scanned(spark.read.schema("value string").option("pathGlobFilter", glob).text(path))
+    return parse_mot(numbered_lines(lines, only), dialect, on_error)
 
 
 def _flight_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,17 +23,17 @@ def format_mot(det: DataFrame) -> DataFrame:
 
 def out_name(name: Column, suffix: str) -> Column:
     """<stem><suffix><ext>."""
-    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(suffix), F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    return name if not suffix else F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(suffix), F.regexp_extract(name, r"(\.[^.]*)$", 1))
 
 
 def write_mot(det: DataFrame, path: str, suffix: str = "", order: tuple[str, ...] = ("line_no",), files: DataFrame | None = None, blank: str | None = "") -> None:
     """A file <stem><suffix><ext> for each input file, its lines in order; a file of `files` (file_name) without a row has the line `blank`, or none."""
     out_file = out_name(F.col("file_name"), suffix).alias("out_file")
     lines = format_mot(det).select(out_file, "line", *order)
-    if files is not None:
-        none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]
-        lines = lines.unionByName(files.select("file_name").distinct().join(det.select("file_name").distinct(), "file_name", "left_anti").select(out_file, F.lit(blank).cast("string").alias("line"), *none))
-    write_named(lines, path, "out_file", "line", order)
+    if files is not None:  # a null for each: det is not asked for its files, which would compute it twice
+        none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("line", *order)]
+        lines = lines.unionByName(files.select("file_name").distinct().select(out_file, *none))
+    write_named(lines, path, "out_file", "line", order, blank=blank if files is not None else None)
 
 
 def zipped(members: Column) -> Column:
