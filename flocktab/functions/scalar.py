@@ -221,11 +221,11 @@ def sex_text(v: Column, strict: bool = False) -> Column:
     return _named(v, ["Unknown", "Male", "Female"] if strict else ["Unknown", "Juvenile", "Adult"])
 
 
-def point_label(interpolated: Column, kf_a: Column, kf_b: Column) -> Column:
-    """ID:… | short | c:… | prop | interp [a-b], over the columns of a detection."""
+def point_label(interpolated: Column, kf_a: Column, kf_b: Column, short: Column | None = None) -> Column:
+    """ID:… | short | c:… | prop | interp [a-b], over the columns of a detection; short: its species_short, where that is known."""
     prop = F.when(F.coalesce(F.nullif(F.col("is_propagated"), F.lit("")), F.lit("0")) != "0", F.lit("prop"))
     between = F.when(interpolated, F.concat(F.lit("interp ["), kf_a.cast("string"), F.lit("-"), kf_b.cast("string"), F.lit("]")))
-    return F.concat_ws(" | ", F.concat(F.lit("ID:"), F.col("track_id").cast("string")), species_short(F.col("species")), F.concat(F.lit("c:"), fmt_fixed(F.col("conf"), 2)), prop, between)
+    return F.concat_ws(" | ", F.concat(F.lit("ID:"), F.col("track_id").cast("string")), species_short(F.col("species")) if short is None else short, F.concat(F.lit("c:"), fmt_fixed(F.col("conf"), 2)), prop, between)
 
 
 def track_label(strict: bool = False) -> Column:

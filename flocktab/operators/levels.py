@@ -30,9 +30,10 @@ def keyed_ranges(ranges: DataFrame, bounds: list[tuple[Column, Column]], unit: f
     return out
 
 
-def keyed_points(points: DataFrame, place: list[Column], ranges: DataFrame, unit: float) -> DataFrame:
-    """points with their keys: one row for each level that keyed `ranges` have."""
-    levels = ranges.agg(F.sort_array(F.collect_set("__level")).alias("levels")).scalar()  # some dozens at most
+def keyed_points(points: DataFrame, place: list[Column], ranges: DataFrame, unit: float, levels: Column | None = None) -> DataFrame:
+    """points with their keys: one row for each level that keyed `ranges` have, or for each of the array `levels`, where finding those would compute costly ranges twice."""
+    if levels is None:
+        levels = ranges.agg(F.sort_array(F.collect_set("__level")).alias("levels")).scalar()  # some dozens at most
     out = points.withColumn("__level", F.explode(levels))
     return out.withColumns({KEYS[1 + k]: _bin(x, unit) for k, x in enumerate(place)})
 

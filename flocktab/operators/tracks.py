@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import box_center, lerp, round_even
 
-from .levels import keyed_points, keyed_ranges, keys
+from .levels import keyed_points, keyed_ranges, keys, level_of
 
 TRACK = ["seq_id", "track_id"]
 BOX = ["bb_left", "bb_top", "bb_width", "bb_height"]
@@ -49,18 +49,20 @@ def boxes_at(det: DataFrame, targets: DataFrame) -> DataFrame:
     last row before and the first after; none outside a track's span. is_propagated is that of the earlier row.
 
     A segment lies in bins of about its own length, two at most, and a target has one key for each level of lengths that there
-    is, so the range test becomes an equi-join and no segment has more rows for being long.
+    is, so the range test becomes an equi-join and no segment has more rows for being long. A segment begins with its own row, so
+    det is shuffled once, by track, for rows at targets and between them; levels are those of the span of all frames.
     """
     want = targets.select("seq_id", "frame").distinct()
     out = [c for c in det.columns if c not in ("seq_id", "frame")]
-    exact = det.join(want, ["seq_id", "frame"]).select("seq_id", "frame", *out, F.lit(False).alias("_interpolated"), F.lit(None).cast("bigint").alias("_kf_a_frame"), F.lit(None).cast("bigint").alias("_kf_b_frame"))
-    seg = key_segments(det).where(F.col("nxt.frame") - F.col("frame") > 1).withColumnRenamed("frame", "f0")
-    ranges = keyed_ranges(seg, [(F.col("f0") + 1, F.col("nxt.frame") - 1)], 8.0)
-    hit = keyed_points(want, [F.col("frame")], ranges, 8.0).join(ranges, ["seq_id", *keys(1)]).where((F.col("frame") > F.col("f0")) & (F.col("frame") < F.col("nxt.frame")))
-    t = (F.col("frame") - F.col("f0")) / (F.col("nxt.frame") - F.col("f0"))
+    seg = key_segments(det).where("frame is not null").withColumnRenamed("frame", "f0").withColumn("__end", F.greatest("f0", F.col("nxt.frame") - 1))
+    ranges = keyed_ranges(seg, [(F.col("f0"), F.col("__end"))], 8.0)
+    levels = det.agg(F.sequence(F.lit(0), level_of(F.max("frame") - F.min("frame"), 8.0)).alias("levels")).scalar()
+    hit = keyed_points(want, [F.col("frame")], ranges, 8.0, levels).join(ranges, ["seq_id", *keys(1)]).where((F.col("frame") >= F.col("f0")) & (F.col("frame") <= F.col("__end")))
+    inside = F.col("frame") > F.col("f0")
+    t = (F.col("frame") - F.col("f0")) / F.nullif(F.col("nxt.frame") - F.col("f0"), F.lit(0))
     new = dict(zip(BOX + LINEAR, _between(t), strict=True))
-    between = hit.select("seq_id", "frame", *[new.get(c, F.col(c)) for c in out], F.lit(True).alias("_interpolated"), F.col("f0").alias("_kf_a_frame"), F.col("nxt.frame").alias("_kf_b_frame"))
-    return exact.unionByName(between)  # a target strictly within a segment has no row of that track
+    return hit.select("seq_id", "frame", *[F.when(inside, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in out], inside.alias("_interpolated"),
+                      F.when(inside, F.col("f0")).alias("_kf_a_frame"), F.when(inside, F.col("nxt.frame")).alias("_kf_b_frame"))
 
 
 def track_trails(det: DataFrame, n: int, start: int = 0) -> DataFrame:

@@ -238,9 +238,9 @@ boxes AS (SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb
 """
 
 
-def _at(t):
-    """Every frame of every sequence."""
-    return T.boxes_at(t.detections, _spans(t).select("seq_id", F.explode(F.sequence("first_frame", "last_frame")).alias("frame")))
+def _at(t, **more):
+    """Every frame of every sequence; more: columns of the detections."""
+    return T.boxes_at(t.detections.withColumns(more), _spans(t).select("seq_id", F.explode(F.sequence("first_frame", "last_frame")).alias("frame")))
 
 
 @query(AT_SQL + f"SELECT seq_id, frame, track_id, line_no, bb_left, bb_top, bb_width, bb_height, {LINEAR}, interp, a AS kf_a, b AS kf_b FROM boxes", DET)
@@ -250,7 +250,8 @@ def j7_boxes_at(t):
 
 @query(AT_SQL + "SELECT seq_id, frame, track_id, line_no, 'ID:' || track_id || ' | ' || CASE WHEN species = 'Unknown' THEN 'Unknown' ELSE regexp_extract(species, '\\(([^)]*)\\)', 1) END || ' | c:' || printf('%.2f', conf) || CASE WHEN interp THEN ' | interp [' || a || '-' || b || ']' ELSE '' END AS label FROM boxes", DET)
 def p11_boxes_at_frame(t):
-    return _at(t).select("seq_id", "frame", "track_id", "line_no", S.point_label(F.col("_interpolated"), F.col("_kf_a_frame"), F.col("_kf_b_frame")).alias("label"))
+    # names are shortened once a detection, not once a box made of it
+    return _at(t, short=S.species_short(F.col("species"))).select("seq_id", "frame", "track_id", "line_no", S.point_label(F.col("_interpolated"), F.col("_kf_a_frame"), F.col("_kf_b_frame"), F.col("short")).alias("label"))
 
 
 SPANS = ", grid AS (SELECT seq_id, unnest(range(0, 721)) AS frame FROM (SELECT DISTINCT seq_id FROM detections))"
