@@ -94,7 +94,7 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 def round_even(x: Column, digits: int = 0) -> Column:
     """Half to even, of the exact binary value, up to 7 digits: the nearest double to that decimal. Values of 2 ** 52 / 10 ** digits and more stay as they are."""
     if not digits:
-        return F.bround(x, 0)
+        return F.rint(x) + 0.0  # a tie is one in binary too; bround goes by way of decimal text. The sum makes -0.0 0.0
     v = x.cast("double")
     return F.when(F.abs(v) < 2.0**52 / 10**digits, _scaled(v, digits) / F.lit(10.0**digits)).otherwise(v)
 

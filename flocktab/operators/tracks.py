@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flocktab.functions.scalar import box_center, lerp, round_even
@@ -31,17 +31,21 @@ def interpolate_tracks(det: DataFrame, step: int = 1) -> DataFrame:
     Boxes are rounded half to even, conf and visibility are linear, the rest comes from the row before the gap;
     is_propagated is 1. One window and one explode: originals are the explode's first element, so det is read once.
     """
-    seg = key_segments(det)
+    return filled(key_segments(det), det.columns, step)
+
+
+def filled(seg: DataFrame, columns: list[str], step: int = 1, shown: Column | None = None) -> DataFrame:
+    """The given columns of seg (rows with nxt) and of the rows in its gaps; of rows that are not shown the gaps alone."""
     gap = F.col("nxt.frame") - F.col("frame")
-    # sequence() raises on an empty range
-    fill = F.when(gap > step, F.sequence(F.col("frame") + step, F.col("nxt.frame") - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    rows = seg.select("*", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), fill)).alias("at"))
-    t = (F.col("at") - F.col("frame")) / gap
-    made = {c: F.when(F.col("at").isNull(), F.col(c)) for c in BOX + LINEAR}
-    new = dict(zip(BOX + LINEAR, _between(t), strict=True))
-    out = {"frame": F.coalesce("at", "frame"), "is_propagated": F.when(F.col("at").isNull(), F.col("is_propagated")).otherwise(F.lit("1"))}
-    out |= {c: made[c].otherwise(new[c]) for c in BOX + LINEAR}
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in det.columns])
+    n = F.when(gap > step, F.floor((gap - 1) / step)).otherwise(F.lit(0).cast("bigint"))
+    first = F.lit(0).cast("bigint") if shown is None else F.when(shown, 0).otherwise(F.lit(1)).cast("bigint")
+    # the row itself is number 0; sequence() raises on an empty range, and a null is no row
+    rows = seg.withColumn("__n", n).select("*", F.explode(F.when(F.col("__n") >= first, F.sequence(first, F.col("__n"), F.lit(1).cast("bigint")))).alias("__k"))
+    ahead, own = F.col("__k") * step, F.col("__k") == 0
+    new = dict(zip(BOX + LINEAR, _between(ahead / gap), strict=True))
+    out = {"frame": F.col("frame") + ahead, "is_propagated": F.when(own, F.col("is_propagated")).otherwise(F.lit("1"))}
+    out |= {c: F.when(own, F.col(c)).otherwise(new[c]) for c in BOX + LINEAR}
+    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in columns])
 
 
 def boxes_at(det: DataFrame, targets: DataFrame) -> DataFrame:
@@ -65,10 +69,10 @@ def boxes_at(det: DataFrame, targets: DataFrame) -> DataFrame:
                       F.when(inside, F.col("f0")).alias("_kf_a_frame"), F.when(inside, F.col("nxt.frame")).alias("_kf_b_frame"))
 
 
-def track_trails(det: DataFrame, n: int, start: int = 0) -> DataFrame:
-    """det from frame start on, with trail: the track's last n box centres up to this row, and shown (more than one)."""
+def track_trails(det: DataFrame, n: int, start: int = 0, apart: tuple[str, ...] = ()) -> DataFrame:
+    """det from frame start on, with trail: the track's last n box centres up to this row, and shown (more than one). Rows that differ in the columns `apart` have trails of their own."""
     cx, cy = box_center(*[F.col(c) for c in BOX])
-    w = Window.partitionBy(*TRACK).orderBy("frame", "line_no").rowsBetween(-(n - 1), 0)
+    w = Window.partitionBy(*TRACK, *apart).orderBy("frame", "line_no").rowsBetween(-(n - 1), 0)
     return det.where(F.col("frame") >= start).withColumn("trail", F.collect_list(F.struct(cx.alias("cx"), cy.alias("cy"))).over(w)).withColumn("shown", F.size("trail") > 1)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flocktab.operators import tracks as T
 from flocktab.streaming import tracks as X
+from flocktab.streaming.batches import rename
 
 from .annotation_queries import DET, TRAIL_SQL, trail_text
 from .registry import query, shared_folder
@@ -16,14 +17,19 @@ from .registry import query, shared_folder
 #: The frames at which the arrivals of a replay end; the last one has all that follow.
 ENDS = (180, 360, 540)
 
+#: Rows a file of a replay: in a table ordered by time few tasks write all of a part, and Spark can't split what they write.
+FILE_ROWS = 100_000
+
 
 def replay(t, run) -> DataFrame:
     """The detections as a stream: they arrive in four parts, by frame, each a run(stream, target, checkpoint) that goes on from the state of the one before; the rows that it writes are read back."""
     spark, folder, det = t.spark, f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}", t.detections
-    for low, high in zip((None, *ENDS), (*ENDS, None), strict=True):
-        part = det.where(F.lit(True) if low is None else F.col("frame") >= low).where(F.lit(True) if high is None else F.col("frame") < high)
-        part.write.mode("append").parquet(f"{folder}/in")
-        run(spark.readStream.schema(det.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    part = F.coalesce(sum((F.col("frame") >= end).cast("int") for end in ENDS), F.lit(0))
+    det.withColumn("part", part).write.partitionBy("part").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/made")
+    for k in range(len(ENDS) + 1):
+        if not rename(spark, f"{folder}/made/part={k}", f"{folder}/in/{k}"):  # a part without rows has no folder
+            spark.createDataFrame([], det.schema).write.parquet(f"{folder}/in/{k}")
+        run(spark.readStream.schema(det.schema).parquet(f"{folder}/in/*"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out/rows")
 
 

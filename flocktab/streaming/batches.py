@@ -15,6 +15,17 @@ def _fs(spark: SparkSession, folder: str):
     return Path, Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Whether there was a folder of the old name; it has the new one now."""
+    Path, fs = _fs(spark, old)
+    there = fs.exists(Path(old))
+    if there:
+        fs.mkdirs(Path(new).getParent())
+        if not fs.rename(Path(old), Path(new)):
+            raise OSError(f"{old} could not be renamed to {new}")
+    return there
+
+
 def published(spark: SparkSession, target: str) -> int | None:
     """The highest number of a published batch."""
     Path, fs = _fs(spark, target)

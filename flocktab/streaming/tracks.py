@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flocktab.operators.tracks import BOX, TRACK, interpolate_tracks, track_trails
+from flocktab.operators.tracks import BOX, LINEAR, TRACK, filled, track_trails
 
 from .batches import forget_state, published_once, state_before, write_state
 
@@ -27,22 +27,32 @@ ORDER = ["frame", "line_no"]
 CLOCKS = "seq_id string, clock bigint"
 
 
-def _last(rows: DataFrame, n: int) -> DataFrame:
-    """Each track's last n rows."""
-    w = Window.partitionBy(*TRACK).orderBy(*[F.desc(c) for c in ORDER])
+AFTER_EDGES = ["__new", *ORDER]
+
+
+def _after_edges() -> WindowSpec:
+    """A batch's rows after the edges of their tracks, so what was kept of a track is known at each of its rows."""
+    return Window.partitionBy(*TRACK).orderBy(*AFTER_EDGES)
+
+
+def _last(rows: DataFrame, n: int, newest: list) -> DataFrame:
+    """Each track's first n rows in the order `newest`."""
+    w = Window.partitionBy(*TRACK).orderBy(*newest)
     return rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
 
 
-def _stream(det: DataFrame, target: str, checkpoint: str, columns: list[str], depth: int, idle: int | None, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], once: bool) -> StreamingQuery:
-    """step(edges, batch) -> output rows, and the rows that edges are taken from; batch has __last, its track's last frame before, and __behind: too far behind the clock."""
+def _stream(det: DataFrame, target: str, checkpoint: str, columns: list[str], depth: int, newest: list, idle: int | None, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]], once: bool) -> StreamingQuery:
+    """step(rows) -> output rows, and the rows that edges are taken from, a track's first ones in the order `newest`. rows are the batch's and, not __new, the edges; they have
+    __last, their track's last frame before the batch, and __behind: too far behind the clock."""
     spark, edge = det.sparkSession, det.select(*columns).schema
 
     def publish(batch: DataFrame, number: int) -> None:
         edges, clocks = state_before(spark, target, "edges", edge), state_before(spark, target, "clocks", CLOCKS)
-        known = batch.join(edges.groupBy(*TRACK).agg(F.max("frame").alias("__last")), TRACK, "left")
         behind = F.lit(False) if idle is None else F.coalesce(F.col("clock") - F.col("frame") > idle, F.lit(False))
-        known = (known if idle is None else known.join(clocks, "seq_id", "left")).withColumn("__behind", behind).drop("clock")
-        out, rows = step(edges, known)
+        new = (batch if idle is None else batch.join(clocks, "seq_id", "left")).withColumns({"__behind": behind, "__new": F.lit(True)}).drop("clock")
+        rows = new.unionByName(edges.withColumns({"__behind": F.lit(False), "__new": F.lit(False)}), allowMissingColumns=True)
+        last = F.max(F.when(~F.col("__new"), F.col("frame"))).over(_after_edges().rowsBetween(Window.unboundedPreceding, 0))
+        out, rows = step(rows.withColumn("__last", last))
         out.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
         if idle is not None:
             clocks = clocks.unionByName(batch.groupBy("seq_id").agg(F.max("frame").alias("clock"))).groupBy("seq_id").agg(F.max("clock").alias("clock"))
@@ -50,7 +60,7 @@ def _stream(det: DataFrame, target: str, checkpoint: str, columns: list[str], de
             clocks = state_at(number, "clocks", CLOCKS)
         else:
             write_state(target, "clocks", number, clocks)
-        kept = _last(rows.select(*columns), depth)
+        kept = _last(rows.select(*columns, "__new"), depth, newest).drop("__new")
         if idle is not None:
             last = kept.groupBy(*TRACK).agg(F.max("frame").alias("last_frame")).join(clocks, "seq_id")
             ended = last.where(F.col("clock") - F.col("last_frame") > idle).select(*TRACK, "last_frame")
@@ -69,15 +79,14 @@ def _stream(det: DataFrame, target: str, checkpoint: str, columns: list[str], de
 def stream_trails(det: DataFrame, target: str, checkpoint: str, n: int, idle: int | None = None, once: bool = True) -> StreamingQuery:
     """track_trails of a stream, into target/rows: det with trail, shown and late; of a late row the trail is null. Ended tracks go to target/ended."""
 
-    def step(edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        marked = batch.withColumn("late", F.coalesce(F.col("frame") < F.col("__last"), F.lit(False)) | F.col("__behind")).drop("__last", "__behind")
-        on_time = marked.where(~F.col("late")).withColumn("__new", F.lit(True))
-        rows = on_time.unionByName(edges.withColumn("__new", F.lit(False)), allowMissingColumns=True)
-        made = track_trails(rows, n).where("__new").drop("__new")
-        late = marked.where("late").withColumns({"trail": F.lit(None).cast(made.schema["trail"].dataType), "shown": F.lit(False)})
-        return made.unionByName(late), rows
+    def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        late = F.col("__new") & (F.coalesce(F.col("frame") < F.col("__last"), F.lit(False)) | F.col("__behind"))
+        marked = rows.withColumn("late", late)
+        made = track_trails(marked, n, apart=("late",)).where("__new")
+        made = made.withColumns({"trail": F.when(~F.col("late"), F.col("trail")), "shown": F.col("shown") & ~F.col("late")})
+        return made.select(*det.columns, "trail", "shown", "late"), marked.where(~F.col("late"))
 
-    return _stream(det, target, checkpoint, [*TRACK, *ORDER, *BOX], n, idle, step, once)
+    return _stream(det, target, checkpoint, [*TRACK, *ORDER, *BOX], n, [F.desc(c) for c in ORDER], idle, step, once)
 
 
 def stream_gap_fill(det: DataFrame, target: str, checkpoint: str, step: int = 1, idle: int | None = None, once: bool = True) -> StreamingQuery:
@@ -85,13 +94,15 @@ def stream_gap_fill(det: DataFrame, target: str, checkpoint: str, step: int = 1,
     frame arrives; a row at or before its track's last key frame is late, and no gap is filled for it. Ended tracks go to target/ended."""
     columns = det.columns
 
-    def fill(edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        again = Window.partitionBy(*TRACK, "frame").orderBy("line_no")  # of rows of one frame the first is the key frame
-        late = F.coalesce(F.col("frame") <= F.col("__last"), F.lit(False)) | F.col("__behind") | (F.row_number().over(again) > 1)
-        marked = batch.withColumn("late", late).drop("__last", "__behind")
-        keys = marked.where(~F.col("late")).drop("late").withColumn("__new", F.lit(True)).unionByName(edges.withColumn("__new", F.lit(False)))
-        filled = interpolate_tracks(keys.withColumn("__of", F.col("frame")), step)
-        out = filled.where(F.col("__new") | (F.col("frame") != F.col("__of"))).select(*columns, F.lit(False).alias("late"))  # an edge has been passed on before
-        return out.unionByName(marked.where("late").select(*columns, "late")), keys
-
-    return _stream(det, target, checkpoint, columns, 1, idle, fill, once)
+    def fill(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        before = lambda c, *default: F.lag(c, 1, *default).over(_after_edges())
+        again = before("__new", False) & before("frame").eqNullSafe(F.col("frame"))  # of rows of one frame the first is the key frame
+        late = F.col("__new") & (F.coalesce(F.col("frame") <= F.col("__last"), F.lit(False)) | F.col("__behind") | again)
+        marked = rows.withColumn("late", late).withColumn("__key", F.when(~F.col("late") & F.col("frame").isNotNull(), F.struct("frame", *BOX, *LINEAR)))
+        nxt = F.expr(f"lead(__key) IGNORE NULLS OVER (PARTITION BY {', '.join(TRACK)} ORDER BY {', '.join(AFTER_EDGES)})")
+        seg = marked.withColumn("nxt", F.when(~F.col("late"), nxt))
+        out = filled(seg, [*columns, "late"], step, F.col("__new"))  # an edge has been passed on before
+        return out, rows.where(~F.col("__behind"))
+
+    # a track's last key frame is found without knowing which rows are late: the edge, or the first row of a higher frame
+    return _stream(det, target, checkpoint, columns, 1, [F.desc("frame"), F.col("__new"), F.col("line_no")], idle, fill, once)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flocktab.operators import tracks as T
+from flocktab.plans import registry, stream_queries
 from flocktab.streaming import batches as B
 from flocktab.streaming import tracks as X
 
@@ -103,3 +104,29 @@ def test_a_batch_that_dies_is_computed_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "published_once", once)
     got = arrive(spark, tmp_path, [whole.limit(0)], run)
     same(got.drop("late"), T.interpolate_tracks(whole, 2).select(*got.drop("late").columns))
+
+
+def test_a_batch_is_read_and_shuffled_once(spark, tmp_path, monkeypatch):
+    whole, outs, fill = rows(spark, MANY), [], X.filled
+    monkeypatch.setattr(X, "filled", lambda *a: outs.append(fill(*a)) or outs[-1])
+    arrive(spark, tmp_path, [whole.where("frame < 300"), whole.where("frame >= 300")], lambda s, o, c: X.stream_gap_fill(s, o, c, 2))
+    plan = outs[1]._jdf.queryExecution().sparkPlan().toString() + outs[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
+
+
+def test_rows_without_a_frame_or_a_track(spark, tmp_path):
+    first, second = rows(spark, [("a", 10, 1), ("a", 10, None)]), rows(spark, [("a", 13, 1), ("a", 4, None), ("a", 12, None)])
+    lost = rows(spark, [("a", 11, 1)]).withColumn("frame", F.lit(None).cast("long"))
+    got = arrive(spark, tmp_path, [first, second.unionByName(lost)], lambda s, o, c: X.stream_gap_fill(s, o, c, 1))
+    assert sorted(r["frame"] for r in got.where("track_id = 1 and frame is not null").collect()) == [10, 11, 12, 13] and got.where("frame is null and not late").count() == 1
+    assert sorted((r["frame"], r["late"]) for r in got.where("track_id is null").collect()) == [(4, True), (10, False), (11, False), (12, False)]
+
+
+def test_a_replay_keeps_events_without_a_time_and_has_small_files(spark, sf_dir, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.withColumn("ts", F.when(F.col("event_id") != 7, F.col("ts"))).where("ts is null or day(ts) > 8").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")  # the first part has that row alone
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 10)
+    monkeypatch.setattr(stream_queries, "shared_folder", lambda spark: str(tmp_path))
+    got = registry.QUERIES["x2_stream_gap_fill"](spark, str(tmp_path))
+    assert got.where("frame is null").count() == 1 and got.where("is_propagated = '0'").count() == spark.read.parquet(f"{tmp_path}/events.parquet").count()
+    assert max(r["count"] for r in spark.read.parquet(f"{tmp_path}/stream-*/in/*").groupBy(F.input_file_name()).count().collect()) == 10
